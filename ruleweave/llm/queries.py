@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import quality_rules
+from ruleweave.llm import quality_rules, simhash
 from ruleweave.llm.common import read
 
 
@@ -21,7 +21,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 win AS (SELECT rid, i, array_to_string(ws[i:i+7], ' ') AS g FROM w, unnest(range(1, len(ws) - 6)) AS t(i)),
 dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM dup, range(8) AS s(k) GROUP BY rid),
@@ -36,8 +36,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f0
        (f0 + f1 + f2 + f3 + f4 = 0) AS kept, (f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4)::BIGINT AS fail_bits FROM f
 """
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
