@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import quality_rules, simhash
-from ruleweave.llm.common import read
+from ruleweave.llm import bpe, packing, quality_rules, simhash
+from ruleweave.llm.common import cut, read
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f0
        (f0 + f1 + f2 + f3 + f4 = 0) AS kept, (f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4)::BIGINT AS fail_bits FROM f
 """
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 1024 tokens."""
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.tokenize(read(spark, sf_dir, "documents"), path)
+    digests = cut(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "packing-pieces")
+    return packing.pack(digests)
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to."""
+    path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.encode_texts(read(spark, sf_dir, "documents"), path)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -44,6 +65,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_bpe_round_trip": op3_bpe_round_trip,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 ORACLE_SQL = {
