@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import bpe, packing, quality_rules, simhash
+from ruleweave.llm import bpe, ogg, packing, quality_rules, simhash
 from ruleweave.llm.common import cut, read
 
 
@@ -57,6 +57,21 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     )
 
 
+def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's Ogg form and of the payload and features read back from it."""
+    stored = ogg.read_back(ogg.store(read(spark, sf_dir, "documents")))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -ogg.BLOCK, ogg.BLOCK)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -67,6 +82,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op5_ogg_media": op5_ogg_media,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 ORACLE_SQL = {
