@@ -46,7 +46,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when df has been counted and is small; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def let(value: Column, body) -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import bpe, ogg, packing, quality_rules, simhash
+from ruleweave.llm import bpe, ngram_quality, ogg, packing, quality_rules, simhash
 from ruleweave.llm.common import cut, read
 
 
@@ -78,12 +78,19 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, bound and verdict of every document under a model of the documents labelled good."""
+    trusted = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return ngram_quality.score(read(spark, sf_dir, "documents"), trusted)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_ogg_media": op5_ogg_media,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_kneser_ney_quality": op8_kneser_ney_quality,
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
