@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import bpe, ngram_quality, ogg, packing, quality_rules, simhash
+from ruleweave.llm import bpe, ngram_quality, ogg, packing, quality_rules, simhash, toxicity
 from ruleweave.llm.common import cut, read
 
 
@@ -84,6 +84,15 @@ def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.score(read(spark, sf_dir, "documents"), trusted)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows whose crc32 of the id is a multiple of five are never learned from."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -91,6 +100,7 @@ QUERIES = {
     "op5_ogg_media": op5_ogg_media,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_kneser_ney_quality": op8_kneser_ney_quality,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
