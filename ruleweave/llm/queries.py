@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import bpe, ngram_quality, ogg, packing, quality_rules, simhash, toxicity
+from ruleweave.llm import bpe, license_scan, ngram_quality, ogg, packing, quality_rules, simhash, toxicity
 from ruleweave.llm.common import cut, read
 
 
@@ -93,6 +93,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document that mentions licensing, with its license and wording differences."""
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -101,6 +106,7 @@ QUERIES = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_kneser_ney_quality": op8_kneser_ney_quality,
     "op9_toxicity": op9_toxicity,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
