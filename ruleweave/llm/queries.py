@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import bpe, license_scan, ngram_quality, ogg, packing, quality_rules, simhash, toxicity
+from ruleweave.llm import bpe, chat, license_scan, ngram_quality, ogg, packing, quality_rules, simhash, toxicity
 from ruleweave.llm.common import cut, read
 
 
@@ -57,6 +57,18 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     )
 
 
+def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Digests of every conversation as read back from the emitted prefix tree."""
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    convs = cut(chat.paths(rows), "chat-paths")
+    ends = convs.select("conv_id", F.element_at("nodes", -1).alias("leaf"))
+    emitted = cut(chat.tree(convs, path), "chat-tree")
+    return ends.join(chat.read_back(emitted, ends.select("leaf").distinct(), path), "leaf").drop("leaf")
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's Ogg form and of the payload and features read back from it."""
     stored = ogg.read_back(ogg.store(read(spark, sf_dir, "documents")))
@@ -102,6 +114,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_chat_prefix_tree": op4_chat_prefix_tree,
     "op5_ogg_media": op5_ogg_media,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_kneser_ney_quality": op8_kneser_ney_quality,
