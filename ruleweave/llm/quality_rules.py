@@ -114,6 +114,12 @@ def apply_policy(rows: DataFrame, policy: Policy, into: str = "kept") -> DataFra
     return rows.withColumn(into, F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)
 
 
+def keep_passing(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the policy keeps."""
+    whole = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return apply_policy(ledger(whole, ("row",)), policy).filter("kept").select("row.*")
+
+
 def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     """For each rule of the policy: rows it fails, rows only it fails, and rows kept without it.
 

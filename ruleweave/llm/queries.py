@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,6 +172,7 @@ QUERIES = {
     "op8_kneser_ney_quality": op8_kneser_ney_quality,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import cut, small_batches
+from ruleweave.llm.common import broadcast_if_small, cut, small_batches
 
 BITS = 64
 THRESHOLD = 2
@@ -155,29 +155,37 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, fp and component_id, the smallest first key reachable over links, of every row of docs."""
     rows = cut(with_fingerprint(docs, keys, text), "simhash-fp")
-    return rows.join(classes(rows, keys[0]), "fp")
+    return rows.join(classes(rows, keys[0]).drop("component"), "fp")
 
 
 def classes(rows: DataFrame, key: str) -> DataFrame:
-    """(fp, component_id) of the fingerprints in rows."""
+    """(fp, component, component_id) of the fingerprints in rows; component is the group's smallest fingerprint."""
     codes = cut(rows.groupBy("fp").agg(F.min(key).alias("first")), "simhash-codes")
     named = components(links(codes.select("fp")))
     placed = codes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     placed = cut(placed, "simhash-placed")
     least = cut(placed.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-least")
-    return placed.join(least, "component").select("fp", "component_id")
+    return placed.join(least, "component").select("fp", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with all their columns, one of each near-duplicate group: the one with the smallest key.
 
-    Rows with equal keys in one group count as ties and all but one go; which columns other than key and
-    text the survivor of such a tie has is not defined. A group of null keys only keeps one row too.
+    Rows go by their key, so texts stay where they are unless many rows go. Keys that several rows share are
+    told apart by fingerprint again; of rows with one key in one group any one stays.
     """
-    raise_if = [c for c in docs.columns if c.startswith("_nd_")]
-    if raise_if:
-        raise ValueError(f"columns are reserved: {raise_if}")
-    grouped = near_duplicates(docs, (key,), text).select(F.col(key).alias("_nd_key"), "component_id").filter(F.col("_nd_key").eqNullSafe(F.col("component_id")))
-    chosen = grouped.groupBy("_nd_key").agg(F.count("*").alias("_nd_n"))
-    kept = docs.join(chosen, docs[key].eqNullSafe(F.col("_nd_key")), "left_semi")
-    return kept
+    rows = cut(with_fingerprint(docs, (key,), text), "simhash-fp")
+    named = cut(classes(rows, key), "simhash-classes")
+    judged = rows.join(named, "fp").select(F.col(key).alias("_nd_key"), (~F.col(key).eqNullSafe(F.col("component_id"))).alias("loses"))
+    per_key = cut(judged.groupBy("_nd_key").agg(F.count("*").alias("n"), F.max("loses").alias("loses")).filter("n > 1 OR loses"), "simhash-keys")
+    same = docs[key].eqNullSafe(F.col("_nd_key"))
+    plain = docs.join(broadcast_if_small(per_key.select("_nd_key")), same, "left_anti")
+    shared = per_key.filter("n > 1").select("_nd_key")
+    if not shared.limit(1).count():
+        return plain
+    again = with_fingerprint(docs.join(broadcast_if_small(shared), same, "left_semi"), tuple(docs.columns), text)
+    again = again.toDF(*docs.columns, "_nd_fp_")
+    named = named.toDF("_nd_fp", "_nd_component", "_nd_id")
+    firsts = again.join(named, again["_nd_fp_"] == named["_nd_fp"]).filter(F.col(key).eqNullSafe(F.col("_nd_id")))
+    one = firsts.groupBy("_nd_component").agg(F.min_by(F.struct(*docs.columns), "_nd_fp").alias("_nd_row")).select("_nd_row.*")
+    return plain.unionByName(one)
