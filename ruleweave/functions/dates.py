@@ -34,15 +34,18 @@ def minus_months(day: Column, months: Column) -> Column:
     return F.add_months(day, -months)
 
 
-def derive_status(legal_status: Column, enacted: Column, effective: Column, repeal: Column, as_of: Column) -> Column:
-    """failed, pending, not_yet_effective or in_force on a date; the order of the tests matters."""
-    after = lambda partial: F.coalesce(date_floor(partial) > as_of, F.lit(False))
-    gone = F.coalesce(date_floor(repeal) <= as_of, F.lit(False))
+def status_on(legal_status: Column, enacted: Column, effective: Column, repeal: Column, as_of: Column) -> Column:
+    """failed, pending, not_yet_effective or in_force on a date; the others are days, and the order of tests matters."""
+    after = lambda day: F.coalesce(day > as_of, F.lit(False))
     return (
         F.when(legal_status == "failed", "failed")
-        .when(legal_status == "pending", "pending")
-        .when(after(enacted), "pending")
-        .when(gone, "failed")
+        .when((legal_status == "pending") | after(enacted), "pending")
+        .when(F.coalesce(repeal <= as_of, F.lit(False)), "failed")
         .when(after(effective), "not_yet_effective")
         .otherwise("in_force")
     )
+
+
+def derive_status(legal_status: Column, enacted: Column, effective: Column, repeal: Column, as_of: Column) -> Column:
+    """The status on a date of a rule with partial dates; each counts from its first day."""
+    return status_on(legal_status, date_floor(enacted), date_floor(effective), date_floor(repeal), as_of)

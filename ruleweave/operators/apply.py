@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ruleweave.functions.dates import derive_status
-from ruleweave.functions.logic import coverage, missing_facts, unknown_reason
+from ruleweave.functions.dates import date_floor, status_on
+from ruleweave.functions.logic import coverage, let, missing_facts, prepare, unknown_reason
 from ruleweave.operators.common import broadcast_if_small, level_of, state_of
 
 PAIR = ["address_id", "as_of"]
@@ -36,25 +36,38 @@ def applicability_join(places: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.filter(~F.coalesce(twice, F.lit(False))).drop("_key")
 
 
+def prepared(rules: DataFrame) -> DataFrame:
+    """The rule table with the first days of its dates and its conditions' thresholds, computed once a rule."""
+    first = {f"_{c}_on": date_floor(F.col(f"{c}_date")) for c in ("enacted", "effective", "repeal")}
+    return rules.withColumns({**first, "_requires": prepare(F.col("requires")), "_exempt": F.transform("exempt_if", prepare)})
+
+
 def apply_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     """result, reason_code, missing_facts and caveats of each reaching pair, each rule on its own."""
-    pairs = applicability_join(places, rules)
-    status = derive_status(*[F.col(c) for c in ("legal_status", "enacted_date", "effective_date", "repeal_date", "as_of")])
-    judged = pairs.withColumns({"status": status, "cov": coverage(*[F.col(c) for c in ("requires", "exempt_if", "units", "year_built", "as_of")])})
-    covered, unknown = F.col("cov.value"), F.col("cov.unknown")
-    steps: list[tuple[Column, str, Column]] = [
-        (F.col("status") == "failed", "not_applicable", F.lit("status_failed")),
-        (F.col("city_unknown"), "unknown", F.lit("jurisdiction_unresolved")),
-        (~covered, "not_applicable", F.col("cov.reason")),
-        (F.col("status") == "pending", "pending", F.lit("status_pending")),
-        (F.col("status") == "not_yet_effective", "not_yet_effective", F.lit("status_not_yet_effective")),
-        (covered, "applies", F.lit("covered")),
-    ]
-    result, reason = F.lit("unknown"), unknown_reason(unknown)
-    for cond, name, code in reversed(steps):
-        result, reason = F.when(cond, name).otherwise(result), F.when(cond, code).otherwise(reason)
-    missing = F.when(F.col("result") != "unknown", F.array().cast("array<string>")).when(F.col("city_unknown"), F.array(F.lit("legal_city"))).otherwise(missing_facts(unknown))
-    return judged.withColumns({"result": result, "reason_code": reason, "caveats": F.col("cov.caveats")}).withColumn("missing_facts", missing).drop("cov", "city_unknown")
+    pairs = applicability_join(places, prepared(rules))
+    status = status_on(F.col("legal_status"), F.col("_enacted_on"), F.col("_effective_on"), F.col("_repeal_on"), F.col("as_of"))
+    none = F.array().cast("array<string>")
+
+    def judged(e: Column) -> Column:
+        status, covered, unknown = e["status"], e["cov"]["value"], e["cov"]["unknown"]
+        steps: list[tuple[Column, str, Column]] = [
+            (status == "failed", "not_applicable", F.lit("status_failed")),
+            (F.col("city_unknown"), "unknown", F.lit("jurisdiction_unresolved")),
+            (~covered, "not_applicable", e["cov"]["reason"]),
+            (status == "pending", "pending", F.lit("status_pending")),
+            (status == "not_yet_effective", "not_yet_effective", F.lit("status_not_yet_effective")),
+            (covered, "applies", F.lit("covered")),
+        ]
+        answer = F.struct(F.lit("unknown").alias("result"), unknown_reason(unknown).alias("reason_code"), missing_facts(unknown).alias("missing_facts"))
+        for cond, name, code in reversed(steps):
+            missing = F.array(F.lit("legal_city")) if name == "unknown" else none
+            answer = F.when(cond, F.struct(F.lit(name).alias("result"), code.alias("reason_code"), missing.alias("missing_facts"))).otherwise(answer)
+        return F.struct(status.alias("status"), answer.alias("answer"), e["cov"]["caveats"].alias("caveats"))
+
+    cov = coverage(*[F.col(c) for c in ("_requires", "_exempt", "units", "year_built", "as_of")])
+    found = pairs.withColumn("_found", let(F.struct(status.alias("status"), cov.alias("cov")), judged))
+    kept = [c for c in found.columns if not c.startswith("_") and c not in ("city_unknown", "requires", "exempt_if")]
+    return found.select(*kept, "_found.status", "_found.answer.result", "_found.answer.reason_code", "_found.answer.missing_facts", "_found.caveats")
 
 
 def apply_precedence(results: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.functions.dates import date_floor, is_full_date
+from ruleweave.functions.logic import let
 from ruleweave.operators.common import broadcast_if_small
 
 KEY = ["address_id", "as_of", "value"]
@@ -72,13 +73,13 @@ def rule_items(results: DataFrame, constraints: DataFrame) -> DataFrame:
     """
     arrays = broadcast_if_small(constraint_arrays(constraints).withColumnRenamed("rule_id", "team_rule_id"))
     joined = results.join(arrays, ["team_rule_id", "action"], "left")
-    found = judge(F.col("cs"), F.col("value"), F.col("as_of"))
     none = F.array().cast(f"array<{ITEM}>")
-    conflict = F.when(F.col("conflict_flag") & ~has(found, "violated"), F.array(_item("review", "conflict"))).otherwise(none)
+    flagged = lambda found: F.when(F.col("conflict_flag") & ~has(found, "violated"), F.array(_item("review", "conflict"))).otherwise(none)
+    applying = let(judge(F.col("cs"), F.col("value"), F.col("as_of")), lambda found: F.concat(found, flagged(found)))
     code = F.when(F.col("reason_code").isin("missing_fact", "cutoff_ambiguous"), F.col("reason_code")).otherwise("unverifiable_condition")
-    items = F.when(F.col("result") == "applies", F.concat(found, conflict)).when(F.col("result") == "unknown", F.array(_item("review", code))).otherwise(none)
+    items = F.when(F.col("result") == "applies", applying).when(F.col("result") == "unknown", F.array(_item("review", code))).otherwise(none)
     starts = F.when(is_full_date(F.col("effective_date")), date_floor(F.col("effective_date"))).otherwise(F.col("as_of"))
-    later = decision_of(judge(F.col("cs"), F.col("value"), starts))
+    later = let(judge(F.col("cs"), F.col("value"), starts), decision_of)
     settled = F.when(F.col("result") == "unknown", F.array_intersect(F.array(*[F.lit(f) for f in SUPPLIABLE]), "missing_facts"))
     return joined.withColumns(
         {"items": items, "would_be": F.when((F.col("result") == "not_yet_effective") & F.col("cs").isNotNull(), later), "resolvable_by": F.coalesce(settled, F.array().cast("array<string>"))}
@@ -104,8 +105,8 @@ def decide(places: DataFrame, results: DataFrame, constraints: DataFrame, gaps:
     gapped = gap_counts(places, gaps).withColumn("_v", F.coalesce("value", F.lit(-1.0))).select("address_id", "as_of", "_v", "n_gaps")
     joined = asked.join(per.withColumnRenamed("value", "_v"), ["address_id", "as_of", "_v"], "left").join(gapped, ["address_id", "as_of", "_v"], "left").drop("_v")
     filled = joined.withColumns({"rules": F.coalesce("rules", F.array()), "n_gaps": F.coalesce("n_gaps", F.lit(0).cast("long"))})
-    items = F.flatten(F.transform("rules", lambda r: r["items"]))
-    decision = F.when(has(items, "violated"), "BLOCK").when(has(items, "review") | (F.col("n_gaps") > 0), "REVIEW").when(has(items, "obligation"), "REQUIRE").otherwise("PASS")
+    alone = let(F.flatten(F.transform("rules", lambda r: r["items"])), decision_of)
+    decision = let(alone, lambda d: F.when((F.col("n_gaps") > 0) & (d != "BLOCK"), "REVIEW").otherwise(d))
     return filled.withColumn("decision", decision).withColumn("permit", F.col("decision").isin("PASS", "REQUIRE"))
 
 
