@@ -5,9 +5,10 @@ before it, named by a hash chained along the conversation.  Each node is formatt
 emitted once, depth first.  It carries the position its tokens have in every conversation through it and the
 intervals of the emitted stream that its tokens attend to besides their own node: its ancestors'.
 
-Depth-first order is the order of the paths of node names from the root, so it is a range sort: shards of it
-are written in order, each with running offsets, and the shards' totals (a row each) shift them.  A first
-turn shared by a third of all conversations is one row in that sort; no task gathers a tree.
+Depth-first order is the order of the conversations' paths of node names, a range sort.  In that order a
+conversation adds just the turns after what it shares with the one before it, so its row says all that is
+needed: shared turns are never gathered by node.  Shards of the sort are linked by a row each (the last path
+and the token total of the shard before).  Rows stay in proportion to the turns.
 
 The template marks turns by control strings.  In roles and texts an escape character breaks every control
 string, and is doubled where it occurs itself, so reading back is exact.
@@ -67,89 +68,122 @@ def paths(rows: DataFrame) -> DataFrame:
     return grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), chained(F.col("turns")).alias("nodes"))
 
 
-def _tokenized(nodes: DataFrame, tokenizer: str) -> DataFrame:
-    """Nodes with their tokens; the loss covers the text of a trained role."""
+def _shared(a: list[str], b: list[str]) -> int:
+    """How many first nodes two paths share."""
+    n = 0
+    while n < len(a) and n < len(b) and a[n] == b[n]:
+        n += 1
+    return n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_tokenizer(tokenizer).plain.encode_ordinary
-        for batch in batches:
-            ids, starts, ends, sizes = [], [], [], []
-            for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                head, body, tail = encode(TURN + escape(role) + SAYS), encode(escape(text)), encode(END)
-                tokens = array("I", [*head, *body, *tail])
-                ids.append(tokens.tobytes())
-                starts.append(len(head))
-                ends.append(len(head) + (len(body) if role == TRAINED_ROLE else 0))
-                sizes.append(len(tokens))
-            kept = batch.select(["node", "path", "role"])
-            made = [pa.array(ids, pa.binary()), *[pa.array(x, pa.int64()) for x in (starts, ends, sizes)]]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*kept.schema.names, "ids", "loss_from", "loss_to", "n_tokens"])
-
-    return nodes.mapInArrow(run, "node string, path array<string>, role string, ids binary, loss_from bigint, loss_to bigint, n_tokens bigint")
-
-
-def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the shard's number and the tokens before each node in it."""
-    shard, at = TaskContext.get().partitionId(), 0
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted leaves of a shard, with its number, their order in it and what each shares with the one before."""
+    shard, order, before = TaskContext.get().partitionId(), 0, []
     for batch in batches:
-        before = []
-        for n in batch.column("n_tokens").to_pylist():
-            before.append(at)
-            at += n
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([shard] * len(before), pa.int32()), pa.array(before, pa.int64())], names=[*batch.schema.names, "shard", "before"])
+        shared = []
+        for nodes in batch.column("nodes").to_pylist():
+            shared.append(_shared(before, nodes))
+            before = nodes
+        made = [pa.array([shard] * len(shared), pa.int32()), pa.array(range(order, order + len(shared)), pa.int64()), pa.array(shared, pa.int32())]
+        order += len(shared)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "shard", "seq", "shared"])
+
 
+_TOKENS = pa.schema(
+    [("shard", pa.int32()), ("seq", pa.int64()), ("depth", pa.int32()), ("node", pa.string()), ("parent", pa.string()), ("role", pa.string()), ("ids", pa.binary())]
+    + [(c, pa.int64()) for c in ("n_tokens", "loss_from", "loss_to", "before")]
+)
 
-def _joined_intervals(spans: Column) -> Column:
-    """Adjacent [from, to) spans put together; spans are in stream order."""
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["from"].alias("from"), s["to"].alias("to"))))
-        return F.when((F.size(acc) > 0) & (last["to"] == s["from"]), longer).otherwise(F.concat(acc, F.array(s)))
+def _added(leaves: DataFrame, tokenizer: str) -> DataFrame:
+    """The turns each leaf adds, tokenized; the loss covers the text of a trained role."""
 
-    return F.aggregate(spans, F.array().cast("array<struct<from:bigint,to:bigint>>"), add)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = byte_tokenizer(tokenizer).plain.encode_ordinary
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                before = 0
+                for k in range(row["shared"], len(row["nodes"])):
+                    role, text = row["turns"][k]["role"], row["turns"][k]["text"]
+                    head, body, tail = encode(TURN + escape(role) + SAYS), encode(escape(text)), encode(END)
+                    tokens = array("I", [*head, *body, *tail])
+                    loss_to = len(head) + (len(body) if role == TRAINED_ROLE else 0)
+                    parent = row["nodes"][k - 1] if k else None
+                    out.append((row["shard"], row["seq"], k, row["nodes"][k], parent, role, tokens.tobytes(), len(tokens), len(head), loss_to, before))
+                    before += len(tokens)
+            columns = zip(*out, strict=True) if out else [[]] * len(_TOKENS)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _TOKENS, strict=True)], schema=_TOKENS)
+
+    more = "n_tokens bigint, loss_from bigint, loss_to bigint, before bigint"
+    return leaves.mapInArrow(run, f"shard int, seq bigint, depth int, node string, parent string, role string, ids binary, {more}")
+
+
+def _attended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Position and ancestor intervals of the turns a leaf adds, from the places of all its turns."""
+    span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+    for batch in batches:
+        nodes, positions, attends = [], [], []
+        for shared, parts in zip(batch.column("shared").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+            at, spans = 0, []
+            for k, p in enumerate(parts):
+                if k >= shared:
+                    nodes.append(p["node"])
+                    positions.append(at)
+                    attends.append([{"from": a, "to": b} for a, b in spans])
+                at += p["n_tokens"]
+                if spans and spans[-1][1] == p["start"]:
+                    spans[-1] = (spans[-1][0], p["start"] + p["n_tokens"])
+                else:
+                    spans.append((p["start"], p["start"] + p["n_tokens"]))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(positions, pa.int64()), pa.array(attends, span)], names=["node", "position", "attends"])
 
 
 def tree(convs: DataFrame, tokenizer: str) -> DataFrame:
     """The emitted nodes of conversations as ``paths`` gives them, one row each.
 
-    node, path (its ancestors' names and its own), role, ids (little-endian unsigned 32-bit numbers), loss_from
-    and loss_to (token numbers in the node), start (its place in the emitted stream), position (of its first
-    token in a conversation) and attends (the stream's intervals of its ancestors).
+    node, parent, depth, role, ids (little-endian unsigned 32-bit numbers), n_tokens, loss_from and loss_to
+    (token numbers in the node), start (its place in the emitted stream), position (of its first token in a
+    conversation) and attends (the stream's intervals of its ancestors).
     """
     small_batches(convs.sparkSession)
-    each = convs.select("turns", "nodes", F.posexplode("nodes").alias("k", "node"))
-    each = each.select("node", F.slice("nodes", 1, F.col("k") + 1).alias("path"), F.get("turns", F.col("k")).alias("t"))
-    nodes = each.groupBy("node").agg(F.first("path").alias("path"), F.first("t.role").alias("role"), F.first("t.text").alias("text"))
+    leaves = convs.groupBy(F.element_at("nodes", -1).alias("leaf")).agg(F.first("turns").alias("turns"), F.first("nodes").alias("nodes"))
     shards = int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = cut(_tokenized(nodes, tokenizer), "chat-tokens")
-    ordered = tokens.repartitionByRange(shards, "path").sortWithinPartitions("path")
+    ordered = leaves.repartitionByRange(shards, "nodes").sortWithinPartitions("nodes")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
-    placed = cut(ordered.mapInArrow(_running, f"{fields}, shard int, before bigint"), "chat-placed")
-    totals = placed.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each shard
+    linked = cut(ordered.mapInArrow(_linked, f"{fields}, shard int, seq bigint, shared int"), "chat-leaves")
+    ends = linked.groupBy("shard").agg(F.max("nodes").alias("last"))  # a row for each shard
+    previous = ends.select("shard", F.lag("last").over(W.orderBy("shard")).alias("last"))
+    same = F.transform("nodes", lambda x, i: F.coalesce(x == F.get("last", i), F.lit(False)))
+    at_border = F.coalesce(F.array_position(same, F.lit(False)).cast("int") - 1, F.lit(0))
+    whole = F.forall(same, lambda x: x)
+    shared = F.when((F.col("seq") > 0) | F.col("last").isNull(), F.col("shared")).when(whole, F.size("nodes")).otherwise(at_border)
+    placed = linked.join(F.broadcast(previous), "shard").withColumn("shared", shared).drop("last")
+    tokens = cut(_added(placed, tokenizer), "chat-tokens")
+    per_leaf = tokens.groupBy("shard", "seq").agg(F.sum("n_tokens").alias("n"))
+    within = per_leaf.select("shard", "seq", (F.sum("n").over(W.partitionBy("shard").orderBy("seq")) - F.col("n")).alias("leaf_at"))
+    totals = per_leaf.groupBy("shard").agg(F.sum("n").alias("n"))
     bases = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
-    stream = cut(placed.join(F.broadcast(bases), "shard").withColumn("start", F.col("base") + F.col("before")).drop("shard", "before", "base"), "chat-stream")
-    above = stream.filter(F.size("path") > 1).select("node", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("ancestor"))
-    spans = above.join(stream.select(F.col("node").alias("ancestor"), "start", "n_tokens"), "ancestor")
-    span = F.struct(F.col("start").alias("from"), (F.col("start") + F.col("n_tokens")).alias("to"))
-    seen = spans.groupBy("node").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.sum("n_tokens").alias("position"))
-    seen = seen.select("node", "position", _joined_intervals(F.col("spans")).alias("attends"))
-    empty = F.array().cast("array<struct<from:bigint,to:bigint>>")
-    out = stream.join(seen, "node", "left").withColumns({"position": F.coalesce("position", F.lit(0).cast("long")), "attends": F.coalesce("attends", empty)})
-    return out.select("node", "path", "role", "ids", "n_tokens", "loss_from", "loss_to", "start", "position", "attends")
+    start = F.col("base") + F.col("leaf_at") + F.col("before")
+    stream = cut(tokens.join(within, ["shard", "seq"]).join(F.broadcast(bases), "shard").withColumn("start", start).drop("shard", "seq", "before", "leaf_at", "base"), "chat-stream")
+    along = placed.select("leaf", "shared", F.posexplode("nodes").alias("k", "node")).join(stream.select("node", "start", "n_tokens"), "node")
+    part = F.struct("k", "node", "start", "n_tokens")
+    per_path = along.groupBy("leaf").agg(F.first("shared").alias("shared"), F.array_sort(F.collect_list(part)).alias("parts"))
+    seen = per_path.mapInArrow(_attended, "node string, position bigint, attends array<struct<from:bigint,to:bigint>>")
+    return stream.join(seen, "node").select("node", "parent", "depth", "role", "ids", "n_tokens", "loss_from", "loss_to", "start", "position", "attends")
 
 
 def read_back(emitted: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFrame:
-    """For every node in leaves (leaf): n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars.
+    """For each of leaves (leaf, nodes): n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars.
 
     A leaf's conversation is taken from the emitted rows by its path; that they fill the leaf's attention
     intervals and positions without a gap is checked on the way.
     """
-    tips = emitted.join(leaves, emitted["node"] == leaves["leaf"]).select("leaf", "path", F.col("attends").alias("leaf_attends"), F.col("start").alias("leaf_start"))
-    along = tips.select("leaf", "leaf_attends", "leaf_start", F.posexplode("path").alias("k", "node"))
-    found = along.join(emitted.select("node", "ids", "n_tokens", "loss_from", "loss_to", "start", "position"), "node")
+    along = leaves.select("leaf", F.posexplode("nodes").alias("k", "node"))
+    found = along.join(emitted.select("node", "ids", "n_tokens", "loss_from", "loss_to", "start", "position", "attends"), "node")
     part = F.struct("k", "start", "position", "n_tokens", "loss_from", "loss_to", "ids")
-    whole = found.groupBy("leaf").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.first("leaf_attends").alias("attends"), F.first("leaf_start").alias("leaf_start"))
+    tip = F.when(F.col("node") == F.col("leaf"), F.struct("attends", "start"))
+    whole = found.groupBy("leaf").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(tip).alias("tip")).select("leaf", "parts", "tip.attends", F.col("tip.start").alias("leaf_start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = byte_tokenizer(tokenizer).plain.decode

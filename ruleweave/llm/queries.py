@@ -66,8 +66,9 @@ def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     convs = cut(chat.paths(rows), "chat-paths")
     ends = convs.select("conv_id", F.element_at("nodes", -1).alias("leaf"))
+    leaves = convs.groupBy(F.element_at("nodes", -1).alias("leaf")).agg(F.first("nodes").alias("nodes"))
     emitted = cut(chat.tree(convs, path), "chat-tree")
-    return ends.join(chat.read_back(emitted, ends.select("leaf").distinct(), path), "leaf").drop("leaf")
+    return ends.join(chat.read_back(emitted, leaves, path), "leaf").drop("leaf")
 
 
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

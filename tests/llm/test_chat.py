@@ -27,6 +27,8 @@ def rows(spark):
     for conv in range(40):
         data += [(conv, 0, "system", "same start"), (conv, 1, "user", f"question {conv % 5}")]
         data += [(conv, 2 + i, ("assistant", "user")[i % 2], HARD[(conv + i) % len(HARD)]) for i in range(conv % 4)]
+    data += [(50, t, ("user", "assistant")[t % 2], f"long {t}") for t in range(120)]
+    data += [(51, t, ("user", "assistant")[t % 2], f"long {t}") for t in range(60)]
     data += [(100, 0, "user", None), (100, 0, None, "x"), (100, 1, "assistant", "y"), (100, 1, "assistant", "y"), (None, 3, "assistant", "no id")]
     return spark.createDataFrame([(*d, "z") for d in data], "conv_id long, turn long, role string, text string, node string")
 
@@ -44,13 +46,14 @@ def test_tree_against_brute_force(spark, rows):
     assert len(emitted) == len(prefixes)
     decode = byte_tokenizer(PATH).plain.decode
     by = {r.node: r for r in emitted}
+    path = lambda r: [*(path(by[r.parent]) if r.parent else []), r.node]
     found = set()
     for r in emitted:
         ids = array("I")
         ids.frombytes(r.ids)
         assert len(ids) == r.n_tokens
         turns, at, spans = [], 0, set()
-        for name in r.path:
+        for name in path(r):
             one = by[name]
             own = array("I")
             own.frombytes(one.ids)
@@ -65,7 +68,7 @@ def test_tree_against_brute_force(spark, rows):
         trained = chat.unescape(decode(list(ids[r.loss_from : r.loss_to])))
         assert trained == (turns[-1][1] if turns[-1][0] == "assistant" else "")
     assert found == prefixes
-    stream = sorted((r.start, r.n_tokens, r.path) for r in emitted)
+    stream = sorted((r.start, r.n_tokens, path(r)) for r in emitted)
     at = 0
     for start, n, _ in stream:
         assert start == at
