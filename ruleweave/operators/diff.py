@@ -16,7 +16,7 @@ def case_results(cases: DataFrame, addresses: DataFrame, rules: DataFrame) -> Da
 
     All rules are applied, as precedence needs them; only then are the case's chosen.
     """
-    asked = cases.select("case_id", "type", "rule_ids", "states", F.explode("dates").cast("date").alias("as_of"))
+    asked = cases.select("case_id", "type", "rule_ids", "states", F.explode(F.col("dates").cast("array<date>")).alias("as_of"))
     dates = broadcast_if_small(asked.select("as_of").distinct())
     results = results_for(addresses.crossJoin(dates), rules)  # a handful of dates, each a full pass over the addresses
     chosen = broadcast_if_small(asked.select("case_id", "type", "states", "as_of", F.explode("rule_ids").alias("team_rule_id")))

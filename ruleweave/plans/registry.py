@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "decide_orders"
+from ruleweave.plans import rule_queries, table_queries
+
+QUERIES: dict = {**rule_queries.QUERIES, **table_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**rule_queries.ORACLE_SQL, **table_queries.ORACLE_SQL}
+FLAGSHIP = "batch_decisions"
