@@ -123,12 +123,13 @@ def _attended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Position and ancestor intervals of the turns a leaf adds, from the places of all its turns."""
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
     for batch in batches:
-        nodes, positions, attends = [], [], []
+        nodes, starts, positions, attends = [], [], [], []
         for shared, parts in zip(batch.column("shared").to_pylist(), batch.column("parts").to_pylist(), strict=True):
             at, spans = 0, []
             for k, p in enumerate(parts):
                 if k >= shared:
                     nodes.append(p["node"])
+                    starts.append(p["start"])
                     positions.append(at)
                     attends.append([{"from": a, "to": b} for a, b in spans])
                 at += p["n_tokens"]
@@ -136,7 +137,7 @@ def _attended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spans[-1] = (spans[-1][0], p["start"] + p["n_tokens"])
                 else:
                     spans.append((p["start"], p["start"] + p["n_tokens"]))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(positions, pa.int64()), pa.array(attends, span)], names=["node", "position", "attends"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(starts, pa.int64()), pa.array(positions, pa.int64()), pa.array(attends, span)], names=["node", "start", "position", "attends"])
 
 
 def tree(convs: DataFrame, tokenizer: str) -> DataFrame:
@@ -165,12 +166,13 @@ def tree(convs: DataFrame, tokenizer: str) -> DataFrame:
     totals = per_leaf.groupBy("shard").agg(F.sum("n").alias("n"))
     bases = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
     start = F.col("base") + F.col("leaf_at") + F.col("before")
-    stream = cut(tokens.join(within, ["shard", "seq"]).join(F.broadcast(bases), "shard").withColumn("start", start).drop("shard", "seq", "before", "leaf_at", "base"), "chat-stream")
-    along = placed.select("leaf", "shared", F.posexplode("nodes").alias("k", "node")).join(stream.select("node", "start", "n_tokens"), "node")
+    sized = tokens.select("node", "shard", "seq", "before", "n_tokens").join(within, ["shard", "seq"]).join(F.broadcast(bases), "shard")
+    starts = cut(sized.select("node", start.alias("start"), "n_tokens"), "chat-starts")
+    along = placed.select("leaf", "shared", F.posexplode("nodes").alias("k", "node")).join(starts, "node")
     part = F.struct("k", "node", "start", "n_tokens")
     per_path = along.groupBy("leaf").agg(F.first("shared").alias("shared"), F.array_sort(F.collect_list(part)).alias("parts"))
-    seen = per_path.mapInArrow(_attended, "node string, position bigint, attends array<struct<from:bigint,to:bigint>>")
-    return stream.join(seen, "node").select("node", "parent", "depth", "role", "ids", "n_tokens", "loss_from", "loss_to", "start", "position", "attends")
+    seen = per_path.mapInArrow(_attended, "node string, start bigint, position bigint, attends array<struct<from:bigint,to:bigint>>")
+    return tokens.join(seen, "node").select("node", "parent", "depth", "role", "ids", "n_tokens", "loss_from", "loss_to", "start", "position", "attends")
 
 
 def read_back(emitted: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFrame:
