@@ -98,16 +98,20 @@ def _number(word: Column) -> Column:
 
 
 def parse_months(text: Column) -> Column:
-    """Distinct figures in months of rent; each wording is taken out of the text before the next is looked for."""
+    """Distinct figures in months of rent; each wording is taken out of the text before the next is looked for.
+
+    The unit phrase "times one month's rent" leaves two blanks behind a figure, so a plain "three times one month's
+    rent" states no figure, while "one and a half times one month's rent" does.
+    """
     n = r"(\d+(?:\.\d+)?|" + "|".join(NUMBER_WORDS) + ")"
     steps = [
         (rf"\b{n} and (?:one|a) half\b", lambda m: _number(m) + 0.5),
         (r"\b(\d+) 1/2\b", lambda m: _number(m) + 0.5),
-        (r"\b(one half|half of a month)\b", lambda m: F.lit(0.5)),
+        (r"\b(one half|half (?:of )?(?:a|one) month)\b", lambda m: F.lit(0.5)),
         (r"\b(twice|double)\b", lambda m: F.lit(2.0)),
-        (rf"\b{n} (?:times|months?)\b", _number),
+        (rf"\b{n} (?:times|months?\b)", _number),
     ]
-    rest = F.regexp_replace(fold_quantity(text), r"\btimes (?:the )?(?:one|a|1) months?(?:'s|s'|')?(?: rent)?", " times ")
+    rest = F.regexp_replace(fold_quantity(text), r"\btimes (?:the )?(?:one|a|1) month(?:'s|s')?(?: rent)?", " times ")
     found = F.array().cast("array<double>")
     for pattern, value in steps:
         found = F.concat(found, F.transform(F.regexp_extract_all(rest, F.lit(pattern), 1), value))

@@ -37,7 +37,7 @@ def contains_text(spark, sf_dir):
 
 HEADERS = ["SOURCE: http://a/b\nRETRIEVED: 2026-01-02\n\nbody", "RETRIEVED:  5 May \nSOURCE:\nnext", "no header", "x\nSOURCE: https://c/d ", "SOURCE: two words\nRETRIEVED: x"]
 CITATIONS = [("CA", "rent", "Cal. Civ. Code § 1947.12"), ("San Jose, CA", "deposit", "Sec. 17.23.310"), ("St. Paul, MN", "fee", "Sections 193A.03 and 193A.04"), ("NJ", "algo", "no number")]
-QUANTITIES = ["one month's rent", "one and a half months rent", "2 months", "1 1/2 months", "twice the monthly rent", "three times one month's rent", "one month or two months", "no figure", "half of a month"]
+QUANTITIES = ["one month's rent", "one and a half months rent", "2 months", "1 1/2 months", "twice the monthly rent", "three times one month's rent", "one month or two months", "no figure", "half of a month", "half a month", "one and one-half times one month’s rent"]
 DOLLARS = ["$50", "$1,250.50 or 30 dollars", "50 dollars and $50", "none"]
 DESCRIPTIONS = ["Apartment 5 or more units", "Duplex", "Single family residence", "2 to 4 units", "5+ units", "three-family dwelling", "vacant land", "two units and three units", None]
 
@@ -185,7 +185,7 @@ QUERIES = {
 
 _LAST_LINE = "CASE WHEN l_partkey % 3 = 0 THEN substr(d, 1, 4) WHEN l_partkey % 3 = 1 THEN substr(d, 1, 7) ELSE d END"
 _UNITS = {0: (5, None), 1: (2, 2), 2: (1, 1), 3: (2, 4), 4: (5, None), 5: (3, 3), 6: (None, None), 7: (None, None), 8: (None, None)}
-_MONTHS = dict(zip(QUANTITIES, (1.0, 1.5, 2.0, 1.5, 2.0, 3.0, None, None, 0.5), strict=True))
+_MONTHS = dict(zip(QUANTITIES, (1.0, 1.5, 2.0, 1.5, 2.0, None, None, None, 0.5, 0.5, 1.5), strict=True))
 _DOLLARS = dict(zip(DOLLARS, (50.0, None, 50.0, None), strict=True))
 
 ORACLE_SQL = {
