@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ruleweave.llm import shingle_sets
 from ruleweave.llm.common import broadcast_if_small, cut, small_batches
 
 BITS = 64
@@ -161,21 +162,44 @@ def near_duplicates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text:
 def classes(rows: DataFrame, key: str) -> DataFrame:
     """(fp, component, component_id) of the fingerprints in rows; component is the group's smallest fingerprint."""
     codes = cut(rows.groupBy("fp").agg(F.min(key).alias("first")), "simhash-codes")
-    named = components(links(codes.select("fp")))
+    return _placed(codes, components(links(codes.select("fp"))))
+
+
+def set_classes(docs: DataFrame, rows: DataFrame, key: str, text: str, similarity: int) -> DataFrame:
+    """As ``classes``, of rows of ``shingle_sets.with_set`` over docs: linked are sets whose similarity is so many per cent."""
+
+    def texts(sets: DataFrame) -> DataFrame:
+        wanted = cut(rows.join(sets, "fp", "left_semi").select(F.col(key).alias("_nd_key")).distinct(), "simhash-wanted")
+        return docs.join(broadcast_if_small(wanted), docs[key].eqNullSafe(F.col("_nd_key")), "left_semi").select(F.col(text).alias("text"))
+
+    codes = cut(rows.groupBy("fp").agg(F.min(key).alias("first")), "simhash-codes")
+    return _placed(codes, components(shingle_sets.links(rows, texts, similarity)))
+
+
+def _placed(codes: DataFrame, named: DataFrame) -> DataFrame:
     placed = codes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     placed = cut(placed, "simhash-placed")
     least = cut(placed.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-least")
     return placed.join(least, "component").select("fp", "component", "component_id")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: int | None = None) -> DataFrame:
     """The rows of docs with all their columns, one of each near-duplicate group: the one with the smallest key.
 
+    Groups are connected by fingerprints at most THRESHOLD bits apart or, where similarity is given, by texts whose
+    five-word shingle sets have a Jaccard similarity of at least so many per cent, found exactly.
+
     Rows go by their key, so texts stay where they are unless many rows go. Keys that several rows share are
     told apart by fingerprint again; of rows with one key in one group any one stays.
     """
-    rows = cut(with_fingerprint(docs, (key,), text), "simhash-fp")
-    named = cut(classes(rows, key), "simhash-classes")
+    if similarity is None:
+        rows = cut(with_fingerprint(docs, (key,), text), "simhash-fp")
+        named = cut(classes(rows, key), "simhash-classes")
+    else:
+        rows = shingle_sets.with_set(docs.select(F.col(key).alias("_nd_key"), text), ("_nd_key",), text, lambda n: shingle_sets.prefix(n, similarity))
+        rows = cut(rows.withColumnRenamed("_nd_key", key), "simhash-sets")
+        named = cut(set_classes(docs, rows, key, text, similarity), "simhash-classes")
+        rows = rows.select(key, "fp")
     judged = rows.join(named, "fp").select(F.col(key).alias("_nd_key"), (~F.col(key).eqNullSafe(F.col("component_id"))).alias("loses"))
     per_key = cut(judged.groupBy("_nd_key").agg(F.count("*").alias("n"), F.max("loses").alias("loses")).filter("n > 1 OR loses"), "simhash-keys")
     same = docs[key].eqNullSafe(F.col("_nd_key"))
@@ -183,9 +207,17 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     shared = per_key.filter("n > 1").select("_nd_key")
     if not shared.limit(1).count():
         return plain
-    again = with_fingerprint(docs.join(broadcast_if_small(shared), same, "left_semi"), tuple(docs.columns), text)
+    again = docs.join(broadcast_if_small(shared), same, "left_semi")
+    again = with_fingerprint(again, tuple(docs.columns), text) if similarity is None else _set_named(again, tuple(docs.columns), text)
     again = again.toDF(*docs.columns, "_nd_fp_")
     named = named.toDF("_nd_fp", "_nd_component", "_nd_id")
     firsts = again.join(named, again["_nd_fp_"] == named["_nd_fp"]).filter(F.col(key).eqNullSafe(F.col("_nd_id")))
     one = firsts.groupBy("_nd_component").agg(F.min_by(F.struct(*docs.columns), "_nd_fp").alias("_nd_row")).select("_nd_row.*")
     return plain.unionByName(one)
+
+
+def _set_named(docs: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
+    """keys and the name of the row's shingle set."""
+    named = docs.toDF(*[f"_nd_{i}" for i in range(len(keys))])
+    found = shingle_sets.with_set(named, tuple(named.columns), named.columns[keys.index(text)], lambda n: 0)
+    return found.drop("grams", "n", "sketch")
