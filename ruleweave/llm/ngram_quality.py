@@ -6,8 +6,8 @@ Continuation counts, discounts, context weights and the interpolated probabiliti
 of these counts, sharded by n-gram or context (``probabilities``).  A text's perplexity then is the mean of
 its n-grams' log probabilities: where the finished table is proven small it is sent to the executors, else
 texts' n-gram counts are joined with it (``perplexities``).  A text is rejected when its perplexity lies
-above its language's bound, a quantile of the trusted texts' perplexities in that language times a margin that is
-wider for short texts.
+above its language's bound, a quantile of the trusted texts' perplexities in that language.  Those are held out:
+trusted texts are dealt to FOLDS by their content, and each is measured by a model of the other folds.
 
 All counts cover all rows; nothing is sampled or capped.
 
@@ -40,9 +40,8 @@ END = 3
 #: The table of log probabilities is sent to executors up to this many rows of 12 bytes, 24 MB.
 SENT_ROWS = 2_000_000
 QUANTILE = 0.99
-MARGIN = 1.8
-#: The mean of few log probabilities varies: its bound is raised by this over the root of their number.
-SHORT_SLACK = 2.0
+#: Copies of a text are in one fold, so none is measured by a model that has seen it.
+FOLDS = 2
 #: Width of the bins of log perplexity in which quantiles are found.
 BIN = 0.001
 #: Symbols handled at a time.
@@ -205,16 +204,26 @@ def quantiles(scored: DataFrame, quantile: float) -> DataFrame:
     return per.select("lang", F.exp(found * BIN).alias("bound"))
 
 
-def score(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", quantile: float = QUANTILE, margin: float = MARGIN, sent_rows: int = SENT_ROWS) -> DataFrame:
+def held_out(trusted: DataFrame, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """lang and perplexity of every row of trusted (lang, text) under the model of the other folds' rows."""
+    dealt = trusted.select("lang", "text", (F.crc32(F.coalesce("text", F.lit(""))) % FOLDS).alias("fold"))
+    parts = []
+    for fold in range(FOLDS):
+        table = probabilities(counts(dealt.select("text", (F.col("fold") != fold).alias("trusted"))))
+        parts.append(perplexities(dealt.filter(F.col("fold") == fold), table, ("lang",), sent_rows))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def score(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", quantile: float = QUANTILE, sent_rows: int = SENT_ROWS) -> DataFrame:
     """key, lang, perplexity, bound and kept of every row of docs. trusted_ids has the keys of trusted rows in column key."""
     spark = docs.sparkSession
     ids = broadcast_if_small(trusted_ids.select(F.col(key).alias("_lm_key")).filter("_lm_key IS NOT NULL").distinct())
     flagged = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     flagged = flagged.join(ids, F.col("key") == F.col("_lm_key"), "left").select("key", "lang", "text", F.col("_lm_key").isNotNull().alias("trusted"))
     table = probabilities(counts(flagged))
-    scored = cut(perplexities(flagged, table, ("key", "lang", "trusted"), sent_rows), "lm-scores")
-    bounds = _bounds(spark, quantiles(scored.filter("trusted"), quantile), margin)
-    return scored.select(F.col("key").alias(key), F.col("lang").alias(lang), "perplexity", (bounds * F.exp(SHORT_SLACK / F.sqrt("n_grams"))).alias("bound")).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("bound"), F.lit(True)))
+    scored = cut(perplexities(flagged, table, ("key", "lang"), sent_rows), "lm-scores")
+    bound = _bounds(spark, quantiles(held_out(flagged.filter("trusted"), sent_rows), quantile))
+    return scored.select(F.col("key").alias(key), F.col("lang").alias(lang), "perplexity", bound.alias("bound")).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("bound"), F.lit(True)))
 
 
 def keep_clean(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", **named) -> DataFrame:
@@ -224,8 +233,8 @@ def keep_clean(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", **n
     return docs.join(rejected, docs[key].eqNullSafe(F.col("_lm_key")), "left_anti")
 
 
-def _bounds(spark: SparkSession, found: DataFrame, margin: float) -> Column:
+def _bounds(spark: SparkSession, found: DataFrame) -> Column:
     """The bound of a row's language as an expression: languages are a closed list of a few values."""
-    rows = [(r["lang"], r["bound"] * margin) for r in found.collect()]
+    rows = [(r["lang"], r["bound"]) for r in found.collect()]
     everywhere = F.lit(next((b for name, b in rows if name is None), None)).cast(T.DoubleType())
     return reduce(lambda e, r: F.when(F.col("lang") == r[0], r[1]).otherwise(e), [r for r in rows if r[0] is not None], everywhere)

@@ -91,3 +91,19 @@ def test_no_rows_and_no_trusted_rows(docs, trusted):
     assert lm.score(docs.limit(0), trusted).count() == 0
     rows = lm.score(docs, trusted.limit(0)).collect()
     assert len(rows) == docs.count() and all(r.kept and r.perplexity == pytest.approx(lm.SYMBOLS, rel=1e-4) for r in rows)
+
+
+def test_the_bound_is_the_quantile_of_held_out_trusted_text(spark, docs, trusted):
+    import random
+    import zlib
+
+    rng = random.Random(1)
+    said = [" ".join(rng.choices("the cat sat on a mat and then that hat".split(), k=30)) for _ in range(40)]
+    rows = [*enumerate(said), (40, "the " * 60), (41, " ".join("".join(rng.sample(w, len(w))) for w in " ".join(said[:2]).split()))]
+    texts = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    judged = {r.doc_id: r for r in lm.score(texts, texts.filter("doc_id < 40")).collect()}
+    folds = [[t for t in said if zlib.crc32(t.encode()) % lm.FOLDS == f] for f in range(lm.FOLDS)]
+    want = max(p for f in range(lm.FOLDS) for p in brute_force([t for g, own in enumerate(folds) if g != f for t in own], folds[f]).values())
+    assert judged[0].bound == pytest.approx(want, rel=2 * lm.BIN)
+    assert judged[41].perplexity > judged[41].bound and not judged[41].kept
+    assert all(judged[i].kept for i in range(40))
