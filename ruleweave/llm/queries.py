@@ -49,13 +49,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode_texts(read(spark, sf_dir, "documents"), path)
-    return coded.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
-    )
+    return bpe.digests(read(spark, sf_dir, "documents"), path)
 
 
 def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -36,6 +36,20 @@ def test_no_token_spans_a_forced_boundary(path):
             assert mine.split(mine._bare(token)) in ([mine._bare(token)], [""]) or len(mine._bare(token)) == 1
 
 
+def test_many_added_tokens_long_texts_and_full_stores(monkeypatch):
+    library, mine = Tokenizer.from_file(WORD), bpe.Codec(WORD)
+    for text in ("ab<|endoftext|>" * 50_000, "one two\n " * 300_000, "x" * 70 + " y"):
+        want = library.encode(text, add_special_tokens=False).ids
+        ids, decoded = next(mine.round_trips([text]))
+        assert ids == b"".join(i.to_bytes(4, "little") for i in want) and decoded.decode() == library.decode(want, skip_special_tokens=False)
+    monkeypatch.setattr(bpe, "CACHED", 3)
+    monkeypatch.setattr(bpe, "WINDOW", 20)
+    texts = ["some words that fill it", None, "x" * 70, "and some words more, éèê", "", " ", "tab\tand\x85 other blanks"] * 3
+    for text, (ids, decoded) in zip(texts, mine.round_trips(texts), strict=True):
+        want = library.encode(text or "", add_special_tokens=False).ids
+        assert ids == b"".join(i.to_bytes(4, "little") for i in want) and decoded.decode() == library.decode(want, skip_special_tokens=False)
+
+
 def test_operator_over_nulls_copies_and_no_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (1, "Hello", "b"), (1, "Hello", "b"), (None, "", "c")], "doc_id long, text string, ids string")
     got = bpe.encode_texts(docs, WORD).collect()
