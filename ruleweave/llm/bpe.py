@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import small_batches
+from ruleweave.llm.common import slices
 
 #: Pieces, words and fragments that a worker remembers, each at about 300 bytes: some 180 MB in all.
 CACHED = 200_000
@@ -271,12 +271,11 @@ def codec(path: str) -> Codec:
 
 def _mapped(docs: DataFrame, path: str, keys: tuple[str, ...], text: str, columns: str, made) -> DataFrame:
     """keys and the columns that made gives of (ids, decoded) of every row's text."""
-    small_batches(docs.sparkSession)
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             found = made(list(c.round_trips(batch.column("_text").to_pylist())))
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, *found], names=[*batch.schema.names[:-1], *names])

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import cut, small_batches
+from ruleweave.llm.common import cut, slices
 from ruleweave.llm.packing import byte_tokenizer
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>\n"
@@ -79,7 +79,7 @@ def _shared(a: list[str], b: list[str]) -> int:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted leaves of a shard, with its number, their order in it and what each shares with the one before."""
     shard, order, before = TaskContext.get().partitionId(), 0, []
-    for batch in batches:
+    for batch in slices(batches):
         shared = []
         for nodes in batch.column("nodes").to_pylist():
             shared.append(_shared(before, nodes))
@@ -100,7 +100,7 @@ def _added(leaves: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_tokenizer(tokenizer).plain.encode_ordinary
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for row in batch.to_pylist():
                 before = 0
@@ -122,7 +122,7 @@ def _added(leaves: DataFrame, tokenizer: str) -> DataFrame:
 def _attended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Position and ancestor intervals of the turns a leaf adds, from the places of all its turns."""
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-    for batch in batches:
+    for batch in slices(batches):
         nodes, starts, positions, attends = [], [], [], []
         for shared, parts in zip(batch.column("shared").to_pylist(), batch.column("parts").to_pylist(), strict=True):
             at, spans = 0, []
@@ -147,7 +147,6 @@ def tree(convs: DataFrame, tokenizer: str) -> DataFrame:
     (token numbers in the node), start (its place in the emitted stream), position (of its first token in a
     conversation) and attends (the stream's intervals of its ancestors).
     """
-    small_batches(convs.sparkSession)
     leaves = convs.groupBy(F.element_at("nodes", -1).alias("leaf")).agg(F.first("turns").alias("turns"), F.first("nodes").alias("nodes"))
     shards = int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = leaves.repartitionByRange(shards, "nodes").sortWithinPartitions("nodes")
@@ -189,7 +188,7 @@ def read_back(emitted: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = byte_tokenizer(tokenizer).plain.decode
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for row in batch.to_pylist():
                 formatted, trained, at = "", "", 0

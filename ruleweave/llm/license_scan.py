@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import small_batches
+from ruleweave.llm.common import slices
 
 # Wordings of common public license notices.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -134,12 +134,11 @@ def candidates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str =
 
 def scan(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, line_no, license, plain_bytes, with_bytes, n_edits, differences and verdict of every candidate line."""
-    small_batches(docs.sparkSession)
     answer = pa.struct([("license", pa.string()), ("plain_bytes", pa.int64()), ("with_bytes", pa.int64()), ("n_edits", pa.int32()), ("differences", pa.list_(pa.string())), ("verdict", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Found] = {}
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for line in batch.column("line").to_pylist():
                 found = known.get(line)

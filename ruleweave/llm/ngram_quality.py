@@ -1,192 +1,290 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text and language quantiles.
 
-The model is over characters, ORDER at a time.  One pass over the texts counts the n-grams of trusted rows
-and notes which n-grams occur anywhere; both are shuffled by n-gram, partly summed in each task before.
-Continuation counts, discounts, context weights and the interpolated probabilities are joins and groupings
-of these counts, sharded by n-gram or context (``probabilities``).  A text's perplexity then is the mean of
-its n-grams' log probabilities: where the finished table is proven small it is sent to the executors, else
-texts' n-gram counts are joined with it (``perplexities``).  A text is rejected when its perplexity lies
-above its language's bound, a quantile of the trusted texts' perplexities in that language.  Those are held out:
-trusted texts are dealt to FOLDS by their content, and each is measured by a model of the other folds.
+The model is over code points, ORDER at a time, none of them folded with another.  One pass over the texts counts
+the n-grams of trusted rows and notes which n-grams occur anywhere; both are shuffled by n-gram, summed in each task
+before.  Continuation counts, discounts, context weights and the interpolated probabilities are joins and groupings
+of these counts, sharded by n-gram or context (``probabilities``).
+
+Scores come from one sharded join, whatever the size: texts are put together in blocks of BLOCK_CHARS code points,
+each block asks for its distinct n-grams once, these requests are joined with the probabilities by n-gram, and the
+answers go back to the block, where each text's perplexity is the mean of its n-grams' log probabilities
+(``perplexities``).  What is shuffled so grows with the texts, and a frequent n-gram is one row for each block.
+
+A text is rejected when its perplexity lies above its language's bound, a quantile of the trusted texts' perplexities
+in that language.  Those are held out: trusted texts are dealt to two folds by their content, and each is measured by
+a model of the other fold's texts.  All three models are counted, made and asked for together.
 
 All counts cover all rows; nothing is sampled or capped.
 
 Defined cases: a null or empty text holds only its end and is scored like any other; a language without
 trusted text, or a null one, is held to the bound of all languages; without any trusted row nothing is
-rejected and the perplexity is that of the uniform model; rows that repeat are scored (and counted) one by
-one; an empty table gives an empty result; other columns are not read, except by ``keep_clean``, which
-carries them (names that start with ``_lm_`` are reserved).
+rejected and the perplexity is that of the uniform model; a perplexity equal to the bound is kept; rows that repeat
+are scored (and counted) one by one; an empty table gives an empty result; other columns are not read, except by
+``keep_clean``, which carries them (names that start with ``_lm_`` are reserved).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ruleweave.llm.common import broadcast_if_small, cut, small_batches
+from ruleweave.llm.common import broadcast_if_small, cut, discard, fits_broadcast, slices
 
 ORDER = 4
-#: Bits of a symbol: the first 384 code points are their own symbols, later ones share 128 by block.
-SYMBOL_BITS = 9
-SYMBOLS = 1 << SYMBOL_BITS
-OWN = 384
+#: Bits of a code point; ORDER - 1 of them make a context in one long.
+POINT_BITS = 21
 END = 3
-#: The table of log probabilities is sent to executors up to this many rows of 12 bytes, 24 MB.
-SENT_ROWS = 2_000_000
-QUANTILE = 0.99
+QUANTILE = 0.98
 #: Copies of a text are in one fold, so none is measured by a model that has seen it.
 FOLDS = 2
+#: The counts of each model: of all trusted rows, and of those outside each fold.
+MODELS = ("all", "without_0", "without_1")
 #: Width of the bins of log perplexity in which quantiles are found.
 BIN = 0.001
-#: Symbols handled at a time.
-CHUNK_TEXTS = 100
+#: Code points of a block and of a row of it; a longer text is a row of its own.
+BLOCK_CHARS = 32_000_000
+ROW_CHARS = 256_000
+#: Code points whose n-grams are held at a time.
+WINDOW = 500_000
 
 
 # ---- n-grams of a text ----------------------------------------------------------------------------
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """The text's symbols, ended by END and led by ORDER - 1 zeros."""
+    """The text's code points, ended by END and led by ORDER - 1 zeros."""
     points = np.frombuffer((text or "").encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
-    coded = np.where(points < OWN, points, OWN + (points >> 7) % (SYMBOLS - OWN))
-    return np.concatenate([np.zeros(ORDER - 1, np.int64), coded, np.array([END], np.int64)])
+    return np.concatenate([np.zeros(ORDER - 1, np.int64), points, np.array([END], np.int64)])
 
 
-def grams(text: str | None) -> np.ndarray:
-    """One key for each symbol of the text: it and the ORDER - 1 before it."""
-    s = symbols(text)
-    key = np.zeros(len(s) - ORDER + 1, np.int64)
-    for i in range(ORDER):
-        key = (key << SYMBOL_BITS) | s[i : len(s) - ORDER + 1 + i]
-    return key
+def grams(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Name, context and last symbol of the n-gram that ends at each symbol of the text, WINDOW of them at a time.
 
-
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+    The context is exact; the name is a 64-bit mix of both, so two of 1e9 n-grams share one with a chance of 3 %.
+    """
+    s = symbols(text)
+    for at in range(0, len(s) - ORDER + 1, WINDOW):
+        part = s[at : at + WINDOW + ORDER - 1]
+        n = len(part) - ORDER + 1
+        context = np.zeros(n, np.int64)
+        for i in range(ORDER - 1):
+            context = (context << POINT_BITS) | part[i : n + i]
+        last = part[ORDER - 1 :]
+        h = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        yield h.view(np.int64), context, last
+
+
+class _Counts:
+    """Distinct n-grams of many texts and their counts in each of ``columns`` classes."""
+
+    def __init__(self, columns: int):
+        self.columns, self.parts, self.size = columns, [], 0
+
+    def add(self, name: np.ndarray, context: np.ndarray, last: np.ndarray, column: int | None) -> None:
+        names, first, n = np.unique(name, return_index=True, return_counts=True)
+        counts = np.zeros((len(names), self.columns), np.int64)
+        if column is not None:
+            counts[:, column] = n
+        self.parts.append((names, context[first], last[first], counts))
+        self.size += len(names)
+        if len(self.parts) > 24:
+            self.parts = [self.summed()]
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        every = [np.concatenate([p[i] for p in self.parts]) for i in range(4)]
+        names, first, inverse = np.unique(every[0], return_index=True, return_inverse=True)
+        counts = np.stack([np.bincount(inverse, weights=every[3][:, c], minlength=len(names)) for c in range(self.columns)], axis=1)
+        return names, every[1][first], every[2][first], counts.astype(np.int64)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple]:
+    for batch in slices(batches):
+        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+
+
+def _grouped(rows: Iterator[tuple], chars: int) -> Iterator[tuple[int | None, list[np.ndarray]]]:
+    """Class and joined n-grams of many short texts of one class, about ``chars`` at a time."""
+    held: dict[int | None, list] = {}
+    sizes: dict[int | None, int] = {}
+    for text, column in rows:
+        for g in grams(text):
+            held.setdefault(column, []).append(g)
+            sizes[column] = sizes.get(column, 0) + len(g[0])
+            if sizes[column] > chars:
+                yield column, [np.concatenate(x) for x in zip(*held.pop(column), strict=True)]
+                sizes[column] = 0
+    for column, parts in held.items():
+        yield column, [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The partition's n-grams and how often trusted rows have them."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        texts, trusted = batch.column("text").to_pylist(), batch.column("trusted").to_pylist()
-        for at in range(0, len(texts), CHUNK_TEXTS):
-            for flag in (True, False):
-                own = [grams(t) for t, f in zip(texts[at : at + CHUNK_TEXTS], trusted[at : at + CHUNK_TEXTS], strict=True) if bool(f) == flag]
-                if own:
-                    keys, n = np.unique(np.concatenate(own), return_counts=True)
-                    parts.append((keys, n if flag else np.zeros(len(keys), np.int64)))
-            if len(parts) > 32:
-                parts = [_summed(parts)]
-    if parts:
-        keys, n = _summed(parts)
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["gram", "n"])
+    """The partition's n-grams and how often trusted rows of each fold have them."""
+    counts = _Counts(FOLDS)
+    for column, joined in _grouped(_texts(batches, ("text", "fold")), WINDOW):
+        counts.add(*joined, column)
+    if counts.parts:
+        names, context, last, n = counts.summed()
+        for at in range(0, len(names), 100_000):
+            part = slice(at, at + 100_000)
+            columns = [names[part], context[part], last[part], *n[part].T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["gram", "context", "last", *[f"n_{f}" for f in range(FOLDS)]])
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(gram, n): every n-gram of docs (text, trusted) and its count in trusted rows."""
-    small_batches(docs.sparkSession)
-    return docs.select("text", "trusted").mapInArrow(_count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    """gram, context, last and the count of each of MODELS, of every n-gram of docs (text, fold; null for rows not trusted)."""
+    folds = [f"n_{f}" for f in range(FOLDS)]
+    found = docs.select("text", "fold").mapInArrow(_count, "gram bigint, context bigint, last bigint, " + ", ".join(f"{f} bigint" for f in folds))
+    summed = found.groupBy("gram").agg(F.first("context").alias("context"), F.first("last").alias("last"), *[F.sum(f).alias(f) for f in folds])
+    total = sum((F.col(f) for f in folds), F.lit(0))
+    return summed.select("gram", "context", "last", total.alias("all"), *[(total - F.col(f)).alias(f"without_{k}") for k, f in enumerate(folds)])
 
 
 # ---- the model ------------------------------------------------------------------------------------
 
 
-def _context(gram: Column) -> Column:
-    return F.shiftright(gram, SYMBOL_BITS)
-
+def _shorter(context: Column, order: int) -> Column:
+    """The context of n-grams of one symbol less than order: its first symbol is gone."""
+    return context.bitwiseAND(F.lit((1 << POINT_BITS * (order - 2)) - 1))
 
-def _suffix(gram: Column, order: int) -> Column:
-    """The n-gram without its first symbol."""
-    return gram.bitwiseAND(F.lit((1 << SYMBOL_BITS * (order - 1)) - 1))
 
+def discounts(counted: DataFrame, models: tuple[str, ...]) -> dict[str, tuple[float, float, float]]:
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more of each model, from the counts of counts."""
+    few = counted.agg(*[F.coalesce(F.sum((F.col(m) == i).cast("long")), F.lit(0)).alias(f"{m}_{i}") for m in models for i in (1, 2, 3, 4)]).first()
+    found = {}
+    for m in models:
+        n1, n2, n3, n4 = (few[f"{m}_{i}"] for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        raw = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+        found[m] = tuple(min(max(d, 0.05), c - 0.05) for c, d in zip((1, 2, 3), raw, strict=True))
+    return found
 
-def discounts(counted: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from the counts of counts."""
-    few = {r["n"]: r["m"] for r in counted.filter("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
-    n1, n2, n3, n4 = (few.get(i, 0) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    raw = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-    return tuple(min(max(d, 0.05), c - 0.05) for c, d in zip((1, 2, 3), raw, strict=True))
 
+def probabilities(counted: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:
+    """gram and each model's log probability of every n-gram counted; those not seen get what shorter ones leave them.
 
-def probabilities(counted: DataFrame) -> DataFrame:
-    """(gram, logp) of every n-gram in counted (gram, n); those with n = 0 get what shorter ones leave them."""
+    The shortest n-grams leave the rest to all symbols of the texts alike.
+    """
     tables = {ORDER: cut(counted, "lm-counts")}
-    for k in range(ORDER - 1, 0, -1):  # n: how many different symbols come before the n-gram in trusted text
-        above = tables[k + 1]
-        grouped = above.groupBy(_suffix(F.col("gram"), k + 1).alias("gram")).agg(F.sum((F.col("n") > 0).cast("long")).alias("n"))
-        tables[k] = cut(grouped, "lm-counts")
+    for k in range(ORDER - 1, 0, -1):  # how many different symbols come before the n-gram in trusted text
+        grouped = tables[k + 1].groupBy(_shorter(F.col("context"), k + 1).alias("context"), "last")
+        tables[k] = cut(grouped.agg(*[F.sum((F.col(m) > 0).cast("long")).alias(m) for m in models]), "lm-counts")
+    vocabulary = max(tables[1].count(), 1)
     lower: DataFrame | None = None
     for k in range(1, ORDER + 1):
-        seen = tables[k].filter("n > 0")
-        d1, d2, d3 = discounts(seen)
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        contexts = seen.groupBy(_context(F.col("gram")).alias("context")).agg(F.sum("n").alias("total"), F.sum(discount).alias("left"))
-        rows = tables[k].select("gram", "n", _context(F.col("gram")).alias("context"))
-        joined = rows.join(contexts, "context", "left")
-        own = F.when(F.col("n") > 0, (F.col("n") - discount) / F.col("total")).otherwise(0.0)
-        rest = F.coalesce(F.col("left") / F.col("total"), F.lit(1.0))
-        if lower is None:
-            lower = joined.select("gram", (own + rest / SYMBOLS).alias("p"))
-        else:
-            below = lower.select(F.col("gram").alias("short"), F.col("p").alias("p_short"))
-            lower = joined.withColumn("short", _suffix(F.col("gram"), k)).join(below, "short").select("gram", (own + rest * F.col("p_short")).alias("p"))
-    return cut(lower.select("gram", F.log("p").alias("logp")), "lm-probabilities")
+        ds = discounts(tables[k], models)
+        taken = {m: F.when(F.col(m) == 0, 0.0).when(F.col(m) == 1, ds[m][0]).when(F.col(m) == 2, ds[m][1]).otherwise(ds[m][2]) for m in models}
+        sums = [F.sum(m).alias(f"{m}_total") for m in models] + [F.sum(taken[m]).alias(f"{m}_left") for m in models]
+        contexts = tables[k].groupBy("context").agg(*sums)
+        joined = tables[k].join(broadcast_if_small(contexts) if k == 1 else contexts, "context")
+        if lower is not None:
+            joined = joined.withColumn("short", _shorter(F.col("context"), k)).join(lower.withColumnsRenamed({"context": "short"}), ["short", "last"])
+        rest = {m: F.lit(1 / vocabulary) if lower is None else F.col(f"p_{m}") for m in models}
+        p = {m: F.when(F.col(f"{m}_total") > 0, (F.col(m) - taken[m] + F.col(f"{m}_left") * rest[m]) / F.col(f"{m}_total")).otherwise(rest[m]) for m in models}
+        lower = joined.select(*(["gram"] if k == ORDER else ["context", "last"]), *[p[m].alias(f"p_{m}") for m in models])
+    found = cut(lower.select("gram", *[F.log(f"p_{m}").alias(m) for m in models]), "lm-probabilities")
+    discard(*tables.values())
+    return found
 
 
 # ---- scores ---------------------------------------------------------------------------------------
 
 
-def _sent(docs: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Perplexities with the whole table on every executor; the caller has checked its size."""
-    pdf = table.toPandas().sort_values("gram")
-    model = docs.sparkSession.sparkContext.broadcast((pdf["gram"].to_numpy(np.int64), pdf["logp"].to_numpy(np.float32)))
+def _blocked(schema: pa.Schema):
+    """Rows (block, texts, grams): the rows of a partition, packed, and last of each block its distinct n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logp = model.value
-        for batch in batches:
-            out, sizes = [], []
-            for text in batch.column("_lm_text").to_pylist():
-                key = grams(text)
-                at = np.searchsorted(known, key)
-                sizes.append(len(key))
-                out.append(float(np.exp(-np.mean(logp[at], dtype=np.float64))))
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.float64()), pa.array(sizes, pa.int64())], names=[*batch.schema.names[:-1], "perplexity", "n_grams"])
-
-    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, F.col("text").alias("_lm_text")).mapInArrow(run, f"{fields}, perplexity double, n_grams bigint")
-
-
-def _joined(docs: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Perplexities by joining every text's n-gram counts with the sharded table."""
+        made = pa.schema([("block", pa.int64()), ("texts", pa.binary()), ("grams", pa.binary())])
+        block, chars = TaskContext.get().partitionId() << 32, 0
+        asked = _Counts(1)
+        rows: list[dict] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(pa.RecordBatch.from_pylist(rows, schema=schema))
+            for _, joined in _grouped(((r["_lm_text"], None) for r in rows), WINDOW):
+                asked.add(*joined, None)
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([b""], pa.binary())], schema=made)
+
+        def ended() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([b""], pa.binary()), pa.array([asked.summed()[0].tobytes()], pa.binary())], schema=made)
+
+        for batch in slices(batches):
+            for row in batch.to_pylist():
+                rows.append(row)
+                held += len(row["_lm_text"] or "") + 1
+                if held > ROW_CHARS:
+                    yield packed()
+                    chars, rows[:], held = chars + held, [], 0
+                if chars > BLOCK_CHARS:
+                    yield ended()
+                    block, chars, asked = block + 1, 0, _Counts(1)
+        if rows:
+            yield packed()
+        if asked.parts:
+            yield ended()
+
+    return run
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, gram) of the blocks' n-grams."""
+    for batch in batches:
+        for block, raw in zip(batch.column("block").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+            names = np.frombuffer(raw, dtype=np.int64)
+            for at in range(0, len(names), 100_000):
+                part = names[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part)], names=["block", "gram"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("_lm_id").to_pylist()
-            for i, text in zip(ids, batch.column("_lm_text").to_pylist(), strict=True):
-                key, n = np.unique(grams(text), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(key), pa.int64()), pa.array(key), pa.array(n.astype(np.int64))], names=["_lm_id", "gram", "m"])
 
-    placed = cut(docs.select(*keys, "text").withColumn("_lm_id", F.monotonically_increasing_id()), "lm-rows")
-    each = placed.select("_lm_id", F.col("text").alias("_lm_text")).mapInArrow(run, "_lm_id bigint, gram bigint, m bigint")
-    summed = each.join(table, "gram").groupBy("_lm_id").agg(F.exp(-F.sum(F.col("m") * F.col("logp")) / F.sum("m")).alias("perplexity"), F.sum("m").alias("n_grams"))
-    return placed.select(*keys, "_lm_id").join(summed, "_lm_id").select(*keys, "perplexity", "n_grams")
+def perplexities(docs: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, fold, perplexity and held_out of every row of docs (keys, text, fold).
 
+    table is what ``probabilities`` made of docs' n-grams. held_out is the perplexity under the model without the
+    row's fold, null for rows without one. docs must give the same rows in the same partitions when read again.
+    """
+    plain = docs.select(*keys, "fold", F.col("text").alias("_lm_text"))
+    empty = plain.limit(0).toArrow().schema
+    blocks = plain.mapInArrow(_blocked(empty), "block bigint, texts binary, grams binary").repartition("block")
+    answers = blocks.mapInArrow(_asked, "block bigint, gram bigint").join(table.hint("merge"), "gram").select("block", "gram", *MODELS)
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        names = found.column("gram").to_numpy()
+        order = np.argsort(names)
+        names, logp = names[order], [found.column(m).to_numpy()[order] for m in MODELS]
+        parts = []
+        for raw in block.column("texts").to_pylist():
+            if not raw:
+                continue
+            rows = pa.ipc.open_stream(raw).read_all()
+            whole, held = [], []
+            for text, fold in zip(rows.column("_lm_text").to_pylist(), rows.column("fold").to_pylist(), strict=True):
+                n, sums = 0, [0.0, 0.0]
+                for name, _, _ in grams(text):
+                    at = np.searchsorted(names, name)
+                    if len(names) <= at.max(initial=0) or (names[at] != name).any():
+                        raise ValueError("a block's texts changed between two readings: give a table that was written")
+                    n += len(name)
+                    sums[0] += float(logp[0][at].sum())
+                    if fold is not None:
+                        sums[1] += float(logp[1 + fold][at].sum())
+                whole.append(float(np.exp(-sums[0] / n)))
+                held.append(None if fold is None else float(np.exp(-sums[1] / n)))
+            parts.append(rows.drop_columns(["_lm_text"]).append_column("perplexity", pa.array(whole, pa.float64())).append_column("held_out", pa.array(held, pa.float64())))
+        none = pa.schema([*(f for f in empty if f.name != "_lm_text"), ("perplexity", pa.float64()), ("held_out", pa.float64())])
+        return pa.concat_tables([p.cast(none) for p in parts]) if parts else none.empty_table()
 
-def perplexities(docs: DataFrame, table: DataFrame, keys: tuple[str, ...], sent_rows: int = SENT_ROWS) -> DataFrame:
-    """keys, perplexity and n_grams of every row of docs; table is what ``probabilities`` made of docs' n-grams."""
-    small_batches(docs.sparkSession)
-    return _sent(docs, table, keys) if table.count() <= sent_rows else _joined(docs, table, keys)
+    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"{fields}, fold int, perplexity double, held_out double")
 
 
 def quantiles(scored: DataFrame, quantile: float) -> DataFrame:
@@ -204,26 +302,29 @@ def quantiles(scored: DataFrame, quantile: float) -> DataFrame:
     return per.select("lang", F.exp(found * BIN).alias("bound"))
 
 
-def held_out(trusted: DataFrame, sent_rows: int = SENT_ROWS) -> DataFrame:
-    """lang and perplexity of every row of trusted (lang, text) under the model of the other folds' rows."""
-    dealt = trusted.select("lang", "text", (F.crc32(F.coalesce("text", F.lit(""))) % FOLDS).alias("fold"))
-    parts = []
-    for fold in range(FOLDS):
-        table = probabilities(counts(dealt.select("text", (F.col("fold") != fold).alias("trusted"))))
-        parts.append(perplexities(dealt.filter(F.col("fold") == fold), table, ("lang",), sent_rows))
-    return reduce(DataFrame.unionByName, parts)
+def _flagged(docs: DataFrame, trusted_ids: DataFrame, key: str, lang: str, text: str) -> DataFrame:
+    """key, lang, text and fold (null for rows not trusted). docs stay in their partitions where the ids are few."""
+    ids = trusted_ids.select(F.col(key).alias("_lm_key")).filter("_lm_key IS NOT NULL").distinct()
+    few = fits_broadcast(ids)
+    rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    fold = F.when(F.col("_lm_key").isNotNull(), F.crc32(F.coalesce("text", F.lit(""))) % FOLDS).cast("int")
+    joined = rows.join(F.broadcast(ids) if few else ids, F.col("key") == F.col("_lm_key"), "left").select("key", "lang", "text", fold.alias("fold"))
+    return joined if few else cut(joined, "lm-rows")
 
 
-def score(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", quantile: float = QUANTILE, sent_rows: int = SENT_ROWS) -> DataFrame:
+def score(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", quantile: float = QUANTILE) -> DataFrame:
     """key, lang, perplexity, bound and kept of every row of docs. trusted_ids has the keys of trusted rows in column key."""
-    spark = docs.sparkSession
-    ids = broadcast_if_small(trusted_ids.select(F.col(key).alias("_lm_key")).filter("_lm_key IS NOT NULL").distinct())
-    flagged = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    flagged = flagged.join(ids, F.col("key") == F.col("_lm_key"), "left").select("key", "lang", "text", F.col("_lm_key").isNotNull().alias("trusted"))
-    table = probabilities(counts(flagged))
-    scored = cut(perplexities(flagged, table, ("key", "lang"), sent_rows), "lm-scores")
-    bound = _bounds(spark, quantiles(held_out(flagged.filter("trusted"), sent_rows), quantile))
-    return scored.select(F.col("key").alias(key), F.col("lang").alias(lang), "perplexity", bound.alias("bound")).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("bound"), F.lit(True)))
+    rows = _flagged(docs, trusted_ids, key, lang, text)
+    table = probabilities(counts(rows))
+    scored = cut(perplexities(rows, table, ("key", "lang")), "lm-scores")
+    discard(table)
+    bounds = cut(quantiles(scored.filter("fold IS NOT NULL").select("lang", F.col("held_out").alias("perplexity")), quantile), "lm-bounds")
+    everywhere = next((r["bound"] for r in bounds.filter("lang IS NULL").collect()), None)  # one row at most
+    own = broadcast_if_small(bounds.filter("lang IS NOT NULL").withColumnsRenamed({"lang": "_lm_lang", "bound": "_lm_bound"}))
+    placed = scored.join(own, F.col("lang") == F.col("_lm_lang"), "left")
+    bound = F.coalesce("_lm_bound", F.lit(everywhere).cast("double"))
+    kept = F.coalesce(F.ceil(F.log("perplexity") / BIN) <= F.round(F.log(bound) / BIN), F.lit(True))
+    return placed.select(F.col("key").alias(key), F.col("lang").alias(lang), "perplexity", bound.alias("bound"), kept.alias("kept"))
 
 
 def keep_clean(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", **named) -> DataFrame:
@@ -231,10 +332,3 @@ def keep_clean(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", **n
     judged = score(docs, trusted_ids, key, **named)
     rejected = broadcast_if_small(judged.filter(~F.col("kept")).select(F.col(key).alias("_lm_key")).distinct())
     return docs.join(rejected, docs[key].eqNullSafe(F.col("_lm_key")), "left_anti")
-
-
-def _bounds(spark: SparkSession, found: DataFrame) -> Column:
-    """The bound of a row's language as an expression: languages are a closed list of a few values."""
-    rows = [(r["lang"], r["bound"]) for r in found.collect()]
-    everywhere = F.lit(next((b for name, b in rows if name is None), None)).cast(T.DoubleType())
-    return reduce(lambda e, r: F.when(F.col("lang") == r[0], r[1]).otherwise(e), [r for r in rows if r[0] is not None], everywhere)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import small_batches
+from ruleweave.llm.common import slices
 
 BLOCK = 64
 RATE = 8000
@@ -192,10 +192,9 @@ def read_media(media: bytes | None) -> tuple[bytes | None, str, list[tuple[int,
 
 def store(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, n_bytes (of the text) and media (Ogg bytes) of every row of docs."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = [(t or "").encode() for t in batch.column("_text").to_pylist()]
             media = [write_media(b + bytes(-len(b) % BLOCK or (BLOCK if not b else 0))) for b in raw]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
@@ -215,7 +214,7 @@ def read_back(stored: DataFrame, media: str = "media") -> DataFrame:
     time_type = pa.list_(pa.struct([("channel", pa.int32()), ("seconds", pa.float64()), ("bytes", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             read = [read_media(m) for m in batch.column(media).to_pylist()]
             times = [[{"channel": c, "seconds": s, "bytes": n} for c, s, n in r[2]] for r in read]
             made = [pa.array([r[0] for r in read], pa.binary()), pa.array([r[1] for r in read], pa.string()), pa.array(times, time_type), pa.array([r[3] for r in read], pa.list_(pa.string()))]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.llm.bpe import byte_letters
-from ruleweave.llm.common import cut, small_batches
+from ruleweave.llm.common import cut, slices
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -76,11 +76,10 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenize(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN) -> DataFrame:
     """keys, piece, start, length and ids (little-endian unsigned 32-bit numbers) of all pieces of docs."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = byte_tokenizer(path)
-        for batch in batches:
+        for batch in slices(batches):
             row, piece, start, length, ids = [], [], [], [], []
             for r, text in enumerate(batch.column("_text").to_pylist()):
                 found = array("I", t.encode(text or ""))

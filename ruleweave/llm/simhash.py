@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.llm import shingle_sets
-from ruleweave.llm.common import broadcast_if_small, cut, small_batches
+from ruleweave.llm.common import broadcast_if_small, cut, slices
 
 BITS = 64
 THRESHOLD = 2
@@ -60,7 +60,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         codes = np.array([fingerprint(t) for t in batch.column("_text").to_pylist()], dtype=np.uint64).view(np.int64)
         kept = [batch.column(i) for i in range(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(codes)], names=[*batch.schema.names[:-1], "fp"])
@@ -68,7 +68,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def with_fingerprint(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys and fp, the fingerprint's 64 bits as a signed long."""
-    small_batches(docs.sparkSession)
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     return docs.select(*keys, F.col(text).alias("_text")).mapInArrow(_fingerprints, f"{fields}, fp bigint")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import cut, small_batches
+from ruleweave.llm.common import cut, slices
 
 #: Labelled documents used for fitting, chosen by a hash of their id.
 SAMPLE_DOCS = 20_000
@@ -224,7 +224,7 @@ def document_features(margins: list[float]) -> list[float]:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Plain words of the partition with the toxic and clean documents that have them."""
     seen: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
-    for batch in batches:
+    for batch in slices(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             seen[bool(toxic)].update({p for w in set(words_of(text)) for p in pieces(plain(w)) if p})
     every = list(seen[True].keys() | seen[False].keys())
@@ -255,7 +255,7 @@ def _scored(docs: DataFrame, model: Model, keys: tuple[str, ...]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _features_of(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts, rows = batch.column("_tox_text").to_pylist(), []
             for at in range(0, len(texts), 50):
                 rows += features(texts[at : at + 50])
@@ -269,7 +269,6 @@ def _scored(docs: DataFrame, model: Model, keys: tuple[str, ...]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """A model from labelled rows: labels has key and toxic (0 or 1); None without both kinds."""
-    small_batches(docs.sparkSession)
     known = labels.filter(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("_tox_key")).agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("_tox_key"), "_tox_key").limit(sample_docs))  # at most sample_docs rows
     sample = cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, F.col("key") == F.col("_tox_key")).select("text", "toxic"), "tox-sample")
@@ -303,7 +302,7 @@ def _worst(words: DataFrame, model: Model) -> DataFrame:
     sent = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(sent.value.margins(batch.column("word").to_pylist()))], names=["word", "margin"])
 
     return words.select("word").mapInArrow(run, "word string, margin double")
@@ -311,7 +310,6 @@ def _worst(words: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model | None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, score (0 to 1) and predicted of every row of docs."""
-    small_batches(docs.sparkSession)
     if model is None:
         return docs.select(*keys, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     features = _scored(docs.select(*keys, F.col(text).alias("text")), model, keys)

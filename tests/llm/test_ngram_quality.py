@@ -12,6 +12,7 @@ OTHER = ["the ### mat", "zzz qqq", "tha", None]
 
 def brute_force(trusted: list[str], texts: list[str]) -> dict[int, float]:
     """Interpolated modified Kneser-Ney over symbol tuples, by the definition."""
+    vocabulary = {s for t in texts for s in [*map(ord, t or ""), lm.END]}
     tuples = lambda t: [tuple(s) for x in [list(lm.symbols(t))] for s in zip(*(x[i:] for i in range(lm.ORDER)), strict=False)]
     tables = {lm.ORDER: Counter(g for t in trusted for g in tuples(t))}
     for k in range(lm.ORDER - 1, 0, -1):
@@ -28,7 +29,7 @@ def brute_force(trusted: list[str], texts: list[str]) -> dict[int, float]:
 
     def p(g: tuple) -> float:
         if not g:
-            return 1 / lm.SYMBOLS
+            return 1 / len(vocabulary)
         k = len(g)
         same = {x: c for x, c in tables[k].items() if x[:-1] == g[:-1]}
         if not same:
@@ -52,25 +53,44 @@ def trusted(spark):
     return spark.createDataFrame([(i,) for i in range(len(TRUSTED))] + [(0,), (None,)], "doc_id long")
 
 
-def test_perplexities_equal_the_definition_either_way(docs, trusted):
+def test_perplexities_equal_the_definition(docs, trusted):
     want = brute_force(TRUSTED, TRUSTED + OTHER)
-    for sent_rows in (10**6, 0):
-        got = {r.doc_id: r.perplexity for r in lm.score(docs, trusted, sent_rows=sent_rows).collect()}
-        assert len(got) == len(want)
-        for i, p in want.items():
-            assert got[i] == pytest.approx(p, rel=1e-5), (i, sent_rows)
+    got = {r.doc_id: r.perplexity for r in lm.score(docs, trusted).collect()}
+    assert len(got) == len(want)
+    for i, p in want.items():
+        assert got[i] == pytest.approx(p, rel=1e-9), i
+
+
+def test_blocks_rows_and_windows_of_any_size_give_the_same(docs, trusted, monkeypatch):
+    want = {r.doc_id: r.perplexity for r in lm.score(docs, trusted).collect()}
+    for name, value in (("BLOCK_CHARS", 30), ("ROW_CHARS", 10), ("WINDOW", 5)):
+        monkeypatch.setattr(lm, name, value)
+    rows = docs.select("doc_id", "lang", "text", F.when(F.col("doc_id") < len(TRUSTED), F.crc32(F.coalesce("text", F.lit(""))) % 2).cast("int").alias("fold"))
+    table = lm.probabilities(lm.counts(rows.coalesce(1)))
+    got = {r.doc_id: r.perplexity for r in lm.perplexities(rows.coalesce(1), table, ("doc_id", "lang")).collect()}
+    assert got == pytest.approx(want)
 
 
 def test_probabilities_of_a_context_sum_to_one(spark):
-    table = {r.gram: math.exp(r.logp) for r in lm.probabilities(_all_after(spark)).collect()}
-    assert sum(table.values()) == pytest.approx(1.0, rel=1e-6)
+    context = int(next(lm.grams("the "))[1][3])
+    every = "abcdehxyz \x03"
+    rows = [(i, context, ord(c), 5 if c == "e" else 1 if c in "ab" else 0) for i, c in enumerate(every)]
+    table = lm.probabilities(spark.createDataFrame(rows, "gram long, context long, last long, n long"), ("n",))
+    assert sum(math.exp(r.n) for r in table.collect()) == pytest.approx(1.0)
+
 
+def test_every_script_is_told_apart_and_long_texts_are_whole(spark):
+    import random
 
-def _all_after(spark):
-    """Counts in which one context has every symbol after it, seen or not."""
-    base = int(lm.grams("the ")[3]) >> lm.SYMBOL_BITS << lm.SYMBOL_BITS
-    rows = [(base + s, 5 if s == 101 else 1 if s in (97, 98) else 0) for s in range(lm.SYMBOLS)]
-    return spark.createDataFrame(rows, "gram long, n long")
+    rng = random.Random(5)
+    words = {"ru": "мама мыла раму и пила чай под окном старого дома".split(), "zh": "今天 天气 很好 我们 一起 去 公园 散步 吧".split()}
+    said = [(i, " ".join(rng.choices(words[lang], k=25)), lang) for i, lang in enumerate(["ru", "zh"] * 40)]
+    mixed = lambda lang: " ".join("".join(rng.sample(w, len(w)))[::-1] for w in rng.choices(words[lang], k=40))
+    bad = [(100, "".join(rng.sample("абвгдежзиклмнопрстуфхц " * 9, 150)), "ru"), (101, "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(90)), "zh"), (102, mixed("ru"), "ru")]
+    long = [(103, " ".join(rng.choices(words["ru"], k=200_000)), "ru"), (104, "щ" * 1_200_000, "ru")]
+    rows = spark.createDataFrame(said + bad + long, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.kept for r in lm.score(rows, rows.filter("doc_id < 80").select("doc_id"), quantile=1.0).collect()}
+    assert not any(kept[i] for i in (100, 101, 102, 104)) and kept[103] and all(kept[i] for i in range(80))
 
 
 def test_quantile_by_language(spark):
@@ -81,7 +101,7 @@ def test_quantile_by_language(spark):
 
 def test_keep_clean_keeps_columns_and_rejects_symbols(spark, docs, trusted):
     many = docs.unionByName(spark.createDataFrame([(100, "#$%&!~ " * 30, "en", "y")], docs.schema))
-    kept = lm.keep_clean(many, trusted)
+    kept = lm.keep_clean(many, trusted, quantile=1.0)
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert 100 not in ids and set(range(len(TRUSTED))) <= ids
@@ -89,8 +109,16 @@ def test_keep_clean_keeps_columns_and_rejects_symbols(spark, docs, trusted):
 
 def test_no_rows_and_no_trusted_rows(docs, trusted):
     assert lm.score(docs.limit(0), trusted).count() == 0
+    vocabulary = {s for t in TRUSTED + OTHER for s in [*map(ord, t or ""), lm.END]}
     rows = lm.score(docs, trusted.limit(0)).collect()
-    assert len(rows) == docs.count() and all(r.kept and r.perplexity == pytest.approx(lm.SYMBOLS, rel=1e-4) for r in rows)
+    assert len(rows) == docs.count() and all(r.kept and r.perplexity == pytest.approx(len(vocabulary)) for r in rows)
+
+
+def test_equal_perplexities_at_the_bound_are_kept(spark):
+    rows = spark.createDataFrame([(i, "the same text each time", "en") for i in range(9)], "doc_id long, text string, lang string")
+    judged = lm.score(rows, rows.filter("doc_id < 4"), quantile=0.5).collect()
+    assert len({r.perplexity for r in judged}) == 1
+    assert len({r.kept for r in judged}) == 1
 
 
 def test_the_bound_is_the_quantile_of_held_out_trusted_text(spark, docs, trusted):
@@ -101,7 +129,7 @@ def test_the_bound_is_the_quantile_of_held_out_trusted_text(spark, docs, trusted
     said = [" ".join(rng.choices("the cat sat on a mat and then that hat".split(), k=30)) for _ in range(40)]
     rows = [*enumerate(said), (40, "the " * 60), (41, " ".join("".join(rng.sample(w, len(w))) for w in " ".join(said[:2]).split()))]
     texts = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
-    judged = {r.doc_id: r for r in lm.score(texts, texts.filter("doc_id < 40")).collect()}
+    judged = {r.doc_id: r for r in lm.score(texts, texts.filter("doc_id < 40"), quantile=1.0).collect()}
     folds = [[t for t in said if zlib.crc32(t.encode()) % lm.FOLDS == f] for f in range(lm.FOLDS)]
     want = max(p for f in range(lm.FOLDS) for p in brute_force([t for g, own in enumerate(folds) if g != f for t in own], folds[f]).values())
     assert judged[0].bound == pytest.approx(want, rel=2 * lm.BIN)
