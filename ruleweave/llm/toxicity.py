@@ -1,23 +1,25 @@
-"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
+"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks, trained on labelled sentences.
 
 The kernel of two strings counts the subsequences of three symbols they share, each weighted by DECAY for
 every symbol skipped within a span of SPAN, and is normalised.  A gap or an inserted character so only
-weakens a likeness, and unseen endings of an insulting stem still match.  The kernel of a sentence against a
-landmark is the largest among its words (runs of single letters are one word, marks inside a word are
-dropped), so every sentence is judged by its worst word, and a document by its worst sentences.
-
-Only documents are labelled.  A sentence of a clean document is clean; a sentence of a toxic document counts
-as toxic if it holds a witness, a word that enough toxic documents use and hardly any clean one.  The machine
-is trained on the deciding words of such sentences in the space spanned by LANDMARKS of them, then again with
-the clean words it mistook.  Because the kernel's features are explicit, the landmarks' weights collapse into
-one table of 64 ** 3 weights, and scoring a word is a sum of lookups: the model has a fixed size of 1 MB.
-
-Bounds: at most SAMPLE_DOCS labelled documents, CLEAN_WORDS and HARD_WORDS clean words and WITNESSES witnesses
-are used for fitting. All rows are scored, over their whole texts.
-
-Defined cases: a null or empty text has no word and gets the score of a document without any likeness; rows
-that repeat are scored one by one; without labels of both kinds every score is 0; an empty table gives an
-empty result; other columns are not read.
+weakens a likeness, and unseen endings of an insulting stem still match.  A sentence is the set of its units: its
+words without marks, neighbours of up to BORDER letters joined over their blank ("id iot"), and spelled-out words
+("i d i o t").  Most of a toxic sentence is harmless, so each sentence stands in the kernel by one unit that decides
+it, as in multiple-instance machines: its margin is the largest of its units'.
+
+Only documents are labelled.  Sentences of a clean document are clean.  A sentence of a toxic document counts as
+toxic if it holds a witness, a unit that enough toxic documents use and hardly any clean one; its witness decides it.
+The machine is trained on these sentences in the space spanned by LANDMARKS of them.  Then all clean sentences of the
+sample are judged, each decided by the unit of its largest margin, and the machine is trained again with those it
+mistook most, ROUNDS times.  Because the kernel's features are explicit, the landmarks' weights collapse into
+one table of 64 ** 3 weights, and scoring a unit is a sum of lookups: the model has a fixed size of 1 MB.
+
+Bounds, for fitting alone: SAMPLE_DOCS labelled documents, and of their labelled sentences TOXIC_SENTENCES,
+CLEAN_SENTENCES and, in the second round, HARD_SENTENCES. All rows are scored, over their whole texts.
+
+Defined cases: a null or empty text has no sentence and gets the score of a document without any likeness; rows
+that repeat are scored one by one; of several labels of a key the largest holds; without labels of both kinds, or
+without a witness, every score is 0; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,35 +35,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import cut, slices
+from ruleweave.llm.common import cut, discard, slices
 
 #: Labelled documents used for fitting, chosen by a hash of their id.
 SAMPLE_DOCS = 20_000
-WITNESSES = 3_000
-CLEAN_WORDS = 12_000
-HARD_WORDS = 3_000
+#: Labelled sentences of the sample that a machine is trained on, chosen by a hash of their words, and the clean ones
+#: of the largest margins.
+TOXIC_SENTENCES = 4_000
+CLEAN_SENTENCES = 10_000
+HARD_SENTENCES = 5_000
+#: Times that the machine is trained again with the clean sentences it mistook most.
+ROUNDS = 2
 LANDMARKS = 512
 DECAY = 0.6
 SPAN = 7
 ALPHABET = 64
-#: What a document without any word gets for its largest margins.
+#: Neighbouring words of up to so many letters are also read as one.
+BORDER = 3
+#: What a unit without any letter gets, and the largest margins of a document without sentences.
 NOTHING = -2.0
 #: Raw words a worker remembers, about 40 MB.
 CACHED = 250_000
 #: Symbols of a word looked at in one piece; longer words are cut into overlapping pieces.
 PIECE = 48
 
-_SPELLED = re.compile(r"(?<!\S)\w(?:\s\w){3,}(?!\S)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_SPELLED = re.compile(r"(?<!\S)\w(?:[ \t]\w){3,}(?!\S)")
 _MARKS = re.compile(r"[\W_]+")
 _STEPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _DIGITS = str.maketrans("0134579", "oieastg")  # written digits that stand for letters
 
 
-def words_of(text: str | None) -> list[str]:
-    """Raw words of a text, spelled-out words joined."""
-    low = (text or "").lower()
-    found = low.split()
-    return found + [re.sub(r"\s", "", m) for m in _SPELLED.findall(low)]
+def sentences(text: str | None) -> list[list[str]]:
+    """The raw units of each sentence of a text: words, short neighbours joined, and spelled-out words joined."""
+    out = []
+    for sentence in _SENTENCE.split((text or "").lower()):
+        units = sentence.split()
+        if units:
+            short = [len(w.rstrip(".,;:!?")) <= BORDER for w in units]
+            joined = [units[i] + units[i + 1] for i in range(len(units) - 1) if short[i] and short[i + 1]]
+            spelled = [re.sub(r"\s", "", m) for m in _SPELLED.findall(sentence)] if any(len(w) == 1 for w in units) else []
+            out.append(units + joined + spelled)
+    return out
 
 
 def plain(word: str) -> str:
@@ -215,50 +230,99 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 
 
 def document_features(margins: list[float]) -> list[float]:
-    """The two largest margins and the count of positive ones, of the occurrences of all words."""
+    """The two largest margins of all units of a document's sentences and the count of positive ones."""
     top = sorted(margins, reverse=True)[:2]
     top += [NOTHING] * (2 - len(top))
     return [*top, float(np.log1p(sum(m > 0 for m in margins)))]
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Plain words of the partition with the toxic and clean documents that have them."""
+def _plain_units(units: list[str]) -> set[str]:
+    return {p for u in set(units) for p in pieces(plain(u)) if p}
+
+
+def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Plain units of the partition with the toxic and clean documents that have them."""
     seen: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
     for batch in slices(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            seen[bool(toxic)].update({p for w in set(words_of(text)) for p in pieces(plain(w)) if p})
+            seen[bool(toxic)].update(_plain_units([u for units in sentences(text) for u in units]))
     every = list(seen[True].keys() | seen[False].keys())
     for at in range(0, len(every), 50_000):
         part = every[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[True][w] for w in part], pa.int64()), pa.array([seen[False][w] for w in part], pa.int64())], names=["word", "n_toxic", "n_clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[True][w] for w in part], pa.int64()), pa.array([seen[False][w] for w in part], pa.int64())], names=["unit", "n_toxic", "n_clean"])
 
 
-def _features_of(model: Model):
-    """Document features of texts, with a cache of raw words."""
+def _margins_of(model: Model):
+    """The margins of the units of all sentences of each text, with a cache of raw units."""
     cache: dict[str, float] = {}
 
-    def run(texts: list[str | None]) -> list[list[float]]:
-        found = [words_of(t) for t in texts]
-        fresh = list({w for ws in found for w in ws if w not in cache})
+    def run(texts: list[list[list[str]]]) -> list[list[float]]:
+        fresh = list({u for t in texts for units in t for u in units if u not in cache})
         if len(cache) + len(fresh) > CACHED:
             cache.clear()
-            fresh = list({w for ws in found for w in ws})
-        cache.update(zip(fresh, model.margins([plain(w) for w in fresh]).tolist(), strict=True))
-        return [document_features([cache[w] for w in ws]) for ws in found]
+            fresh = list({u for t in texts for units in t for u in units})
+        cache.update(zip(fresh, model.margins([plain(u) for u in fresh]).tolist(), strict=True))
+        return [[cache[u] for units in t for u in units] for t in texts]
 
     return run
 
 
+def _labelled(sample: DataFrame, witnesses: dict[str, int], model: Model | None) -> DataFrame:
+    """(toxic, unit, weight, margin): each labelled sentence of sample (text, toxic) by the unit that decides it.
+
+    Witnesses (and the toxic documents that have them, the sentence's weight) decide toxic sentences; clean ones are
+    decided by a unit chosen by its hash or, given a model, by the largest margin.
+    """
+    sent = sample.sparkSession.sparkContext.broadcast((witnesses, model))  # bounded by the sample, and 1 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        known, machine = sent.value
+        for batch in slices(batches, 100):
+            out = []
+            texts = [sentences(t) for t in batch.column("text").to_pylist()]
+            units = list({p for t in texts for s in t for p in _plain_units(s)})
+            margin = dict(zip(units, machine.margins(units).tolist() if machine else [0.0] * len(units), strict=True))
+            for t, toxic in zip(texts, batch.column("toxic").to_pylist(), strict=True):
+                for s in t:
+                    own = sorted(_plain_units(s))
+                    if not own:
+                        continue
+                    if not toxic:
+                        unit = max(own, key=margin.__getitem__) if machine else min(own, key=xxhash.xxh64_intdigest)
+                        out.append((0, unit, 1.0, margin[unit]))
+                    elif found := [u for u in own if u in known]:
+                        unit = max(found, key=known.__getitem__)
+                        out.append((1, unit, float(known[unit]), 0.0))
+            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            types = (pa.int32(), pa.string(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["toxic", "unit", "weight", "margin"])
+
+    return sample.mapInArrow(run, "toxic int, unit string, weight double, margin double")
+
+
+def _chosen(found: DataFrame, toxic: int, n: int, order: list) -> list:
+    """n of the sentences of one label; equal deciding units are one example that counts as often."""
+    per = found.filter(F.col("toxic") == toxic).groupBy("unit").agg(F.sum("weight").alias("weight"), F.max("margin").alias("margin"))
+    return per.orderBy(*order).limit(n).collect()
+
+
+def _trained(positive: list, negative: list) -> Model | None:
+    if not positive or not negative:
+        return None
+    clean = list(dict.fromkeys(r["unit"] for r in negative))
+    return fit_machine([r["unit"] for r in positive], clean, np.sqrt(np.array([r["weight"] for r in positive])))
+
+
 def _scored(docs: DataFrame, model: Model, keys: tuple[str, ...]) -> DataFrame:
     """keys and the document features f0, f1, f2 of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 64 ** 3 floats, 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _features_of(sent.value)
+        margins = _margins_of(sent.value)
         for batch in slices(batches):
-            texts, rows = batch.column("_tox_text").to_pylist(), []
-            for at in range(0, len(texts), 50):
-                rows += features(texts[at : at + 50])
+            rows = [document_features(m) for m in margins([sentences(t) for t in batch.column("_tox_text").to_pylist()])]
             x = np.array(rows, dtype=np.float64).reshape(-1, 3)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(x[:, i]) for i in range(3)]], names=[*batch.schema.names[:-1], "f0", "f1", "f2"])
@@ -275,39 +339,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not kinds.get(1) or not kinds.get(0):
         return None
-    words = cut(sample.mapInArrow(_word_counts, "word string, n_toxic bigint, n_clean bigint").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")), "tox-words")
+    units = cut(sample.mapInArrow(_unit_counts, "unit string, n_toxic bigint, n_clean bigint").groupBy("unit").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")), "tox-units")
     share = kinds[1] / (kinds[0] + kinds[1])
-    by_chance = math.log(max(words.count(), 2)) / -math.log(share)  # of so many words one may be in so many toxic documents only
+    by_chance = math.log(max(units.count(), 2)) / -math.log(share)  # of so many units one may be in so many toxic documents only
     least = max(3, int(0.004 * kinds[1]), math.ceil(by_chance))
     witness = (F.col("n_toxic") >= least) & (F.col("n_toxic") * kinds[0] >= 20 * F.col("n_clean") * kinds[1]) & (F.col("n_toxic") >= 3 * F.col("n_clean"))
-    found = words.filter(witness).orderBy(F.desc("n_toxic"), "word").limit(WITNESSES).collect()
-    positive, often = [r["word"] for r in found], np.array([r["n_toxic"] for r in found], dtype=np.float64)
-    clean = words.filter("n_clean > 0").filter(~witness)
-    negative = [r["word"] for r in clean.orderBy(F.desc("n_clean"), "word").limit(CLEAN_WORDS // 4).collect()]
-    negative += [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(CLEAN_WORDS).collect()]
-    negative = list(dict.fromkeys(negative))
-    if not positive or not negative:
+    witnesses = {r["unit"]: r["n_toxic"] for r in units.filter(witness).collect()}  # each in several of the sampled documents
+    by_hash = [F.xxhash64("unit"), "unit"]
+    first = cut(_labelled(sample, witnesses, None), "tox-first")
+    toxic, clean = _chosen(first, 1, TOXIC_SENTENCES, by_hash), _chosen(first, 0, CLEAN_SENTENCES, by_hash)
+    model = _trained(toxic, clean)
+    if model is None:
         return None
-    model = fit_machine(positive, negative, often)
-    hard = _worst(clean, model).orderBy(F.desc("margin"), "word").limit(HARD_WORDS).filter("margin > -0.9")
-    mistaken = [r["word"] for r in hard.collect()]
-    model = fit_machine(positive, list(dict.fromkeys(mistaken + negative)), often)
+    for _ in range(ROUNDS):
+        judged = cut(_labelled(sample.filter("toxic = 0"), {}, model), "tox-judged")
+        clean = _chosen(judged, 0, HARD_SENTENCES, [F.desc("margin"), "unit"]) + clean
+        model = _trained(toxic, clean)
+        discard(judged)
     rows = _scored(sample, model, ("toxic",)).toPandas()  # at most sample_docs rows of four numbers, and their repeats
     model.logistic = fit_logistic(rows[["f0", "f1", "f2"]].to_numpy(), rows["toxic"].to_numpy(np.float64))
+    discard(sample, units, first)
     return model
 
 
-def _worst(words: DataFrame, model: Model) -> DataFrame:
-    """(word, margin) of a word table."""
-    sent = words.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(sent.value.margins(batch.column("word").to_pylist()))], names=["word", "margin"])
-
-    return words.select("word").mapInArrow(run, "word string, margin double")
-
-
 def score(docs: DataFrame, model: Model | None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, score (0 to 1) and predicted of every row of docs."""
     if model is None:

@@ -42,9 +42,14 @@ def test_collapsed_table_equals_the_landmark_sum():
     assert model.margins(["idxiot", "morron", "i" + "diot" * 30]).min() > model.margins(clean).mean()
 
 
-def test_words():
+def test_sentences_and_their_units():
     assert tox.plain("i.d.i-o_t!") == "idiot" and tox.plain("1d10t") == "idiot" and tox.plain("2024") == "" and tox.plain("...") == ""
-    assert "idiot" in tox.words_of("you i d i o t there") and tox.words_of(None) == [] == tox.words_of(" \n ")
+    assert tox.sentences("You i d i o t there. The id iot!\nNo more words") == [
+        ["you", "i", "d", "i", "o", "t", "there.", "youi", "id", "di", "io", "ot", "idiot"],
+        ["the", "id", "iot!", "theid", "idiot!"],
+        ["no", "more", "words"],
+    ]
+    assert tox.sentences(None) == [] == tox.sentences(" \n ")
 
 
 @pytest.fixture(scope="module")
@@ -64,16 +69,16 @@ def labelled(spark):
 
 def test_held_out_accuracy_gaps_and_odd_rows(spark, labelled):
     docs = labelled.select("doc_id", "text")
-    odd = [(1000, None), (1001, ""), (1002, "you m.o.r.o.n here"), (1003, "a m o r o n and a s c u m and s-c-u-m"), (None, "an er"), (None, "an er"), (1004, "moron scum " + "on er " * 20000)]
+    odd = [(1000, None), (1001, ""), (1002, "you m.o.r.o.n here"), (1003, "a m o r o n and a s c u m and s-c-u-m"), (None, "an er"), (None, "an er"), (1004, "moron scum " + "on er " * 20000), (1005, "an er. you mor on and sc um on"), (1006, "the morxon er. an scxum")]
     docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
     model = tox.fit(docs, labelled.filter("doc_id < 320").select("doc_id", "toxic"))
     got = tox.score(docs, model).collect()
-    assert len(got) == 407 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert len(got) == 409 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     by = {r.doc_id: r for r in got}
     held = labelled.filter("doc_id >= 320").collect()
     assert np.mean([by[r.doc_id].predicted == r.toxic for r in held]) > 0.95
     assert by[1000].score == by[1001].score < 0.5 and by[1003].predicted == 1 and by[1004].predicted == 1
-    assert by[1002].score > by[1000].score
+    assert by[1002].score > by[1000].score and by[1005].score > by[1000].score and by[1006].score > by[1000].score
 
 
 def test_no_labels_and_no_rows(labelled):
