@@ -167,11 +167,13 @@ def classes(rows: DataFrame, key: str) -> DataFrame:
 def set_classes(docs: DataFrame, rows: DataFrame, key: str, text: str, similarity: int) -> DataFrame:
     """As ``classes``, of rows of ``shingle_sets.with_set`` over docs: linked are sets whose similarity is so many per cent."""
 
+    codes = cut(rows.groupBy("fp").agg(F.min(key).alias("first")), "simhash-codes")
+
     def texts(sets: DataFrame) -> DataFrame:
-        wanted = cut(rows.join(sets, "fp", "left_semi").select(F.col(key).alias("_nd_key")).distinct(), "simhash-wanted")
+        """One text of each set, and those of other rows that have its key."""
+        wanted = cut(codes.join(sets, "fp", "left_semi").select(F.col("first").alias("_nd_key")).distinct(), "simhash-wanted")
         return docs.join(broadcast_if_small(wanted), docs[key].eqNullSafe(F.col("_nd_key")), "left_semi").select(F.col(text).alias("text"))
 
-    codes = cut(rows.groupBy("fp").agg(F.min(key).alias("first")), "simhash-codes")
     return _placed(codes, components(shingle_sets.links(rows, texts, similarity)))
 
 
