@@ -5,14 +5,15 @@
 (a hash of their row number, so equal or hot keys spread); each shard packs best-fit decreasing and then
 searches: a bin gives up documents one for one, two for one or by a move whenever that raises the sum of
 squared fills, until low bins are empty and go.  Bins that stay underfull are taken apart, and their pieces
-are dealt anew with those of other shards, until one shard holds what is left or a round saves no bin.
+are dealt anew with those of other shards; once that saves no bin, only the lowest bin of each shard is, until one
+shard holds what is left.
 
 No step sees more than one shard of pieces, and only lengths are looked at; shards are balanced whatever
 the keys.  The result says nothing about which documents share a sequence, only that they fit.
 
 Defined cases: a null or empty text is one piece that holds the end token alone; rows that repeat are
 packed one by one; an empty table gives an empty result; other columns of the pieces are carried along,
-names that start with ``_pack_`` are reserved.
+``sequence_id``, ``offset`` and names that start with ``_pack_`` are refused.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ END_TOKEN = 2
 SHARD = 4096
 #: A bin this full is not taken apart for the next round.
 FULL_ENOUGH = 0.998
-MAX_ROUNDS = 12
+#: Underfull bins among which the local search looks for a step at a time; the windows overlap by half.
+WINDOW = 64
 
 
 # ---- tokens ---------------------------------------------------------------------------------------
@@ -171,20 +173,24 @@ class Bins:
         self._place(a, b, *step)
         return True
 
-    def search(self, most_steps: int = 20_000) -> None:
-        """Empties low bins into fuller ones while squared fill rises."""
-        steps = 0
-        while steps < most_steps:
-            low = sorted((b for b in range(len(self.items)) if self.items[b] and self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b))[:64]
+    def search(self) -> None:
+        """Empties low bins into fuller ones while squared fill rises, WINDOW underfull bins of neighbouring fill at a time.
+
+        Every step raises the sum of squared fills, so it ends by itself: with a walk over all windows that gains nothing.
+        """
+        gained = True
+        while gained:
             gained = False
-            for k, a in enumerate(low):
-                for b in reversed(low[k + 1 :]):
-                    while self.items[a] and self.fill[b] < self.capacity and self.fill[b] >= self.fill[a] and steps < most_steps and self._better(a, b):
-                        gained, steps = True, steps + 1
-                    if not self.items[a]:
-                        break
-            if not gained:
-                return
+            underfull = [b for b in range(len(self.items)) if self.items[b] and self.fill[b] < FULL_ENOUGH * self.capacity]
+            underfull.sort(key=lambda b: (self.fill[b], b))
+            for at in range(0, max(1, len(underfull) - WINDOW // 2), WINDOW // 2):
+                low = sorted((b for b in underfull[at : at + WINDOW] if self.items[b]), key=lambda b: (self.fill[b], b))
+                for k, a in enumerate(low):
+                    for b in reversed(low[k + 1 :]):
+                        while self.items[a] and self.fill[b] < self.capacity and self.fill[b] >= self.fill[a] and self._better(a, b):
+                            gained = True
+                        if not self.items[a]:
+                            break
 
 
 def pack_sizes(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:
@@ -214,11 +220,12 @@ def _round(pieces: DataFrame, shards: int, number: int, capacity: int) -> DataFr
         shard = int(pdf["_pack_shard"].iloc[0])
         pdf["sequence_id"] = np.asarray(bin_of, dtype=np.int64) + (number << 56) + (shard << 20)
         pdf["offset"] = np.asarray(offset, dtype=np.int64)
-        pdf["_pack_fill"] = np.asarray(fill, dtype=np.int64)
+        pdf["_pack_full"] = np.asarray(fill) >= FULL_ENOUGH * capacity
+        pdf["_pack_lowest"] = np.asarray(bin_of) == bin_of[int(np.argmin(fill))]
         return pdf.drop(columns="_pack_shard")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.groupBy("_pack_shard").applyInPandas(run, f"{fields}, sequence_id bigint, offset bigint, _pack_fill bigint")
+    return dealt.groupBy("_pack_shard").applyInPandas(run, f"{fields}, sequence_id bigint, offset bigint, _pack_full boolean, _pack_lowest boolean")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
@@ -227,27 +234,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     Leave token columns out of pieces: rows travel to their shards.
     """
     own = pieces.columns
+    reserved = [c for c in own if c.startswith("_pack_") or c in ("sequence_id", "offset")]
+    if reserved:
+        raise ValueError(f"reserved column names: {reserved}")
     whole = pieces.filter(F.col("length") == capacity).withColumns(
         {"sequence_id": F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62)), "offset": F.lit(0).cast("long")}
     )
-    parts = [whole]
-    rest = pieces.filter(F.col("length") < capacity)
+    out = whole
+    rest, number, bins_before = pieces.filter(F.col("length") < capacity), 0, None
     left = rest.count()
-    for number in range(1, MAX_ROUNDS + 1):
-        if not left:
-            break
+    while left:
+        number += 1
         shards = -(-left // shard)
         packed = cut(_round(rest, shards, number, capacity), "packing")
-        done = packed if shards == 1 or number == MAX_ROUNDS else packed.filter(F.col("_pack_fill") >= int(FULL_ENOUGH * capacity))
-        again = None if done is packed else packed.filter(F.col("_pack_fill") < int(FULL_ENOUGH * capacity))
-        n = again.count() if again is not None else 0
-        if again is not None and n > 0.95 * left:  # these lengths don't fill bins; dealing them anew saves nothing
-            done, n = packed, 0
-        parts.append(done.select(*own, "sequence_id", "offset"))
-        rest, left = (again.select(*own), n) if n else (None, 0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        if shards == 1:
+            return out.unionByName(packed.select(*own, "sequence_id", "offset"))
+        bins = packed.select("sequence_id").distinct().count()
+        saved = bins_before is None or bins < bins_before
+        again = ~F.col("_pack_full") if saved else F.col("_pack_lowest")  # each shard's lowest bin, until one shard holds them
+        out = out.unionByName(packed.filter(~again).select(*own, "sequence_id", "offset"))
+        rest = packed.filter(again)
+        bins_before = rest.select("sequence_id").distinct().count()
+        rest = rest.select(*own)
+        left = rest.count()
     return out
 
 

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -76,6 +77,23 @@ def test_pack_of_unpackable_and_of_no_pieces(spark):
     assert packing.pack(packing.cut(same.limit(0), "t")).count() == 0
 
 
+def test_search_looks_at_all_underfull_bins():
+    rng = random.Random(4)
+    sizes = [rng.randint(300, 520) for _ in range(600)]  # two or three to a bin, many bins underfull
+    bins = packing.Bins(sizes, 1024)
+    bins.best_fit()
+    before = sum(f * f for f in bins.fill)
+    assert sum(f < packing.FULL_ENOUGH * 1024 for f in bins.fill) > packing.WINDOW
+    bins.search()
+    assert sum(f * f for f in bins.fill) > before and sum(bins.fill) == sum(sizes) and max(bins.fill) <= 1024
+
+
+def test_reserved_names_are_refused(spark):
+    for name in ("_pack_x", "offset"):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([(1, 2)], f"length long, {name} int"))
+
+
 def test_sequences_hold_the_tokens_in_order(spark):
     docs = spark.createDataFrame([(i, f"word {i} " * (i % 50)) for i in range(60)], "doc_id long, text string")
     pieces = packing.cut(packing.tokenize(docs, PATH), "t")
