@@ -81,52 +81,57 @@ def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a WARC record, not-modified revisits resolved.
+    """Every page as WARC records of several captures, not-modified revisits resolved.
 
-    The pages have no protocol data, so the records around them are made up by a rule: page n was captured n
-    seconds after the start; a URL with a query or fragment is a revisit answered 304, any other a response;
-    the entity tag changes with the canonical URL and the page's size in units of 4096 bytes.
+    The pages have no protocol data, so the captures are made up by a rule over page_id, k seconds of a million apart:
+    0, a revisit before any response (every fourth page); 1, a response; 2, a revisit; 3, a response with another body
+    (every third page); 4, a revisit that still has the first response's entity tag.
     """
     pages = read(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    again = F.col("url").rlike("[?#]")
-    tag = F.substring(F.md5(F.concat(warc.canonical_url(F.col("url")), F.floor(F.octet_length("html") / 4096).cast("string"))), 1, 8)
-    second = F.lpad((F.col("page_id") % 60).cast("string"), 2, "0")
-    fields = [F.concat(F.lit("Date: second "), second), F.concat(F.lit('ETag: "'), tag, F.lit('"'))]
+    page = F.coalesce("page_id", F.lit(0))
+    captures = F.array(F.when(page % 4 == 0, F.lit(0)), F.lit(1), F.lit(2), F.when(page % 3 == 0, F.lit(3)), F.lit(4))
+    rows = pages.select("*", F.substring(F.md5("html"), 1, 8).alias("tag"), F.explode(F.array_compact(captures)).alias("capture"))
+    again, changed = F.col("capture").isin(0, 2, 4), F.col("capture") == 3
+    fields = [
+        F.concat(F.lit("Date: capture "), F.col("capture").cast("string")),
+        F.concat(F.lit('ETag: "'), F.col("tag"), F.when(changed, "-2").otherwise(""), F.lit('"')),
+    ]
     full = F.concat_ws("\r\n", F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.lit("Cache-Control: max-age=3600"), *fields)
     unchanged = F.concat_ws("\r\n", F.lit("HTTP/1.1 304 Not Modified"), F.lit("Content-Type: text/plain"), F.lit("Cache-Control: max-age=60"), *fields)
     record = warc.record(
         F.when(again, "revisit").otherwise("response"),
-        F.concat(F.lit("<urn:page:"), F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lit(">")),
+        F.concat(F.lit("<urn:page:"), F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lit(":"), F.col("capture").cast("string"), F.lit(">")),
         F.col("url"),
-        F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.date_format(F.timestamp_seconds(1_700_000_000 + F.col("page_id") + 1_000_000 * F.col("capture").cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.when(again, unchanged).otherwise(full),
-        F.when(again, "").otherwise(F.col("html")),
+        F.when(again, "").when(changed, F.concat("html", F.lit("<!-- changed -->"))).otherwise(F.col("html")),
     )
-    found = warc.resolve(warc.parse(pages.select("page_id", record.alias("record")), ("page_id",)), ("page_id",))
+    found = warc.resolve(warc.parse(rows.select("page_id", "capture", record.alias("record")), ("page_id", "capture")), ("page_id", "capture"))
     lines = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
-    return found.select("page_id", F.col("url_key").alias("canonical_url"), "kind", "outcome", "refers_to", lines.alias("headers"), "payload_sha256", "payload_bytes")
+    return found.select("page_id", "capture", F.col("url_key").alias("canonical_url"), "kind", "outcome", "refers_to", lines.alias("headers"), "payload_sha256", "payload_bytes")
 
 
 OP6_SQL = r"""
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS html,
-    regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare, regexp_matches(url, '[?#]') AS again FROM pages),
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, substr(md5(coalesce(html, '')), 1, 8) AS tag,
+    regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
 c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '')
     || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS hostpath,
     array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*\??(.*)$', 1), '&'),
         lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') AS q FROM p),
-k AS (SELECT *, hostpath || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS u FROM c),
-r AS (SELECT *, '"' || substr(md5(u || CAST(strlen(html) // 4096 AS VARCHAR)), 1, 8) || '"' AS tag, lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') AS sec FROM k),
-f AS (SELECT a.*, b.page_id AS bid, b.tag AS btag, sha256(b.html) AS bsha, strlen(b.html) AS bbytes FROM r a
-    LEFT JOIN (SELECT r.*, lead(page_id, 1, 9223372036854775807) OVER (PARTITION BY u ORDER BY page_id) AS nxt FROM r WHERE NOT again) b
-    ON a.again AND a.u = b.u AND b.page_id < a.page_id AND a.page_id <= b.nxt)
-SELECT page_id, u AS canonical_url, CASE WHEN again THEN 'revisit' ELSE 'response' END AS kind,
-    CASE WHEN NOT again THEN 'full' WHEN bid IS NULL THEN 'unresolved' WHEN tag = btag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome,
-    CASE WHEN again AND tag = btag THEN '<urn:page:' || lpad(CAST(bid AS VARCHAR), 12, '0') || '>' END AS refers_to,
+r AS (SELECT page_id, k::INT AS capture, hostpath || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS u, k IN (0, 2, 4) AS again,
+    page_id + 1000000 * k AS at, '<urn:page:' || lpad(CAST(page_id AS VARCHAR), 12, '0') || ':' || k || '>' AS rid,
+    '"' || tag || CASE WHEN k = 3 THEN '-2' ELSE '' END || '"' AS tag, html || CASE WHEN k = 3 THEN '<!-- changed -->' ELSE '' END AS body
+    FROM c, range(5) AS t(k) WHERE (k <> 0 OR page_id % 4 = 0) AND (k <> 3 OR page_id % 3 = 0)),
+f AS (SELECT *, last_value(CASE WHEN NOT again THEN struct_pack(rid := rid, tag := tag, sha := sha256(body), bytes := strlen(body)) END IGNORE NULLS)
+    OVER (PARTITION BY u ORDER BY at, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r)
+SELECT page_id, capture, u AS canonical_url, CASE WHEN again THEN 'revisit' ELSE 'response' END AS kind,
+    CASE WHEN NOT again THEN 'full' WHEN b IS NULL THEN 'unresolved' WHEN tag = b.tag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome,
+    CASE WHEN again AND tag = b.tag THEN b.rid END AS refers_to,
     'cache-control: max-age=' || CASE WHEN again THEN '60' ELSE '3600' END || chr(10) || 'content-type: '
-      || CASE WHEN again AND (bid IS NULL OR tag <> btag) THEN 'text/plain' ELSE 'text/html; charset=utf-8' END || chr(10)
-      || 'date: second ' || sec || chr(10) || 'etag: ' || tag AS headers,
-    CASE WHEN NOT again THEN sha256(html) WHEN tag = btag THEN bsha END AS payload_sha256,
-    CASE WHEN NOT again THEN strlen(html) WHEN tag = btag THEN bbytes END::BIGINT AS payload_bytes FROM f
+      || CASE WHEN again AND (b IS NULL OR tag <> b.tag) THEN 'text/plain' ELSE 'text/html; charset=utf-8' END || chr(10)
+      || 'date: capture ' || capture || chr(10) || 'etag: ' || tag AS headers,
+    CASE WHEN NOT again THEN sha256(body) WHEN tag = b.tag THEN b.sha END AS payload_sha256,
+    CASE WHEN NOT again THEN strlen(body) WHEN tag = b.tag THEN b.bytes END::BIGINT AS payload_bytes FROM f
 """
 
 

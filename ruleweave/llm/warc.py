@@ -19,11 +19,15 @@ have null fields; an empty table gives an empty result; further columns of the r
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import cut
+from ruleweave.llm.common import cut, slices
 
 CRLF = "\r\n"
 #: Header fields of a 304 that replace the stored response's.
@@ -66,16 +70,51 @@ def record(kind: Column, record_id: Column, url: Column, date: Column, http: Col
         F.concat(F.lit("WARC-Date: "), date),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
-    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block)
+    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block, F.lit(CRLF * 2))
+
+
+def split_records(streams: DataFrame, keys: tuple[str, ...], stream: str = "stream") -> DataFrame:
+    """keys, record_no (from 0) and record (binary) of the WARC records in each stream, parted by their Content-Length.
+
+    A record without a valid length ends at the stream's end; bytes between records that are no record are skipped.
+    """
+
+    def parts(raw: bytes) -> list[bytes]:
+        out, at = [], raw.find(b"WARC/")
+        while at >= 0:
+            gap = raw.find(b"\r\n\r\n", at)
+            said = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", raw[at : gap if gap >= 0 else len(raw)])
+            end = gap + 4 + int(said.group(1)) if said and gap >= 0 else len(raw)
+            out.append(raw[at:end])
+            at = raw.find(b"WARC/", end)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 20):
+            found = [parts(r or b"") for r in batch.column("_stream").to_pylist()]
+            taken = batch.select(batch.schema.names[:-1]).take(pa.array([i for i, f in enumerate(found) for _ in f], pa.int64()))
+            made = [pa.array([k for f in found for k in range(len(f))], pa.int32()), pa.array([r for f in found for r in f], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *made], names=[*taken.schema.names, "record_no", "record"])
+
+    fields = ", ".join(f"`{k}` {streams.schema[k].dataType.simpleString()}" for k in keys)
+    return streams.select(*keys, F.col(stream).cast("binary").alias("_stream")).mapInArrow(run, f"{fields}, record_no int, record binary")
 
 
 def parse(records: DataFrame, keys: tuple[str, ...], text: str = "record") -> DataFrame:
-    """keys, kind, record_id, url, captured, status, http (header fields) and body of WARC records."""
+    """keys, kind, record_id, url, captured, status, http (header fields) and body (binary) of WARC records, text or binary.
+
+    The block is as long as Content-Length says, or the rest of the record where it says nothing valid.
+    """
     gap = CRLF * 2
-    after = lambda c: F.when(F.instr(c, gap) > 0, F.substr(c, F.instr(c, gap) + 4))
-    before = lambda c: F.when(F.instr(c, gap) > 0, F.substr(c, F.lit(1), F.instr(c, gap) - 1)).otherwise(c)
-    split = records.select(*keys, headers(before(F.col(text))).alias("_head"), after(F.col(text)).alias("_block"))
-    split = split.select(*keys, "_head", before(F.col("_block")).alias("_http"), F.coalesce(after(F.col("_block")), F.lit("")).alias("body"))
+    before = lambda c: F.substring_index(c.cast("string"), gap, 1)
+    raw = F.col(text).cast("binary")
+    split = records.select(*keys, raw.alias("_raw"), before(raw).alias("_top"))
+    split = split.select(*keys, "_raw", headers(F.col("_top")).alias("_head"), (F.octet_length("_top") + 5).alias("_from"))
+    said = header(F.col("_head"), "content-length").try_cast("int")
+    size = F.when(said >= 0, said).otherwise(F.octet_length("_raw"))
+    split = split.select(*keys, "_head", F.substring(F.col("_raw"), F.col("_from"), size).alias("_block"))
+    split = split.select(*keys, "_head", "_block", before(F.col("_block")).alias("_http"))
+    body = F.substring(F.col("_block"), F.octet_length("_http") + 5, F.octet_length("_block"))
     return split.select(
         *keys,
         F.lower(header(F.col("_head"), "warc-type")).alias("kind"),
@@ -84,7 +123,7 @@ def parse(records: DataFrame, keys: tuple[str, ...], text: str = "record") -> Da
         F.try_to_timestamp(header(F.col("_head"), "warc-date")).alias("captured"),
         F.regexp_extract("_http", r"^HTTP/\S+ (\d{3})", 1).try_cast("int").alias("status"),
         headers(F.col("_http")).alias("http"),
-        "body",
+        F.coalesce(body, F.lit(b"")).alias("body"),
     )
 
 

@@ -27,11 +27,24 @@ def test_record_round_trip(spark):
     df = spark.createDataFrame(rows, "id long, body string")
     text = warc.record(F.lit("response"), F.lit("<urn:1>"), F.lit("http://a/"), F.lit("2024-01-02T03:04:05Z"), F.lit("HTTP/1.1 200 OK\r\nETag: \"x:y\"\r\nbad line\r\nVary: a"), F.col("body"))
     got = warc.parse(df.select("id", text.alias("record")), ("id",)).orderBy("id").collect()
-    assert [r.body for r in got] == [b for _, b in rows]
+    assert [bytes(r.body).decode() for r in got] == [b for _, b in rows]
     assert got[0].kind == "response" and got[0].status == 200 and got[0].url == "http://a/" and got[0].captured == datetime(2024, 1, 2, 3, 4, 5)
     assert [(h.name, h.value) for h in got[0].http] == [("etag", '"x:y"'), ("vary", "a")]
 
 
+def test_streams_are_parted_by_length_and_bodies_end_with_it(spark):
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\nA: b\r\n\r\n%s"
+    bodies = [b"\x00\xff\xfe binary WARC/1.1", b"", b"x" * 300_000]
+    records = [one % (25 + len(b), b) for b in bodies]
+    streams = spark.createDataFrame([(1, b"\r\n\r\n".join(records) + b"\r\n\r\n"), (2, None), (3, b""), (4, b"junk"), (5, records[1][:40])], "id long, stream binary")
+    parted = warc.split_records(streams, ("id",))
+    got = warc.parse(parted, ("id", "record_no")).filter("id = 1").orderBy("record_no").collect()
+    assert [bytes(r.body) for r in got] == bodies and all(r.status == 200 for r in got)
+    assert sorted((r.id, r.record_no) for r in parted.collect()) == [(1, 0), (1, 1), (1, 2), (5, 0)]
+    whole = warc.parse(streams.filter("id = 1").withColumnRenamed("stream", "record"), ("id",)).first()
+    assert bytes(whole.body) == bodies[0]
+
+
 def test_malformed_and_null_records(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "junk"), (4, "WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Date: x\r\n\r\nHTTP/1.1 3"), (4, "junk")], "id long, record string")
     got = warc.resolve(warc.parse(df, ("id",)), ("id",)).collect()
