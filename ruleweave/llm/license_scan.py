@@ -1,26 +1,34 @@
 """License scans by conditional compression.
 
-Lines that mention licensing at all are candidates; a candidate is the line and each sentence in it that
-mentions licensing.  Each is compressed alone and with every template as a zstandard raw dictionary: the more
-a template says what the candidate says, the more its bytes shrink.  Templates are ranked by that reduction,
-and the best few are compared word for word: the fewest wording differences win, and the verdict is
+Lines that mention licensing at all are where a scan looks.  Candidate blocks begin there: the line, each sentence in
+it that mentions licensing, and for each template the lines from it, or up to LEAD lines before it, on that are about
+as many words as the template has, so texts wrapped over lines and paragraphs are found.  Each block is compressed alone and with templates as
+zstandard raw dictionaries: the more a template says what the block says, the more its bytes shrink.  Templates are
+ranked by that reduction, and winners are confirmed word for word:
 
 * ``exact``: no difference but case, punctuation and white space;
 * ``variant``: few differences, none of them in a number or in a word that tells licenses apart;
-* ``unmatched``: neither; the row then names the nearest template and its differences.
+* ``unmatched``: neither; ``license`` is null then, and ``nearest`` names the template of the fewest differences.
 
-The candidate filter is a SQL expression, so only candidate lines reach Python, and every line of every text is
-looked at.  A worker remembers the answers for a bounded number of distinct lines.
+Templates that share too few words with a block to be confirmed are not compressed with it, for want of a chance; of
+the others all are compared, in the order of their ranks, until none can have fewer differences.  Of the blocks
+around a line the confirmed one of most template words less differences stands, and lines inside it are not looked at again.
 
-Defined cases: a null or empty text has no line; each line that mentions licensing gives one row, also when
-lines or rows repeat; an empty table gives an empty result; other columns are not read.
+The candidate filter is a SQL expression, so only texts that mention licensing reach Python, whole.  A worker
+remembers the answers for a bounded number of distinct single lines.
+
+Defined cases: a null or empty text has no line; each line that mentions licensing gives one row or lies in the block of
+an earlier one, also when lines or rows repeat; of templates with equally many differences the better ranked stands; a
+line or sentence of over twice the words of the longest template is of no license and has no nearest one; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -29,37 +37,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.llm.common import slices
-
-# Wordings of common public license notices.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-    ),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "MPL-2.0": ("This work is subject to the terms of the Mozilla Public License, version 2.0.",),
-    "BSD-3-Clause": (
-        "Released under the 3-clause BSD License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-    ),
-    "CC0-1.0": ("Released under CC0 1.0.",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.",),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
-    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
-}
-MENTION = r"(?i)licen[cs]|copyright|permission is hereby|redistribution and use|creative commons|\bcc0\b|\bcc[ -]by\b|all rights reserved"
-#: Words whose change means another license.
-TELLING = frozenset("mit apache gnu gpl lgpl agpl lesser affero bsd clause mozilla mpl cc cc0 by sa nc nd public general".split())
+from ruleweave.llm.license_texts import TEMPLATES
+
+MENTION = (
+    r"(?i)licen[cs]|copyright|permission (is hereby|is granted|to use, copy)|redistribution and use|creative commons|\bcc0\b|\bcc[ -]by\b"
+    r"|all rights reserved|free and unencumbered|free software|without any express or implied warranty|waived all|subject to the terms"
+)
+#: Words whose change means another license, in any template, and in one of few words.
+TELLING = frozenset("mit apache gnu gpl lgpl agpl lesser affero bsd mozilla mpl eclipse epl cc0 boost unlicense attribution sharealike noncommercial noderivatives".split())
+TELLING_IN_NOTICES = TELLING | frozenset("cc by sa nc nd public general clause".split())
+NOTICE_WORDS = 40
 LEVEL = 19
-RANKED = 4
 #: Differing words a variant may have, in hundredths of the template's words.
 VARIANT = 34
 CACHED = 50_000
+#: Lines before a mention where a block may begin: no template is wrapped into more before its first mention.
+LEAD = 3
 
 _MENTION = re.compile(MENTION)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -72,12 +65,21 @@ def wording(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Found:
-    license: str | None
+    nearest: str | None
     plain_bytes: int
     with_bytes: int
     n_edits: int
     differences: tuple[str, ...]
     verdict: str
+    n_words: int = 0
+    n_lines: int = 1
+
+    @property
+    def license(self) -> str | None:
+        return None if self.verdict == "unmatched" else self.nearest
+
+
+_ORDER = {"exact": 0, "variant": 1, "unmatched": 2}
 
 
 class Scanner:
@@ -87,72 +89,124 @@ class Scanner:
         import zstandard
 
         self.templates = [(name, wording(t)) for name, texts in templates.items() for t in texts]
+        self.bags = [Counter(words) for _, words in self.templates]
+        self.most = 2 * max(len(words) for _, words in self.templates)
         raw = [t for texts in templates.values() for t in texts]
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         dictionaries = [zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for t in raw]
         self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False) for d in dictionaries]
 
-    def ranked(self, block: str) -> tuple[int, list[tuple[int, int]]]:
+    def ranked(self, block: str, among: list[int] | None = None) -> tuple[int, list[tuple[int, int]]]:
         """Bytes of the block alone, and (bytes, template number), smallest first."""
-        data = block.encode()
-        return len(self.alone.compress(data)), sorted((len(c.compress(data)), k) for k, c in enumerate(self.given))
+        data = block.encode("utf-8", "replace")
+        among = range(len(self.given)) if among is None else among
+        return len(self.alone.compress(data)), sorted((len(self.given[k].compress(data)), k) for k in among)
+
+    def least_edits(self, said: Counter, n_said: int, k: int) -> int:
+        """A bound that the differences of a block from a template can't be below: the words they don't share."""
+        shared = sum((said & self.bags[k]).values())
+        return max(len(self.templates[k][1]), n_said) - shared
 
-    def _compared(self, block: str) -> Found:
-        alone, order = self.ranked(block)
+    def compared(self, block: str, among: list[int] | None = None) -> Found:
+        """The template of the fewest differences from a block."""
         said, best = wording(block), None
+        bag = Counter(said)
+        alone, order = self.ranked(block, among)
         for rank, (size, k) in enumerate(order):
-            if rank >= RANKED and size > order[RANKED - 1][0]:  # ties with the last one are compared too
-                break
             name, words = self.templates[k]
+            if best is not None and self.least_edits(bag, len(said), k) >= best.n_edits:
+                continue
             edits = [(op, words[a:b], said[c:d]) for op, a, b, c, d in SequenceMatcher(None, words, said, autojunk=False).get_opcodes() if op != "equal"]
             n = sum(max(len(x), len(y)) for _, x, y in edits)
-            if best is None or (n, rank) < best[0]:
-                told = any(w in TELLING or any(ch.isdigit() for ch in w) for _, x, y in edits for w in (*x, *y))
+            if best is None or n < best.n_edits:
+                telling = TELLING_IN_NOTICES if len(words) <= NOTICE_WORDS else TELLING
+                told = any(w in telling or any(ch.isdigit() for ch in w) for _, x, y in edits for w in (*x, *y))
                 verdict = "exact" if not n else "variant" if 100 * n <= VARIANT * len(words) and not told else "unmatched"
                 diff = tuple(" ".join([*(f"-{w}" for w in x), *(f"+{w}" for w in y)]) for _, x, y in edits)
-                best = ((n, rank), Found(name, alone, size, n, diff, verdict))
-        return best[1]
+                best = Found(name, alone, size, n, diff, verdict, len(words))
+        return best
 
-    def scan(self, line: str) -> Found:
+    def line(self, line: str) -> Found:
         """The best answer for a line, as a whole or by a sentence of it."""
         sentences = [s for s in _SENTENCE.split(line) if _MENTION.search(s)]
-        units = dict.fromkeys([line, *sentences] if len(line) <= 2000 else sentences or [line])
-        order = {"exact": 0, "variant": 1, "unmatched": 2}
-        return min((self._compared(u) for u in units), key=lambda f: (order[f.verdict], f.n_edits, -f.plain_bytes))
+        units = [u for u in dict.fromkeys([line, *sentences]) if len(wording(u)) <= self.most]
+        if not units:
+            return Found(None, len(self.alone.compress(line.encode("utf-8", "replace"))), 0, 0, (), "unmatched")
+        return min((self.compared(u) for u in units), key=lambda f: (_ORDER[f.verdict], f.n_edits, -f.plain_bytes))
+
+    def blocks(self, lines: list[str], first: int) -> Iterator[tuple[str, int, list[int]]]:
+        """(block, lines, templates) of the blocks of more than one line that begin with a line and can be confirmed."""
+        said: list[str] = []
+        ends: list[int] = []
+        for line in lines[first:]:
+            said += wording(line)
+            ends.append(len(said))
+            if len(said) >= self.most:
+                break
+        wanted: dict[int, list[int]] = {}
+        for k, (_, words) in enumerate(self.templates):
+            n = min(range(len(ends)), key=lambda i: abs(ends[i] - len(words))) + 1
+            if n > 1 and 100 * self.least_edits(Counter(said[: ends[n - 1]]), ends[n - 1], k) <= VARIANT * len(words):
+                wanted.setdefault(n, []).append(k)
+        for n, among in wanted.items():
+            yield "\n".join(lines[first : first + n]), n, among
+
+    @staticmethod
+    def _rank(found: Found) -> tuple[bool, int, int]:
+        """Confirmed blocks first, then those of most template words less differences, then shorter ones."""
+        return found.verdict == "unmatched", found.n_edits - found.n_words, found.n_lines
+
+    def scan(self, text: str, known: dict[str, Found]) -> Iterator[tuple[int, Found]]:
+        """(line number, answer) of the blocks of a text; known has the answers for single lines."""
+        lines, covered = text.split("\n"), 0
+        for at, line in enumerate(lines):
+            if at < covered or not _MENTION.search(line):
+                continue
+            best = known.get(line)
+            if best is None:
+                best = self.line(line)
+                if len(known) >= CACHED:
+                    known.clear()
+                if len(line) <= 2000:
+                    known[line] = best
+            begun, rank = at, self._rank(best)
+            for first in range(max(covered, at - LEAD), at + 1):
+                for block, n, among in self.blocks(lines, first):
+                    if first + n > at:
+                        found = replace(self.compared(block, among), n_lines=n)
+                        if found.verdict != "unmatched" and self._rank(found) < rank:
+                            best, begun, rank = found, first, self._rank(found)
+            covered = begun + best.n_lines
+            yield begun, best
 
 
 @lru_cache(maxsize=1)
-def _scanner() -> Scanner:
+def scanner() -> Scanner:
     return Scanner()
 
 
 def candidates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keys, line_no (from 0) and line of every line that mentions licensing."""
-    lines = docs.filter(F.col(text).rlike(MENTION)).select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    return lines.filter(F.col("line").rlike(MENTION))
+    """keys and text of the rows that mention licensing."""
+    return docs.filter(F.col(text).rlike(MENTION)).select(*keys, F.col(text).alias("_text"))
 
 
 def scan(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keys, line_no, license, plain_bytes, with_bytes, n_edits, differences and verdict of every candidate line."""
-    answer = pa.struct([("license", pa.string()), ("plain_bytes", pa.int64()), ("with_bytes", pa.int64()), ("n_edits", pa.int32()), ("differences", pa.list_(pa.string())), ("verdict", pa.string())])
+    """keys, line_no (from 0), n_lines, license, nearest, plain_bytes, with_bytes, n_edits, differences and verdict of every block."""
+    answer = pa.schema(
+        [("line_no", pa.int32()), ("n_lines", pa.int32()), ("license", pa.string()), ("nearest", pa.string()), ("plain_bytes", pa.int64())]
+        + [("with_bytes", pa.int64()), ("n_edits", pa.int32()), ("differences", pa.list_(pa.string())), ("verdict", pa.string())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Found] = {}
         for batch in slices(batches):
-            rows = []
-            for line in batch.column("line").to_pylist():
-                found = known.get(line)
-                if found is None:
-                    found = _scanner().scan(line)
-                    if len(known) >= CACHED:
-                        known.clear()
-                    if len(line) <= 2000:
-                        known[line] = found
-                rows.append({"license": found.license, "plain_bytes": found.plain_bytes, "with_bytes": found.with_bytes, "n_edits": found.n_edits, "differences": list(found.differences), "verdict": found.verdict})
-            made = pa.array(rows, answer)
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, *made.flatten()], names=[*batch.schema.names[:-1], *[f.name for f in answer]])
+            found = [(i, at, f) for i, t in enumerate(batch.column("_text").to_pylist()) for at, f in scanner().scan(t, known)]
+            taken = batch.select(batch.schema.names[:-1]).take(pa.array([i for i, _, _ in found], pa.int64()))
+            rows = [(at, f.n_lines, f.license, f.nearest, f.plain_bytes, f.with_bytes, f.n_edits, list(f.differences), f.verdict) for _, at, f in found]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(answer)
+            made = [pa.array(list(c), f.type) for c, f in zip(columns, answer, strict=True)]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *made], names=[*taken.schema.names, *answer.names])
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    more = "line_no int, license string, plain_bytes bigint, with_bytes bigint, n_edits int, differences array<string>, verdict string"
+    more = "line_no int, n_lines int, license string, nearest string, plain_bytes bigint, with_bytes bigint, n_edits int, differences array<string>, verdict string"
     return candidates(docs, keys, text).mapInArrow(run, f"{fields}, {more}")
