@@ -84,12 +84,12 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as WARC records of several captures, not-modified revisits resolved.
 
     The pages have no protocol data, so the captures are made up by a rule over page_id, k seconds of a million apart:
-    0, a revisit before any response (every fourth page); 1, a response; 2, a revisit; 3, a response with another body
-    (every third page); 4, a revisit that still has the first response's entity tag.
+    0, a revisit before any response (pages of even number); 1, a response; 2, a revisit; 3, a response with another body
+    (pages of odd number); 4, a revisit that still has the first response's entity tag.
     """
     pages = read(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     page = F.coalesce("page_id", F.lit(0))
-    captures = F.array(F.when(page % 4 == 0, F.lit(0)), F.lit(1), F.lit(2), F.when(page % 3 == 0, F.lit(3)), F.lit(4))
+    captures = F.array(F.when(page % 2 == 0, F.lit(0)), F.lit(1), F.lit(2), F.when(page % 2 != 0, F.lit(3)), F.lit(4))
     rows = pages.select("*", F.substring(F.md5("html"), 1, 8).alias("tag"), F.explode(F.array_compact(captures)).alias("capture"))
     again, changed = F.col("capture").isin(0, 2, 4), F.col("capture") == 3
     fields = [
@@ -119,11 +119,11 @@ c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?
     array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*\??(.*)$', 1), '&'),
         lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') AS q FROM p),
 r AS (SELECT page_id, k::INT AS capture, hostpath || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS u, k IN (0, 2, 4) AS again,
-    page_id + 1000000 * k AS at, '<urn:page:' || lpad(CAST(page_id AS VARCHAR), 12, '0') || ':' || k || '>' AS rid,
+    page_id + 1000000 * k AS seconds, '<urn:page:' || lpad(CAST(page_id AS VARCHAR), 12, '0') || ':' || k || '>' AS rid,
     '"' || tag || CASE WHEN k = 3 THEN '-2' ELSE '' END || '"' AS tag, html || CASE WHEN k = 3 THEN '<!-- changed -->' ELSE '' END AS body
-    FROM c, range(5) AS t(k) WHERE (k <> 0 OR page_id % 4 = 0) AND (k <> 3 OR page_id % 3 = 0)),
+    FROM c, range(5) AS t(k) WHERE (k <> 0 OR coalesce(page_id, 0) % 2 = 0) AND (k <> 3 OR coalesce(page_id, 0) % 2 <> 0)),
 f AS (SELECT *, last_value(CASE WHEN NOT again THEN struct_pack(rid := rid, tag := tag, sha := sha256(body), bytes := strlen(body)) END IGNORE NULLS)
-    OVER (PARTITION BY u ORDER BY at, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r)
+    OVER (PARTITION BY u ORDER BY seconds, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r)
 SELECT page_id, capture, u AS canonical_url, CASE WHEN again THEN 'revisit' ELSE 'response' END AS kind,
     CASE WHEN NOT again THEN 'full' WHEN b IS NULL THEN 'unresolved' WHEN tag = b.tag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome,
     CASE WHEN again AND tag = b.tag THEN b.rid END AS refers_to,
