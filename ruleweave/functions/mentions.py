@@ -12,6 +12,8 @@ AMENDED_BEFORE = r"(?i)\bamended\s+by\b|\brepealed\b[^\n]{0,60}\badded\s+by\b|\b
 CURRENT_VERSION = r"(?i)\[\s*text\s+of\s+(?:the\s+)?section\s+as\s+amended\s+by\b[^\]]*$"
 #: Characters looked at before and after a mention.
 BEFORE, AFTER = 400, 60
+#: Characters of the shortest mention, as in 1/1/26.
+SHORTEST = 6
 
 
 def date_pattern(iso: Column) -> Column:
@@ -20,6 +22,7 @@ def date_pattern(iso: Column) -> Column:
     name = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.greatest(F.lit(1), F.least(F.lit(12), month)))
     named = F.concat(F.lit("(?:"), name, F.lit("|"), F.substring(name, 1, 3), F.lit(r"\.?)"))
     number = month.cast("string")
+    # Month and day in words, day and month in words, figures, and ISO.
     ordinal = r"(?:st|nd|rd|th)?"
     ways = [
         F.concat(named, F.lit(r"\s+0?"), day, F.lit(ordinal + r",?\s+"), year),
@@ -39,12 +42,12 @@ def date_context(text: Column, iso: Column) -> Column:
     pattern = date_pattern(iso)
     body = F.coalesce(text, F.lit(""))
     hits, gaps = F.regexp_extract_all(body, pattern, F.lit(0)), F.split(body, pattern)
-    span = 8  # cuts put together on either side: mentions have six characters or more, and rarely stand side by side
+    back_span, ahead_span = BEFORE // SHORTEST + 1, AFTER // SHORTEST + 1  # as many cuts as can stand in what is looked at
 
     def around(i: Column) -> tuple[Column, Column]:
-        first = F.greatest(F.lit(0), i - span)
+        first = F.greatest(F.lit(0), i - back_span)
         back = F.concat(F.flatten(F.transform(F.sequence(first, i), lambda k: F.when(k < i, F.array(F.get(gaps, k), F.get(hits, k))).otherwise(F.array(F.get(gaps, k))))))
-        ahead = F.flatten(F.transform(F.sequence(i + 1, i + span), lambda k: F.array(F.get(gaps, k), F.get(hits, k))))
+        ahead = F.flatten(F.transform(F.sequence(i + 1, i + ahead_span), lambda k: F.array(F.get(gaps, k), F.get(hits, k))))
         return F.right(F.array_join(back, ""), F.lit(BEFORE)), F.left(F.array_join(ahead, ""), F.lit(AFTER))
 
     def kind(hit: Column, i: Column) -> Column:

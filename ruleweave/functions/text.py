@@ -14,7 +14,11 @@ SPACES = r"[\s   -     　﻿]+"
 SHORTEST_QUOTE = 20
 # Number words of figures.
 NUMBER_WORDS = {"one": 1, "first": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
-CATEGORY_CODES = {"rent": "RENT", "algo": "ALGO", "deposit": "DEP", "fee": "FEE"}
+# The code of each category of law in rule ids.
+CATEGORY_CODES = {
+    "rent_increase_limits": "RENT", "just_cause_eviction": "EVICT", "security_deposits": "DEP",
+    "application_screening_fees": "FEE", "screening_restrictions": "SCREEN", "algorithmic_rent_setting": "ALG",
+}
 
 
 def fold_chars(text: Column) -> Column:
@@ -70,21 +74,32 @@ def parse_header(text: Column) -> Column:
 
 
 def normalize_citation(citation: Column) -> Column:
+    """Lower case, without section signs and the words section(s) and sec., blanks as one."""
     plain = F.regexp_replace(F.lower(citation), "§", " ")
-    return squash(F.regexp_replace(plain, r"\b(sections?|secs?)\b\.?", " "))
+    return squash(F.regexp_replace(plain, r"\b(?:sections?|sec)\b\.?", " "))
 
 
-def team_rule_id(jurisdiction: Column, category_code: Column, citation: Column) -> Column:
-    """State, slugged city, category code and six hex digits of the citation."""
-    city = F.when(F.contains(jurisdiction, F.lit(",")), F.regexp_replace(F.upper(F.regexp_extract(jurisdiction, r"^([^,]*)", 1)), r"[^A-Z0-9]+", ""))
-    state = F.trim(F.regexp_extract(jurisdiction, r"([^,]*)$", 1))
-    return F.concat_ws("-", state, city, category_code, F.substring(F.sha2(normalize_citation(citation), 256), 1, 6))
+def category_code(category: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in CATEGORY_CODES.items() for x in pair]), category)
+
+
+def team_rule_id(jurisdiction: Column, category: Column, citation: Column) -> Column:
+    """State, slugged city, category code and six hex digits of jurisdiction, category and citation."""
+    name = F.upper(F.trim(F.regexp_extract(jurisdiction, r"^([^,]*)", 1)))
+    city = F.when(F.contains(jurisdiction, F.lit(",")), F.regexp_replace(F.regexp_replace(name, r"[^A-Z0-9]+", "-"), "^-+|-+$", ""))
+    state = F.upper(F.trim(F.regexp_extract(jurisdiction, r"([^,]*)$", 1)))
+    digest = F.sha2(F.concat_ws("|", jurisdiction, category, normalize_citation(citation)), 256)
+    return F.concat_ws("-", state, city, category_code(category), F.substring(digest, 1, 6))
 
 
 def citation_in_source(citation: Column, text: Column) -> Column:
-    """Whether every number or section token of the citation occurs in the text; false without any."""
-    tokens = F.regexp_extract_all(citation, F.lit(r"(\d+(?:[.:-]\d+)*)"), 1)
-    return (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(text, t))
+    """Whether every section token of the citation occurs in the text; false without any.
+
+    A token begins with a digit that follows neither a letter, a digit nor an opening parenthesis, and keeps its letters.
+    """
+    dashed = lambda c: F.translate(c, DASHES, "-" * len(DASHES))
+    tokens = F.regexp_extract_all(dashed(citation), F.lit(r"(?<![\w(])(\d[0-9A-Za-z]*(?:[.:-][0-9A-Za-z]+)*)"), 1)
+    return (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(dashed(text), t))
 
 
 def fold_quantity(text: Column) -> Column:
@@ -104,6 +119,7 @@ def parse_months(text: Column) -> Column:
     rent" states no figure, while "one and a half times one month's rent" does.
     """
     n = r"(\d+(?:\.\d+)?|" + "|".join(NUMBER_WORDS) + ")"
+    # The wordings of figures, in the order they are taken out.
     steps = [
         (rf"\b{n} and (?:one|a) half\b", lambda m: _number(m) + 0.5),
         (r"\b(\d+) 1/2\b", lambda m: _number(m) + 0.5),
@@ -120,10 +136,11 @@ def parse_months(text: Column) -> Column:
 
 
 def parse_dollars(text: Column) -> Column:
-    """Distinct dollar figures."""
-    folded = fold_quantity(text)
-    signed = F.regexp_extract_all(folded, F.lit(r"\$ ?(\d[\d,]*(?:\.\d+)?)"), 1)
-    worded = F.regexp_extract_all(folded, F.lit(r"(?<![\d.,$])(\d[\d,]*(?:\.\d+)?) dollars"), 1)
+    """Distinct dollar figures, signed or followed by the word dollars."""
+    plain = F.regexp_replace(text, r"\s+", " ")
+    # How a figure is written.
+    signed = F.regexp_extract_all(plain, F.lit(r"\$\s?(\d[\d,]*(?:\.\d+)?)"), 1)
+    worded = F.regexp_extract_all(plain, F.lit(r"(?i)\b(\d[\d,]*(?:\.\d+)?)\s+dollars\b"), 1)
     return F.array_sort(F.array_distinct(F.transform(F.concat(signed, worded), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))))
 
 
@@ -140,47 +157,65 @@ def safe_href(url: Column) -> Column:
     return F.when(url.rlike("(?i)^https?://"), url)
 
 
+# Named entities that are decoded.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "sect": "§", "mdash": "—", "ndash": "–", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“"}
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric character references decoded once; unknown names stay as they are."""
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def decoded(part: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(part, r"^(#x?[0-9A-Fa-f]+|[A-Za-z]+);", 1))
+        number = F.when(name.rlike("^#x[0-9a-f]+$"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.rlike("^#[0-9]+$"), F.substring(name, 2, 8)).cast("long")
+        point = F.when(number.between(0, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        char = F.coalesce(point, F.try_element_at(named, name))
+        rest = F.substr(part, F.length(name) + 2)
+        return F.when(i == 0, part).when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, rest))
+
+    return F.array_join(F.transform(F.split(text, "&"), decoded), "")
+
+
 def html_to_text(html: Column) -> Column:
-    """Text of a page: hidden blocks dropped, block ends as newlines, tags dropped, entities decoded, blanks tidied."""
-    # Named entities that are decoded.
-    named = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
-    text = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg|head)\b[^>]*>.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?is)<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(p|div|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer)\s*>", "\n")
-    text = F.regexp_replace(text, r"(?s)<[^>]+>", "")
-    for name, char in named.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return tidy(text)
+    """Visible text of a page: hidden blocks dropped, ends of blocks as newlines, tags as blanks, entities decoded, blanks tidied."""
+    # Elements whose content is hidden, and tags that end a line.
+    text = F.regexp_replace(html, r"(?i)<(script|style|noscript|svg|head)\b[\s\S]*?</\1>", " ")
+    text = F.regexp_replace(text, r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/section|/article)\b[^>]*>", "\n")
+    return tidy(decode_entities(F.regexp_replace(text, r"<[^>]+>", " ")))
 
 
 def tidy(text: Column) -> Column:
-    """Runs of blanks as one, blanks around newlines dropped, three or more newlines as two."""
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    """Runs of blanks as one, lines trimmed, three or more newlines as two, the whole trimmed."""
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\u00a0]+", " "), r"[ \r\f\x0B]*\n[ \r\f\x0B]*", "\n")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^[\s\ufeff]+|[\s\ufeff]+$", "")
 
 
 def docx_to_text(xml: Column) -> Column:
-    """Text of a word-processing document's XML."""
+    """Text of a word-processing document's XML, a line a paragraph."""
     text = F.regexp_replace(F.regexp_replace(xml, r"<w:tab\b[^>]*/>", "\t"), r"<w:br\b[^>]*/>|</w:p>", "\n")
-    return tidy(F.regexp_replace(text, r"<[^>]+>", ""))
+    return tidy(decode_entities(F.regexp_replace(text, r"<[^>]+>", "")))
 
 
 def unit_bounds(description: Column) -> Column:
-    """struct(units_min, units_max) of a use description; null where it states none or is ambiguous."""
-    words = F.create_map(*[x for w, n in NUMBER_WORDS.items() for x in (F.lit(w), F.lit(n))])
-    low = F.lower(description)
-    count = lambda c: F.coalesce(F.try_element_at(words, c), c.try_cast("int"))
-    token = r"(\d+|" + "|".join(NUMBER_WORDS) + ")"
-    between = F.regexp_extract(low, rf"\b{token} ?(?:-|to) ?{token} (?:units?|famil)", 1), F.regexp_extract(low, rf"\b{token} ?(?:-|to) ?{token} (?:units?|famil)", 2)
-    least = F.coalesce(F.nullif(F.regexp_extract(low, rf"\b{token} (?:units? )?or more\b", 1), F.lit("")), F.nullif(F.regexp_extract(low, r"\b(\d+)\+ ?units?\b", 1), F.lit("")))
-    singles = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"\b{token}[ -](?:units?|family|families)\b"), 1))
-    bounds = lambda a, b: F.struct(a.alias("units_min"), b.alias("units_max"))
+    """struct(units_min, units_max) that a use description states outright; null where it states none or several."""
+    # The wordings of unit counts, the first that occurs decides; a bare figure counts before a U alone.
+    between, over = r"(?i)(\d+)\s*(?:-|to)\s*(\d+)\s*-?\s*units?\b", r"(?i)>\s*(\d+)\s*-?\s*units?\b"
+    plus, more = r"(?i)(\d+)\s*\+\s*units?\b", r"(?i)(\d+)\s*units?\s+or\s+more"
+    worded = r"(?i)\b(two|three|four|five|six|seven|eight|nine|ten)\s+or\s+more\b"
+    alone = r"(?<![\d.])(\d+)\s?U(?![A-Za-z]*NIT)(?=[^A-Za-z]|[A-Z]?$|G\b)"
+    said = F.trim(description)
+    first = lambda p, i=1: F.nullif(F.regexp_extract(said, p, i), F.lit(""))
+    bounds = lambda a, b: F.struct(a.cast("int").alias("units_min"), b.cast("int").alias("units_max"))
+    open_end = F.lit(None)
+    single_figures = F.regexp_extract_all(said, F.lit(alone), 1)
+    number = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, n)])
     return (
-        F.when(between[0] != "", bounds(count(between[0]), count(between[1])))
-        .when(least.isNotNull(), bounds(count(least), F.lit(None).cast("int")))
-        .when(low.rlike(r"\bsingle[ -]family\b"), bounds(F.lit(1), F.lit(1)))
-        .when(low.rlike(r"\bduplex\b"), bounds(F.lit(2), F.lit(2)))
-        .when(F.size(singles) == 1, bounds(count(F.get(singles, F.lit(0))), count(F.get(singles, F.lit(0)))))
+        F.when(first(between).isNotNull(), bounds(first(between), first(between, 2)))
+        .when(first(over).isNotNull(), bounds(first(over).cast("int") + 1, open_end))
+        .when(first(plus).isNotNull(), bounds(first(plus), open_end))
+        .when(first(more).isNotNull(), bounds(first(more), open_end))
+        .when(first(worded).isNotNull(), bounds(F.try_element_at(number, F.lower(first(worded))), open_end))
+        .when(F.size(single_figures) == 1, bounds(F.get(single_figures, F.lit(0)), F.get(single_figures, F.lit(0))))
     )
 
 

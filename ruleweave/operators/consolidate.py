@@ -42,17 +42,21 @@ def close_dates(days: Column) -> Column:
     return F.filter(every, lambda d, i: F.coalesce(F.datediff(d, F.get(every, i - 1)) < CLOSE_DAYS, F.lit(False)) | F.coalesce(F.datediff(F.get(every, i + 1), d) < CLOSE_DAYS, F.lit(False)))
 
 
-def resolve_status(statuses: Column, dated: Column) -> Column:
-    """The status a group's statuses give: enacted (if one of them is dated) or failed beat pending; others conflict.
+def resolve_status(own: Column, statuses: Column, dated: Column) -> Column:
+    """struct(status, conflict) of a group: its primary's own status, the distinct statuses of its verified members, and
+    whether a verified enacted member has a date.
 
-    statuses is the set of distinct ones; dated says whether an enacted member has a date.
+    Enacted with a date, or failed, beats pending. Enacted against failed, and enacted without a date, are conflicts that
+    stay with the primary.
     """
     has = lambda s: F.array_contains(statuses, s)
+    given = lambda status, conflict: F.struct(status.alias("status"), F.lit(conflict).alias("conflict"))
     return (
-        F.when(F.size(statuses) == 1, F.get(statuses, F.lit(0)))
-        .when(has("enacted") & has("failed"), "conflict")
-        .when(has("enacted"), F.when(dated, "enacted").otherwise("conflict"))
-        .when(has("failed"), "failed")
+        F.when(F.size(statuses) < 2, given(own, False))
+        .when(has("enacted") & has("failed"), given(own, True))
+        .when(has("failed"), given(F.lit("failed"), False))
+        .when(dated, given(F.lit("enacted"), False))
+        .otherwise(given(own, True))
     )
 
 

@@ -13,11 +13,17 @@ def lookup_rows(results: DataFrame) -> DataFrame:
     return results.filter("result <> 'not_applicable'")
 
 
+# The relations of a state rule's own precedence text that name local rules.
+LOCAL_RELATIONS = ("yields_to_stricter_local", "preempts_local")
+
+
 def rule_links(rules: DataFrame) -> DataFrame:
-    """(team_rule_id, linked): state and city rules of one category and state name each other, in id order."""
-    sides = rules.select("team_rule_id", "category", state_of(F.col("jurisdiction")).alias("state"), level_of(F.col("jurisdiction")).alias("level"))
-    other = sides.select(F.col("team_rule_id").alias("other_id"), "category", "state", F.col("level").alias("other_level"))
-    return sides.join(other, ["category", "state"]).filter("level <> other_level").groupBy("team_rule_id").agg(F.array_sort(F.collect_list("other_id")).alias("linked"))
+    """(team_rule_id, linked): a state rule whose relation names local rules and the city rules of its category, each way, in id order."""
+    sides = rules.select("team_rule_id", "category", state_of(F.col("jurisdiction")).alias("state"), level_of(F.col("jurisdiction")).alias("level"), "relation")
+    states = sides.filter((F.col("level") == "state") & F.col("relation").isin(*LOCAL_RELATIONS)).select(F.col("team_rule_id").alias("state_rule"), "category", "state")
+    pairs = states.join(sides.filter("level = 'city'").select(F.col("team_rule_id").alias("city_rule"), "category", "state"), ["category", "state"])
+    each = F.explode(F.array(F.struct(F.col("state_rule").alias("a"), F.col("city_rule").alias("b")), F.struct(F.col("city_rule").alias("a"), F.col("state_rule").alias("b"))))
+    return pairs.select(each.alias("p")).groupBy(F.col("p.a").alias("team_rule_id")).agg(F.array_sort(F.collect_list("p.b")).alias("linked"))
 
 
 def exportable_split(rules: DataFrame, docs: DataFrame) -> DataFrame:
@@ -27,7 +33,7 @@ def exportable_split(rules: DataFrame, docs: DataFrame) -> DataFrame:
     """
     literal = F.substr(F.col("text"), F.col("span_start") + 1, F.col("span_end") - F.col("span_start")) == F.col("quoted_span")
     joined = rules.join(docs.select(F.col("doc_id").alias("source_doc_id"), "text"), "source_doc_id", "left")
-    why = F.when(~F.coalesce("verified", F.lit(False)), "not_verified").when(F.col("text").isNull(), "no_document").when(~F.coalesce(literal, F.lit(False)), "stale_quote")
+    why = F.when(~F.coalesce("verified", F.lit(False)), "not_verified").when(F.col("text").isNull(), "source_document_missing").when(~F.coalesce(literal, F.lit(False)), "quote_does_not_match_source")
     return joined.withColumn("withheld", why).drop("text")
 
 

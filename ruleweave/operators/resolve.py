@@ -6,45 +6,92 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SURE, VARIANT, AMBIGUOUS, FALLBACK = 0.95, 0.85, 0.7, 0.5
+# Postal names of neighbourhoods, and the legal city each lies in.
+NEIGHBOURHOODS = {
+    "dorchester": "Boston, MA", "roxbury": "Boston, MA", "east boston": "Boston, MA", "brighton": "Boston, MA", "allston": "Boston, MA",
+    "south boston": "Boston, MA", "jamaica plain": "Boston, MA", "hyde park": "Boston, MA", "mattapan": "Boston, MA", "san ysidro": "San Diego, CA",
+}
+# How assessors write units, ranges of house numbers, house letters and ordinal streets.
+UNIT = r"(?i)\s+(?:(?:APT|UNIT|STE|SUITE|FL|FLOOR)\.?\s*[A-Z0-9-]+|#\s*[A-Z0-9-]+|\d+/\d+)\b"
+RANGE = r"(?i)^(\d+)[A-Z]?\s*[-&]\s*(\d+)(?:\.\d+)?[A-Z]?\s+(.+)$"
+HOUSE_LETTER = r"(?i)^(\d+)[A-Z]\b"
+ZERO_ORDINAL = r"(?i)\b0+(\d+(?:ST|ND|RD|TH))\b"
+
+
+def _clean(street: Column) -> Column:
+    return F.regexp_replace(F.trim(street), r"\s+", " ")
 
 
 def build_variants(street: Column, city: Column, state: Column, zip_code: Column) -> Column:
-    """Ordered array of (variant, query) to try for an address; a repeated query keeps its first variant only."""
-    line = lambda s, z=True: F.concat_ws(", ", s, city, F.concat_ws(" ", state, zip_code) if z else state)
+    """Ordered array of (variant, query) to try for an address; a repeated query keeps its first variant only.
+
+    Only the address as given has its zip. Where the house number is a range, units and house letters are taken from
+    the form with its first number.
+    """
+    street = _clean(street)
+    line = lambda s: F.concat(s, F.lit(", "), city, F.lit(", "), state)
+    ranged = street.rlike(RANGE)
+    core = F.when(ranged, F.regexp_replace(street, RANGE, "$1 $3")).otherwise(street)
+    no_unit = _clean(F.regexp_replace(core, UNIT, ""))
     tried = [
-        ("as_given", line(street)),
-        ("without_zip", line(street, False)),
-        ("ordinal_zero_removed", line(F.regexp_replace(street, r"(?i)\b0+(\d+(?:st|nd|rd|th)\b)", "$1"))),
-        ("range_first", line(F.regexp_replace(street, r"^(\d+)\s*-\s*(\d+)\b", "$1"))),
-        ("range_last", line(F.regexp_replace(street, r"^(\d+)\s*-\s*(\d+)\b", "$2"))),
-        ("unit_removed", line(F.regexp_replace(street, r"(?i)\s+(?:apt|unit|ste|#)\.?\s*\S+$", ""))),
-        ("house_letter_removed", line(F.regexp_replace(street, r"^(\d+)[A-Za-z]\b", "$1"))),
+        ("as_given", F.when(F.coalesce(zip_code, F.lit("")) != "", F.concat(line(street), F.lit(" "), zip_code)).otherwise(line(street))),
+        ("without_zip", line(street)),
+        ("ordinal_zero_removed", line(F.regexp_replace(street, ZERO_ORDINAL, "$1"))),
+        ("range_first", F.when(ranged, line(core))),
+        ("range_last", F.when(ranged, line(F.regexp_replace(street, RANGE, "$2 $3")))),
+        ("unit_removed", line(no_unit)),
+        ("house_letter_removed", line(F.regexp_replace(no_unit, HOUSE_LETTER, "$1"))),
     ]
-    every = F.array(*[F.struct(F.lit(name).alias("variant"), q.alias("query")) for name, q in tried])
+    every = F.filter(F.array(*[F.struct(F.lit(name).alias("variant"), q.alias("query")) for name, q in tried]), lambda v: v["query"].isNotNull())
     return F.filter(every, lambda v, i: ~F.exists(F.slice(every, 1, i), lambda o: o["query"] == v["query"]))
 
 
+def postal_city(city: Column, state: Column) -> Column:
+    """The legal city a postal name means: that of the neighbourhood table if it lies in the state, else the name itself."""
+    table = F.try_element_at(F.create_map(*[F.lit(x) for pair in NEIGHBOURHOODS.items() for x in pair]), F.lower(F.trim(city)))
+    return F.when(F.endswith(table, F.concat(F.lit(", "), state)), table).otherwise(F.concat(F.trim(city), F.lit(", "), state))
+
+
+def matched_state(stated: Column, matched_address: Column) -> Column:
+    """The state of a match: that of its geography, else the one its address ends with."""
+    ending = F.nullif(F.regexp_extract(matched_address, r",\s*([A-Z]{2})\s*,?\s*\d{0,5}\s*$", 1), F.lit(""))
+    return F.coalesce(F.upper(F.nullif(stated, F.lit(""))), ending)
+
+
 def resolve(attempts: DataFrame, addresses: DataFrame) -> DataFrame:
-    """One row an address: state, legal_city, method and confidence.
+    """One row an address: state, county, legal_city, method, confidence and note.
 
-    attempts: (address_id, attempt_no, variant, matched_state, place): a row a match of a cached response.
-    The first attempt whose matches in the address's state all name one place wins; else an ambiguous attempt
-    that offers the postal city; else the postal city itself; an address without any attempt is unresolved.
+    attempts: (address_id, attempt_no, variant, matched_state, place, county): a row a match of a cached response, or one
+    of nulls for a response without any. The first attempt whose matches in the address's state all name one place
+    wins; else the first that offers the postal city among several; else the postal city itself. An address without any
+    attempt is unresolved.
     """
-    own = addresses.select("address_id", F.col("state").alias("own_state"), "postal_city")
-    inside = attempts.join(own, "address_id").filter(F.col("matched_state") == F.col("own_state"))
+    own = addresses.select("address_id", F.col("state").alias("own_state"), postal_city(F.col("postal_city"), F.col("state")).alias("postal"))
+    inside = attempts.join(own, "address_id").filter(F.col("matched_state") == F.upper("own_state"))
     named = F.coalesce(F.col("place"), F.lit(""))
-    per = inside.groupBy("address_id", "attempt_no", "variant").agg(F.count_distinct(named).alias("n"), F.min(named).alias("place"), F.bool_or(F.lower("place") == F.lower("postal_city")).alias("has_postal"))
-    sure = F.when(F.col("n") == 1, F.struct("attempt_no", "variant", "place"))
-    postal = F.when((F.col("n") > 1) & F.col("has_postal"), F.col("attempt_no"))
-    best = per.groupBy("address_id").agg(F.min(sure).alias("sure"), F.min(postal).alias("postal"))
-    tried = attempts.select("address_id").distinct().withColumn("tried", F.lit(True))
+    is_postal = F.coalesce(F.concat("place", F.lit(", "), "own_state") == F.col("postal"), F.lit(False))
+    per = inside.groupBy("address_id", "attempt_no", "variant").agg(
+        F.count_distinct(named).alias("n"), F.min(named).alias("place"), F.min("county").alias("county"), F.bool_or(is_postal).alias("has_postal"), F.min(F.when(is_postal, F.col("county"))).alias("postal_county")
+    )
+    sure = F.when(F.col("n") == 1, F.struct("attempt_no", "variant", "place", "county"))
+    among = F.when((F.col("n") > 1) & F.col("has_postal"), F.struct("attempt_no", "variant", F.col("postal_county").alias("county")))
+    best = per.groupBy("address_id").agg(F.min(sure).alias("sure"), F.min(among).alias("among"))
+    tried = attempts.groupBy("address_id").agg(F.count_distinct("attempt_no").alias("n_tried"))
     joined = addresses.join(best, "address_id", "left").join(tried, "address_id", "left")
-    city = F.concat("postal_city", F.lit(", "), "state")
-    found = F.col("sure").isNotNull()
+    found, offered, asked = F.col("sure").isNotNull(), F.col("among").isNotNull(), F.col("n_tried").isNotNull()
+    city = postal_city(F.col("postal_city"), F.col("state"))
+    from_table = city != F.concat(F.trim("postal_city"), F.lit(", "), F.col("state"))
+    note = (
+        F.when(found, F.concat(F.lit("one place by "), "sure.variant", F.when(F.col("sure.place") == "", ", unincorporated").otherwise("")))
+        .when(offered, F.concat(F.lit("several places by "), "among.variant", F.lit(", the postal city kept")))
+        .when(asked, F.concat(F.lit("no place by "), F.col("n_tried").cast("string"), F.lit(" variants, postal "), F.when(from_table, "neighbourhood").otherwise("city")))
+        .otherwise("no attempt")
+    )
     return joined.select(
         "address_id", "state",
-        F.when(found, F.when(F.col("sure.place") != "", F.concat("sure.place", F.lit(", "), "state"))).when(F.col("tried"), city).alias("legal_city"),
-        F.when(found | F.col("postal").isNotNull(), "geocoder").when(F.col("tried"), "postal_fallback").otherwise("unresolved").alias("method"),
-        F.when(found, F.when(F.col("sure.variant") == "as_given", SURE).otherwise(VARIANT)).when(F.col("postal").isNotNull(), AMBIGUOUS).when(F.col("tried"), FALLBACK).otherwise(0.0).alias("confidence"),
+        F.when(found, F.col("sure.county")).when(offered, F.col("among.county")).alias("county"),
+        F.when(found, F.when(F.col("sure.place") != "", F.concat("sure.place", F.lit(", "), "state"))).when(asked, city).alias("legal_city"),
+        F.when(found | offered, "geocoder").when(asked, "postal_fallback").otherwise("unresolved").alias("method"),
+        F.when(found, F.when(F.col("sure.variant") == "as_given", SURE).otherwise(VARIANT)).when(offered, AMBIGUOUS).when(asked, FALLBACK).otherwise(0.0).alias("confidence"),
+        note.alias("note"),
     )

@@ -16,8 +16,8 @@ WORDINGS = [
     ("Effective on the 1st day of Jan. 2026, fees end.", "2026-01-01", "stated"),
     ("Amended by Stats. 2025, Ch. 3. Effective January 1, 2026.", "2026-01-01", "amendment_note"),
     ("Amended by Stats. 2025. Effective 1/1/2026.\nIt applies from 1/1/26 on.", "2026-01-01", "stated"),
-    ("[ Text of section as amended by 2025, 9, Sec. 43 effective August 1, 2025. See below.]", "2025-08-01", "version_note"),
-    ("effective March 1, 2026 through February 28, 2027", "2026-03-01", "period_start"),
+    ("[ Text of section as amended by 2031, 4, Sec. 7 effective July 4, 2031. See the note.]", "2031-07-04", "version_note"),
+    ("effective May 1, 2031 through April 30, 2032", "2031-05-01", "period_start"),
     ("Repealed by Ch. 1 and added by Ch. 2, effective 2026-01-01", "2026-01-01", "amendment_note"),
     ("Nothing here but 11/1/2026.", "2026-01-01", "not_found"),
     ("January 2026", "2026-01", "partial"),
@@ -65,6 +65,6 @@ SELECT address_id, coalesce(ru, gu) AS units, CASE WHEN ru IS NOT NULL THEN 'rec
  CAST(coalesce(ry, gy) AS INT) AS year_built, CASE WHEN ry IS NOT NULL THEN 'record' WHEN gy IS NOT NULL THEN 'caller' ELSE 'missing' END AS year_built_source,
  concat_ws(',', CASE WHEN ru <> gu THEN 'units' END, CASE WHEN ry <> gy THEN 'year_built' END) AS conflicts FROM g""",
     "exportable_split": """WITH c AS (SELECT doc_id AS rule_no, CASE WHEN doc_id % 11 = 0 THEN -doc_id - 1 ELSE doc_id END AS src, substr(text, 11, 40) AS q FROM documents)
-SELECT rule_no, CASE WHEN rule_no % 7 = 0 THEN 'not_verified' WHEN d.text IS NULL THEN 'no_document' WHEN rule_no % 5 = 0 AND substr(d.text, 11, 41) <> q THEN 'stale_quote' END AS withheld FROM c LEFT JOIN documents d ON d.doc_id = c.src""",
+SELECT rule_no, CASE WHEN rule_no % 7 = 0 THEN 'not_verified' WHEN d.text IS NULL THEN 'source_document_missing' WHEN rule_no % 5 = 0 AND substr(d.text, 11, 41) <> q THEN 'quote_does_not_match_source' END AS withheld FROM c LEFT JOIN documents d ON d.doc_id = c.src""",
     "upsert_rows": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -1, 'N'",
 }

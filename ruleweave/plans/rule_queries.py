@@ -265,7 +265,7 @@ ORACLE_SQL = {
     "apply_conflicts": f"WITH {_ONE} SELECT address_id, rid AS team_rule_id, conflict_note FROM flg WHERE conflict_flag",
     "lookup_rows": f"WITH {_ONE} SELECT address_id, rid AS team_rule_id, result, conflict_flag FROM flg WHERE result <> 'not_applicable'",
     "result_counts": f"WITH {_ALL}, every AS (SELECT as_of, coalesce(result, 'not_applicable') AS result FROM addr CROSS JOIN rules CROSS JOIN dates LEFT JOIN (SELECT address_id, rid, as_of, result FROM flg) f USING (address_id, rid, as_of)) SELECT as_of, result, count(*) AS n FROM every GROUP BY ALL",
-    "rule_links": f"WITH {oracle.base()} SELECT a.rid AS team_rule_id, string_agg(b.rid, ',' ORDER BY b.rid) AS linked FROM rules a JOIN rules b ON a.cat = b.cat AND a.st = b.st AND a.is_city <> b.is_city GROUP BY a.rid",
+    "rule_links": f"WITH {oracle.base()} SELECT a.rid AS team_rule_id, string_agg(b.rid, ',' ORDER BY b.rid) AS linked FROM rules a JOIN rules b ON a.cat = b.cat AND a.st = b.st AND a.is_city <> b.is_city AND CASE WHEN a.is_city THEN b.relation ELSE a.relation END IN ('yields_to_stricter_local', 'preempts_local') GROUP BY a.rid",
     "batch_decisions": f"WITH {oracle.decided(list(REQUESTS.items()))} SELECT address_id, action, as_of, value, decision, decision IN ('PASS', 'REQUIRE') AS permit FROM dec",
     "decision_counts": f"WITH {oracle.decided([('deposit', 2.0)], fx.DATES)} SELECT as_of, count(*) FILTER (decision = 'PASS') AS n_pass, count(*) FILTER (decision = 'REQUIRE') AS n_require, count(*) FILTER (decision = 'REVIEW') AS n_review, count(*) FILTER (decision = 'BLOCK') AS n_block FROM dec GROUP BY as_of",
     "determining_rules": f"""WITH {_DEP15}, j AS (SELECT i.*, decision FROM items i JOIN dec d ON i.address_id = d.address_id)

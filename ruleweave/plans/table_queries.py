@@ -1,13 +1,11 @@
-"""Queries of the text and table operators over the driver's tables and over short lists of wordings."""
+"""Queries of the text and table operators over the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ruleweave.functions import text as tx
-from ruleweave.operators import consolidate, portfolio, resolve
-from ruleweave.plans import fixtures as fx
-from ruleweave.plans.oracle import values
+from ruleweave.operators import consolidate, portfolio
 from ruleweave.plans.rule_queries import _DEP, _decided
 from ruleweave.sources import files
 
@@ -35,54 +33,6 @@ def contains_text(spark, sf_dir):
     return pages.select("doc_id", tx.contains_text(F.col("text"), F.when(F.col("lang") == "en", "of the").otherwise("de  la")).alias("found"))
 
 
-HEADERS = ["SOURCE: http://a/b\nRETRIEVED: 2026-01-02\n\nbody", "RETRIEVED:  5 May \nSOURCE:\nnext", "no header", "x\nSOURCE: https://c/d ", "SOURCE: two words\nRETRIEVED: x"]
-CITATIONS = [("CA", "rent", "Cal. Civ. Code § 1947.12"), ("San Jose, CA", "deposit", "Sec. 17.23.310"), ("St. Paul, MN", "fee", "Sections 193A.03 and 193A.04"), ("NJ", "algo", "no number")]
-QUANTITIES = ["one month's rent", "one and a half months rent", "2 months", "1 1/2 months", "twice the monthly rent", "three times one month's rent", "one month or two months", "no figure", "half of a month", "half a month", "one and one-half times one month’s rent"]
-DOLLARS = ["$50", "$1,250.50 or 30 dollars", "50 dollars and $50", "none"]
-DESCRIPTIONS = ["Apartment 5 or more units", "Duplex", "Single family residence", "2 to 4 units", "5+ units", "three-family dwelling", "vacant land", "two units and three units", None]
-
-
-def parse_header(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(HEADERS)), "i int, text string")
-    return rows.select("i", tx.parse_header(F.col("text")).alias("h")).select("i", "h.*")
-
-
-def normalize_citation(spark, sf_dir):
-    rows = spark.createDataFrame(CITATIONS, "jurisdiction string, category string, citation string")
-    return rows.select("citation", tx.normalize_citation(F.col("citation")).alias("plain"))
-
-
-def team_rule_id(spark, sf_dir):
-    rows = spark.createDataFrame([(*c, tx.CATEGORY_CODES[c[1]]) for c in CITATIONS], "jurisdiction string, category string, citation string, code string")
-    return rows.select("citation", tx.team_rule_id(F.col("jurisdiction"), F.col("code"), F.col("citation")).alias("team_rule_id"))
-
-
-def citation_in_source(spark, sf_dir):
-    rows = spark.createDataFrame([(c[2], "as in 1947.12 and 193A.03") for c in CITATIONS], "citation string, text string")
-    return rows.select("citation", tx.citation_in_source(F.col("citation"), F.col("text")).alias("found"))
-
-
-def parse_quantity(spark, sf_dir):
-    rows = spark.createDataFrame([(q,) for q in QUANTITIES], "said string")
-    return rows.select("said", tx.single(tx.parse_months(F.col("said"))).alias("months"))
-
-
-def parse_dollars(spark, sf_dir):
-    rows = spark.createDataFrame([(q,) for q in DOLLARS], "said string")
-    return rows.select("said", tx.single(tx.parse_dollars(F.col("said"))).alias("dollars"))
-
-
-def unit_bounds(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(DESCRIPTIONS)), "i int, said string")
-    return rows.select("i", tx.unit_bounds(F.col("said")).alias("b")).select("i", "b.units_min", "b.units_max")
-
-
-def html_text(spark, sf_dir):
-    pages = _read(spark, sf_dir, "pages")
-    shown = tx.html_to_text(F.col("html"))
-    return pages.select("page_id", F.length(shown).cast("long").alias("n_chars"), F.md5(shown).alias("digest"))
-
-
 def number_candidates(spark, sf_dir):
     """Distinct line items numbered within their order."""
     lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
@@ -109,45 +59,6 @@ def close_dates(spark, sf_dir):
     return grouped.select("o_custkey", F.size(consolidate.close_dates(F.col("days"))).cast("long").alias("n_close"))
 
 
-def resolve_status(spark, sf_dir):
-    status = F.when(F.col("o_orderkey") % 5 == 0, "failed").when(F.col("o_orderkey") % 3 == 0, "pending").otherwise("enacted")
-    grouped = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(status).alias("s"), F.bool_or((status == "enacted") & (F.col("o_orderkey") % 2 == 0)).alias("dated"))
-    return grouped.select("o_custkey", consolidate.resolve_status(F.col("s"), F.col("dated")).alias("status"))
-
-
-ANSWERS = [("A", 1, "a1", "a1"), ("A", 1, "a2", "a1"), ("B", 1, "b1", "b2"), ("B", 2, "b2", "b2"), ("C", 1, "c1", "c1"), ("D", 1, "d1", "d1"), ("D", 2, "d1", "d1"), ("E", 1, "zz", "zz"), ("E", 1, "e1", "zz")]
-MEMBERS = [("A", "a1"), ("A", "a2"), ("B", "b1"), ("B", "b2"), ("C", "c1"), ("C", "c2"), ("D", "d1"), ("E", "e1")]
-
-
-def grouping_problem(spark, sf_dir):
-    answers = spark.createDataFrame(ANSWERS, "cell string, group_no int, member_id string, primary_id string")
-    return consolidate.grouping_problem(answers, spark.createDataFrame(MEMBERS, "cell string, candidate_id string"))
-
-
-def chunk_documents(spark, sf_dir):
-    chunks = consolidate.chunk_documents(_read(spark, sf_dir, "documents"), 4000, 300)
-    return chunks.select("doc_id", "chunk", "start", "end", F.md5("text").alias("digest"))
-
-
-STREETS = ["12-14 MAIN ST APT 5", "007th Ave", "12B 03RD ST", "5 OAK ST", "100 - 102 ELM ST UNIT 3"]
-
-
-def build_variants(spark, sf_dir):
-    rows = spark.createDataFrame([(s,) for s in STREETS], "street string")
-    made = rows.select("street", F.posexplode(resolve.build_variants(F.col("street"), F.lit("Town"), F.lit("CA"), F.lit("90000"))).alias("n", "v"))
-    return made.select("street", "n", "v.variant", "v.query")
-
-
-def resolve_places(spark, sf_dir):
-    """Lookups of customers: some agree on a place, some name several, some have none."""
-    a = fx.addresses(spark, sf_dir).select("address_id", "state", F.concat(F.lit("P"), (F.col("address_id") % 4).cast("string")).alias("postal_city"))
-    asked = a.filter("address_id % 6 <> 5").select("address_id", "state", F.explode(F.sequence(F.lit(1), (F.col("address_id") % 3 + 1).cast("int"))).alias("m"))
-    n = F.col("address_id")
-    place = F.when(n % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("P"), F.when(n % 2 == 0, n % 4).otherwise((n + F.col("m")) % 4).cast("string")))
-    attempts = asked.select("address_id", F.lit(1).alias("attempt_no"), F.when(n % 5 == 0, "without_zip").otherwise("as_given").alias("variant"), F.when(n % 11 == 0, "ELSEWHERE").otherwise(F.col("state")).alias("matched_state"), place.cast("string").alias("place"))
-    return resolve.resolve(attempts, a)
-
-
 def nearest_points(spark, sf_dir):
     days = _read(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderkey").cast("string").alias("label"))
     return portfolio.nearest_points(days, F.lit("1998-01-15").cast("date"))
@@ -177,34 +88,19 @@ def doc_dedupe(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        verify_quote_exact, verify_quote_normalized, contains_text, parse_header, normalize_citation, team_rule_id, citation_in_source, parse_quantity, parse_dollars, unit_bounds,
-        html_text, number_candidates, choose_primary, distinct_dates, close_dates, resolve_status, grouping_problem, chunk_documents, build_variants, resolve_places, nearest_points,
+        verify_quote_exact, verify_quote_normalized, contains_text,
+        number_candidates, choose_primary, distinct_dates, close_dates, nearest_points,
         sort_rows, text_filter, events_json, doc_dedupe,
     )
 }
 
 _LAST_LINE = "CASE WHEN l_partkey % 3 = 0 THEN substr(d, 1, 4) WHEN l_partkey % 3 = 1 THEN substr(d, 1, 7) ELSE d END"
-_UNITS = {0: (5, None), 1: (2, 2), 2: (1, 1), 3: (2, 4), 4: (5, None), 5: (3, 3), 6: (None, None), 7: (None, None), 8: (None, None)}
-_MONTHS = dict(zip(QUANTITIES, (1.0, 1.5, 2.0, 1.5, 2.0, None, None, None, 0.5, 0.5, 1.5), strict=True))
-_DOLLARS = dict(zip(DOLLARS, (50.0, None, 50.0, None), strict=True))
 
 ORACLE_SQL = {
     "verify_quote_exact": """WITH q AS (SELECT doc_id, text, trim(substr(text, 21, 60)) AS s FROM documents)
 SELECT doc_id, CASE WHEN length(s) >= 20 THEN 'exact' ELSE 'failed' END AS method, CASE WHEN length(s) >= 20 THEN instr(text, s) - 1 END AS span_start, CASE WHEN length(s) >= 20 THEN s END AS quoted_span FROM q""",
     "verify_quote_normalized": r"SELECT doc_id, length(trim(substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 50))) >= 20 AS found FROM documents",
     "contains_text": r"SELECT doc_id, contains(trim(regexp_replace(translate(text, '‘’′“”″–—', '''''''\"\"\"--'), '\s+', ' ', 'g')), CASE WHEN lang = 'en' THEN 'of the' ELSE 'de la' END) AS found FROM documents".replace('\\"', '"'),
-    "parse_header": f"WITH {values('h', 'i, text', list(enumerate(HEADERS)))} SELECT i, nullif(regexp_extract(text, '(?m)^SOURCE:[ \\t]*(\\S+)[ \\t]*$', 1), '') AS source_url, trim(nullif(regexp_extract(text, '(?m)^RETRIEVED:[ \\t]*(\\S.*)$', 1), '')) AS retrieved_at FROM h",
-    "normalize_citation": f"WITH {values('c', 'jur, cat, citation', CITATIONS)} SELECT citation, trim(regexp_replace(regexp_replace(replace(lower(citation), '§', ' '), '\\b(sections?|secs?)\\b\\.?', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM c",
-    "team_rule_id": f"WITH {values('c', 'jur, cat, citation, code', [(*c, tx.CATEGORY_CODES[c[1]]) for c in CITATIONS])} SELECT citation, concat_ws('-', trim(split_part(jur, ',', -1)), CASE WHEN contains(jur, ',') THEN regexp_replace(upper(split_part(jur, ',', 1)), '[^A-Z0-9]+', '', 'g') END, code, substr(sha256(trim(regexp_replace(regexp_replace(replace(lower(citation), '§', ' '), '\\b(sections?|secs?)\\b\\.?', ' ', 'g'), '\\s+', ' ', 'g'))), 1, 6)) AS team_rule_id FROM c",
-    "citation_in_source": "SELECT * FROM (VALUES ('Cal. Civ. Code § 1947.12', TRUE), ('Sec. 17.23.310', FALSE), ('Sections 193A.03 and 193A.04', FALSE), ('no number', FALSE)) AS t(citation, found)",
-    "parse_quantity": f"WITH {values('t', 'said, months', list(_MONTHS.items()))} SELECT said, CAST(months AS DOUBLE) AS months FROM t",
-    "parse_dollars": f"WITH {values('t', 'said, dollars', list(_DOLLARS.items()))} SELECT said, CAST(dollars AS DOUBLE) AS dollars FROM t",
-    "unit_bounds": f"WITH {values('t', 'i, a, b', [(i, *b) for i, b in _UNITS.items()])} SELECT i, CAST(a AS INT) AS units_min, CAST(b AS INT) AS units_max FROM t",
-    "html_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'g'), '(?is)<svg\b[^>]*>.*?</svg\s*>', ' ', 'g'), '(?is)<head\b[^>]*>.*?</head\s*>', ' ', 'g') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<!--.*?-->', ' ', 'g'), '(?i)<br\s*/?>|</(p|div|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer)\s*>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS t FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS t FROM b),
-d AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS t FROM c)
-SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM d""",
     "number_candidates": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) SELECT *, l_orderkey || '#' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS candidate_id FROM l",
     "choose_primary": """WITH m AS (SELECT l_orderkey, lpad(CAST(l_linenumber AS VARCHAR), 9, '0') || '#' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') || '#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS id,
  l_returnflag <> 'N' AS v, l_linestatus = 'O' AS o, l_linenumber = 2 AS p FROM lineitem)
@@ -213,21 +109,6 @@ SELECT l_orderkey, id AS primary_id FROM (SELECT *, row_number() OVER (PARTITION
 SELECT l_orderkey, string_agg(x, ',' ORDER BY x) AS dates FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.l_orderkey = s.l_orderkey AND o.x <> s.x AND starts_with(o.x, s.x)) GROUP BY l_orderkey""",
     "close_dates": """WITH d AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS x FROM orders), n AS (SELECT *, x - lag(x) OVER w AS a, lead(x) OVER w - x AS b FROM d WINDOW w AS (PARTITION BY o_custkey ORDER BY x))
 SELECT o_custkey, count(*) FILTER (coalesce(a < 366, FALSE) OR coalesce(b < 366, FALSE)) AS n_close FROM n GROUP BY o_custkey""",
-    "resolve_status": """WITH s AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'failed' WHEN o_orderkey % 3 = 0 THEN 'pending' ELSE 'enacted' END AS s FROM orders),
-g AS (SELECT o_custkey, count(DISTINCT s) AS n, min(s) AS one, bool_or(s = 'enacted') AS e, bool_or(s = 'failed') AS f, bool_or(s = 'enacted' AND o_orderkey % 2 = 0) AS dated FROM s GROUP BY o_custkey)
-SELECT o_custkey, CASE WHEN n = 1 THEN one WHEN e AND f THEN 'conflict' WHEN e THEN CASE WHEN dated THEN 'enacted' ELSE 'conflict' END WHEN f THEN 'failed' END AS status FROM g""",
-    "grouping_problem": "SELECT * FROM (VALUES ('A', NULL), ('B', 'primary outside its group'), ('C', 'id left out'), ('D', 'id in two groups'), ('E', 'unknown id')) AS t(cell, problem)",
-    "build_variants": f"""WITH {values('s', 'street', [(x,) for x in STREETS])}, v AS (SELECT street, i, variant, q FROM s, (VALUES (0, 'as_given'), (1, 'without_zip'), (2, 'ordinal_zero_removed'), (3, 'range_first'), (4, 'range_last'), (5, 'unit_removed'), (6, 'house_letter_removed')) AS t(i, variant),
-LATERAL (SELECT CASE i WHEN 2 THEN regexp_replace(street, '(?i)\\b0+(\\d+(?:st|nd|rd|th)\\b)', '\\1', 'g') WHEN 3 THEN regexp_replace(street, '^(\\d+)\\s*-\\s*(\\d+)\\b', '\\1') WHEN 4 THEN regexp_replace(street, '^(\\d+)\\s*-\\s*(\\d+)\\b', '\\2')
- WHEN 5 THEN regexp_replace(street, '(?i)\\s+(?:apt|unit|ste|#)\\.?\\s*\\S+$', '') WHEN 6 THEN regexp_replace(street, '^(\\d+)[A-Za-z]\\b', '\\1') ELSE street END || CASE i WHEN 1 THEN ', Town, CA' ELSE ', Town, CA 90000' END AS q)),
-f AS (SELECT *, row_number() OVER (PARTITION BY street, q ORDER BY i) AS k FROM v) SELECT street, CAST(row_number() OVER (PARTITION BY street ORDER BY i) - 1 AS INT) AS n, variant, q AS query FROM f WHERE k = 1""",
-    "resolve_places": """WITH a AS (SELECT c_custkey AS n, r_name AS state, 'P' || CAST(c_custkey % 4 AS VARCHAR) AS postal FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
-t AS (SELECT n, state, postal, m, CASE WHEN n % 7 = 0 THEN NULL ELSE 'P' || CAST(CASE WHEN n % 2 = 0 THEN n % 4 ELSE (n + m) % 4 END AS VARCHAR) END AS place FROM a, unnest(range(1, CAST(n % 3 + 2 AS INT))) AS u(m) WHERE n % 6 <> 5),
-g AS (SELECT n, count(DISTINCT coalesce(place, '')) AS k, min(coalesce(place, '')) AS place, bool_or(place = postal) AS has FROM t WHERE n % 11 <> 0 GROUP BY n),
-tr AS (SELECT DISTINCT n FROM t)
-SELECT a.n AS address_id, state, CASE WHEN k = 1 THEN CASE WHEN place <> '' THEN place || ', ' || state END WHEN tr.n IS NOT NULL THEN postal || ', ' || state END AS legal_city,
- CASE WHEN k = 1 OR (k > 1 AND has) THEN 'geocoder' WHEN tr.n IS NOT NULL THEN 'postal_fallback' ELSE 'unresolved' END AS method,
- CAST(CASE WHEN k = 1 THEN CASE WHEN a.n % 5 = 0 THEN 0.85 ELSE 0.95 END WHEN k > 1 AND has THEN 0.7 WHEN tr.n IS NOT NULL THEN 0.5 ELSE 0.0 END AS DOUBLE) AS confidence FROM a LEFT JOIN g USING (n) LEFT JOIN tr ON tr.n = a.n""",
     "nearest_points": "SELECT CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey AS VARCHAR) AS label FROM orders ORDER BY abs(date_diff('day', DATE '1998-01-15', CAST(o_orderdate AS DATE))), 1, 2 LIMIT 8",
     "sort_rows": f"WITH {_DEP} SELECT address_id, legal_city, decision FROM dec ORDER BY CASE decision WHEN 'BLOCK' THEN 0 WHEN 'REVIEW' THEN 1 WHEN 'REQUIRE' THEN 2 ELSE 3 END, legal_city NULLS LAST, address_id LIMIT 50",
     "text_filter": "SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name || ' ' || CAST(n_nationkey AS VARCHAR)), 'nation_1')",
