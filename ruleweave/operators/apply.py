@@ -23,12 +23,18 @@ PAIR = ["address_id", "as_of"]
 def applicability_join(places: DataFrame, rules: DataFrame) -> DataFrame:
     """places joined with the rules that reach them; city_unknown marks pairs of an unresolved city.
 
-    One equi-join on a place's reaching keys: its state's rules, its city's, or all city rules of its state.
+    One equi-join on a place's reaching keys: its state's rules, its city's, or all city rules of its state. Where
+    places carry an action, a key also names the category of rules it asks about, so rules of others are never joined;
+    precedence only looks within a category.
     """
     level, state = level_of(F.col("jurisdiction")), state_of(F.col("jurisdiction"))
     keyed = rules.withColumns({"level": level, "_key": F.explode(F.when(level == "state", F.array(F.concat(F.lit("s:"), "jurisdiction"))).otherwise(F.array(F.concat(F.lit("c:"), "jurisdiction"), F.concat(F.lit("u:"), state))))})
+    if "action" in places.columns:
+        keyed = keyed.withColumn("_key", F.concat("_key", F.lit("|"), "category"))
     unresolved = F.col("method") == "unresolved"
     keys = F.array_compact(F.array(F.concat(F.lit("s:"), "state"), F.concat(F.lit("c:"), "legal_city"), F.when(unresolved, F.concat(F.lit("u:"), "state"))))
+    if "action" in places.columns:
+        keys = F.transform(keys, lambda k: F.concat(k, F.lit("|"), F.col("action")))
     reach = places.withColumn("_key", F.explode(keys))
     joined = reach.join(broadcast_if_small(keyed), "_key").withColumn("city_unknown", F.startswith(F.col("_key"), F.lit("u:")))
     # A city that is known although the method says unresolved would match twice; the unknown one counts.

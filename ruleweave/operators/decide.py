@@ -97,7 +97,7 @@ def decide(places: DataFrame, results: DataFrame, constraints: DataFrame, gaps:
 
     rules holds, for each rule with items or an upcoming result, its id, items, would_be and resolvable_by.
     """
-    rows = rule_items(results.filter(F.col("category") == F.col("action")), constraints)
+    rows = rule_items(results.filter(F.col("category") == F.col("action")), constraints)  # results of such places have no others
     one = F.struct("team_rule_id", "title", "result", "items", "would_be", "resolvable_by")
     kept = rows.filter((F.size("items") > 0) | F.col("result").isin("pending", "not_yet_effective"))
     per = kept.groupBy(*[F.coalesce(F.col(k), F.lit(-1.0)).alias(k) if k == "value" else k for k in KEY]).agg(F.array_sort(F.collect_list(one)).alias("rules"))
