@@ -83,18 +83,22 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, rows) else df
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def hot_values(df: DataFrame, column: str) -> list:
+    """The values that a large share of df's rows has, counted after sums in each task: 1 / HOT_SHARE of them at most."""
+    least = max(10_000, int(df.count() * HOT_SHARE))
+    sizes = df.groupBy(column).agg(F.count("*").alias("_hot_n")).filter((F.col("_hot_n") > least) & F.col(column).isNotNull())
+    return [r[0] for r in sizes.select(column).collect()]
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """left joined with right, which has each value of ``on`` once: left's hot values stay where they are.
 
-    A value that a large share of left's rows has would go to one task. There are at most 1 / HOT_SHARE of them,
-    counted after sums in each task, so their rows of right are broadcast; the others meet by a shuffle. how is
-    "inner" or "left".
+    A value that a large share of left's rows has would go to one task. Such values' rows of right are few and are
+    broadcast; the others meet by a shuffle. how is "inner" or "left"; hot are the values, if known.
     """
-    sizes = left.groupBy(on).agg(F.count("*").alias("_hot_n"))
-    least = max(10_000, int(left.count() * HOT_SHARE))
-    hot = [r[on] for r in sizes.filter((F.col("_hot_n") > least) & F.col(on).isNotNull()).select(on).collect()]
+    hot = hot_values(left, on) if hot is None else hot
     if not hot:
-        return left.join(broadcast_if_small(right), on, how)
+        return left.join(right, on, how)
     spark = left.sparkSession
     keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], f"`{on}` {dict(left.dtypes)[on]}"))
     few = F.broadcast(right.join(keys, on, "left_semi"))

@@ -1,11 +1,12 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-A fingerprint is cut into SEGMENTS equal segments that lie on a ring.  If two fingerprints differ in at
+A fingerprint is cut into m equal segments that lie on a ring.  If two fingerprints differ in at
 most t bits, then on the ring there is a start from which every chain of 1, 2, ... segments holds at
-most its share of the budget, chain * t / SEGMENTS bits of difference.  With t = 2 and 8 segments the
+most its share of the budget, chain * t / m bits of difference.  With t = 2 and 8 segments the
 first three segments of such a chain must be equal, so candidates come from an equi-join on (start,
 three segments); the longer chains are then checked one after the other, and only survivors reach the
-full Hamming check.
+full Hamming check.  The more fingerprints there are, the more and narrower the segments: from 24 equal bits
+with 8 segments to 31 with 64, so that chance keys stay small.
 
 Keys that many fingerprints share would make a join emit all pairs of a group.  Fingerprints that have
 such a key take an exact way that stays linear: two fingerprints differ in at most two bits just when
@@ -31,12 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.llm import shingle_sets
-from ruleweave.llm.common import broadcast_if_small, cut, slices
+from ruleweave.llm.common import broadcast_if_small, cut, discard, hot_values, join_hot, slices
 
 BITS = 64
 THRESHOLD = 2
 SHINGLE_WORDS = 3
-SEGMENTS = 8
+#: Numbers of segments to choose from.
+SEGMENTS = (8, 16, 32, 64)
 #: A key shared by more fingerprints than this takes the linear way instead of pairs.
 PAIRED_GROUP = 32
 SEED = 42
@@ -72,40 +74,42 @@ def with_fingerprint(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text:
     return docs.select(*keys, F.col(text).alias("_text")).mapInArrow(_fingerprints, f"{fields}, fp bigint")
 
 
-def _segment(fp: Column, i: int) -> Column:
-    width = BITS // SEGMENTS
-    return F.shiftrightunsigned(fp, (i % SEGMENTS) * width).bitwiseAND(F.lit((1 << width) - 1))
+def equal_chain(threshold: int, segments: int) -> int:
+    """Segments at a chain's start that must be equal: chain * threshold / segments is below 1."""
+    return max(1, (segments - 1) // threshold)
 
 
-def _key(fp: Column, start: int, length: int) -> Column:
-    """The start and the values of so many segments from it, in one long."""
-    value = F.lit(start).cast("long")
-    for i in range(start, start + length):
-        value = F.shiftleft(value, BITS // SEGMENTS).bitwiseOR(_segment(fp, i))
-    return value
+def segments_for(n: int, threshold: int = THRESHOLD) -> int:
+    """The fewest segments whose equal chains have as many values as there are fingerprints, else the most there are."""
+    return next((m for m in SEGMENTS if n <= 1 << (equal_chain(threshold, m) * BITS // m)), SEGMENTS[-1])
 
 
-def equal_chain(threshold: int = THRESHOLD) -> int:
-    """Segments at a chain's start that must be equal: chain * threshold / SEGMENTS is below 1."""
-    return max(1, (SEGMENTS - 1) // threshold)
+def _from(fp: Column, start: Column, segments: int) -> Column:
+    """The fingerprint turned so that the start's segment is its lowest."""
+    by = start.cast("int") * (BITS // segments)
+    return F.call_function("shiftrightunsigned", fp, by).bitwiseOR(F.when(by == 0, F.lit(0)).otherwise(F.call_function("shiftleft", fp, BITS - by)))
 
 
-def _within_budgets(a: Column, b: Column, start: Column, threshold: int) -> Column:
+def _low(value: Column, bits: int) -> Column:
+    return value if bits >= BITS else value.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _keys(fp: Column, threshold: int, segments: int) -> Column:
+    """For each start, it and the segments of the equal chain from it, in one long."""
+    bits = equal_chain(threshold, segments) * BITS // segments
+    return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda s: F.shiftleft(s.cast("long"), bits).bitwiseOR(_low(_from(fp, s, segments), bits)))
+
+
+def _within_budgets(a: Column, b: Column, start: Column, threshold: int, segments: int) -> Column:
     """Whether all chains from start keep their proportional budgets."""
-    differing = a.bitwiseXOR(b)
-    by_start = None
-    for s in range(SEGMENTS):
-        spent, keeps = F.lit(0), F.lit(True)
-        for length in range(1, SEGMENTS + 1):
-            spent = spent + F.bit_count(_segment(differing, s + length - 1))
-            budget = length * threshold // SEGMENTS
-            if length > equal_chain(threshold):
-                keeps = keeps & (spent <= budget)
-        by_start = F.when(start == s, keeps) if by_start is None else by_start.when(start == s, keeps)
-    return by_start
-
-
-def links(codes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    turned = _from(a.bitwiseXOR(b), start, segments)
+    keeps = F.lit(True)
+    for length in range(equal_chain(threshold, segments) + 1, segments + 1):
+        keeps = keeps & (F.bit_count(_low(turned, length * BITS // segments)) * segments <= length * threshold)
+    return keeps
+
+
+def links(codes: DataFrame, threshold: int = THRESHOLD, segments: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all pairs at most threshold bits apart.
 
     codes holds each fingerprint once, in column fp. Edges of the paired keys are all such pairs; edges
@@ -113,13 +117,13 @@ def links(codes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     if threshold != THRESHOLD:
         raise ValueError("the linear way beside the pairs is exact for a threshold of 2")
-    chain = equal_chain(threshold)
-    keyed = codes.select("fp", F.posexplode(F.array(*[_key(F.col("fp"), s, chain) for s in range(SEGMENTS)])).alias("start", "key"))
+    segments = segments or segments_for(codes.count(), threshold)
+    keyed = codes.select("fp", F.posexplode(_keys(F.col("fp"), threshold, segments)).alias("start", "key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).filter("n > 1")
     sizes = cut(sizes.select("key", "n"), "simhash-keys")
     paired = keyed.join(sizes.filter(F.col("n") <= PAIRED_GROUP).select("key"), "key")
     left, right = paired.select("key", "start", F.col("fp").alias("a")), paired.select("key", F.col("fp").alias("b"))
-    candidates = left.join(right, "key").filter("a < b").filter(_within_budgets(F.col("a"), F.col("b"), F.col("start"), threshold))
+    candidates = left.join(right, "key").filter("a < b").filter(_within_budgets(F.col("a"), F.col("b"), F.col("start"), threshold, segments))
     pairs = candidates.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold).select("a", "b")
     crowded = keyed.join(sizes.filter(F.col("n") > PAIRED_GROUP).select("key"), "key").select("fp").distinct()
     return pairs.unionByName(_stars(crowded)).distinct()
@@ -140,22 +144,29 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     name changes, and fails rather than return an unfinished result.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "components-edges")
+    crowded = hot_values(both, "b")
     names = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "components")
     for _ in range(max_rounds):
-        near = both.join(names.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
+        near = join_hot(both, names.select(F.col("node").alias("b"), "component"), "b", hot=crowded).groupBy("a").agg(F.min("component").alias("near"))
         taken = names.join(near, names["node"] == near["a"], "left").select("node", "component", F.least("component", "near").alias("new"))
+        taken = cut(taken, "components-taken")
         jump = names.select(F.col("node").alias("new"), F.col("component").alias("far"))
-        stepped = cut(taken.join(jump, "new", "left").select("node", F.col("component").alias("old"), F.least("new", "far").alias("component")), "components")
-        if not stepped.filter("component <> old").limit(1).count():
+        stepped = join_hot(taken, jump, "new", "left").select("node", F.col("component").alias("old"), F.least("new", "far").alias("component"))
+        stepped = cut(stepped, "components")
+        done = not stepped.filter("component <> old").limit(1).count()
+        discard(names, taken)
+        if done:
+            discard(both)
             return stepped.select("node", "component")
         names = stepped.select("node", "component")
+        names._cut_path = stepped._cut_path
     raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, fp and component_id, the smallest first key reachable over links, of every row of docs."""
     rows = cut(with_fingerprint(docs, keys, text), "simhash-fp")
-    return rows.join(classes(rows, keys[0]).drop("component"), "fp")
+    return join_hot(rows, cut(classes(rows, keys[0]).drop("component"), "simhash-classes"), "fp")
 
 
 def classes(rows: DataFrame, key: str) -> DataFrame:
@@ -181,7 +192,7 @@ def _placed(codes: DataFrame, named: DataFrame) -> DataFrame:
     placed = codes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     placed = cut(placed, "simhash-placed")
     least = cut(placed.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-least")
-    return placed.join(least, "component").select("fp", "component", "component_id")
+    return join_hot(placed, least, "component").select("fp", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: int | None = None) -> DataFrame:
@@ -201,7 +212,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         rows = cut(rows.withColumnRenamed("_nd_key", key), "simhash-sets")
         named = cut(set_classes(docs, rows, key, text, similarity), "simhash-classes")
         rows = rows.select(key, "fp")
-    judged = rows.join(named, "fp").select(F.col(key).alias("_nd_key"), (~F.col(key).eqNullSafe(F.col("component_id"))).alias("loses"))
+    judged = join_hot(rows, named, "fp").select(F.col(key).alias("_nd_key"), (~F.col(key).eqNullSafe(F.col("component_id"))).alias("loses"))
     per_key = cut(judged.groupBy("_nd_key").agg(F.count("*").alias("n"), F.max("loses").alias("loses")).filter("n > 1 OR loses"), "simhash-keys")
     same = docs[key].eqNullSafe(F.col("_nd_key"))
     plain = docs.join(broadcast_if_small(per_key.select("_nd_key")), same, "left_anti")

@@ -78,12 +78,43 @@ def test_chains_keep_every_pair_within_the_threshold(spark):
             b ^= 1 << rng.randrange(64)
         pairs.append((int(np.uint64(a).astype(np.int64)), int(np.uint64(b).astype(np.int64))))
     df = spark.createDataFrame(pairs, "a long, b long")
-    any_start = None
-    for s in range(simhash.SEGMENTS):
-        chain = simhash.equal_chain()
-        ok = (simhash._key(F.col("a"), s, chain) == simhash._key(F.col("b"), s, chain)) & simhash._within_budgets(F.col("a"), F.col("b"), F.lit(s), 2)
-        any_start = ok if any_start is None else any_start | ok
-    assert df.filter(~any_start).count() == 0
+    for segments in simhash.SEGMENTS:
+        key = lambda c: simhash._keys(F.col(c), 2, segments)  # noqa: B023, E731
+        starts = F.sequence(F.lit(0), F.lit(segments - 1))
+        kept = F.exists(starts, lambda s: (F.get(key("a"), s) == F.get(key("b"), s)) & simhash._within_budgets(F.col("a"), F.col("b"), s, 2, segments))  # noqa: B023
+        assert df.filter(~kept).count() == 0
+
+
+def test_key_width_follows_the_number_of_fingerprints():
+    widths = [simhash.equal_chain(2, m) * 64 // m for m in simhash.SEGMENTS]
+    assert widths == sorted(widths) == [24, 28, 30, 31]
+    assert [simhash.segments_for(n) for n in (1, 1 << 24, (1 << 24) + 1, 1 << 29, 1 << 40)] == [8, 8, 16, 32, 64]
+
+
+@pytest.mark.parametrize("segments", [16, 64])
+def test_any_number_of_segments_finds_the_same_components(spark, segments):
+    rng = random.Random(segments)
+    codes = {rng.getrandbits(64) for _ in range(60)}
+    for c in list(codes):
+        codes.add(c ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    signed = {int(np.uint64(c).astype(np.int64)): c for c in codes}
+    found = simhash.components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), segments=segments)).collect()
+    want = {c: r for c, r in brute_components(codes).items()}
+    got = {signed[r.node]: signed[r.component] for r in found}
+    for a in codes:
+        for b in codes:
+            assert (want[a] == want[b]) == (got.get(a, a) == got.get(b, b))
+
+
+def test_hot_values_stay_where_they_are(spark, monkeypatch):
+    from ruleweave.llm import common
+
+    left = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(0, 50_000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(spark.createDataFrame([(7, 14)], "k long, v long"))
+    assert common.hot_values(left, "k") == [7]
+    for how in ("inner", "left"):
+        got = common.join_hot(left, right, "k", how).select("id", "v").orderBy("id").collect()
+        assert got == left.join(right, "k", how).select("id", "v").orderBy("id").collect()
 
 
 def test_documents_with_nulls_copies_and_clashing_names(spark):
