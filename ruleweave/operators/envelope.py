@@ -90,13 +90,14 @@ def timeline(places: DataFrame, rules: DataFrame, constraints: DataFrame, gaps:
     points = change_points(places, own).select("address_id", "day", "rule_id")
     reached = applicability_join(places, own).filter("NOT city_unknown AND legal_status <> 'failed'").select("address_id", F.col("team_rule_id").alias("rule_id"))
     figures = reached.join(F.broadcast(years), "rule_id").select("address_id", F.make_date(F.col("y"), F.lit(1), F.lit(1)).alias("day"), "rule_id")  # two rows a dated figure
-    days = points.unionByName(figures).select("address_id", "day").distinct()
-    starts = places.select("address_id", F.lit(None).cast("date").alias("day")).unionByName(days)
-    w = W.partitionBy("address_id").orderBy(F.asc_nulls_first("day"))
-    spans = starts.withColumn("to_day", F.date_sub(F.lead("day").over(w), 1))
-    asked = places.drop("as_of").join(spans, "address_id").join(places.select("address_id", F.col("as_of").alias("_today")), "address_id")
-    asked = asked.withColumn("as_of", F.coalesce("day", "to_day", "_today"))
-    points = _decided(asked.drop("day", "to_day", "_today"), rules, constraints, gaps, [value]).select("address_id", "as_of", "decision")
+    days = points.unionByName(figures).groupBy("address_id").agg(F.array_sort(F.collect_set("day")).alias("_days"))
+    known = places.join(days, "address_id", "left").withColumn("_days", F.coalesce("_days", F.array().cast("array<date>")))
+    spans = F.transform(
+        F.concat(F.array(F.lit(None).cast("date")), F.col("_days")), lambda d, i: F.struct(d.alias("day"), F.date_sub(F.get("_days", i), 1).alias("to_day"))
+    )
+    asked = known.withColumn("_span", F.explode(spans)).withColumns({"day": F.col("_span.day"), "to_day": F.col("_span.to_day")}).drop("_days", "_span")
+    asked = asked.withColumn("as_of", F.coalesce("day", "to_day", "as_of"))
+    points = _decided(asked.drop("day", "to_day"), rules, constraints, gaps, [value]).select("address_id", "as_of", "decision")
     placed = asked.select("address_id", "as_of", "day", "to_day").join(points, ["address_id", "as_of"])
     joined = islands(placed, ["address_id"], "as_of", "decision").groupBy("address_id", "island").agg(
         F.min_by("day", "as_of").alias("from_day"), F.max_by("to_day", "as_of").alias("to_day"), F.first("decision").alias("decision")
