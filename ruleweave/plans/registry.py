@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ruleweave.plans import answer_queries, data_queries, rule_queries, table_queries, text_queries
+from ruleweave.plans import answer_queries, data_queries, rule_queries, store_queries, table_queries, text_queries
 
-QUERIES: dict = {**answer_queries.QUERIES, **rule_queries.QUERIES, **table_queries.QUERIES, **text_queries.QUERIES, **data_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**answer_queries.ORACLE_SQL, **rule_queries.ORACLE_SQL, **table_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **data_queries.ORACLE_SQL}
+QUERIES: dict = {**answer_queries.QUERIES, **rule_queries.QUERIES, **table_queries.QUERIES, **text_queries.QUERIES, **store_queries.QUERIES, **data_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**answer_queries.ORACLE_SQL, **rule_queries.ORACLE_SQL, **table_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **store_queries.ORACLE_SQL, **data_queries.ORACLE_SQL}
 FLAGSHIP = "batch_decisions"
