@@ -11,7 +11,7 @@ Only documents are labelled.  Sentences of a clean document are clean.  A senten
 toxic if it holds a witness, a unit that enough toxic documents use and hardly any clean one; its witness decides it.
 The machine is trained on these sentences in the space spanned by LANDMARKS of them.  Then all clean sentences of the
 sample are judged, each decided by the unit of its largest margin, and the machine is trained again with those it
-mistook most, ROUNDS times.  Because the kernel's features are explicit, the landmarks' weights collapse into
+mistook most.  Because the kernel's features are explicit, the landmarks' weights collapse into
 one table of 64 ** 3 weights, and scoring a unit is a sum of lookups: the model has a fixed size of 1 MB.
 
 Bounds, for fitting alone: SAMPLE_DOCS labelled documents, and of their labelled sentences TOXIC_SENTENCES,
@@ -43,9 +43,7 @@ SAMPLE_DOCS = 20_000
 #: of the largest margins.
 TOXIC_SENTENCES = 4_000
 CLEAN_SENTENCES = 10_000
-HARD_SENTENCES = 5_000
-#: Times that the machine is trained again with the clean sentences it mistook most.
-ROUNDS = 2
+HARD_SENTENCES = 6_000
 LANDMARKS = 512
 DECAY = 0.6
 SPAN = 7
@@ -267,39 +265,67 @@ def _margins_of(model: Model):
     return run
 
 
-def _labelled(sample: DataFrame, witnesses: dict[str, int], model: Model | None) -> DataFrame:
+_SENTENCES = "toxic int, unit string, weight double, margin double"
+
+
+def _sentence_batch(rows: list[tuple[int, str, float, float]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    types = (pa.int32(), pa.string(), pa.float64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["toxic", "unit", "weight", "margin"])
+
+
+def _labelled(sample: DataFrame, witnesses: dict[str, int]) -> DataFrame:
     """(toxic, unit, weight, margin): each labelled sentence of sample (text, toxic) by the unit that decides it.
 
     Witnesses (and the toxic documents that have them, the sentence's weight) decide toxic sentences; clean ones are
-    decided by a unit chosen by its hash or, given a model, by the largest margin.
+    decided by a unit chosen by its hash.
     """
-    sent = sample.sparkSession.sparkContext.broadcast((witnesses, model))  # bounded by the sample, and 1 MB
+    sent = sample.sparkSession.sparkContext.broadcast(witnesses)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known, machine = sent.value
+        known = sent.value
         for batch in slices(batches, 100):
             out = []
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                for s in sentences(text):
+                    if toxic:
+                        found = sorted(u for u in _plain_units(s) if u in known)
+                        if found:
+                            unit = max(found, key=known.__getitem__)
+                            out.append((1, unit, float(known[unit]), 0.0))
+                    else:
+                        unit = plain(min(s, key=xxhash.xxh64_intdigest))
+                        if unit:
+                            out.append((0, pieces(unit)[0], 1.0, 0.0))
+            yield _sentence_batch(out)
+
+    return sample.mapInArrow(run, _SENTENCES)
+
+
+def _judged(sample: DataFrame, model: Model) -> DataFrame:
+    """As ``_labelled``, of a clean sample: each sentence by the unit of its largest margin."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)  # 64 ** 3 floats, 1 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        margins = _margins_of(sent.value)
+        for batch in slices(batches):
             texts = [sentences(t) for t in batch.column("text").to_pylist()]
-            units = list({p for t in texts for s in t for p in _plain_units(s)})
-            margin = dict(zip(units, machine.margins(units).tolist() if machine else [0.0] * len(units), strict=True))
-            for t, toxic in zip(texts, batch.column("toxic").to_pylist(), strict=True):
-                for s in t:
-                    own = sorted(_plain_units(s))
-                    if not own:
-                        continue
-                    if not toxic:
-                        unit = max(own, key=margin.__getitem__) if machine else min(own, key=xxhash.xxh64_intdigest)
-                        out.append((0, unit, 1.0, margin[unit]))
-                    elif found := [u for u in own if u in known]:
-                        unit = max(found, key=known.__getitem__)
-                        out.append((1, unit, float(known[unit]), 0.0))
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            types = (pa.int32(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["toxic", "unit", "weight", "margin"])
-
-    return sample.mapInArrow(run, "toxic int, unit string, weight double, margin double")
+            out = []
+            for text, found in zip(texts, margins(texts), strict=True):
+                at = 0
+                for s in text:
+                    own = found[at : at + len(s)]
+                    at += len(s)
+                    best = max(own)
+                    unit = plain(s[own.index(best)])
+                    if unit:
+                        own_pieces = pieces(unit)
+                        out.append((0, own_pieces[0] if len(own_pieces) == 1 else max(own_pieces, key=lambda p: sent.value.margins([p])[0]), 1.0, best))
+            yield _sentence_batch(out)
+
+    return sample.mapInArrow(run, _SENTENCES)
 
 
 def _chosen(found: DataFrame, toxic: int, n: int, order: list) -> list:
@@ -346,19 +372,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     witness = (F.col("n_toxic") >= least) & (F.col("n_toxic") * kinds[0] >= 20 * F.col("n_clean") * kinds[1]) & (F.col("n_toxic") >= 3 * F.col("n_clean"))
     witnesses = {r["unit"]: r["n_toxic"] for r in units.filter(witness).collect()}  # each in several of the sampled documents
     by_hash = [F.xxhash64("unit"), "unit"]
-    first = cut(_labelled(sample, witnesses, None), "tox-first")
+    first = cut(_labelled(sample, witnesses), "tox-first")
     toxic, clean = _chosen(first, 1, TOXIC_SENTENCES, by_hash), _chosen(first, 0, CLEAN_SENTENCES, by_hash)
     model = _trained(toxic, clean)
     if model is None:
         return None
-    for _ in range(ROUNDS):
-        judged = cut(_labelled(sample.filter("toxic = 0"), {}, model), "tox-judged")
-        clean = _chosen(judged, 0, HARD_SENTENCES, [F.desc("margin"), "unit"]) + clean
-        model = _trained(toxic, clean)
-        discard(judged)
+    judged = cut(_judged(sample.filter("toxic = 0"), model), "tox-judged")
+    model = _trained(toxic, _chosen(judged, 0, HARD_SENTENCES, [F.desc("margin"), "unit"]) + clean)
     rows = _scored(sample, model, ("toxic",)).toPandas()  # at most sample_docs rows of four numbers, and their repeats
     model.logistic = fit_logistic(rows[["f0", "f1", "f2"]].to_numpy(), rows["toxic"].to_numpy(np.float64))
-    discard(sample, units, first)
+    discard(sample, units, first, judged)
     return model
 
 
