@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import bpe, chat, license_scan, ngram_quality, ogg, packing, quality_rules, simhash, toxicity, warc
+from ruleweave.llm import bpe, chat, license_scan, ngram_quality, ogg, packing, piece_spans, quality_rules, simhash, toxicity, warc
 from ruleweave.llm.common import cut, read
 
 
@@ -161,6 +161,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op13_piece_spans(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Digests of every document's pieces, of their spans in its bytes and of the text they decode to."""
+    path = model or public_tokenizers.path("piece_bpe_32k.model")
+    return piece_spans.digests(read(spark, sf_dir, "documents"), path)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -172,6 +178,7 @@ QUERIES = {
     "op8_kneser_ney_quality": op8_kneser_ney_quality,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "op13_piece_spans": op13_piece_spans,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
