@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import bpe, chat, license_scan, ngram_quality, ogg, packing, piece_spans, quality_rules, simhash, toxicity, warc
+from ruleweave.llm import bpe, chat, license_scan, ngram_quality, ogg, packing, piece_spans, quality_rules, simhash, toxicity, turn_repair, warc
 from ruleweave.llm.common import cut, read
 
 
@@ -161,6 +163,64 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, damaged by a hash of its rows' ids and turns."""
+    rows = read(spark, sf_dir, "conversations")
+    ids, found = rows.select("conv_id").distinct(), turn_repair.digests(turn_repair.damaged(rows))
+    every = ids.join(found.withColumnRenamed("conv_id", "_conv"), ids["conv_id"].eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    return every.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).na.fill({"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
+
+
+#: Row by row, the best (cost, audit) of each state, with at most two inserts between rows: a third state would be one left before.
+OP12_SQL = r"""
+WITH RECURSIVE
+bit AS (SELECT n, 0 AS k, n AS c FROM range(256) AS t(n) UNION ALL
+    SELECT n, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bit WHERE k = 8),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295::BIGINT, list_reduce(list_transform(
+        string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+        lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]::BIGINT), 4294967295::BIGINT)) % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM h, range(2) AS t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM e),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' END AS fault, left(role, 1) AS r,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM o),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 'blank')::BIGINT AS blank,
+        count_if(fault = 'duplicate')::BIGINT AS duplicate, count_if(fault = 'truncated')::BIGINT AS truncated,
+        count_if(b IS NOT NULL AND b || r NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+step(q, r, z) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+more(q, z, k) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+edit AS (SELECT conv_id, i, q, z, letter, price FROM (
+    SELECT conv_id, i, q, q AS z, 'D' AS letter, 2 AS price FROM f, range(4) AS t(q)
+    UNION ALL SELECT conv_id, i, q, z, 'K', CASE WHEN fault IS NULL THEN 0 ELSE 5 END FROM f JOIN step USING (r) WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate')
+    UNION ALL SELECT conv_id, i, q, z, 'R', CASE WHEN fault IS NULL THEN 1 ELSE 6 END FROM f, step WHERE step.r IN ('u', 'a') AND coalesce(fault, '') NOT IN ('blank', 'duplicate'))),
+best AS (
+    SELECT conv_id, 0::BIGINT AS i, z AS q, 5 * k AS cost, repeat('I', k) AS audit FROM counts, more WHERE more.q = 0
+    UNION ALL
+    SELECT conv_id, i, q, w.cost, w.audit FROM (
+        SELECT best.conv_id, best.i + 1 AS i, more.z AS q, min(struct_pack(cost := best.cost + price + 5 * k, audit := best.audit || letter || repeat('I', k))) AS w
+        FROM best JOIN edit ON best.conv_id IS NOT DISTINCT FROM edit.conv_id AND edit.i = best.i + 1 AND edit.q = best.q JOIN more ON more.q = edit.z
+        GROUP BY best.conv_id, best.i, more.z)),
+won AS (SELECT conv_id, w.cost AS cost, w.audit AS audit FROM (SELECT best.conv_id, min(struct_pack(cost := cost, audit := audit)) AS w
+    FROM best JOIN counts ON best.conv_id IS NOT DISTINCT FROM counts.conv_id AND best.i = counts.n WHERE q IN (0, 3) GROUP BY best.conv_id)),
+letters AS (SELECT conv_id, pos, substr(audit, pos, 1) AS letter, length(replace(left(audit, pos), 'I', ''))::BIGINT AS i, length(replace(left(audit, pos), 'D', '')) AS m
+    FROM won, range(1, length(audit) + 1) AS t(pos)),
+said AS (SELECT l.conv_id, m, letter, role, text, first_value(letter = 'K' AND r = 's') OVER (PARTITION BY l.conv_id ORDER BY m) AS s
+    FROM letters l LEFT JOIN f ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.i = f.i AND letter <> 'I' WHERE letter <> 'D'),
+whole AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (m - s::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY m) AS t FROM said GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts ON c.conv_id IS NOT DISTINCT FROM counts.conv_id
+LEFT JOIN won ON c.conv_id IS NOT DISTINCT FROM won.conv_id LEFT JOIN whole ON c.conv_id IS NOT DISTINCT FROM whole.conv_id
+"""
+
+
 def op13_piece_spans(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """Digests of every document's pieces, of their spans in its bytes and of the text they decode to."""
     path = model or public_tokenizers.path("piece_bpe_32k.model")
@@ -178,10 +238,12 @@ QUERIES = {
     "op8_kneser_ney_quality": op8_kneser_ney_quality,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "op12_turn_repair": op12_turn_repair,
     "op13_piece_spans": op13_piece_spans,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
     "op6_warc_revisits": OP6_SQL,
+    "op12_turn_repair": OP12_SQL,
 }
