@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm import bpe, chat, license_scan, ngram_quality, ogg, packing, piece_spans, quality_rules, simhash, toxicity, turn_repair, warc
+from ruleweave.llm import best_position, bpe, chat, license_scan, ngram_quality, ogg, packing, piece_spans, quality_rules, simhash, toxicity, turn_repair, warc
 from ruleweave.llm.common import cut, read
 
 
@@ -163,6 +163,26 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, by the Best Position Algorithm over all documents."""
+    return best_position.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH low AS (SELECT row_number() OVER () AS rid, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT rid, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM low),
+d AS (SELECT rid, doc_id, count(*) AS n FROM words GROUP BY ALL),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+p AS (SELECT rid, term, count(*) AS tf FROM words GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(s.docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term),
+asked AS (SELECT qid, item_id, unnest(list_distinct(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM
+    (SELECT row_number() OVER () AS qid, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark)),
+scored AS (SELECT qid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * s.docs) // s.terms))))::BIGINT AS score
+    FROM asked JOIN p USING (term) JOIN w USING (term) JOIN d USING (rid), s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every conversation, damaged by a hash of its rows' ids and turns."""
     rows = read(spark, sf_dir, "conversations")
@@ -238,6 +258,7 @@ QUERIES = {
     "op8_kneser_ney_quality": op8_kneser_ney_quality,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "op11_best_position": op11_best_position,
     "op12_turn_repair": op12_turn_repair,
     "op13_piece_spans": op13_piece_spans,
     "pipeline": corpus_pipeline.run,
@@ -245,5 +266,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
     "op6_warc_revisits": OP6_SQL,
+    "op11_best_position": OP11_SQL,
     "op12_turn_repair": OP12_SQL,
 }
