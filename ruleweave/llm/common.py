@@ -90,6 +90,12 @@ def hot_values(df: DataFrame, column: str) -> list:
     return [r[0] for r in sizes.select(column).collect()]
 
 
+def hot_sizes(sizes: DataFrame, column: str, n: str) -> list:
+    """As ``hot_values``, from a table of how many rows (in column n) each value has."""
+    least = max(10_000, int((sizes.agg(F.sum(n)).first()[0] or 0) * HOT_SHARE))
+    return [r[0] for r in sizes.filter((F.col(n) > least) & F.col(column).isNotNull()).select(column).collect()]
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """left joined with right, which has each value of ``on`` once: left's hot values stay where they are.
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.llm import shingle_sets
-from ruleweave.llm.common import broadcast_if_small, cut, discard, hot_values, join_hot, slices
+from ruleweave.llm.common import broadcast_if_small, cut, discard, hot_sizes, hot_values, join_hot, slices
 
 BITS = 64
 THRESHOLD = 2
@@ -121,11 +121,12 @@ def links(codes: DataFrame, threshold: int = THRESHOLD, segments: int | None = N
     keyed = codes.select("fp", F.posexplode(_keys(F.col("fp"), threshold, segments)).alias("start", "key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).filter("n > 1")
     sizes = cut(sizes.select("key", "n"), "simhash-keys")
-    paired = keyed.join(sizes.filter(F.col("n") <= PAIRED_GROUP).select("key"), "key")
+    hot = hot_sizes(sizes, "key", "n")
+    paired = join_hot(keyed, sizes.filter(F.col("n") <= PAIRED_GROUP).select("key"), "key", hot=hot)
     left, right = paired.select("key", "start", F.col("fp").alias("a")), paired.select("key", F.col("fp").alias("b"))
     candidates = left.join(right, "key").filter("a < b").filter(_within_budgets(F.col("a"), F.col("b"), F.col("start"), threshold, segments))
     pairs = candidates.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold).select("a", "b")
-    crowded = keyed.join(sizes.filter(F.col("n") > PAIRED_GROUP).select("key"), "key").select("fp").distinct()
+    crowded = join_hot(keyed, sizes.filter(F.col("n") > PAIRED_GROUP).select("key"), "key", hot=hot).select("fp").distinct()
     return pairs.unionByName(_stars(crowded)).distinct()
 
 

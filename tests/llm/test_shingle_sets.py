@@ -69,3 +69,18 @@ def test_repeated_and_null_keys(spark):
     got = sorted((r.doc_id or -1, (r.text or "").lower()) for r in kept.collect())
     assert got == [(-1, "other words here now"), (3, ""), (7, "one"), (7, "quite different text"), (9, "a b c d e")]
     assert simhash.keep_first(docs.limit(0), similarity=80).count() == 0
+
+
+def test_a_shingle_in_nine_of_ten_texts_stays_where_it_is(spark, monkeypatch):
+    """A passage that nearly all texts share is a hot key: its rows meet its size without a shuffle, and no pair is lost."""
+    monkeypatch.setattr(shingle_sets, "hot_sizes", lambda sizes, key, n: [r[0] for r in sizes.filter(f"{n} > 5").collect()])
+    rng = random.Random(9)
+    passage = "this one passage is everywhere"
+    texts = []
+    for i in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([0, 2, 30]))]
+        texts.append(" ".join([*base, passage] if i % 10 else base))
+        if i % 7 == 0:
+            texts.append(texts[-1] + " end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_first(docs, similarity=80).collect()} == brute_components(texts)
