@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ruleweave.plans import answer_queries, data_queries, rule_queries, store_queries, table_queries, text_queries
+from ruleweave.plans import answer_queries, data_queries, merge_queries, rule_queries, store_queries, table_queries, text_queries
 
-QUERIES: dict = {**answer_queries.QUERIES, **rule_queries.QUERIES, **table_queries.QUERIES, **text_queries.QUERIES, **store_queries.QUERIES, **data_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**answer_queries.ORACLE_SQL, **rule_queries.ORACLE_SQL, **table_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **store_queries.ORACLE_SQL, **data_queries.ORACLE_SQL}
+MODULES = (answer_queries, rule_queries, table_queries, text_queries, store_queries, data_queries, merge_queries)
+QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
 FLAGSHIP = "batch_decisions"
