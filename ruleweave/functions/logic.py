@@ -63,7 +63,7 @@ def prepare(conditions: Column) -> Column:
 
 
 def evaluate(c: Column, units: Column, year_built: Column, as_of: Column, caveat: bool, units_min: Column | None = None, units_max: Column | None = None) -> Column:
-    """struct(value, kind, fact) of one prepared condition; kind and fact say why a value is unknown.
+    """struct(value, kind, fact, text) of one prepared condition; kind and fact say why a value is unknown.
 
     caveat is what a caveat counts as: true among requirements, false in an exemption group. With units_min
     and units_max, bounds may settle a condition on an unknown number of units.
@@ -79,13 +79,14 @@ def evaluate(c: Column, units: Column, year_built: Column, as_of: Column, caveat
     value = F.when(c["fact"] == "caveat", F.lit(caveat)).when(c["fact"] != "unavailable", compared)
     kind = F.when(c["fact"] == "unavailable", "unavailable").when(counts | year_built.isNull(), "missing").otherwise("ambiguous")
     fact = F.when(c["fact"] == "unavailable", c["name"]).when(counts, "units").when(year_built.isNull(), "year_built")
-    return let(value, lambda v: F.struct(v.alias("value"), F.when(v.isNull(), kind).alias("kind"), F.when(v.isNull(), fact).alias("fact")))
+    return let(value, lambda v: F.struct(v.alias("value"), F.when(v.isNull(), kind).alias("kind"), F.when(v.isNull(), fact).alias("fact"), c["text"].alias("text")))
 
 
 def coverage(requires: Column, exempt_if: Column, units: Column, year_built: Column, as_of: Column, **bounds: Column) -> Column:
-    """struct(value, reason, unknown, caveats): whether a rule covers the facts, and why not or why unknown.
+    """struct(value, reason, unknown, caveats, deciding): whether a rule covers the facts, and why not or why unknown.
 
-    requires and exempt_if hold prepared conditions.
+    requires and exempt_if hold prepared conditions. deciding has the conditions that fixed the verdict, out of the same
+    values: the requirements that fail, those of the exemptions that hold, the open ones, or all requirements.
     """
     needed = F.transform(requires, lambda c: evaluate(c, units, year_built, as_of, True, **bounds))
     groups = F.transform(exempt_if, lambda g: F.transform(g, lambda c: evaluate(c, units, year_built, as_of, False, **bounds)))
@@ -95,11 +96,15 @@ def coverage(requires: Column, exempt_if: Column, units: Column, year_built: Col
 
     def judged(e: Column) -> Column:
         required, exempt = met(e["needed"]), F.exists(e["groups"], met)
+        failing, holding = F.filter(e["needed"], lambda x: ~x["value"]), F.flatten(F.filter(e["groups"], lambda g: met(g)))
         open_groups = F.flatten(F.transform(F.filter(e["groups"], lambda g: met(g).isNull()), unknown))
+        still_open = F.concat(unknown(e["needed"]), open_groups)
+        deciding = F.when(~required, failing).when(exempt, holding).when((required & ~exempt).isNull(), still_open).otherwise(e["needed"])
         return F.struct(
             (required & ~exempt).alias("value"),
             F.when(~required, "requirement_not_met").when(exempt, "exempt").alias("reason"),
-            F.concat(unknown(e["needed"]), open_groups).alias("unknown"),
+            still_open.alias("unknown"),
+            F.transform(deciding, lambda x: x["text"]).alias("deciding"),
             F.array_distinct(F.concat(texts(requires), texts(F.flatten(exempt_if)))).alias("caveats"),
         )
 

@@ -16,11 +16,11 @@ REASONS = {
     "status_pending": "{who} is only pending as of {as_of} and is not in force; it would cover this address in {jurisdiction} if enacted.",
     "status_not_yet_effective": "{who} is enacted but takes effect {effective}, after {as_of}; it is not yet in force at this address.",
     "status_failed": "{who} is not law as of {as_of}: {failure}.",
-    "exempt": "{who} does not apply as of {as_of}: an exemption holds.",
-    "requirement_not_met": "{who} does not apply as of {as_of}: a coverage requirement is not met.",
-    "missing_fact": "Cannot tell whether {who} applies as of {as_of}: the data for this address does not include {missing}.",
-    "cutoff_ambiguous": "Cannot tell whether {who} applies as of {as_of}: the building year alone does not settle the date test.",
-    "unverifiable_condition": "Cannot tell whether {who} applies as of {as_of}: it depends on facts the dataset does not hold ({missing}).",
+    "exempt": "{who} does not apply as of {as_of}: an exemption holds ({deciding}).",
+    "requirement_not_met": "{who} does not apply as of {as_of}: a coverage requirement is not met ({deciding}).",
+    "missing_fact": "Cannot tell whether {who} applies as of {as_of}: the data for this address does not include {missing} ({deciding}).",
+    "cutoff_ambiguous": "Cannot tell whether {who} applies as of {as_of}: the building year alone does not settle the date test ({deciding}).",
+    "unverifiable_condition": "Cannot tell whether {who} applies as of {as_of}: it depends on facts the dataset does not hold ({missing}): {deciding}.",
     "superseded_by_local": "{who} yields to a local rule where one governs; {local} applies at this address as of {as_of}, so the state rule is superseded.",
     "local_coverage_unknown": "{who} yields to a stricter local rule; whether {local} covers this address as of {as_of} is unknown, so it cannot be said which rule governs.",
     "jurisdiction_unresolved": "Cannot tell whether {who} applies as of {as_of}: the city containing this address could not be determined (missing: {missing}).",
@@ -34,6 +34,8 @@ HEADS = {
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 PASSED = "No modeled constraint in force for this action at this property on {as_of}."
 
+# Fixed value: what a city rule adds where the city came from the mailing address.
+MAILED = " The legal city of this address was taken from its mailing city because the geocoder found no match; low confidence."
 COVERED = " No known coverage gap for this category in these jurisdictions."
 
 
@@ -55,26 +57,34 @@ def plural(n: Column, one: str, many: str | None = None) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {many or one + 's'}"))
 
 
-def first_locals(results: DataFrame) -> DataFrame:
-    """(address_id, as_of, category, applying, open): the local rule of the lowest id that applies, and that is unknown."""
-    local = F.struct("team_rule_id", "title", "jurisdiction")
-    city = results.filter("level = 'city'").groupBy("address_id", "as_of", "category")
-    return city.agg(F.min(F.when(F.col("result") == "applies", local)).alias("applying"), F.min(F.when(F.col("result") == "unknown", local)).alias("open"))
+def quoted(texts: Column) -> Column:
+    """Texts in quotation marks, one after the other."""
+    return F.array_join(F.transform(texts, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), "; ")
 
 
 def explained(results: DataFrame) -> DataFrame:
-    """results (as ``results_for`` gives them) with sentence, that of its reason, and explanation, the sentence and its caveats."""
-    placed = results.join(first_locals(results), ["address_id", "as_of", "category"], "left")
+    """results (as ``results_for`` gives them when asked to tell) with explanation.
+
+    That is the sentence of the reason, with the conditions that decided; for a rule that is not in force, what leaves its
+    coverage open; its caveats; and whether a city rule rests on a city taken from the mailing address.
+    """
     named = lambda title, jurisdiction: F.concat(title, F.lit(" ("), jurisdiction, F.lit(")"))
-    local = F.when(F.col("reason_code") == "superseded_by_local", F.col("applying")).when(F.col("reason_code") == "local_coverage_unknown", F.col("open"))
     failure = F.when(F.col("legal_status") == "failed", "it failed to pass").otherwise(F.concat(F.lit("it was repealed "), "repeal_date"))
     template = F.try_element_at(F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair]), F.col("reason_code"))
+    displaced, undecided = F.col("reason_code") == "superseded_by_local", F.col("reason_code") == "local_coverage_unknown"
+    missing = F.array_join(F.transform("missing_facts", readable_fact), ", ")
     core = filled(
         template, who=named(F.col("title"), F.col("jurisdiction")), as_of=F.col("as_of"), jurisdiction=F.col("jurisdiction"), effective=F.col("effective_date"), failure=failure,
-        missing=F.array_join(F.transform("missing_facts", readable_fact), ", "), local=named(local["title"], local["jurisdiction"]),
+        missing=missing, local=named(F.col("local.title"), F.col("local.jurisdiction")), deciding=quoted(F.col("cov.deciding")),
     )
+    wording = F.when(displaced & F.col("relation_text").isNotNull(), filled(' Source wording: "{text}"', text=F.col("relation_text")))
+    waits = F.col("result").isin("pending", "not_yet_effective") & F.col("cov.value").isNull() & (F.size("cov.deciding") > 0)
+    lacking = F.when(F.size("missing_facts") > 0, filled(" (missing: {missing})", missing=missing)).otherwise("")
+    open_question = F.when(waits, F.concat(F.lit(" Coverage is also undetermined: "), quoted(F.col("cov.deciding")), lacking, F.lit(".")))
     caveats = F.when(F.size("caveats") > 0, F.concat(F.lit(" Caveats: "), F.array_join("caveats", "; "), F.lit(".")))
-    return placed.withColumns({"sentence": core, "explanation": F.concat(core, F.coalesce(caveats, F.lit("")))}).drop("applying", "open")
+    mailed = F.when((F.col("result") != "not_applicable") & (F.col("level") == "city") & (F.col("method") == "postal_fallback") & ~displaced & ~undecided, F.lit(MAILED))
+    parts = [F.coalesce(x, F.lit("")) for x in (core, wording, open_question, caveats, mailed)]
+    return results.withColumn("explanation", F.concat(*parts))
 
 
 def summary(decided: DataFrame) -> DataFrame:
@@ -93,14 +103,14 @@ def summary(decided: DataFrame) -> DataFrame:
         head = head.when(F.col("decision") == decision, filled(F.when(F.col("n_points") == 1, one).otherwise(many), n=F.col("n_points"), as_of=F.col("as_of")))
     head = head.otherwise(filled(PASSED, as_of=F.col("as_of")))
     soon = F.filter("rules", lambda r: r["result"].isin("pending", "not_yet_effective"))
-    coming = F.transform(soon, lambda r: F.concat(r["title"], F.when(r["result"] == "pending", " (pending, not enacted)").otherwise(" (enacted, on a later date)")))
+    coming = F.transform(soon, lambda r: F.concat(r["title"], F.when(r["result"] == "pending", " (pending, not enacted)").otherwise(F.concat(F.lit(" (effective "), F.coalesce(r["effective_date"], F.lit("on a later date")), F.lit(")")))))
     later = F.when(F.size(coming) > 0, F.concat(F.lit(" Not yet in force: "), F.array_join(coming, "; "), F.lit("."))).otherwise("")
-    gaps = F.when(F.col("n_gaps") > 0, F.concat(F.lit(" Known coverage gaps: "), F.col("n_gaps").cast("string"), F.lit("."))).when(F.col("decision") == "PASS", COVERED).otherwise("")
+    gaps = F.when(F.col("n_gaps") > 0, F.concat(F.lit(" Known coverage gaps: "), F.array_join("gaps", " "))).when(F.col("decision") == "PASS", COVERED).otherwise("")
     return decided.withColumn("n_points", n.cast("long")).withColumn("summary", F.concat(head, later, gaps))
 
 
 def top_reason(decided: DataFrame) -> DataFrame:
-    """decided with top_reason and determining_rule_ids: the first rule that fixed the decision and how, else what needs review."""
+    """decided with top_reason and determining_rule_ids: the first rule that fixed the decision and how, else the gap that needs review."""
     wanted = {"BLOCK": ("violated",), "REQUIRE": ("obligation", "satisfied"), "PASS": ("satisfied",), "REVIEW": ("review",)}
     kinds = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in wanted.items() for x in pair])
     fixing = F.filter(
@@ -109,7 +119,7 @@ def top_reason(decided: DataFrame) -> DataFrame:
     )
     first = F.get(fixing, F.lit(0))
     outcome = F.when(first["kind"] == "review", "unresolved").otherwise(first["kind"])
-    reason = F.when(first.isNotNull(), F.concat(first["title"], F.lit(": "), outcome)).when(F.col("n_gaps") > 0, "a known coverage gap").otherwise(filled(PASSED, as_of=F.col("as_of")))
+    reason = F.when(first.isNotNull(), F.concat(first["title"], F.lit(": "), outcome)).when(F.col("n_gaps") > 0, F.get("gaps", F.lit(0))).otherwise(filled(PASSED, as_of=F.col("as_of")))
     return decided.withColumns({"top_reason": reason, "determining_rule_ids": F.transform(fixing, lambda r: r["id"])})
 
 

@@ -48,8 +48,12 @@ def prepared(rules: DataFrame) -> DataFrame:
     return rules.withColumns({**first, "_requires": prepare(F.col("requires")), "_exempt": F.transform("exempt_if", prepare)})
 
 
-def apply_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
-    """result, reason_code, missing_facts and caveats of each reaching pair, each rule on its own."""
+def apply_rules(places: DataFrame, rules: DataFrame, told: bool = False) -> DataFrame:
+    """result, reason_code, missing_facts and caveats of each reaching pair, each rule on its own.
+
+    Asked to tell, it also gives cov: the coverage's value, its reason, the deciding conditions' texts and whether there are
+    exemptions, all out of the one evaluation.
+    """
     pairs = applicability_join(places, prepared(rules))
     status = status_on(F.col("legal_status"), F.col("_enacted_on"), F.col("_effective_on"), F.col("_repeal_on"), F.col("as_of"))
     none = F.array().cast("array<string>")
@@ -66,19 +70,22 @@ def apply_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
         ]
         answer = F.struct(F.lit("unknown").alias("result"), unknown_reason(unknown).alias("reason_code"), missing_facts(unknown).alias("missing_facts"))
         for cond, name, code in reversed(steps):
-            missing = F.array(F.lit("legal_city")) if name == "unknown" else none
+            missing = F.array(F.lit("legal_city")) if name == "unknown" else missing_facts(unknown) if name in ("pending", "not_yet_effective") else none
             answer = F.when(cond, F.struct(F.lit(name).alias("result"), code.alias("reason_code"), missing.alias("missing_facts"))).otherwise(answer)
-        return F.struct(status.alias("status"), answer.alias("answer"), e["cov"]["caveats"].alias("caveats"))
+        heard = F.when((status == "failed") | F.col("city_unknown"), none).otherwise(e["cov"]["caveats"])
+        cov = [F.struct(e["cov"]["value"].alias("value"), e["cov"]["reason"].alias("reason"), e["cov"]["deciding"].alias("deciding"), (F.size("_exempt") > 0).alias("exempts")).alias("cov")] if told else []
+        return F.struct(status.alias("status"), answer.alias("answer"), heard.alias("caveats"), *cov)
 
     cov = coverage(*[F.col(c) for c in ("_requires", "_exempt", "units", "year_built", "as_of")])
     found = pairs.withColumn("_found", let(F.struct(status.alias("status"), cov.alias("cov")), judged))
     kept = [c for c in found.columns if not c.startswith("_") and c not in ("city_unknown", "requires", "exempt_if")]
-    return found.select(*kept, "_found.status", "_found.answer.result", "_found.answer.reason_code", "_found.answer.missing_facts", "_found.caveats")
+    return found.select(*kept, "_found.status", "_found.answer.result", "_found.answer.reason_code", "_found.answer.missing_facts", "_found.caveats", *(["_found.cov"] if told else []))
 
 
-def apply_precedence(results: DataFrame) -> DataFrame:
+def apply_precedence(results: DataFrame, told: bool = False) -> DataFrame:
     """Results after local rules displace yielding state rules, with conflict flags and notes.
 
+    Asked to tell, it also gives local: the local rule of the lowest id that displaces a rule or leaves it open.
     All rules of one place, date and category are one window: a handful of rows, however many places there are.
     """
     group = W.partitionBy(*PAIR, "category")
@@ -88,6 +95,10 @@ def apply_precedence(results: DataFrame) -> DataFrame:
     yields = state & (F.col("relation") == "yields_to_stricter_local")
     displaced = yields & F.col("result").isin("applies", "unknown") & local_applies
     undecided = yields & (F.col("result") == "applies") & ~local_applies & local_unknown
+    if told:
+        known = F.struct("team_rule_id", "title", "jurisdiction")
+        first = lambda result: F.min(F.when(city & (F.col("result") == result), known)).over(group)
+        results = results.withColumn("local", F.when(displaced, first("applies")).when(undecided, first("unknown")))
     changed = results.withColumns({"_displaced": displaced, "_undecided": undecided})
     ranked = changed.withColumns(
         {
@@ -114,9 +125,9 @@ def apply_precedence(results: DataFrame) -> DataFrame:
     ).drop("_locals", "_bars", "_found", "_parts")
 
 
-def results_for(places: DataFrame, rules: DataFrame) -> DataFrame:
+def results_for(places: DataFrame, rules: DataFrame, told: bool = False) -> DataFrame:
     """apply_rules and apply_precedence together."""
-    return apply_precedence(apply_rules(places, rules))
+    return apply_precedence(apply_rules(places, rules, told), told)
 
 
 def result_counts(results: DataFrame, n_places: DataFrame, n_rules: int) -> DataFrame:

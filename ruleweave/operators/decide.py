@@ -92,19 +92,33 @@ def gap_counts(places: DataFrame, gaps: DataFrame) -> DataFrame:
     return reach.join(broadcast_if_small(gaps), ["jurisdiction", "category"]).groupBy(*KEY).agg(F.count("*").alias("n_gaps"))
 
 
+def with_gaps(places: DataFrame, gaps: DataFrame) -> DataFrame:
+    """places with gaps, the sentences of the known gaps of their jurisdictions in their category, by jurisdiction.
+
+    gaps: (jurisdiction, category, text). A place has two jurisdictions, so the small table is looked up twice.
+    """
+    said = broadcast_if_small(gaps.groupBy("jurisdiction", "category").agg(F.min("text").alias("text")))
+    found = places
+    for level in ("state", "legal_city"):
+        one = said.select(F.col("jurisdiction").alias(level), F.col("category").alias("action"), F.struct("jurisdiction", "text").alias(f"_{level}_gap"))
+        found = found.join(one, [level, "action"], "left")
+    every = F.array_sort(F.array_compact(F.array("_state_gap", "_legal_city_gap")))
+    return found.withColumn("gaps", F.transform(every, lambda g: F.coalesce(g["text"], F.lit("")))).drop("_state_gap", "_legal_city_gap")
+
+
 def decide(places: DataFrame, results: DataFrame, constraints: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One row a request: decision, permit and its rules' items.
+    """One row a request: decision, permit, its rules' items and the gaps it lies in.
 
-    rules holds, for each rule with items or an upcoming result, its id, items, would_be and resolvable_by.
+    rules holds, for each rule with items or an upcoming result, its id, items, would_be and resolvable_by. Requests and
+    their rules meet in one grouping by the key; a request without a rule is there by its own row.
     """
     rows = rule_items(results.filter(F.col("category") == F.col("action")), constraints)  # results of such places have no others
-    one = F.struct("team_rule_id", "title", "result", "items", "would_be", "resolvable_by")
-    kept = rows.filter((F.size("items") > 0) | F.col("result").isin("pending", "not_yet_effective"))
-    per = kept.groupBy(*[F.coalesce(F.col(k), F.lit(-1.0)).alias(k) if k == "value" else k for k in KEY]).agg(F.array_sort(F.collect_list(one)).alias("rules"))
-    asked = places.select(*KEY, "legal_city", "action").withColumn("_v", F.coalesce("value", F.lit(-1.0)))
-    gapped = gap_counts(places, gaps).withColumn("_v", F.coalesce("value", F.lit(-1.0))).select("address_id", "as_of", "_v", "n_gaps")
-    joined = asked.join(per.withColumnRenamed("value", "_v"), ["address_id", "as_of", "_v"], "left").join(gapped, ["address_id", "as_of", "_v"], "left").drop("_v")
-    filled = joined.withColumns({"rules": F.coalesce("rules", F.array()), "n_gaps": F.coalesce("n_gaps", F.lit(0).cast("long"))})
+    one = F.struct("team_rule_id", "title", "result", "items", "would_be", "resolvable_by", "effective_date")
+    kept = rows.filter((F.size("items") > 0) | F.col("result").isin("pending", "not_yet_effective")).select(*KEY, one.alias("_rule"))
+    asked = with_gaps(places, gaps).select(*KEY, F.struct("legal_city", "action", "gaps").alias("_place"))
+    both = kept.unionByName(asked, allowMissingColumns=True).groupBy(*KEY)
+    met = both.agg(F.array_sort(F.collect_list("_rule")).alias("rules"), F.first("_place", ignorenulls=True).alias("_place"))
+    filled = met.select(*KEY, "_place.legal_city", "_place.action", "rules", "_place.gaps").withColumn("n_gaps", F.size("gaps").cast("long"))
     alone = let(F.flatten(F.transform("rules", lambda r: r["items"])), decision_of)
     decision = let(alone, lambda d: F.when((F.col("n_gaps") > 0) & (d != "BLOCK"), "REVIEW").otherwise(d))
     return filled.withColumn("decision", decision).withColumn("permit", F.col("decision").isin("PASS", "REQUIRE"))

@@ -75,11 +75,12 @@ def known_gaps(manifest: DataFrame, selections: DataFrame, rules: DataFrame, cat
     have = rules.select("jurisdiction", "category").distinct()
     named = selections.filter("jurisdiction IS NOT NULL AND category IS NOT NULL").join(have, ["jurisdiction", "category"], "left_anti")
     first = named.groupBy("jurisdiction", "category").agg(F.min(F.struct("case_id", "label")).alias("c"))
-    said = F.concat(F.col("jurisdiction"), F.lit(": no "), F.col("category"), F.lit(" rule, although "), F.col("c.case_id"), F.lit(" names "), F.col("c.label"))
+    named_so = F.replace("category", F.lit("_"), F.lit(" "))
+    said = F.concat(F.col("jurisdiction"), F.lit(": no "), named_so, F.lit(" rule could be extracted, although change test "), F.col("c.case_id"), F.lit(" names "), F.col("c.label"), F.lit("."))
     by_label = first.select("jurisdiction", "category", F.lit(1).alias("rank"), said.alias("text"))
     closed = source_counts(manifest).filter("sources_read = 0 AND jurisdiction <> ''")
     each = closed.withColumn("category", F.explode(F.array(*map(F.lit, categories)))).join(have, ["jurisdiction", "category"], "left_anti")
-    none = F.concat(F.col("jurisdiction"), F.lit(": none of its "), F.col("sources_unreadable").cast("string"), F.lit(" listed sources could be read"))
+    none = F.concat(F.col("jurisdiction"), F.lit(": none of its "), F.col("sources_unreadable").cast("string"), F.lit(" listed sources could be read, and no "), named_so, F.lit(" rule is stored for it."))
     by_source = each.select("jurisdiction", "category", F.lit(2).alias("rank"), none.alias("text"))
     return by_label.unionByName(by_source).groupBy("jurisdiction", "category").agg(F.min_by("text", "rank").alias("text"))
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleweave.operators import stores
+
 RULE_SCHEMA = (
     "team_rule_id string, jurisdiction string, category string, title string, legal_status string, enacted_date string, effective_date string, repeal_date string,"
     " relation string, conflict_flag boolean, conflict_note string,"
     " requires array<struct<fact:string,op:string,date:string,years:double,value:int,name:string,text:string>>,"
-    " exempt_if array<array<struct<fact:string,op:string,date:string,years:double,value:int,name:string,text:string>>>"
+    " exempt_if array<array<struct<fact:string,op:string,date:string,years:double,value:int,name:string,text:string>>>,"
+    " relation_text string, citation string, requirement string"
 )
-CONSTRAINT_SCHEMA = "constraint_no int, rule_id string, action string, effect string, max double, hard_max double, open_above boolean, figure_year int, elements_untestable string"
+CONSTRAINT_SCHEMA = "constraint_no int, rule_id string, action string, effect string, max double, hard_max double, open_above boolean, figure_year int, elements_untestable string, value_text string, hard_max_text string, obligation_text string, evidence_quote string"
 #: Action: its parameter's exclusive minimum and maximum, or none.
 ACTIONS = {"algo": None, "deposit": (0.0, 12.0), "fee": (0.0, 10000.0)}
 
@@ -69,7 +72,26 @@ CONSTRAINTS = [
     ("R08", "algo", "none", N, N, False, N, N),
     ("R13", "fee", "limit", 50.0, N, False, 2026, N),
 ]
-GAPS = [("NATION_9, MIDDLE EAST", "fee"), ("NATION_3, EUROPE", "deposit")]
+#: How the source words a constraint's limit, its highest limit and its duty, by constraint number.
+WORDINGS = {0: ("one and a half months", N, N), 1: (N, N, "keep it in a bank"), 2: ("two months", "three months", N), 3: ("one month", N, N), 7: ("50", N, N)}
+#: What a rule that yields says about it.
+RELATION_TEXTS = {"R16": "a city may go further"}
+#: Action: the unit of its parameter.
+UNITS = {"algo": "", "deposit": "months", "fee": "dollars"}
+#: Labels of change cases, with the place and category they name.
+SELECTIONS = [
+    ("NATION_9-FEE-1", "C7", "NATION_9, MIDDLE EAST", "fee"), ("NATION_9-FEE-2", "C6", "NATION_9, MIDDLE EAST", "fee"), ("NATION_3-DEP-1", "C6", "NATION_3, EUROPE", "deposit"),
+    ("NATION_2-ALGO-1", "C6", "NATION_2, ASIA", "algo"), ("ODD-1", "C6", N, N),
+]
+#: Listed sources: jurisdiction and whether it can be read.
+MANIFEST = [("NATION_14, AFRICA", False), ("NATION_14, AFRICA", False), ("NATION_0, AFRICA", False), ("NATION_0, AFRICA", True), ("NATION_4, MIDDLE EAST", False)]
+#: What is derived from the two, stated for comparison.
+GAPS = [
+    ("NATION_9, MIDDLE EAST", "fee", "NATION_9, MIDDLE EAST: no fee rule could be extracted, although change test C6 names NATION_9-FEE-2."),
+    ("NATION_3, EUROPE", "deposit", "NATION_3, EUROPE: no deposit rule could be extracted, although change test C6 names NATION_3-DEP-1."),
+    *[("NATION_14, AFRICA", c, f"NATION_14, AFRICA: none of its 2 listed sources could be read, and no {c} rule is stored for it.") for c in ("algo", "deposit", "fee", "rent")],
+    *[("NATION_4, MIDDLE EAST", c, f"NATION_4, MIDDLE EAST: none of its 1 listed sources could be read, and no {c} rule is stored for it.") for c in ("algo", "deposit", "rent")],
+]
 # case, type, rule ids, dates, states
 CASES = [
     ("C1", "as_of", ["R07"], ["2026-10-01", "2027-07-02"], ["ASIA"]),
@@ -87,16 +109,19 @@ def title(rule_id: str) -> str:
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    rows = [(r[0], r[1], r[2], title(r[0]), *r[3:8], r[8], f"own note of {r[0]}" if r[8] else None, r[9], r[10]) for r in RULES]
+    rows = [(r[0], r[1], r[2], title(r[0]), *r[3:8], r[8], f"own note of {r[0]}" if r[8] else None, r[9], r[10], RELATION_TEXTS.get(r[0]), f"Code {r[0]}", f"What {r[0]} asks") for r in RULES]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
 def constraints(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *c) for i, c in enumerate(CONSTRAINTS)], CONSTRAINT_SCHEMA)
+    return spark.createDataFrame([(i, *c, *WORDINGS.get(i, (N, N, N)), f"quote {i}") for i, c in enumerate(CONSTRAINTS)], CONSTRAINT_SCHEMA)
 
 
 def gaps(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GAPS, "jurisdiction string, category string")
+    """The known gaps, derived from the cases' labels and the listed sources."""
+    manifest = spark.createDataFrame(MANIFEST, "jurisdiction string, readable boolean")
+    selections = spark.createDataFrame(SELECTIONS, "label string, case_id string, jurisdiction string, category string")
+    return stores.known_gaps(manifest, selections, rules(spark), sorted([*ACTIONS, "rent"]))
 
 
 def cases(spark: SparkSession) -> DataFrame:

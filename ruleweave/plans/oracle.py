@@ -18,11 +18,11 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
 
 
 def flat_conditions() -> list[tuple]:
-    """rule, group (0: requirements), fact, op, date, years, value, name."""
+    """rule, group (0: requirements), fact, op, date, years, value, name, place, text."""
     out = []
     for r in fx.RULES:
         for g, items in enumerate([r[9], *r[10]]):
-            out += [(r[0], g, *c[:6]) for c in items]
+            out += [(r[0], g, *c[:6], pos, c[6]) for pos, c in enumerate(items)]
     return out
 
 
@@ -46,7 +46,7 @@ def base(dates: tuple[str, ...] = (fx.AS_OF,)) -> str:
             ADDRESSES,
             values("rules0", "rid, jur, cat, title, ls, enacted, effective, repeal, relation, own, note", rules),
             f"rules AS (SELECT *, contains(jur, ',') AS is_city, trim(split_part(jur, ',', -1)) AS st, {FLOOR.format('enacted')} AS en, {FLOOR.format('effective')} AS ef, {FLOOR.format('repeal')} AS re FROM rules0)",
-            values("conds", "rid, grp, fact, op, dt, years, val, nm", flat_conditions()),
+            values("conds", "rid, grp, fact, op, dt, years, val, nm, pos, txt", flat_conditions()),
             values("dates0", "d", [(d,) for d in dates]),
             "dates AS (SELECT CAST(d AS DATE) AS as_of FROM dates0)",
         ]
@@ -63,7 +63,7 @@ pairs AS (SELECT a.*, r.*, as_of, (method = 'unresolved' AND is_city AND st = st
     CASE WHEN ls = 'failed' THEN 'failed' WHEN ls = 'pending' OR coalesce(en > as_of, FALSE) THEN 'pending' WHEN coalesce(re <= as_of, FALSE) THEN 'failed'
          WHEN coalesce(ef > as_of, FALSE) THEN 'not_yet_effective' ELSE 'in_force' END AS status
   FROM addr a, rules r, dates WHERE (NOT is_city AND jur = state) OR (is_city AND jur = legal_city) OR (method = 'unresolved' AND is_city AND st = state)),
-ops AS (SELECT p.address_id, p.as_of, p.rid, grp, fact, nm,
+ops AS (SELECT p.address_id, p.as_of, p.rid, grp, fact, nm, pos, txt,
     CASE fact WHEN 'building_age_years' THEN replace(replace(replace(op, 'l', '#'), 'g', 'l'), '#', 'g') ELSE op END AS op2,
     CASE WHEN fact = 'units' THEN units ELSE date_diff('day', DATE '1900-01-01', make_date(year_built, 1, 1)) END AS a1,
     CASE WHEN fact = 'units' THEN units ELSE date_diff('day', DATE '1900-01-01', make_date(year_built, 12, 31)) END AS a2,
@@ -89,7 +89,7 @@ res AS (SELECT p.*, coalesce(req_false, FALSE) OR coalesce(ex_true, FALSE) AS c_
     CASE WHEN status = 'failed' THEN 'status_failed' WHEN cu THEN 'jurisdiction_unresolved' WHEN req_false THEN 'requirement_not_met' WHEN ex_true THEN 'exempt'
          WHEN status = 'pending' THEN 'status_pending' WHEN status = 'not_yet_effective' THEN 'status_not_yet_effective'
          WHEN req_null OR ex_null THEN CASE WHEN k_missing THEN 'missing_fact' WHEN k_amb THEN 'cutoff_ambiguous' ELSE 'unverifiable_condition' END ELSE 'covered' END AS reason0,
-    CASE WHEN status = 'failed' THEN '' WHEN cu THEN 'legal_city' WHEN req_false OR ex_true OR status <> 'in_force' THEN '' ELSE coalesce(missing, '') END AS missing0
+    CASE WHEN status = 'failed' THEN '' WHEN cu THEN 'legal_city' WHEN req_false OR ex_true THEN '' ELSE coalesce(missing, '') END AS missing0
   FROM pairs p LEFT JOIN cov USING (address_id, as_of, rid) LEFT JOIN why USING (address_id, as_of, rid)),
 loc AS (SELECT address_id, as_of, cat, bool_or(r0 = 'applies') AS l_app, bool_or(r0 = 'unknown') AS l_unk FROM res WHERE is_city GROUP BY ALL),
 fin AS (SELECT res.*, CASE WHEN NOT is_city AND relation = 'yields_to_stricter_local' AND r0 IN ('applies', 'unknown') AND l_app THEN 'superseded'
@@ -115,7 +115,7 @@ def decided(requests: list[tuple[str, float | None]], dates: tuple[str, ...] = (
         + ",\n"
         + values("cons", "no, rid, action, effect, mx, hard, open_above, fy, untestable", cons)
         + ",\n"
-        + values("gaps", "jur, cat", fx.GAPS)
+        + values("gaps", "jur, cat, txt", fx.GAPS)
         + ",\n"
         + values("req0", "action, v0", [tuple(r) for r in requests])
         + f""",

@@ -117,8 +117,8 @@ UNION ALL SELECT -c_custkey, c_custkey, 'N' FROM customer WHERE c_custkey % 7 <>
 SELECT id, 'missing' AS side FROM (SELECT id FROM e EXCEPT SELECT id FROM a) UNION ALL SELECT id, 'unexpected' FROM (SELECT id FROM a EXCEPT SELECT id FROM e)""",
     "source_counts": f"WITH {_MANIFEST} SELECT j AS jurisdiction, count(*) FILTER (r) AS sources_read, count(*) FILTER (NOT r) AS sources_unreadable FROM m GROUP BY j",
     "derived_gaps": f"""WITH {_MANIFEST}, h AS (SELECT 'J' || n_nationkey AS j, CASE WHEN n_nationkey % 3 = 0 THEN 'fee' ELSE 'rent' END AS c FROM nation WHERE n_nationkey % 2 = 0),
-a AS (SELECT 'J' || n_nationkey AS j, 'fee' AS c, 1 AS rank, 'J' || n_nationkey || ': no fee rule, although T' || n_nationkey % 3 || ' names L' || n_nationkey AS text FROM nation WHERE n_nationkey % 4 <> 0
- UNION ALL SELECT j, c, 2, j || ': none of its ' || n || ' listed sources could be read' FROM (SELECT j, count(*) AS n FROM m GROUP BY j HAVING NOT bool_or(r)), (VALUES ('fee'), ('rent')) AS v(c))
+a AS (SELECT 'J' || n_nationkey AS j, 'fee' AS c, 1 AS rank, 'J' || n_nationkey || ': no fee rule could be extracted, although change test T' || n_nationkey % 3 || ' names L' || n_nationkey || '.' AS text FROM nation WHERE n_nationkey % 4 <> 0
+ UNION ALL SELECT j, c, 2, j || ': none of its ' || n || ' listed sources could be read, and no ' || c || ' rule is stored for it.' FROM (SELECT j, count(*) AS n FROM m GROUP BY j HAVING NOT bool_or(r)), (VALUES ('fee'), ('rent')) AS v(c))
 SELECT j AS jurisdiction, c AS category, arg_min(text, rank) AS text FROM a WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.j = a.j AND h.c = a.c) GROUP BY j, c""",
     "timing_quantiles": "SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) AS median, max(o_totalprice) AS largest FROM orders GROUP BY 1",
 }
