@@ -1,4 +1,6 @@
-"""Public license texts, standard headers and one-line notices, as templates."""
+"""Public license texts, standard headers and one-line notices, as templates. Whole long texts lie in ``license_data``."""
+
+from importlib import resources
 
 # Wordings published with the licenses, without their copyright lines.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -34,6 +36,49 @@ def _gnu(what: str, name: str, version: str) -> str:
     return _GNU.format(what=what, name=name, version=version)
 
 
+# Names under which licenses are spoken of, beside their identifiers.
+_NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "GPL-3.0": ("GNU General Public License v3.0", "GNU General Public License, version 3", "GPLv3", "GNU GPLv3 License"),
+    "GPL-2.0": ("GNU General Public License v2.0", "GNU General Public License, version 2", "GPLv2", "GNU GPLv2 License"),
+    "LGPL-3.0": ("GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3", "LGPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1", "LGPLv2.1"),
+    "AGPL-3.0": ("GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3", "AGPLv3"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, version 2.0"),
+    "BSD-2-Clause": ("2-clause BSD License", "BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("3-clause BSD License", "BSD 3-Clause License", "New BSD License"),
+    "ISC": ("ISC License",),
+    "Zlib": ("zlib License",),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "Unlicense": ("The Unlicense",),
+    "CC0-1.0": ("CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License",),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License",),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License",),
+    "CC-BY-ND-4.0": ("Creative Commons Attribution-NoDerivatives 4.0 International License",),
+}
+# How texts say that they are under a license.
+_SAID_OF_NAMES = (
+    "{}.", "Licensed under the {}.", "This project is licensed under the {}.", "This project is licensed under the {}. See the LICENSE file for details.",
+    "This software is licensed under the {}.", "This work is licensed under the {}.", "Distributed under the {}.", "Distributed under the {}, see LICENSE.", "Released under the {}.",
+    "This file is licensed under the {}.", "The code is available under the {}.", "License: {}",
+)
+_SAID_OF_IDS = ("SPDX-License-Identifier: {}", "SPDX-License-Identifier: {}-only", "SPDX-License-Identifier: {}-or-later", "License: {}", "Licensed under {}.", "This project is licensed under {}.")
+
+
+def statements() -> dict[str, tuple[str, ...]]:
+    """License name: the sentences that say a text is under it."""
+    return {name: tuple(dict.fromkeys([p.format(n) for n in names for p in _SAID_OF_NAMES] + [p.format(name) for p in _SAID_OF_IDS])) for name, names in _NAMES.items()}
+
+
+def whole_texts() -> dict[str, str]:
+    """License name: its published text, of the licenses that have a file here."""
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    return {name: (resources.files("ruleweave.llm") / "license_data" / f"{file}.txt").read_text(encoding="utf-8") for name, file in files.items()}
+
+
 #: License name: its texts, headers and notices.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": ("Released under the MIT License.", _MIT.split("\n")[0], _MIT),

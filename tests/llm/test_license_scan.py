@@ -5,6 +5,7 @@ import pytest
 import zstandard
 
 from ruleweave.llm import license_scan as ls
+from ruleweave.llm import license_texts
 
 
 def scan(text):
@@ -19,6 +20,35 @@ def test_every_template_finds_itself_wrapped_and_between_prose(name, text):
         assert any((f[2], f[3]) == (name, "exact") and f[1] == len(said.split("\n")) for f in found), (said, found)
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("width", [20, 25, 36, 50, 76, 100])
+def test_every_text_is_found_at_any_width_and_behind_comment_marks(width, mark):
+    for name, texts in ls.TEMPLATES.items():
+        for text in texts:
+            lines = [mark + line for part in text.split("\n") for line in textwrap.wrap(part, width) or [""]]
+            found = scan("Some words before it.\n" + "\n".join(lines) + "\nand after it some more.")
+            assert any(f[2] == name for f in found), (name, text[:40], found)
+
+
+@pytest.mark.parametrize("name", sorted(license_texts.whole_texts()))
+def test_whole_long_texts_and_their_wrapped_copies(name):
+    text = license_texts.whole_texts()[name]
+    assert any(f[2:] == (name, "exact") for f in scan(text))
+    wrapped = "\n".join("; " + line for line in textwrap.wrap(text, 45))
+    assert any(f[2:] == (name, "exact") and f[1] > 100 for f in scan("before\n" + wrapped + "\nafter"))
+
+
+def test_statements_are_found_and_others_are_not():
+    for name, texts in license_texts.statements().items():
+        for text in texts:
+            assert (name, "exact") in [f[2:] for f in scan(text)], text
+    for text, name in (
+        ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+        ("This project is licensed under the\n# MIT License.", "MIT"), ("provided without any express or\n# implied warranty", None), ("Licensed under the Foo License.", None),
+    ):
+        assert [f[2] for f in scan(text)] == [name], text
+
+
 def test_full_texts_with_small_changes_are_variants():
     for name, texts in ls.TEMPLATES.items():
         text = max(texts, key=len)
@@ -30,7 +60,7 @@ def test_full_texts_with_small_changes_are_variants():
 
 def test_reductions_are_those_of_a_raw_dictionary():
     line = "Licensed under the Apache License, Version 2.0."
-    alone, order = ls.Scanner().ranked(line)
+    alone, order = ls.Scanner(more=False).ranked(line)
     assert alone == len(zstandard.ZstdCompressor(level=ls.LEVEL, write_content_size=False).compress(line.encode()))
     by = dict((k, n) for n, k in order)
     for k, t in enumerate(t for ts in ls.TEMPLATES.values() for t in ts):
