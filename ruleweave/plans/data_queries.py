@@ -1,35 +1,14 @@
-"""Queries of supplied facts, export checks, replaced rows and date wordings, with the SQL they are compared with."""
+"""Queries of supplied facts, export checks and replaced rows, with the SQL they are compared with."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ruleweave.functions import mentions
 from ruleweave.operators import export, facts
 from ruleweave.plans import fixtures as fx
 from ruleweave.plans import oracle
 from ruleweave.sources import files
 
-# text, date, how the text words it
-WORDINGS = [
-    ("This act takes effect January 1, 2026.", "2026-01-01", "stated"),
-    ("Effective on the 1st day of Jan. 2026, fees end.", "2026-01-01", "stated"),
-    ("Amended by Stats. 2025, Ch. 3. Effective January 1, 2026.", "2026-01-01", "amendment_note"),
-    ("Amended by Stats. 2025. Effective 1/1/2026.\nIt applies from 1/1/26 on.", "2026-01-01", "stated"),
-    ("[ Text of section as amended by 2031, 4, Sec. 7 effective July 4, 2031. See the note.]", "2031-07-04", "version_note"),
-    ("effective May 1, 2031 through April 30, 2032", "2031-05-01", "period_start"),
-    ("Repealed by Ch. 1 and added by Ch. 2, effective 2026-01-01", "2026-01-01", "amendment_note"),
-    ("Nothing here but 11/1/2026.", "2026-01-01", "not_found"),
-    ("January 2026", "2026-01", "partial"),
-    (None, "2026-01-01", "not_found"),
-]
-
-
-def effective_date_context(spark, sf_dir):
-    rows = spark.createDataFrame([(i, t, d) for i, (t, d, _) in enumerate(WORDINGS)], "i int, text string, date string")
-    return rows.select("i", mentions.date_context(F.col("text"), F.col("date")).alias("context"))
-
-
 def overlay_facts(spark, sf_dir):
     """Every second place is asked about with facts of the caller's, some of them other than recorded."""
     key = F.col("address_id")
@@ -56,10 +35,9 @@ def upsert_rows(spark, sf_dir):
     return files.upsert(old, new.unionByName(spark.createDataFrame([(-1, "N")], "o_orderkey long, o_orderstatus string")), "o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (effective_date_context, overlay_facts, exportable_split, upsert_rows)}
+QUERIES = {f.__name__: f for f in (overlay_facts, exportable_split, upsert_rows)}
 
 ORACLE_SQL = {
-    "effective_date_context": f"WITH {oracle.values('w', 'i, context', [(i, w[2]) for i, w in enumerate(WORDINGS)])} SELECT CAST(i AS INT) AS i, context FROM w",
     "overlay_facts": f"""WITH {oracle.ADDRESSES}, g AS (SELECT address_id, units AS ru, year_built AS ry, CASE WHEN address_id % 2 = 0 THEN CAST(address_id % 4 + 1 AS INT) END AS gu, CASE WHEN address_id % 4 = 0 THEN 1980 END AS gy FROM addr)
 SELECT address_id, coalesce(ru, gu) AS units, CASE WHEN ru IS NOT NULL THEN 'record' WHEN gu IS NOT NULL THEN 'caller' ELSE 'missing' END AS units_source,
  CAST(coalesce(ry, gy) AS INT) AS year_built, CASE WHEN ry IS NOT NULL THEN 'record' WHEN gy IS NOT NULL THEN 'caller' ELSE 'missing' END AS year_built_source,
