@@ -44,6 +44,8 @@ SAMPLE_DOCS = 20_000
 TOXIC_SENTENCES = 4_000
 CLEAN_SENTENCES = 10_000
 HARD_SENTENCES = 6_000
+#: Times that the clean units of the largest margins are found and trained on.
+ROUNDS = 2
 LANDMARKS = 512
 DECAY = 0.6
 SPAN = 7
@@ -304,28 +306,28 @@ def _labelled(sample: DataFrame, witnesses: dict[str, int]) -> DataFrame:
     return sample.mapInArrow(run, _SENTENCES)
 
 
-def _judged(sample: DataFrame, model: Model) -> DataFrame:
-    """As ``_labelled``, of a clean sample: each sentence by the unit of its largest margin."""
-    sent = sample.sparkSession.sparkContext.broadcast(model)  # 64 ** 3 floats, 1 MB
+def _judged(units: DataFrame, model: Model) -> DataFrame:
+    """As ``_labelled``, of the distinct units of clean documents: each by its piece of the largest margin.
+
+    A sentence is decided by the unit of its largest margin, so the hardest units are those of the hardest sentences; each is
+    judged once, however many sentences have it.
+    """
+    sent = units.sparkSession.sparkContext.broadcast(model)  # 64 ** 3 floats, 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margins = _margins_of(sent.value)
-        for batch in slices(batches):
-            texts = [sentences(t) for t in batch.column("text").to_pylist()]
-            out = []
-            for text, found in zip(texts, margins(texts), strict=True):
-                at = 0
-                for s in text:
-                    own = found[at : at + len(s)]
-                    at += len(s)
-                    best = max(own)
-                    unit = plain(s[own.index(best)])
-                    if unit:
-                        own_pieces = pieces(unit)
-                        out.append((0, own_pieces[0] if len(own_pieces) == 1 else max(own_pieces, key=lambda p: sent.value.margins([p])[0]), 1.0, best))
+        for batch in slices(batches, 20_000):
+            parts = [pieces(u) for u in batch.column("unit").to_pylist()]
+            flat = [p for ps in parts for p in ps]
+            margins = np.asarray(sent.value.margins(flat), dtype=np.float64) if flat else np.zeros(0)
+            out, at = [], 0
+            for ps in parts:
+                if ps:
+                    best = at + int(np.argmax(margins[at : at + len(ps)]))
+                    out.append((0, flat[best], 1.0, float(margins[best])))
+                at += len(ps)
             yield _sentence_batch(out)
 
-    return sample.mapInArrow(run, _SENTENCES)
+    return units.select("unit").mapInArrow(run, _SENTENCES)
 
 
 def _chosen(found: DataFrame, toxic: int, n: int, order: list) -> list:
@@ -359,29 +361,35 @@ def _scored(docs: DataFrame, model: Model, keys: tuple[str, ...]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """A model from labelled rows: labels has key and toxic (0 or 1); None without both kinds."""
+    held: list[DataFrame] = []
     known = labels.filter(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("_tox_key")).agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("_tox_key"), "_tox_key").limit(sample_docs))  # at most sample_docs rows
-    sample = cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, F.col("key") == F.col("_tox_key")).select("text", "toxic"), "tox-sample")
+    sample = cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, F.col("key") == F.col("_tox_key")).select("text", "toxic"), "tox-sample", held)
     kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not kinds.get(1) or not kinds.get(0):
+        discard(*held)
         return None
-    units = cut(sample.mapInArrow(_unit_counts, "unit string, n_toxic bigint, n_clean bigint").groupBy("unit").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")), "tox-units")
+    units = cut(sample.mapInArrow(_unit_counts, "unit string, n_toxic bigint, n_clean bigint").groupBy("unit").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")), "tox-units", held)
     share = kinds[1] / (kinds[0] + kinds[1])
     by_chance = math.log(max(units.count(), 2)) / -math.log(share)  # of so many units one may be in so many toxic documents only
     least = max(3, int(0.004 * kinds[1]), math.ceil(by_chance))
     witness = (F.col("n_toxic") >= least) & (F.col("n_toxic") * kinds[0] >= 20 * F.col("n_clean") * kinds[1]) & (F.col("n_toxic") >= 3 * F.col("n_clean"))
     witnesses = {r["unit"]: r["n_toxic"] for r in units.filter(witness).collect()}  # each in several of the sampled documents
     by_hash = [F.xxhash64("unit"), "unit"]
-    first = cut(_labelled(sample, witnesses), "tox-first")
+    first = cut(_labelled(sample, witnesses), "tox-first", held)
     toxic, clean = _chosen(first, 1, TOXIC_SENTENCES, by_hash), _chosen(first, 0, CLEAN_SENTENCES, by_hash)
     model = _trained(toxic, clean)
     if model is None:
+        discard(*held)
         return None
-    judged = cut(_judged(sample.filter("toxic = 0"), model), "tox-judged")
-    model = _trained(toxic, _chosen(judged, 0, HARD_SENTENCES, [F.desc("margin"), "unit"]) + clean)
+    hard: list = []
+    for _ in range(ROUNDS):
+        judged = cut(_judged(units.filter("n_clean > 0"), model), "tox-judged", held)
+        hard += _chosen(judged, 0, HARD_SENTENCES, [F.desc("margin"), "unit"])
+        model = _trained(toxic, hard + clean)
     rows = _scored(sample, model, ("toxic",)).toPandas()  # at most sample_docs rows of four numbers, and their repeats
     model.logistic = fit_logistic(rows[["f0", "f1", "f2"]].to_numpy(), rows["toxic"].to_numpy(np.float64))
-    discard(sample, units, first, judged)
+    discard(*held)
     return model
 
 
