@@ -6,11 +6,13 @@ physical stream.  ``read_back`` takes stored bytes apart again: it checks every
 puts packets together from lacing values over page borders, separates the streams by serial number, and
 dates each packet from the granule positions; then it joins the channels and computes features.
 
-A damaged page is left out and named in ``problems``; what the other pages hold is still read. Nothing is
-decoded row by row outside its own bytes, so a task's memory is bounded by a batch of texts.
+A damaged page is left out and named in ``problems``; what the other pages hold is still read: granule positions say
+where each packet's samples stand, so the payload has its length, zeros where nothing was read, and ``gaps`` names those
+ranges. Nothing is decoded row by row outside its own bytes, so a task's memory is bounded by a batch of texts.
 
-Defined cases: a null or empty text is 64 zero bytes; equal texts give equal bytes; null media has no
-payload and the problem ``no data``; an empty table gives an empty result; other columns are not read.
+Defined cases: a null or empty text is 64 zero bytes; equal texts give equal bytes; null media, and media without any
+channel's header, have no payload and a problem that says so; of a channel without its header everything is a gap; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -159,12 +161,29 @@ def read_pages(media: bytes) -> tuple[dict[int, Stream], int, list[str]]:
     return streams, good, problems
 
 
-def read_media(media: bytes | None) -> tuple[bytes | None, str, list[tuple[int, float, int]], list[str]]:
-    """Payload, feature, (channel, seconds at the end, bytes) of each packet, and problems."""
+def placed(packets: list[tuple[bytes, int | None]], samples: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A channel's samples with each packet where its granule position says, and the (start, length) of what no packet gives.
+
+    A packet without a position follows the one before it.
+    """
+    out, known, at = np.zeros(samples, np.uint8), np.zeros(samples, bool), 0
+    for packet, end in packets:
+        start = at if end is None else end - len(packet)
+        at = start + len(packet)
+        own = slice(max(0, start), min(samples, at))
+        out[own] = np.frombuffer(packet, np.uint8)[own.start - start : own.stop - start]
+        known[own] = True
+    edges = np.flatnonzero(np.diff(np.r_[True, known, True].astype(np.int8)))
+    return out, [(int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def read_media(media: bytes | None) -> tuple[bytes | None, str, list[tuple[int, float, int]], list[str], list[tuple[int, int, int]]]:
+    """Payload, feature, (channel, seconds at the end, bytes) of each packet, problems, and (channel, start, length) of gaps."""
     if media is None:
-        return None, "", [], ["no data"]
+        return None, "", [], ["no data"], []
     streams, pages, problems = read_pages(media)
-    channels: dict[int, bytes] = {}
+    channels: dict[int, np.ndarray] = {}
+    gaps: list[tuple[int, int, int]] = []
     times: list[tuple[int, float, int]] = []
     for serial in sorted(streams):
         packets = streams[serial].packets
@@ -172,22 +191,30 @@ def read_media(media: bytes | None) -> tuple[bytes | None, str, list[tuple[int,
             problems.append(f"stream {serial}: no header")
             continue
         c, _, rate, samples = struct.unpack_from("<BBIQ", packets[0][0], 4)
-        channels[c] = b"".join(p for p, _ in packets[1:])
+        if c >= CHANNELS or samples > CHANNELS * BLOCK * len(media):  # no writer says so; a header is not trusted beyond its media
+            problems.append(f"stream {serial}: a header of {samples} samples for channel {c}")
+            continue
+        channels[c], missing = placed(packets[1:], samples)
+        gaps += [(c, start, length) for start, length in missing]
         times += [(c, -1.0 if end is None else end / rate, len(p)) for p, end in packets[1:]]
-        if len(channels[c]) != samples:
-            problems.append(f"stream {serial}: {len(channels[c])} of {samples} samples")
-    if sorted(channels) != list(range(CHANNELS)) or problems:
-        return None, "", times, problems or ["a channel is missing"]
-    both = np.empty(sum(map(len, channels.values())), dtype=np.uint8)
+        if missing:
+            problems.append(f"stream {serial}: {samples - sum(n for _, n in missing)} of {samples} samples")
+    if not channels:
+        return None, "", times, problems or ["no channel"], []
+    longest = max(map(len, channels.values()))
+    for c in set(range(CHANNELS)) - set(channels):
+        problems.append(f"channel {c} is missing")
+        gaps.append((c, 0, longest))
+    both = np.zeros(CHANNELS * longest, dtype=np.uint8)
     for c, samples in channels.items():
-        both[c::CHANNELS] = np.frombuffer(samples, dtype=np.uint8)
+        both[c::CHANNELS][: len(samples)] = samples
     centred = both.astype(np.float64) - 128
     crossings = int(np.count_nonzero(np.diff(np.signbit(centred))))
     feature = (
         f"seconds={max((t for _, t, _ in times), default=0.0):.6f};pages={pages};packets={len(times)};"
         f"rms={float(np.sqrt(np.mean(centred * centred))):.4f};peak={int(np.abs(centred).max())};crossings={crossings}"
     )
-    return both.tobytes(), feature, times, problems
+    return both.tobytes(), feature, times, problems, sorted(gaps)
 
 
 def store(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -207,10 +234,11 @@ def store(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "tex
 
 
 def read_back(stored: DataFrame, media: str = "media") -> DataFrame:
-    """stored with payload, feature, packet times and problems, all from the stored bytes."""
-    names = [c for c in stored.columns if c in ("payload", "feature", "packets", "problems")]
+    """stored with payload, feature, packet times, problems and gaps, all from the stored bytes."""
+    names = [c for c in stored.columns if c in ("payload", "feature", "packets", "problems", "gaps")]
     if names:
         raise ValueError(f"columns exist already: {names}")
+    gap_type = pa.list_(pa.struct([("channel", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]))
     time_type = pa.list_(pa.struct([("channel", pa.int32()), ("seconds", pa.float64()), ("bytes", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +246,9 @@ def read_back(stored: DataFrame, media: str = "media") -> DataFrame:
             read = [read_media(m) for m in batch.column(media).to_pylist()]
             times = [[{"channel": c, "seconds": s, "bytes": n} for c, s, n in r[2]] for r in read]
             made = [pa.array([r[0] for r in read], pa.binary()), pa.array([r[1] for r in read], pa.string()), pa.array(times, time_type), pa.array([r[3] for r in read], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "payload", "feature", "packets", "problems"])
+            made.append(pa.array([[{"channel": c, "start": s, "length": n} for c, s, n in r[4]] for r in read], gap_type))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "payload", "feature", "packets", "problems", "gaps"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields)
-    more = "payload binary, feature string, packets array<struct<channel:int,seconds:double,bytes:bigint>>, problems array<string>"
+    more = "payload binary, feature string, packets array<struct<channel:int,seconds:double,bytes:bigint>>, problems array<string>, gaps array<struct<channel:int,start:bigint,length:bigint>>"
     return stored.mapInArrow(run, f"{fields}, {more}")

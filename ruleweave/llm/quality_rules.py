@@ -114,6 +114,15 @@ def apply_policy(rows: DataFrame, policy: Policy, into: str = "kept") -> DataFra
     return rows.withColumn(into, F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)
 
 
+def sole_rule(rows: DataFrame, policy: Policy, into: str = "sole_bit") -> DataFrame:
+    """Adds the bit of the one rule without which the policy would keep a row it rejects; 0 where there is none such.
+
+    Summed up by bit it is what ``ablations`` tells of each rule's rows that only it fails.
+    """
+    bits = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
+    return rows.withColumn(into, F.when(F.bit_count(bits) == 1, bits).otherwise(F.lit(0).cast("long")))
+
+
 def keep_passing(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that the policy keeps."""
     whole = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))

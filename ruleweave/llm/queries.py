@@ -17,8 +17,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and verdicts of every document under the production policy."""
     rows = quality_rules.ledger(read(spark, sf_dir, "documents"))
     judged = quality_rules.apply_policy(quality_rules.apply_policy(rows, quality_rules.BASE_POLICY, "base_kept"), quality_rules.PRODUCTION_POLICY)
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "fail_bits"
+    told = quality_rules.sole_rule(judged, quality_rules.PRODUCTION_POLICY)
+    return told.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "fail_bits", "sole_bit"
     )
 
 
@@ -37,7 +38,8 @@ f AS (SELECT *, (n_words < 20)::INT AS f0, (100 * n_repeat_words > 30 * n_words)
              (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 16 * n_words))::INT AS f3,
              (n_lines >= 3 AND 2 * n_dup_lines > n_lines)::INT AS f4 FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f0 + f1 > 0) AS base_failed,
-       (f0 + f1 + f2 + f3 + f4 = 0) AS kept, (f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4)::BIGINT AS fail_bits FROM f
+       (f0 + f1 + f2 + f3 + f4 = 0) AS kept, (f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4)::BIGINT AS fail_bits,
+       CASE WHEN f0 + f1 + f2 + f3 + f4 = 1 THEN f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4 ELSE 0 END::BIGINT AS sole_bit FROM f
 """
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -79,6 +81,8 @@ def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.size("problems").alias("n_problems"),
+        F.size("gaps").alias("n_gaps"),
     )
 
 

@@ -72,6 +72,9 @@ def test_ablations_equal_applying_each_smaller_policy(docs):
             assert (r.n_kept, r.n_kept_without) == (count(policy), count(others))
             assert r.n_failed == rows.filter(F.col("fail_bits").bitwiseAND(F.lit(qr.BIT[rule])) != 0).count() and r.n_failed_alone == r.n_kept_without - r.n_kept
     assert qr.ablations(rows.limit(0), qr.BASE_POLICY).count() == 0
+    alone = {r.sole_bit: r["count"] for r in qr.sole_rule(rows, qr.PRODUCTION_POLICY).groupBy("sole_bit").count().collect() if r.sole_bit}
+    found = {1 << qr_bit: r.n_failed_alone for r in qr.ablations(rows, qr.PRODUCTION_POLICY).collect() for qr_bit in [qr.BIT[r.rule].bit_length() - 1] if r.n_failed_alone}
+    assert alone == found
 
 
 def test_bits_are_never_shared():
