@@ -95,3 +95,69 @@ def resolve(attempts: DataFrame, addresses: DataFrame) -> DataFrame:
         F.when(found, F.when(F.col("sure.variant") == "as_given", SURE).otherwise(VARIANT)).when(offered, AMBIGUOUS).when(asked, FALLBACK).otherwise(0.0).alias("confidence"),
         note.alias("note"),
     )
+
+
+#: A cached entry as the geocoder's answers lie in it; layers are named with blanks, so they are keys of a map.
+CACHE = (
+    "struct<attempts:array<struct<variant:string,response:struct<result:struct<addressMatches:array<struct<"
+    "matchedAddress:string,geographies:map<string,array<map<string,string>>>>>>>>>>"
+)
+# The notes of a resolved place.
+BY_MATCH = "Census geocoder match ({variant}){rest}"
+NO_PLACE = "; no incorporated place in the response (unincorporated)"
+BY_CITY = "Census geocoder returned candidates in more than one place ({variant}); kept the candidate in the postal city."
+BY_POST = "Postal fallback: the geocoder gave no unambiguous match for {n} address variants in {state}; legal city from the postal {source}."
+
+
+def cached_matches(entry: Column) -> Column:
+    """Attempts of a cached entry (JSON text) in order, each with its variant and matches: address, place, county and state."""
+    layer = lambda m, name, field: F.try_element_at(F.try_element_at(F.try_element_at(m["geographies"], F.lit(name)), F.lit(1)), F.lit(field))
+    match = lambda m: F.struct(
+        m["matchedAddress"].alias("matched_address"), layer(m, "Incorporated Places", "BASENAME").alias("place"), layer(m, "Counties", "NAME").alias("county"),
+        matched_state(layer(m, "States", "STUSAB"), m["matchedAddress"]).alias("state"),
+    )
+    none = F.array().cast("array<struct<matched_address:string,place:string,county:string,state:string>>")
+    attempt = lambda a: F.struct(a["variant"].alias("variant"), F.coalesce(F.transform(a["response"]["result"]["addressMatches"], match), none).alias("matches"))
+    return F.transform(F.from_json(entry, CACHE)["attempts"], attempt)
+
+
+def resolve_cached(addresses: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row an address: state, county, legal_city, method, confidence, matched_address and note.
+
+    addresses has address_id, state and postal_city, cache (address_id, entry) the geocoder's answers as JSON text. Attempts are
+    taken in order: the first whose matches in the state all lie in one place gives that of its first match; else the
+    first match that lies in the postal city, of the first attempt that has one; else the postal city itself. An address
+    without an entry is unresolved. An entry is one row, so the one join by address is all that moves.
+    """
+    joined = addresses.join(cache, "address_id", "left").withColumn("_tried", cached_matches(F.col("entry")))
+    legal = postal_city(F.col("postal_city"), F.col("state"))
+    own = F.upper("state")
+    inside = F.transform("_tried", lambda a: F.struct(a["variant"].alias("variant"), F.filter(a["matches"], lambda m: m["state"] == own).alias("matches")))
+    placed = joined.withColumns({"_in": inside, "_legal": legal})
+    one_place = lambda a: F.size(F.array_distinct(F.transform(a["matches"], lambda m: F.coalesce(m["place"], F.lit(""))))) == 1
+    there = lambda m: F.coalesce(F.concat(m["place"], F.lit(", "), F.col("state")) == F.col("_legal"), F.lit(False))
+    sure = F.get(F.filter("_in", one_place), F.lit(0))
+    among = F.get(F.filter(F.transform("_in", lambda a: F.struct(a["variant"].alias("variant"), F.filter(a["matches"], there).alias("matches"))), lambda a: F.size(a["matches"]) > 0), F.lit(0))
+    found = placed.withColumns({"_sure": sure, "_among": among})
+    s, m = F.get("_sure.matches", F.lit(0)), F.get("_among.matches", F.lit(0))
+    is_sure, is_among, is_asked = F.col("_sure").isNotNull(), F.col("_among").isNotNull(), F.col("_tried").isNotNull()
+    pick = lambda by_match, by_city, by_post, none: F.when(is_sure, by_match).when(is_among, by_city).when(is_asked, by_post).otherwise(none)
+    put = lambda template, **values: _filled(template, values)
+    from_table = F.col("_legal") != F.concat(F.trim("postal_city"), F.lit(", "), F.col("state"))
+    null = F.lit(None).cast("string")
+    note = pick(
+        put(BY_MATCH, variant=F.col("_sure.variant"), rest=F.when(s["place"].isNull(), NO_PLACE).otherwise("")), put(BY_CITY, variant=F.col("_among.variant")),
+        put(BY_POST, n=F.size("_tried").cast("string"), state=F.col("state"), source=F.when(from_table, "neighbourhood table").otherwise("city name")), F.lit("no cached answer"),
+    )
+    return found.select(
+        "address_id", "state", pick(s["county"], m["county"], null, null).alias("county"), pick(F.concat(s["place"], F.lit(", "), "state"), F.col("_legal"), F.col("_legal"), null).alias("legal_city"),
+        pick(F.lit("geocoder"), F.lit("geocoder"), F.lit("postal_fallback"), F.lit("unresolved")).alias("method"),
+        pick(F.when(F.col("_sure.variant") == "as_given", SURE).otherwise(VARIANT), F.lit(AMBIGUOUS), F.lit(FALLBACK), F.lit(0.0)).alias("confidence"), pick(s["matched_address"], m["matched_address"], null, null).alias("matched_address"), note.alias("note"),
+    )
+
+
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
