@@ -15,7 +15,7 @@ MONTHS = [
 ]
 DOLLARS = ["${a}", "${a},250.50 or {b} dollars", "{a} dollars and ${a}", "none", "US{a} dollars", "{a}-dollars", "{a} dollarsworth", "$ {a}  and {a}\tDOLLARS", "{a}.{b} dollars"]
 UNITS = [
-    "{a} TO {b} UNITS", "APARTMENT > {a} UNITS", "{a}+ UNITS", "{a} Units or more", "Five or more", "APT {a}U", "2F-{a}U/2F-{b}U", "SUBSD HOUSING S- {a}", "{a} UNIT", "DUPLEX",
+    "{a} TO {b} UNITS", "APARTMENT > {a} UNITS", "{a}+ UNITS", "{a} Units or more", "Five or more", "APT {a}U", "REAR {a}U, FRONT {b}U", "LOT K- {a} GARDEN FLATS", "{a} UNIT", "DUPLEX",
     "{a}UG", "{a}.5U", "{b} UNITED", "{a} U X", "{a}-{b} unit", "BLDG {a}UX", "single family",
 ]
 STREETS = ["{a}-{b} MAIN ST APT {a}", "00{a}TH AVE", "{a}B 03RD ST", "{a} OAK ST", "{a} & {b} ELM ST SUITE {b}", "{a} 1/2 PINE ST", " {a}  HILL   RD # {b}", "{a}A-{b}C LAKE BLVD floor 2 X", "{a} FLINT ST"]
