@@ -53,13 +53,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir()
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later plans start from files that outlive executors."""
+def cut(df: DataFrame, tag: str, held: list | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: later plans start from files that outlive executors.
+
+    The table is added to held, of what is to be deleted once nothing reads it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._cut_path = path
+    if held is not None:
+        held.append(found)
     return found
 
 
