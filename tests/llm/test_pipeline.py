@@ -32,7 +32,9 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(at / "pages.parquet"))
     talk = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", None), (2, 1, "assistant", "x" * 50_000), (None, 0, None, "</s>")]
     spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").write.parquet(str(at / "conversations.parquet"))
-    for t in ("documents", "labels", "pages", "conversations"):
+    items = [(1, rows[9][1]), (2, None), (None, "the of an"), (1, prose(rng, 400)), (3, "é unknown")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+    for t in ("documents", "labels", "pages", "conversations", "benchmark"):
         spark.read.parquet(str(at / f"{t}.parquet")).limit(0).write.parquet(str(at / "empty" / f"{t}.parquet"))
     return str(at)
 
@@ -84,7 +86,7 @@ def test_every_query_takes_odd_rows_and_empty_tables(spark, folder, name):
     rows = queries.QUERIES[name](spark, folder).collect()
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "conversations", "benchmark"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
         ran = con.execute(queries.ORACLE_SQL[name])
         columns = [d[0] for d in ran.description]
