@@ -10,8 +10,15 @@ BROADCAST_ROWS = 10_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints a broadcast of a side that has been counted; a larger one is left to Spark's shuffled joins."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """A side of a join that is sent whole if it has few rows; a larger one is left to Spark's shuffled joins.
+
+    One job reads the few rows, or finds that there are more; the plans that use the side then hold its rows and not, once more
+    for each use, the joins and groupings that made them.
+    """
+    few = df.limit(BROADCAST_ROWS + 1).collect()
+    if len(few) <= min(rows, BROADCAST_ROWS):
+        return F.broadcast(df.sparkSession.createDataFrame(few, df.schema))
+    return F.broadcast(df) if rows > BROADCAST_ROWS and df.limit(rows + 1).count() <= rows else df
 
 
 def level_of(jurisdiction: Column) -> Column:

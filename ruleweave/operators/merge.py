@@ -87,7 +87,7 @@ def merge_groups(members: DataFrame, group: list[str], states: DataFrame | None
     """
     none = F.array().cast("array<string>")
     both = _summed(members, group).join(_texts(members, group), group, "left")
-    own, p = F.col("p.legal_status"), F.col("p")
+    own = F.col("p.legal_status")
     resolved = both.withColumn("s", resolve_status(own, F.col("statuses"), F.col("as_enacted").isNotNull()))
     lent = F.when(F.col("s.status") != own, F.when(F.col("s.status") == "failed", F.col("as_failed")).otherwise(F.col("as_enacted")))
     peers = F.coalesce(*[F.when(F.col("s.status") == s, F.col(f"stated_{s}")) for s in STATUSES])
