@@ -12,8 +12,11 @@ similar to it may be similar to others of the key, but only to those whose sizes
 tested where the two would meet, so that other pairs are never rows.
 
 Sets are distinct before any pairing: copies cost one row.  Only prefixes are written and shuffled; whole sets are made
-again from the texts of candidates.  Candidates first have to pass a bound that loses no pair: each shingle flips one
-of SKETCH bits, and two such sketches differ in no more bits than the sets in shingles.
+again from the texts of candidates.  Candidates first have to pass bounds that lose no pair: their sizes, and sketches, in which
+each shingle flips one bit, so that two differ in no more bits than the sets in shingles.  SKETCH bits tell nothing of sets of
+some thousand shingles, whose bits are half set whatever they hold, so a larger set has a wide sketch too, of a bit or more a shingle.
+
+Sets that are known to be connected (by SimHash, see ``simhash.set_classes``) take part, but pairs of them are not looked at again.
 
 Defined cases: words are those of ``simhash``; a null or empty text has the empty set, similar only to itself; fewer
 than SHINGLE_WORDS words make one shingle; repeats of a shingle count once; keys may be null and travel along; an empty table gives
@@ -66,35 +69,36 @@ def prefix(n: int, similarity: int) -> int:
 
 
 def with_set(docs: DataFrame, keys: tuple[str, ...], text: str, most: Callable[[int], int] = int, last: np.ndarray | None = None) -> DataFrame:
-    """keys, grams, n (the size of the shingle set), sketch and fp, the hash that names the set.
+    """keys, grams, n (the size of the shingle set), sketch, wide and fp, the hash that names the set.
 
     grams has the first most(n) shingles of the set, all of them by default; shingles in last (ascending) come behind
-    all others.
+    all others. wide is a sketch of n bits, up to the next power of 2, and empty where SKETCH bits are as many.
     """
     behind = None if last is None else docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            firsts, sizes, named, flipped = [], [], [], []
+            firsts, sizes, named, flipped, wide = [], [], [], [], []
             for t in batch.column("_text").to_pylist():
                 own = shingles(t)
                 sizes.append(len(own))
                 flipped.append((np.bincount(own & (SKETCH - 1), minlength=SKETCH) & 1).astype(bool))
+                bits = 1 << (len(own) - 1).bit_length() if len(own) > SKETCH else 0
+                wide.append(np.packbits((np.bincount(own & (bits - 1), minlength=bits) & 1).astype(bool), bitorder="little").view(np.int64) if bits else own[:0])
                 named.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 if behind is not None:
                     common = np.isin(own, behind.value, assume_unique=True)
                     own = np.concatenate([own[~common], own[common]])
                 firsts.append(own[: most(len(own))])
-            at = pa.array(np.cumsum([0, *map(len, firsts)]).astype(np.int32))
-            grams = pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             bits = np.packbits(np.array(flipped, bool).reshape(-1, SKETCH), axis=1, bitorder="little").view(np.int64)
             sketch = pa.ListArray.from_arrays(pa.array((np.arange(len(sizes) + 1) * (SKETCH // 64)).astype(np.int32)), pa.array(bits.ravel()))
-            made = [grams, pa.array(sizes, pa.int32()), sketch, pa.array(np.array(named, dtype=np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*batch.schema.names[:-1], "grams", "n", "sketch", "fp"])
+            made = [lists(firsts), pa.array(sizes, pa.int32()), sketch, lists(wide), pa.array(np.array(named, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*batch.schema.names[:-1], "grams", "n", "sketch", "wide", "fp"])
 
     fields = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keys)
-    return docs.select(*keys, F.col(text).alias("_text")).mapInArrow(run, f"{fields}grams array<bigint>, n int, sketch array<bigint>, fp bigint")
+    return docs.select(*keys, F.col(text).alias("_text")).mapInArrow(run, f"{fields}grams array<bigint>, n int, sketch array<bigint>, wide array<bigint>, fp bigint")
 
 
 def _shared(sets: DataFrame, held: list) -> DataFrame:
@@ -104,16 +108,25 @@ def _shared(sets: DataFrame, held: list) -> DataFrame:
     return cut(join_hot(rows, sizes, "key", hot=hot_sizes(sizes, "key", "m")), "sets-shared", held)
 
 
-def links(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: int = SIMILARITY) -> DataFrame:
+def sketched(rows: DataFrame, ties: DataFrame | None = None) -> DataFrame:
+    """(fp, n, sketch, wide, tie) of each distinct set; tie is the component that ties (node, component) gives it, if any."""
+    sets = rows.select("fp", "n", "sketch", "wide").dropDuplicates(["fp"])
+    if ties is None:
+        return sets.withColumn("tie", F.lit(None).cast("long"))
+    return sets.join(broadcast_if_small(ties.select(F.col("node").alias("fp"), F.col("component").alias("tie"))), "fp", "left")
+
+
+def links(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: int = SIMILARITY, ties: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between distinct sets that connect all pairs similar enough.
 
     rows has fp, n and, as grams, the prefix of every text's set; texts gives the texts, in a column text, of at least
     the rows with an fp in a table of them. Edges of paired keys are all such pairs; edges of crowded keys have the
-    same components.
+    same components. ties (node, component) names sets that similar pairs are known to connect; an edge inside such a component
+    may be no similar pair.
     """
-    sets = rows.dropDuplicates(["fp"]).select("fp", "n", "grams")
-    sketches = rows.dropDuplicates(["fp"]).select("fp", "n", "sketch")
     held: list[DataFrame] = []
+    sets = cut(rows.select("fp", "n", "grams").dropDuplicates(["fp"]), "sets-distinct", held)
+    sketches = cut(sketched(rows, ties), "sets-sketches", held)
     shared = _shared(sets, held)
     common = shared.filter(F.col("m") > COMMON).groupBy("key").agg(F.max("m").alias("m")).orderBy(F.desc("m"), "key").limit(LAST_SHINGLES).select("key").toPandas()
     if len(common):
@@ -122,22 +135,22 @@ def links(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity:
         again = with_set(texts(touched), (), "text", lambda n: prefix(n, similarity), last).join(touched, "fp", "left_semi")
         again = cut(again.dropDuplicates(["fp"]).select("fp", "n", "grams"), "sets-again", held)
         shared = _shared(sets.join(touched, "fp", "left_anti").unionByName(again), held)
-    near = (F.col("n_a") * 100 >= F.col("n_b") * similarity) & (F.col("n_b") * 100 >= F.col("n_a") * similarity)
+    near = _near_sizes(similarity)
     ends = lambda rows, end, *more: rows.select("key", F.col("fp").alias(end), F.col("n").alias(f"n_{end}"), *more)
     paired = shared.filter(F.col("m") <= PAIRED_GROUP)
     pairs = ends(paired, "a").join(ends(paired, "b"), "key").filter("a < b").filter(near).select("a", "b")
-    found = _confirmed(pairs, sketches, texts, similarity)
+    found = confirmed(pairs, sketches, texts, similarity)
     crowded = shared.filter(F.col("m") > PAIRED_GROUP).select("key", "fp", "n")
     if not crowded.limit(1).count():
         discard(*held)
         return found
     stars, placed, alone = _stars(crowded, sketches, texts, similarity, held)
     lone, members = _together(placed, alone, held)
-    told = lambda rows, e: rows.join(sketches.select("fp", "sketch"), "fp").select("group", F.col("fp").alias(e), F.col("n").alias(f"n_{e}"), F.col("sketch").alias(f"of_{e}"))
+    told = lambda rows, e: rows.join(sketches.select("fp", "sketch", "wide"), "fp").select("group", F.col("fp").alias(e), F.col("n").alias(f"n_{e}"), F.col("sketch").alias(f"of_{e}"), F.col("wide").alias(f"wide_{e}"))
     lone, members = told(lone, "b"), told(members, "a")
-    meet = (lone["group"] == members["group"]) & near & (F.col("a") != F.col("b")) & _few_bits(similarity)
+    meet = (lone["group"] == members["group"]) & near & (F.col("a") != F.col("b")) & _few_bits(similarity) & _few_wide(similarity)
     rest = lone.join(members, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _confirmed(rest, sketches, texts, similarity)
+    rest = confirmed(rest, sketches, texts, similarity)
     discard(*held)
     return found.unionByName(stars).unionByName(rest).distinct()
 
@@ -156,7 +169,7 @@ def _stars(crowded: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame],
     hot = hot_sizes(hubs, "key", "m")
     tried = join_hot(crowded, hubs.select("key", "wide", "pure"), "key", hot=hot)
     tried = cut(tried.select("key", "fp", "n", F.explode(F.array_distinct(F.array("wide", "pure"))).alias("hub")), "sets-tried", held)
-    stars = _confirmed(tried.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")), sketches, texts, similarity)
+    stars = confirmed(tried.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")), sketches, texts, similarity)
     tied = broadcast_if_small(stars.select(F.col("a").alias("hub"), F.col("b").alias("fp"), F.lit(True).alias("tied")))
     judged = cut(tried.join(tied, ["hub", "fp"], "left"), "sets-judged", held)
     won = judged.groupBy("key", "hub").agg(F.count("tied").alias("links")).groupBy("key").agg(F.max(F.struct("links", "hub"))["hub"].alias("won"))
@@ -182,6 +195,19 @@ def _together(placed: DataFrame, alone: DataFrame, held: list) -> tuple[DataFram
     return grouped(alone), grouped(members)
 
 
+def _near_sizes(similarity: int) -> Column:
+    return (F.col("n_a") * 100 >= F.col("n_b") * similarity) & (F.col("n_b") * 100 >= F.col("n_a") * similarity)
+
+
+def _few_wide(similarity: int) -> Column:
+    """As ``_few_bits`` of the sketches wide_a and wide_b; true where a set has none. A sketch of twice the bits is folded onto the other."""
+    words = F.least(F.size("wide_a"), F.size("wide_b"))
+    longer = F.greatest(F.size("wide_a"), F.size("wide_b"))
+    folded = lambda c: F.when(F.size(c) > words, F.zip_with(F.slice(c, F.lit(1), words), F.slice(c, words + 1, words), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    differing = F.aggregate(F.zip_with(folded("wide_a"), folded("wide_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+    return F.when((words == 0) | (longer > words * 2), True).otherwise(differing * (100 + similarity) <= (F.col("n_a") + F.col("n_b")) * (100 - similarity))
+
+
 def _few_bits(similarity: int) -> Column:
     """Whether the sketches of_a and of_b differ in no more bits than similar sets differ in shingles, in a few machine words."""
     differing = sum((F.bit_count(F.get("of_a", F.lit(i)).bitwiseXOR(F.get("of_b", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
@@ -208,16 +234,22 @@ def _within(similarity: int) -> Column:
     return let(differing, chained)
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: int) -> DataFrame:
-    """The pairs (a, b) of pairs that are similar enough.
+def confirmed(pairs: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: int) -> DataFrame:
+    """The pairs (a, b) of pairs that are similar enough, and those of them that have a tie in common, which need no look at their sets.
 
     Pairs are dealt to buckets by b. A set goes to each bucket that needs it once, however many pairs it has there, and
-    a bucket has about BUCKET sets of its own.
+    a bucket has about BUCKET sets of its own. Only sets of pairs that all bounds let through are moved.
     """
-    of = lambda end: sketches.select(F.col("fp").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"of_{end}"))
+    of = lambda end: sketches.select(F.col("fp").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"of_{end}"), F.col("tie").alias(f"tie_{end}"))
+    wide = lambda end: sketches.filter(F.size("wide") > 0).select(F.col("fp").alias(end), F.col("wide").alias(f"wide_{end}"))
     held: list[DataFrame] = []
-    near = join_hot(cut(pairs.distinct(), "sets-candidates", held), of("a"), "a").join(of("b"), "b").filter(_within(similarity))
-    pairs = cut(near.select("a", "b"), "sets-pairs")
+    tied = F.coalesce(F.col("tie_a") == F.col("tie_b"), F.lit(False))
+    met = join_hot(cut(pairs.distinct(), "sets-candidates", held), of("a"), "a").join(of("b"), "b")
+    near = cut(met.filter(tied | (_near_sizes(similarity) & _within(similarity))).select("a", "b", "n_a", "n_b", tied.alias("tied")), "sets-near", held)
+    sure = cut(near.filter("tied").select("a", "b"), "sets-sure")
+    large = F.least("n_a", "n_b") > SKETCH
+    few = join_hot(near.filter(~F.col("tied") & large), wide("a"), "a").join(wide("b"), "b").filter(_few_wide(similarity))
+    pairs = cut(near.filter(~F.col("tied") & ~large).select("a", "b").unionByName(few.select("a", "b")), "sets-pairs")
     discard(*held)
     held = [pairs]
     ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "sets-ends", held)
@@ -240,4 +272,4 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame
     found = dealt.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(run, "a bigint, b bigint")
     found = cut(found, "sets-links")
     discard(*held)
-    return found
+    return found.unionByName(sure)

@@ -233,4 +233,4 @@ def _set_named(docs: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
     """keys and the name of the row's shingle set."""
     named = docs.toDF(*[f"_nd_{i}" for i in range(len(keys))])
     found = shingle_sets.with_set(named, tuple(named.columns), named.columns[keys.index(text)], lambda n: 0)
-    return found.drop("grams", "n", "sketch")
+    return found.drop("grams", "n", "sketch", "wide")

@@ -84,3 +84,25 @@ def test_a_shingle_in_nine_of_ten_texts_stays_where_it_is(spark, monkeypatch):
             texts.append(texts[-1] + " end")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_first(docs, similarity=80).collect()} == brute_components(texts)
+
+
+def large_texts():
+    """Texts of some thousand words that share only a part, and near copies of a few of them, larger and smaller."""
+    rng = random.Random(3)
+    word = lambda: "w%d" % rng.randrange(50_000)
+    passage = [word() for _ in range(1_200)]
+    texts = [" ".join([*passage, *(word() for _ in range(rng.randrange(2_000, 3_200)))]) for _ in range(12)]
+    texts += [" ".join(t.split()[: len(t.split()) * 9 // 10]) for t in texts[:3]] + [texts[3].replace("w1", "w2", 40), " ".join(texts[4].split()[:2_100])]
+    return texts
+
+
+def test_large_sets_are_moved_only_where_their_wide_sketches_agree(spark, monkeypatch):
+    """A sketch of 1,024 bits lets every pair of large sets through; all of them were moved to be compared."""
+    monkeypatch.setattr(shingle_sets, "PAIRED_GROUP", 4)
+    monkeypatch.setattr(shingle_sets, "COMMON", 1_000)
+    met, write = [], shingle_sets.cut
+    monkeypatch.setattr(shingle_sets, "cut", lambda df, tag, *held: (out := write(df, tag, *held), met.append(out.count()) if tag == "sets-pairs" else None)[0])
+    texts = large_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_first(docs, similarity=80).collect()} == brute_components(texts) != set(range(len(texts)))
+    assert met and sum(met) <= 12
