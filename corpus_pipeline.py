@@ -36,9 +36,9 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group connected by a five-word similarity of 0.8 or more.
 
-    Sixty-four-bit fingerprints can't tell such pairs from others, so they are found by their shingle sets: sketches of
-    1,024 bits go through the pigeonring filter, and the sets confirm. Empty texts are one group; of rows with one id in
-    one group any one stays.
+    SimHash fingerprints at most two bits apart, found by the pigeonring filter, are tied first where the shingle sets confirm it.
+    Near copies may differ in ten of 64 bits, so the rest is found by prefixes of the sets and sketches of them, and the sets
+    confirm. Empty texts are one group; of rows with one id in one group any one stays.
     """
     return simhash.keep_first(docs, similarity=80)
 

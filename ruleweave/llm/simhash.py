@@ -176,8 +176,26 @@ def classes(rows: DataFrame, key: str) -> DataFrame:
     return _placed(codes, components(links(codes.select("fp"))))
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in rows (fp, code) that tie all whose fingerprints, in code, are at most THRESHOLD bits apart.
+
+    Sets of one fingerprint are tied to the first of them, and first ones by the links of their fingerprints.
+    """
+    coded = cut(rows.groupBy("fp").agg(F.min("code").alias("code")), "simhash-coded")
+    firsts = cut(coded.groupBy("code").agg(F.min("fp").alias("first")), "simhash-firsts")
+    same = join_hot(coded, firsts, "code").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    named = lambda end: firsts.select(F.col("code").alias(f"code_{end}"), F.col("first").alias(end))
+    linked = cut(links(firsts.select(F.col("code").alias("fp"))).toDF("code_a", "code_b"), "simhash-linked")
+    near = join_hot(linked, named("a"), "code_a").join(named("b"), "code_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.unionByName(near)
+
+
 def set_classes(docs: DataFrame, rows: DataFrame, key: str, text: str, similarity: int) -> DataFrame:
-    """As ``classes``, of rows of ``shingle_sets.with_set`` over docs: linked are sets whose similarity is so many per cent."""
+    """As ``classes``, of rows of ``shingle_sets.with_set`` over docs and, in code, their fingerprints: linked are sets whose similarity is so many per cent.
+
+    Pairs that the fingerprints link come first, each confirmed by its sets. They leave out near copies whose fingerprints differ in more
+    bits; these are found by the sets' prefixes, where what fingerprints have connected is not looked at again.
+    """
 
     codes = cut(rows.groupBy("fp").agg(F.min(key).alias("first")), "simhash-codes")
 
@@ -186,7 +204,9 @@ def set_classes(docs: DataFrame, rows: DataFrame, key: str, text: str, similarit
         wanted = cut(codes.join(sets, "fp", "left_semi").select(F.col("first").alias("_nd_key")).distinct(), "simhash-wanted")
         return docs.join(broadcast_if_small(wanted), docs[key].eqNullSafe(F.col("_nd_key")), "left_semi").select(F.col(text).alias("text"))
 
-    return _placed(codes, components(shingle_sets.links(rows, texts, similarity)))
+    linked = shingle_sets.confirmed(fingerprint_pairs(rows), shingle_sets.sketched(rows), texts, similarity)
+    edges = shingle_sets.links(rows, texts, similarity, components(linked))
+    return _placed(codes, components(edges.unionByName(linked)))
 
 
 def _placed(codes: DataFrame, named: DataFrame) -> DataFrame:
@@ -200,7 +220,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     """The rows of docs with all their columns, one of each near-duplicate group: the one with the smallest key.
 
     Groups are connected by fingerprints at most THRESHOLD bits apart or, where similarity is given, by texts whose
-    five-word shingle sets have a Jaccard similarity of at least so many per cent, found exactly.
+    five-word shingle sets have a Jaccard similarity of at least so many per cent, found exactly: by fingerprints first, and by
+    prefixes of the sets where fingerprints miss a pair.
 
     Rows go by their key, so texts stay where they are unless many rows go. Keys that several rows share are
     told apart by fingerprint again; of rows with one key in one group any one stays.
@@ -209,7 +230,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         rows = cut(with_fingerprint(docs, (key,), text), "simhash-fp")
         named = cut(classes(rows, key), "simhash-classes")
     else:
-        rows = shingle_sets.with_set(docs.select(F.col(key).alias("_nd_key"), text), ("_nd_key",), text, lambda n: shingle_sets.prefix(n, similarity))
+        coded = with_fingerprint(docs.select(F.col(key).alias("_nd_key"), F.col(text).alias("_nd_text")), ("_nd_key", "_nd_text"), "_nd_text").withColumnRenamed("fp", "code")
+        rows = shingle_sets.with_set(coded, ("_nd_key", "code"), "_nd_text", lambda n: shingle_sets.prefix(n, similarity))
         rows = cut(rows.withColumnRenamed("_nd_key", key), "simhash-sets")
         named = cut(set_classes(docs, rows, key, text, similarity), "simhash-classes")
         rows = rows.select(key, "fp")

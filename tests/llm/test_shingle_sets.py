@@ -106,3 +106,16 @@ def test_large_sets_are_moved_only_where_their_wide_sketches_agree(spark, monkey
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_first(docs, similarity=80).collect()} == brute_components(texts) != set(range(len(texts)))
     assert met and sum(met) <= 12
+
+
+def test_fingerprints_tie_first_and_tied_pairs_are_not_looked_at_again(spark, monkeypatch):
+    """The named method has its step: pairs of its links, confirmed by sets; the rest of the near copies is found by the sets."""
+    base = ["word%d" % i for i in range(2_000)]
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join([*base[:1_000], *(f"other{i}" for i in range(100)), *base[1_000:]]), "one", "a b c", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given, confirm = [], shingle_sets.confirmed
+    monkeypatch.setattr(shingle_sets, "confirmed", lambda pairs, *more: (out := confirm(pairs, *more), given.append((pairs.count(), out.count())))[0])
+    assert {r.doc_id for r in simhash.keep_first(docs, similarity=80).collect()} == brute_components(texts) == {0, 3, 4, 5}
+    codes = [simhash.fingerprint(t) for t in texts]
+    near = sum((a ^ b).bit_count() <= 2 for i, a in enumerate(codes) for b in codes[:i])
+    assert near >= 1 and given[0] == (near, near)
