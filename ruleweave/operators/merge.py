@@ -162,8 +162,8 @@ def merge_groups(members: DataFrame, group: list[str], states: DataFrame | None
 
 def supported_by(members: DataFrame, merged: DataFrame, group: list[str]) -> DataFrame:
     """members but each group's primary, in which the merged rule also finds support."""
-    primaries = merged.select(*group, "candidate_id")
-    return members.join(primaries, [*group, "candidate_id"], "left_anti")
+    primaries = merged.select(*group, F.col("candidate_id").alias("_primary"))
+    return members.join(primaries, group, "left").filter(F.coalesce(F.col("candidate_id") != F.col("_primary"), F.lit(True))).drop("_primary")
 
 
 def payload_keys(candidates: DataFrame, version: str, told: list[str]) -> DataFrame:

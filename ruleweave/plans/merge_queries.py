@@ -6,6 +6,7 @@ hold peers that sharpen, lend and contradict each other's dates, verified or not
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ruleweave.operators import consolidate as co
@@ -16,8 +17,8 @@ TOLD = ["legal_status", "enacted_date", "effective_date", "source_doc_id"]
 CONDITION = "struct<fact:string,text:string>"
 
 
-def _lines(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS k", "l_linenumber AS n", "l_partkey AS p", "l_suppkey AS s").distinct()
+def _line_keys(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS k", "l_linenumber AS n", "l_partkey AS p", "l_suppkey AS s")
 
 
 def candidates(spark, sf_dir):
@@ -27,8 +28,12 @@ def candidates(spark, sf_dir):
     told = lambda d, form: F.date_format(d, form)
     status = F.when(p % 11 == 0, "failed").when(s % 3 == 0, "pending").otherwise("enacted")
     caveat, units = F.struct(F.lit("caveat").alias("fact"), F.lit("seasonal").alias("text")), F.struct(F.lit("units").alias("fact"), F.concat(F.lit("units over "), (p % 9).cast("string")).alias("text"))
-    return _lines(spark, sf_dir).select(
-        F.concat(F.lit("O"), k.cast("string")).alias("cell"),
+    # dealt by cell while rows are four numbers, so that what sums up, windows or joins cells moves no wider rows; by number, as rows
+    # get wide in the same task and small partitions must not be put together
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = _line_keys(spark, sf_dir).withColumn("cell", F.concat(F.lit("O"), k.cast("string"))).repartition(parts, "cell").distinct()
+    return lines.select(
+        "cell",
         F.concat_ws("#", k, n, p, s).alias("candidate_id"),
         F.concat(F.lit("T"), (p % 3).cast("string")).alias("team_rule_id"),
         (n % 3 != 0).alias("verified"),
@@ -50,7 +55,8 @@ def candidates(spark, sf_dir):
 def states(spark, sf_dir):
     """Documents of first lines also write the day that their order's rule takes effect."""
     day = F.date_add(F.lit("2000-01-01").cast("date"), ((F.col("k") % 5000) + 180).cast("int"))
-    return _lines(spark, sf_dir).filter("n <= 2").select(F.concat(F.lit("D"), F.col("s").cast("string")).alias("source_doc_id"), F.date_format(day, "yyyy-MM-dd").alias("date"))
+    few = _line_keys(spark, sf_dir).filter("n <= 2").select("s", (F.col("k") % 5000).alias("k")).distinct()
+    return few.select(F.concat(F.lit("D"), F.col("s").cast("string")).alias("source_doc_id"), F.date_format(day, "yyyy-MM-dd").alias("date"))
 
 
 def cached_groupings(spark, sf_dir):
@@ -59,9 +65,9 @@ def cached_groupings(spark, sf_dir):
     keys = merge.payload_keys(rows, VERSION, TOLD).select("cell", "key")
     number = F.substring("cell", 2, 20).cast("long")
     parts = rows.withColumn("number", number).withColumn("group_no", (F.element_at(F.split("candidate_id", "#"), 3).cast("long") % 2).cast("string"))
-    primary = parts.groupBy("cell", "group_no").agg(F.min("candidate_id").alias("primary_id"))
-    last = parts.groupBy("cell").agg(F.max("candidate_id").alias("last"))
-    whole = parts.join(primary, ["cell", "group_no"]).join(last, "cell").join(keys, "cell").filter("number % 3 <> 0").filter("number % 5 <> 0 OR candidate_id <> last")
+    told = parts.filter("number % 3 <> 0").select("cell", "number", "candidate_id", "group_no")
+    told = told.withColumns({"primary_id": F.min("candidate_id").over(W.partitionBy("cell", "group_no")), "last": F.max("candidate_id").over(W.partitionBy("cell"))})
+    whole = told.join(keys, "cell").filter("number % 5 <> 0 OR candidate_id <> last")
     return whole.select(F.when(F.col("number") % 7 == 0, F.concat("key", F.lit("-"))).otherwise(F.col("key")).alias("key"), "group_no", F.col("candidate_id").alias("member_id"), "primary_id")
 
 
@@ -79,7 +85,7 @@ def merged_rules(spark, sf_dir):
 def rule_support(spark, sf_dir):
     """What the merged rule of every order finds support in beside its primary."""
     rows = candidates(spark, sf_dir)
-    found = merge.supported_by(rows, merge.merge_groups(rows, ["cell"]), ["cell"])
+    found = merge.supported_by(rows, co.choose_primary(rows, ["cell"]).withColumnRenamed("primary_id", "candidate_id"), ["cell"])
     return found.select("cell", "candidate_id", "source_doc_id", "verified")
 
 

@@ -75,3 +75,20 @@ def test_kept_groupings_count_only_for_the_same_candidates(spark):
     assert [r.cell for r in failed.collect()] == ["b"]
     assert merge.group_cells(rows, cached, "w", told, co.grouping_problem)[1].count() == 2  # another version asks anew
     assert {(r.cell, r.n_members) for r in merge.consolidate(rows, groups).collect()} == {("a", 2), ("b", 2), ("c", 1)}  # groups of one rule are one
+
+
+def test_cells_are_dealt_once_while_rows_are_narrow(spark):
+    """Kept answers were made by five shuffles of whole candidates, and support merged all texts to know the primaries."""
+    from ruleweave.plans import merge_queries as q
+
+    folder = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    kept = plan(q.cached_groupings(spark, folder))
+    assert kept.count("Exchange hashpartitioning(") == kept.count("Exchange hashpartitioning(cell") <= 2
+    assert "collect_set" not in plan(q.rule_support(spark, folder))
+
+
+def test_support_is_all_but_the_primary(spark):
+    members = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), (None, "3"), ("c", None)], "cell string, candidate_id string")
+    primaries = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "4")], "cell string, candidate_id string")
+    assert sorted(map(str, (tuple(r) for r in merge.supported_by(members, primaries, ["cell"]).collect()))) == ["('a', '2')", "('c', None)", "(None, '3')"]
