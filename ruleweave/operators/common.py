@@ -21,6 +21,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows > BROADCAST_ROWS and df.limit(rows + 1).count() <= rows else df
 
 
+def dealt(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Rows dealt by a key to parts, or as many as a shuffle has; by number, so that what else is dealt so lies beside them."""
+    return df.repartition(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def level_of(jurisdiction: Column) -> Column:
     return F.when(F.contains(jurisdiction, F.lit(",")), "city").otherwise("state")
 

@@ -72,13 +72,15 @@ def grouping_problem(answers: DataFrame, members: DataFrame) -> DataFrame:
 
     answers: (cell, group_no, member_id, primary_id); members: (cell, candidate_id).
     """
-    seen = answers.groupBy("cell", F.col("member_id").alias("id")).agg(F.count("*").alias("times"))
-    known = members.select("cell", F.col("candidate_id").alias("id"), F.lit(True).alias("known"))
-    both = seen.join(known, ["cell", "id"], "full_outer")
-    counted = both.groupBy("cell").agg(F.bool_or(F.col("times") > 1).alias("twice"), F.bool_or(F.col("known").isNull()).alias("strange"), F.bool_or(F.col("times").isNull()).alias("left_out"))
-    outside = answers.groupBy("cell", "group_no").agg((~F.bool_or(F.col("member_id") == F.col("primary_id"))).alias("outside")).groupBy("cell").agg(F.bool_or("outside").alias("outside"))
+    said = answers.select("cell", "group_no", F.col("member_id").alias("id"), "primary_id", F.lit(True).alias("told"))
+    both = said.unionByName(members.select("cell", F.col("candidate_id").alias("id"), F.lit(False).alias("told")), allowMissingColumns=True)
+    of_id, told, null = W.partitionBy("cell", "id"), F.col("told"), F.col("id").isNull()  # a null id is no other's
+    counted = both.withColumns({"times": F.count_if(told).over(of_id), "known": F.bool_or(~told).over(of_id), "inside": F.bool_or(F.when(told, F.col("id") == F.col("primary_id"))).over(W.partitionBy("cell", "group_no"))})
+    found = counted.groupBy("cell").agg(
+        F.bool_or(F.col("times") > 1).alias("twice"), F.bool_or(told & (~F.col("known") | null)).alias("strange"), F.bool_or(~told & ((F.col("times") == 0) | null)).alias("left_out"), F.bool_or(F.when(told, ~F.col("inside"))).alias("outside"),
+    )
     why = F.when(F.col("twice"), "id in two groups").when(F.col("strange"), "unknown id").when(F.col("left_out"), "id left out").when(F.col("outside"), "primary outside its group")
-    return counted.join(outside, "cell", "left").select("cell", why.alias("problem"))
+    return found.select("cell", why.alias("problem"))
 
 
 def cut_text(text: str, most: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:

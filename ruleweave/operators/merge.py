@@ -17,11 +17,12 @@ values; repeated rows count once, as all is distinct; an empty table gives an em
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ruleweave.functions.dates import date_floor
 from ruleweave.functions.logic import let
-from ruleweave.operators.common import broadcast_if_small
+from ruleweave.operators.common import dealt
 from ruleweave.operators.consolidate import CLOSE_DAYS, distinct_dates, resolve_status
 
 STATUSES = ("enacted", "failed", "pending")
@@ -42,33 +43,53 @@ def primary_rank(verified: Column, official: Column, picked: Column, candidate_i
     return F.struct(~verified, ~(verified & official), ~picked, candidate_id)
 
 
-def _summed(members: DataFrame, group: list[str]) -> DataFrame:
-    status, verified = F.col("legal_status"), F.col("verified")
-    dates = F.struct("candidate_id", "enacted_date", "effective_date", "source_doc_id")
-    stated = F.struct("effective_date", "enacted_date", "source_doc_id")
-    dated = F.col("enacted_date").isNotNull() | F.col("effective_date").isNotNull()
-    sums = [
-        F.min_by(F.struct(*FIELDS), primary_rank(verified, F.col("official"), F.col("picked"), F.col("candidate_id"))).alias("p"),
+def _sums() -> list[Column]:
+    status, verified = F.col("m.legal_status"), F.col("m.verified")
+    dates = F.struct("m.candidate_id", "m.enacted_date", "m.effective_date", "m.source_doc_id")
+    stated = F.struct("m.effective_date", "m.enacted_date", "m.source_doc_id")
+    dated = F.col("m.enacted_date").isNotNull() | F.col("m.effective_date").isNotNull()
+    return [
+        F.min_by(F.struct(*[f"m.{f}" for f in FIELDS]), primary_rank(verified, F.col("m.official"), F.col("m.picked"), F.col("m.candidate_id"))).alias("p"),
         F.array_sort(F.collect_set(F.when(verified, status))).alias("statuses"),
         F.min(F.when(verified & (status == "failed"), dates)).alias("as_failed"),
         F.min(F.when(verified & (status == "enacted") & dated, dates)).alias("as_enacted"),
-        F.min(F.when(verified & ~states_no_coverage(F.col("requires"), F.col("exempt_if")), F.struct("candidate_id", "source_doc_id", "requires", "exempt_if"))).alias("covering"),
-        F.array_sort(F.collect_set(F.when(verified, F.struct(status.alias("status"), F.col("source_doc_id").alias("doc"))))).alias("status_docs"),
-        F.bool_or("conflict_flag").alias("flagged"),
-        F.count("*").alias("n_members"),
+        F.min(F.when(verified & ~states_no_coverage(F.col("m.requires"), F.col("m.exempt_if")), F.struct("m.candidate_id", "m.source_doc_id", "m.requires", "m.exempt_if"))).alias("covering"),
+        F.array_sort(F.collect_set(F.when(verified, F.struct(status.alias("status"), F.col("m.source_doc_id").alias("doc"))))).alias("status_docs"),
+        F.bool_or("m.conflict_flag").alias("flagged"),
+        F.count("m").alias("n_members"),
         *[F.collect_set(F.when(verified & (status == s), stated)).alias(f"stated_{s}") for s in STATUSES],
     ]
-    return members.groupBy(*group).agg(*sums)
 
 
-def _texts(members: DataFrame, group: list[str]) -> DataFrame:
-    """(group, notes, values): distinct notes, and verified values that differ in more than case, in order of the lowest id that has them."""
+def _told(members: DataFrame, group: list[str]) -> DataFrame:
+    """(group, kind, key, said, m): each member whole, and beside it its note and its verified value, of kinds of their own."""
     value = F.when(F.col("verified"), F.nullif(F.trim("key_value"), F.lit("")))
-    both = F.array(F.struct(F.lit("note").alias("kind"), F.col("conflict_note").alias("key"), F.col("conflict_note").alias("said")), F.struct(F.lit("value").alias("kind"), F.lower(value).alias("key"), value.alias("said")))
-    each = members.select(*group, "candidate_id", F.explode(both).alias("t")).filter("t.key <> ''").select(*group, "candidate_id", "t.*")
-    first = each.groupBy(*group, "kind", "key").agg(F.min(F.struct("candidate_id", "said")).alias("first"))
+    used = [*FIELDS, "official", "picked", "conflict_flag"]
+    whole = F.struct(*used)
+    of = lambda kind, key, said, m: F.struct(F.lit(kind).alias("kind"), key.alias("key"), said.alias("said"), F.col("candidate_id").alias("id"), m.alias("m"))
+    none = F.lit(None).cast("string")
+    kind = members.select(*used).schema.simpleString()
+    all_three = F.array(of("member", none, none, whole), of("note", F.col("conflict_note"), F.col("conflict_note"), F.lit(None).cast(kind)), of("value", F.lower(value), value, F.lit(None).cast(kind)))
+    return members.select(*group, F.explode(all_three).alias("t")).select(*group, "t.*").filter("kind = 'member' OR key <> ''")
+
+
+def _summed(members: DataFrame, group: list[str]) -> DataFrame:
+    """A group's members summed up, and a row for each of its notes and values with the lowest id that has it.
+
+    All lies where the group's rows are: what is asked later about a group comes to it as further rows, and no join moves it.
+    """
+    first = F.min(F.when(F.col("kind") != "member", F.struct("id", "said"))).alias("first")
+    sums = _sums()
+    each = _told(members, group).groupBy(*group, "kind", "key").agg(*sums, first)
+    names = [c for c in each.columns if c not in (*group, "kind", "key", "first")]
+    return each.select(*group, "kind", F.when(F.col("kind") == "member", F.struct(*names)).alias("sums"), "first")
+
+
+def _whole(rows: DataFrame, group: list[str]) -> DataFrame:
+    """One row a group of what _summed gives and of rows of kind stated: notes and values in order of the lowest id that has them."""
     of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("first")))), lambda x: x["said"])
-    return first.groupBy(*group).agg(of("note").alias("notes"), of("value").alias("values"))
+    found = rows.groupBy(*group).agg(F.first("sums", ignorenulls=True).alias("sums"), of("note").alias("notes"), of("value").alias("values"), F.bool_or(F.col("kind") == "stated").alias("stated_too"))
+    return found.select(*group, "sums.*", "notes", "values", "stated_too")
 
 
 def _docs(rows: Column) -> Column:
@@ -79,16 +100,10 @@ def _dates(rows: Column, field: str) -> Column:
     return distinct_dates(F.transform(rows, lambda x: x[field]))
 
 
-def merge_groups(members: DataFrame, group: list[str], states: DataFrame | None = None) -> DataFrame:
-    """One row a group: group, candidate_id of the primary, the merged fields, basis and conflicts, n_members.
-
-    basis lists what came from another document and from which. states is (source_doc_id, date), the dates a
-    document writes as ordinary statements.
-    """
-    none = F.array().cast("array<string>")
-    both = _summed(members, group).join(_texts(members, group), group, "left")
+def _offers(whole: DataFrame) -> DataFrame:
+    """Resolved status, who gives it, its peers, and the effective dates they offer."""
     own = F.col("p.legal_status")
-    resolved = both.withColumn("s", resolve_status(own, F.col("statuses"), F.col("as_enacted").isNotNull()))
+    resolved = whole.withColumn("s", resolve_status(own, F.col("statuses"), F.col("as_enacted").isNotNull()))
     lent = F.when(F.col("s.status") != own, F.when(F.col("s.status") == "failed", F.col("as_failed")).otherwise(F.col("as_enacted")))
     peers = F.coalesce(*[F.when(F.col("s.status") == s, F.col(f"stated_{s}")) for s in STATUSES])
     source = lambda field: F.when(F.col("giver").isNotNull(), F.col("giver")[field]).otherwise(F.col("p")[field])
@@ -102,13 +117,24 @@ def merge_groups(members: DataFrame, group: list[str], states: DataFrame | None
     dated = dated.withColumn("lenders", F.when(F.col("own_effective").isNull(), lenders)).withColumn("close_lenders", F.when(F.col("enacted").isNotNull(), F.filter("lenders", same)))
     offers = dated.withColumns({"offer": _dates(F.col("close_lenders"), "effective_date"), "any_offer": _dates(F.col("lenders"), "effective_date")})
     single = lambda name: F.when(F.size(name) == 1, F.get(F.col(name), F.lit(0)))
-    offers = offers.withColumns({"offer": single("offer"), "any_offer": single("any_offer")})
-    if states is None:
-        offers = offers.withColumn("stated_too", F.lit(False))
-    else:
-        known = states.select(F.col("source_doc_id").alias("dates_doc"), F.col("date").alias("any_offer"), F.lit(True).alias("stated_too")).distinct()
-        offers = offers.join(broadcast_if_small(known), ["dates_doc", "any_offer"], "left")
-    second = F.when(F.col("offer").isNull() & F.coalesce("stated_too", F.lit(False)), F.col("any_offer"))
+    return offers.withColumns({"offer": single("offer"), "any_offer": single("any_offer")})
+
+
+def merge_groups(members: DataFrame, group: list[str], states: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """One row a group: group, candidate_id of the primary, the merged fields, basis and conflicts, n_members.
+
+    basis lists what came from another document and from which. states is (source_doc_id, date), the dates a
+    document writes as ordinary statements. Of a group only its key, the document and the date go to them, and the key comes
+    back: members that are dealt to parts by the first column of their group are not moved.
+    """
+    none = F.array().cast("array<string>")
+    summed = _summed(members, group)
+    if states is not None:
+        asked = _offers(_whole(summed, group)).filter("offer IS NULL AND any_offer IS NOT NULL").select(*group, F.col("dates_doc").alias("source_doc_id"), F.col("any_offer").alias("date"))
+        found = asked.join(states.select("source_doc_id", "date"), ["source_doc_id", "date"], "left_semi").select(*group, F.lit("stated").alias("kind"))
+        summed = summed.unionByName(dealt(found, group[0], parts), allowMissingColumns=True)
+    offers = _offers(_whole(summed, group))
+    second = F.when(F.col("offer").isNull() & F.col("stated_too"), F.col("any_offer"))
     given = offers.withColumn("second", second).withColumn("effective", F.coalesce("own_effective", "offer", "second"))
 
     changed = lambda field: ~F.col("giver")[field].eqNullSafe(F.col("p")[field])
@@ -177,29 +203,37 @@ def payload_keys(candidates: DataFrame, version: str, told: list[str]) -> DataFr
     return per.select("cell", F.sha2(F.concat_ws("|", F.lit(version), "n", "_0", "_1"), 256).alias("key"), "n")
 
 
-def group_cells(candidates: DataFrame, cached: DataFrame, version: str, told: list[str], problem) -> tuple[DataFrame, DataFrame]:
+def group_cells(candidates: DataFrame, cached: DataFrame, version: str, told: list[str], problem, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(cell, group_no, member_id, primary_id) of every candidate, and (cell, error) of cells that fell back to one group each.
 
     cached is (key, group_no, member_id, primary_id), the answers kept. An answer counts if its key is the cell's and
-    problem (``consolidate.grouping_problem``) finds none; a cell of one candidate needs no answer.
+    problem (``consolidate.grouping_problem``) finds none; a cell of one candidate needs no answer. Answers are dealt to parts by
+    cell once; candidates that are dealt so are not moved.
     """
     keys = payload_keys(candidates, version, told)
     asked = keys.filter("n > 1").select("cell", "key")
-    answers = cached.join(asked, "key").drop("key")
-    members = candidates.join(asked.select("cell"), "cell", "left_semi").select("cell", "candidate_id")
-    fine = problem(answers, members.join(answers.select("cell").distinct(), "cell", "left_semi")).filter("problem IS NULL").select("cell")
-    good = answers.join(fine, "cell", "left_semi")
-    alone = candidates.join(fine, "cell", "left_anti").select("cell", F.col("candidate_id").alias("group_no"), F.col("candidate_id").alias("member_id"), F.col("candidate_id").alias("primary_id"))
+    # without a cell no answer counts; said here, so that all that use the answers share their shuffle
+    answers = dealt(cached.join(asked.filter("cell IS NOT NULL"), "key").select("cell", F.col("group_no").cast("string").alias("group_no"), "member_id", "primary_id"), "cell", parts)
+    fine = problem(answers, candidates.select("cell", "candidate_id")).filter("problem IS NULL").select("cell")
+    own = [F.col("candidate_id").alias(c) for c in ("group_no", "member_id", "primary_id")]
+    both = answers.withColumn("kept", F.lit(True)).unionByName(candidates.select("cell", *own, F.lit(False).alias("kept")))
+    chosen = both.join(fine.withColumn("fine", F.lit(True)), "cell", "left").filter(F.col("kept") == F.coalesce("fine", F.lit(False)))
     failed = asked.join(fine, "cell", "left_anti").select("cell", F.lit("grouping not cached (offline); kept one rule per candidate").alias("error"))
-    return good.select("cell", F.col("group_no").cast("string").alias("group_no"), "member_id", "primary_id").unionByName(alone), failed
+    return chosen.select("cell", "group_no", "member_id", "primary_id"), failed
 
 
-def consolidate(candidates: DataFrame, groups: DataFrame, states: DataFrame | None = None) -> DataFrame:
-    """The merged rules of all cells. Groups of a cell whose primaries name the same rule are one; the first group's pick stays."""
+def consolidate(candidates: DataFrame, groups: DataFrame, states: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """The merged rules of all cells. Groups of a cell whose primaries name the same rule are one; the first group's pick stays.
+
+    Groups come to the candidates as rows of their cell, so what is dealt to parts by cell is not moved.
+    """
     rank = primary_rank(F.col("verified"), F.col("official"), F.col("candidate_id") == F.col("primary_id"), F.col("candidate_id"))
-    placed = candidates.join(groups.withColumnRenamed("member_id", "candidate_id"), ["cell", "candidate_id"])
-    teams = placed.groupBy("cell", "group_no").agg(F.min_by("team_rule_id", rank).alias("bucket"), F.first("primary_id").alias("pick"))
-    buckets = teams.groupBy("cell", "bucket").agg(F.min_by("pick", "group_no").alias("pick"))
-    one = teams.select("cell", "group_no", "bucket").join(buckets, ["cell", "bucket"])
-    members = placed.join(one, ["cell", "group_no"]).withColumn("picked", F.col("candidate_id") == F.col("pick"))
-    return merge_groups(members, ["cell", "bucket"], states)
+    told = groups.select("cell", F.col("member_id").alias("candidate_id"), F.struct("group_no", "primary_id").alias("g"))
+    both = candidates.drop("picked").unionByName(told, allowMissingColumns=True)
+    is_candidate = F.col("g").isNull()
+    named = both.withColumn("of", F.max("g").over(W.partitionBy("cell", "candidate_id"))).filter(is_candidate & F.col("of").isNotNull() & F.col("cell").isNotNull() & F.col("candidate_id").isNotNull())
+    placed = named.drop("g").select("*", "of.*").drop("of")
+    of_group, of_rule = W.partitionBy("cell", "group_no"), W.partitionBy("cell", "bucket")
+    teams = placed.withColumns({"bucket": F.min_by("team_rule_id", rank).over(of_group), "pick": F.min("primary_id").over(of_group)})
+    members = teams.withColumn("picked", F.col("candidate_id") == F.min_by("pick", "group_no").over(of_rule)).drop("pick", "group_no", "primary_id")
+    return merge_groups(members, ["cell", "bucket"], states, parts)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ruleweave.operators import consolidate as co
 from ruleweave.operators import merge
+from ruleweave.operators.common import dealt
 
 VERSION = "g1"
 TOLD = ["legal_status", "enacted_date", "effective_date", "source_doc_id"]
+PART_ROWS = 200_000
 CONDITION = "struct<fact:string,text:string>"
 
 
@@ -21,6 +23,11 @@ def _line_keys(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS k", "l_linenumber AS n", "l_partkey AS p", "l_suppkey AS s")
 
 
+def parts_of(spark, sf_dir):
+    """As many partitions as a shuffle has, more where they would hold over PART_ROWS lines, so that tasks sum up as much at any size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_line_keys(spark, sf_dir).count() // PART_ROWS))
+
+
 def candidates(spark, sf_dir):
     k, n, p, s = (F.col(c) for c in "knps")
     day = F.date_add(F.lit("2000-01-01").cast("date"), ((k % 5000) + F.when(n == 4, 40).otherwise(0)).cast("int"))
@@ -30,8 +37,7 @@ def candidates(spark, sf_dir):
     caveat, units = F.struct(F.lit("caveat").alias("fact"), F.lit("seasonal").alias("text")), F.struct(F.lit("units").alias("fact"), F.concat(F.lit("units over "), (p % 9).cast("string")).alias("text"))
     # dealt by cell while rows are four numbers, so that what sums up, windows or joins cells moves no wider rows; by number, as rows
     # get wide in the same task and small partitions must not be put together
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = _line_keys(spark, sf_dir).withColumn("cell", F.concat(F.lit("O"), k.cast("string"))).repartition(parts, "cell").distinct()
+    lines = dealt(_line_keys(spark, sf_dir).withColumn("cell", F.concat(F.lit("O"), k.cast("string"))), "cell", parts_of(spark, sf_dir)).distinct()
     return lines.select(
         "cell",
         F.concat_ws("#", k, n, p, s).alias("candidate_id"),
@@ -79,7 +85,7 @@ def _shown(merged, *group):
 
 def merged_rules(spark, sf_dir):
     """Every order's candidates as one rule."""
-    return _shown(merge.merge_groups(candidates(spark, sf_dir), ["cell"], states(spark, sf_dir)), "cell")
+    return _shown(merge.merge_groups(candidates(spark, sf_dir), ["cell"], states(spark, sf_dir), parts_of(spark, sf_dir)), "cell")
 
 
 def rule_support(spark, sf_dir):
@@ -91,19 +97,20 @@ def rule_support(spark, sf_dir):
 
 def grouped_cells(spark, sf_dir):
     """Groups of every cell, from the kept answers or one a candidate."""
-    groups, _ = merge.group_cells(candidates(spark, sf_dir), cached_groupings(spark, sf_dir), VERSION, TOLD, co.grouping_problem)
+    groups, _ = merge.group_cells(candidates(spark, sf_dir), cached_groupings(spark, sf_dir), VERSION, TOLD, co.grouping_problem, parts_of(spark, sf_dir))
     return groups
 
 
 def grouping_failures(spark, sf_dir):
-    return merge.group_cells(candidates(spark, sf_dir), cached_groupings(spark, sf_dir), VERSION, TOLD, co.grouping_problem)[1]
+    return merge.group_cells(candidates(spark, sf_dir), cached_groupings(spark, sf_dir), VERSION, TOLD, co.grouping_problem, parts_of(spark, sf_dir))[1]
 
 
 def consolidated_rules(spark, sf_dir):
     """Cells grouped, groups of one rule put together, and every bucket merged."""
-    rows = candidates(spark, sf_dir).drop("picked")
-    groups, _ = merge.group_cells(rows, cached_groupings(spark, sf_dir), VERSION, TOLD, co.grouping_problem)
-    return _shown(merge.consolidate(rows, groups, states(spark, sf_dir)), "cell", "bucket")
+    # null cells have no rule; said here, so that all that use the candidates share their shuffle
+    rows, parts = candidates(spark, sf_dir).drop("picked").filter("cell IS NOT NULL"), parts_of(spark, sf_dir)
+    groups, _ = merge.group_cells(rows, cached_groupings(spark, sf_dir), VERSION, TOLD, co.grouping_problem, parts)
+    return _shown(merge.consolidate(rows, groups, states(spark, sf_dir), parts), "cell", "bucket")
 
 
 QUERIES = {f.__name__: f for f in (merged_rules, rule_support, grouped_cells, grouping_failures, consolidated_rules)}

@@ -88,6 +88,28 @@ def test_cells_are_dealt_once_while_rows_are_narrow(spark):
     assert "collect_set" not in plan(q.rule_support(spark, folder))
 
 
+def _dealt(df):
+    """The keys of each shuffle of a plan, and the widths of what the shuffles move."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {re.sub(r"#\d+L?", "", keys).rpartition(", ")[0] for keys in re.findall(r"Exchange hashpartitioning\((.*?)\)", plan)}
+
+
+def test_consolidated_candidates_are_moved_once_by_cell(spark):
+    """Whole candidates were dealt by cell and id, by cell and group, and by cell and bucket, several times each."""
+    from ruleweave.plans import merge_queries as q
+
+    assert _dealt(q.consolidated_rules(spark, "/root/testdata/sf0.001")) <= {"cell", "key", "dates_doc, any_offer", "source_doc_id, date", "s, k"}
+
+
+def test_grouping_problems_with_null_ids_and_groups(spark):
+    answers = spark.createDataFrame([("a", "g", None, "x"), ("b", None, "b1", "b1"), ("c", "g", "c1", "c2"), ("c", "h", "c2", "c1"), ("e", "g", "e1", "e1"), ("f", "g", "f1", "f1")], "cell string, group_no string, member_id string, primary_id string")
+    members = spark.createDataFrame([("a", None), ("b", "b1"), ("c", "c1"), ("c", "c2"), ("e", "e1"), ("e", "e1"), ("f", "f1"), ("f", "f2")], "cell string, candidate_id string")
+    found = {r.cell: r.problem for r in co.grouping_problem(answers, members).collect()}
+    assert found == {"a": "unknown id", "b": None, "c": "primary outside its group", "e": None, "f": "id left out"}
+
+
 def test_support_is_all_but_the_primary(spark):
     members = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), (None, "3"), ("c", None)], "cell string, candidate_id string")
     primaries = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "4")], "cell string, candidate_id string")
