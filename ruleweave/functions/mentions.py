@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ruleweave.functions.logic import let
+
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 # Wordings around a date that make it no plain statement.
 RANGE_AFTER = r"(?i)^\s*(?:through|thru|to|until|[-–—])\s*(?:the\s+)?(?:[A-Z][a-z]+\.?\s+\d{1,2},?\s+\d{4}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
@@ -39,28 +41,36 @@ def date_context(text: Column, iso: Column) -> Column:
     The text is cut at its mentions of the date; what stands before and after each is put together from the cuts, no
     further than it is looked at. A null text holds no mention.
     """
-    pattern = date_pattern(iso)
-    body = F.coalesce(text, F.lit(""))
-    hits, gaps = F.regexp_extract_all(body, pattern, F.lit(0)), F.split(body, pattern)
+    return let(date_pattern(iso), lambda pattern: _worded(F.coalesce(text, F.lit("")), pattern))
+
+
+def _worded(body: Column, pattern: Column) -> Column:
+    """The context of a pattern's mentions. The text is searched twice, for mentions and for what is between them, however many there are."""
+    cuts = F.struct(F.regexp_extract_all(body, pattern, F.lit(0)).alias("hits"), F.split(body, pattern).alias("gaps"))
+    # most texts hold no mention, and need no cuts
+    return F.when(pattern.isNull(), "partial").when(~F.rlike(body, pattern), "not_found").otherwise(let(cuts, lambda c: let(_kinds(c["hits"], c["gaps"]), _context)))
+
+
+def _kinds(hits: Column, gaps: Column) -> Column:
+    """How each mention is worded."""
     back_span, ahead_span = BEFORE // SHORTEST + 1, AFTER // SHORTEST + 1  # as many cuts as can stand in what is looked at
 
-    def around(i: Column) -> tuple[Column, Column]:
+    def around(i: Column) -> Column:
         first = F.greatest(F.lit(0), i - back_span)
         back = F.concat(F.flatten(F.transform(F.sequence(first, i), lambda k: F.when(k < i, F.array(F.get(gaps, k), F.get(hits, k))).otherwise(F.array(F.get(gaps, k))))))
         ahead = F.flatten(F.transform(F.sequence(i + 1, i + ahead_span), lambda k: F.array(F.get(gaps, k), F.get(hits, k))))
-        return F.right(F.array_join(back, ""), F.lit(BEFORE)), F.left(F.array_join(ahead, ""), F.lit(AFTER))
+        return F.struct(F.right(F.array_join(back, ""), F.lit(BEFORE)).alias("before"), F.left(F.array_join(ahead, ""), F.lit(AFTER)).alias("after"))
 
-    def kind(hit: Column, i: Column) -> Column:
-        before, after = around(i)
-        bracket = F.regexp_substr(before, F.lit(r"(?s)\[[^\[]*$"))
-        line = F.regexp_extract(before, r"([^\n]*)$", 1)
+    def kind(near: Column) -> Column:
+        bracket = F.regexp_substr(near["before"], F.lit(r"(?s)\[[^\[]*$"))
+        line = F.regexp_extract(near["before"], r"([^\n]*)$", 1)
         noted = F.coalesce(bracket.rlike(CURRENT_VERSION), F.lit(False))
-        return F.when(noted, "version").when(line.rlike(AMENDED_BEFORE), "amendment").when(after.rlike(RANGE_AFTER), "period").otherwise("plain")
+        return F.when(noted, "version").when(line.rlike(AMENDED_BEFORE), "amendment").when(near["after"].rlike(RANGE_AFTER), "period").otherwise("plain")
+
+    return F.transform(hits, lambda _, i: let(around(i), kind))
+
 
-    kinds = F.transform(hits, kind)
+def _context(kinds: Column) -> Column:
     n = lambda name: F.size(F.filter(kinds, lambda k: k == name))
     notes = n("version") + n("amendment")
-    return (
-        F.when(pattern.isNull(), "partial").when(F.size(hits) == 0, "not_found").when(n("plain") > 0, "stated")
-        .when((n("version") > 0) & (notes >= n("period")), "version_note").when(notes >= n("period"), "amendment_note").otherwise("period_start")
-    )
+    return F.when(n("plain") > 0, "stated").when((n("version") > 0) & (notes >= n("period")), "version_note").when(notes >= n("period"), "amendment_note").otherwise("period_start")
