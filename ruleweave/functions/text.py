@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ruleweave.functions.logic import let
+
 # Characters that count as one another, or as nothing, when quotes are matched.
 SINGLE = "‘’‚‛′"
 DOUBLE = "“”„‟″"
@@ -128,11 +130,14 @@ def parse_months(text: Column) -> Column:
         (rf"\b{n} (?:times|months?\b)", _number),
     ]
     rest = F.regexp_replace(fold_quantity(text), r"\btimes (?:the )?(?:one|a|1) month(?:'s|s')?(?: rent)?", " times ")
-    found = F.array().cast("array<double>")
-    for pattern, value in steps:
-        found = F.concat(found, F.transform(F.regexp_extract_all(rest, F.lit(pattern), 1), value))
-        rest = F.regexp_replace(rest, pattern, " ")
-    return F.array_sort(F.array_distinct(found))
+
+    def taken(rest: Column, at: int = 0) -> Column:
+        """Figures of the steps from one on; each step's text is made once a row."""
+        pattern, value = steps[at]
+        found = lambda t: F.transform(F.regexp_extract_all(t, F.lit(pattern), 1), value)
+        return let(rest, lambda t: found(t) if at == len(steps) - 1 else F.concat(found(t), taken(F.regexp_replace(t, pattern, " "), at + 1)))
+
+    return F.array_sort(F.array_distinct(taken(rest)))
 
 
 def parse_dollars(text: Column) -> Column:
@@ -146,7 +151,7 @@ def parse_dollars(text: Column) -> Column:
 
 def single(figures: Column) -> Column:
     """The one figure; null if there are none or several."""
-    return F.when(F.size(figures) == 1, F.get(figures, F.lit(0)))
+    return let(figures, lambda f: F.when(F.size(f) == 1, F.get(f, F.lit(0))))
 
 
 def is_jurisdiction(text: Column) -> Column:

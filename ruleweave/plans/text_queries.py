@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ruleweave.functions import text as tx
 from ruleweave.operators import consolidate, resolve
+from ruleweave.operators.common import dealt
 from ruleweave.plans import fixtures as fx
 from ruleweave.plans import wordings as w
 
@@ -33,7 +34,8 @@ def citation_in_source(spark, sf_dir):
 
 
 def parse_quantity(spark, sf_dir):
-    return _parts(spark, sf_dir).select("k", tx.single(tx.parse_months(w.worded(F.col("k"), w.MONTHS))).alias("months"))
+    # keys are few bytes and lie in few files; the work on each is spread
+    return dealt(_parts(spark, sf_dir), "k").select("k", tx.single(tx.parse_months(w.worded(F.col("k"), w.MONTHS))).alias("months"))
 
 
 def parse_dollars(spark, sf_dir):
