@@ -16,6 +16,8 @@ values; repeated rows count once, as all is distinct; an empty table gives an em
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ FIELDS = (
 )
 #: Values of other documents that are kept beside the primary's, its own included.
 MOST_VALUES = 3
+#: Of cells of at most so many candidates, what a group's members say is listed where they lie sorted; larger ones are summed up.
+FEW_MEMBERS = 64
 
 
 def states_no_coverage(requires: Column, exempt_if: Column) -> Column:
@@ -43,53 +47,75 @@ def primary_rank(verified: Column, official: Column, picked: Column, candidate_i
     return F.struct(~verified, ~(verified & official), ~picked, candidate_id)
 
 
-def _sums() -> list[Column]:
+def _sums() -> dict[str, Column]:
+    """What is kept of members beside their dates, notes and values; sums of sums are sums."""
     status, verified = F.col("m.legal_status"), F.col("m.verified")
     dates = F.struct("m.candidate_id", "m.enacted_date", "m.effective_date", "m.source_doc_id")
-    stated = F.struct("m.effective_date", "m.enacted_date", "m.source_doc_id")
     dated = F.col("m.enacted_date").isNotNull() | F.col("m.effective_date").isNotNull()
-    return [
-        F.min_by(F.struct(*[f"m.{f}" for f in FIELDS]), primary_rank(verified, F.col("m.official"), F.col("m.picked"), F.col("m.candidate_id"))).alias("p"),
-        F.array_sort(F.collect_set(F.when(verified, status))).alias("statuses"),
-        F.min(F.when(verified & (status == "failed"), dates)).alias("as_failed"),
-        F.min(F.when(verified & (status == "enacted") & dated, dates)).alias("as_enacted"),
-        F.min(F.when(verified & ~states_no_coverage(F.col("m.requires"), F.col("m.exempt_if")), F.struct("m.candidate_id", "m.source_doc_id", "m.requires", "m.exempt_if"))).alias("covering"),
-        F.array_sort(F.collect_set(F.when(verified, F.struct(status.alias("status"), F.col("m.source_doc_id").alias("doc"))))).alias("status_docs"),
-        F.bool_or("m.conflict_flag").alias("flagged"),
-        F.count("m").alias("n_members"),
-        *[F.collect_set(F.when(verified & (status == s), stated)).alias(f"stated_{s}") for s in STATUSES],
-    ]
+    rank = primary_rank(verified, F.col("m.official"), F.col("m.picked"), F.col("m.candidate_id"))
+    return {
+        "p": F.min(F.when(F.col("m").isNotNull(), F.struct(rank.alias("rank"), *[F.col(f"m.{f}").alias(f) for f in FIELDS]))),
+        "as_failed": F.min(F.when(verified & (status == "failed"), dates)),
+        "as_enacted": F.min(F.when(verified & (status == "enacted") & dated, dates)),
+        "covering": F.min(F.when(verified & ~states_no_coverage(F.col("m.requires"), F.col("m.exempt_if")), F.struct("m.candidate_id", "m.source_doc_id", "m.requires", "m.exempt_if"))),
+        "flagged": F.bool_or("m.conflict_flag"),
+        "n_members": F.count("m"),
+    }
 
 
 def _told(members: DataFrame, group: list[str]) -> DataFrame:
-    """(group, kind, key, said, m): each member whole, and beside it its note and its verified value, of kinds of their own."""
+    """(group, kind, key, stated, said, id, m): each member whole with what it states if verified, and beside it its note and its
+    verified value, of kinds of their own."""
     value = F.when(F.col("verified"), F.nullif(F.trim("key_value"), F.lit("")))
     used = [*FIELDS, "official", "picked", "conflict_flag"]
-    whole = F.struct(*used)
-    of = lambda kind, key, said, m: F.struct(F.lit(kind).alias("kind"), key.alias("key"), said.alias("said"), F.col("candidate_id").alias("id"), m.alias("m"))
-    none = F.lit(None).cast("string")
-    kind = members.select(*used).schema.simpleString()
-    all_three = F.array(of("member", none, none, whole), of("note", F.col("conflict_note"), F.col("conflict_note"), F.lit(None).cast(kind)), of("value", F.lower(value), value, F.lit(None).cast(kind)))
+    stated = F.struct(F.col("legal_status").alias("status"), "effective_date", "enacted_date", "source_doc_id")
+    of = lambda kind, key, said, m, stated: F.struct(F.lit(kind).alias("kind"), key.alias("key"), stated.alias("stated"), said.alias("said"), F.col("candidate_id").alias("id"), m.alias("m"))
+    none, whole = F.lit(None).cast("string"), F.struct(*used)
+    no_member, no_dates = (F.lit(None).cast(members.select(c.alias("c")).schema["c"].dataType) for c in (whole, stated))
+    note = of("note", F.col("conflict_note"), F.col("conflict_note"), no_member, no_dates)
+    all_three = F.array(of("member", none, none, whole, F.when(F.col("verified"), stated)), note, of("value", F.lower(value), value, no_member, no_dates))
     return members.select(*group, F.explode(all_three).alias("t")).select(*group, "t.*").filter("kind = 'member' OR key <> ''")
 
 
 def _summed(members: DataFrame, group: list[str]) -> DataFrame:
-    """A group's members summed up, and a row for each of its notes and values with the lowest id that has it.
+    """One row a group: its members summed up, what its verified ones state, and notes and values in order of the lowest id that has them.
 
-    All lies where the group's rows are: what is asked later about a group comes to it as further rows, and no join moves it.
+    What is alike is put together first, as streams of sorted rows, so that only distinct statements, notes and values are listed.
     """
     first = F.min(F.when(F.col("kind") != "member", F.struct("id", "said"))).alias("first")
-    sums = _sums()
-    each = _told(members, group).groupBy(*group, "kind", "key").agg(*sums, first)
-    names = [c for c in each.columns if c not in (*group, "kind", "key", "first")]
-    return each.select(*group, "kind", F.when(F.col("kind") == "member", F.struct(*names)).alias("sums"), "first")
+    each = _told(members, group).groupBy(*group, "kind", "key", "stated").agg(*[c.alias(n) for n, c in _sums().items()], first)
+    again = {"flagged": F.bool_or, "n_members": F.sum}
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("first")))), lambda x: x["said"])
+    return each.groupBy(*group).agg(*[again.get(n, F.min)(n).alias(n) for n in _sums()], F.collect_list("stated").alias("stated"), of("note").alias("notes"), of("value").alias("values"))
 
 
-def _whole(rows: DataFrame, group: list[str]) -> DataFrame:
-    """One row a group of what _summed gives and of rows of kind stated: notes and values in order of the lowest id that has them."""
-    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("first")))), lambda x: x["said"])
-    found = rows.groupBy(*group).agg(F.first("sums", ignorenulls=True).alias("sums"), of("note").alias("notes"), of("value").alias("values"), F.bool_or(F.col("kind") == "stated").alias("stated_too"))
-    return found.select(*group, "sums.*", "notes", "values", "stated_too")
+def _listed(members: DataFrame, group: list[str]) -> DataFrame:
+    """What _summed gives, for groups of FEW_MEMBERS at most: the primary's row (rank_no 1) with lists of what all of them say.
+
+    As rows lie sorted by group, nothing is moved or sorted again. Each member's row holds the lists on the way, so groups must be few.
+    """
+    value, note, of = F.nullif(F.trim("key_value"), F.lit("")), F.nullif("conflict_note", F.lit("")), W.partitionBy(*group)
+    dates = ["candidate_id", "enacted_date", "effective_date", "source_doc_id"]
+    said = F.struct(*dates, F.col("legal_status").alias("status"), value.alias("value"))
+    covers = F.col("verified") & ~states_no_coverage(F.col("requires"), F.col("exempt_if"))
+    every = members.withColumns({
+        "stated": F.collect_list(F.when(F.col("verified"), said)).over(of),
+        "notes": F.collect_list(F.when(note.isNotNull(), F.struct(F.col("candidate_id").alias("id"), note.alias("said")))).over(of),
+        "covering": F.min(F.when(covers, F.struct("candidate_id", "source_doc_id", "requires", "exempt_if"))).over(of),
+        "flagged": F.bool_or("conflict_flag").over(of),
+        "n_members": F.count(F.lit(1)).over(of),
+    }).filter("rank_no = 1")
+    least = lambda test: F.array_min(F.transform(F.filter("stated", test), lambda x: F.struct(*[x[d].alias(d) for d in dates])))
+    dated = lambda x: x["enacted_date"].isNotNull() | x["effective_date"].isNotNull()
+    by_id = F.array_sort(F.transform(F.filter("stated", lambda x: x["value"].isNotNull()), lambda x: F.struct(x["candidate_id"].alias("id"), x["value"].alias("said"))))
+    fresh = lambda texts: F.filter(texts, lambda v, i: ~F.exists(F.slice(texts, 1, i), lambda o: F.lower(o) == F.lower(v)))
+    return every.select(
+        *group, F.struct(*FIELDS).alias("p"), "stated", "covering", "flagged", "n_members",
+        least(lambda x: x["status"] == "failed").alias("as_failed"),
+        least(lambda x: (x["status"] == "enacted") & dated(x)).alias("as_enacted"),
+        F.transform(F.array_sort("notes"), lambda x: x["said"]).alias("notes"),
+        let(F.transform(by_id, lambda x: x["said"]), fresh).alias("values"),
+    )
 
 
 def _docs(rows: Column) -> Column:
@@ -103,9 +129,10 @@ def _dates(rows: Column, field: str) -> Column:
 def _offers(whole: DataFrame) -> DataFrame:
     """Resolved status, who gives it, its peers, and the effective dates they offer."""
     own = F.col("p.legal_status")
-    resolved = whole.withColumn("s", resolve_status(own, F.col("statuses"), F.col("as_enacted").isNotNull()))
+    statuses = F.array_sort(F.array_distinct(F.transform(F.filter("stated", lambda x: x["status"].isNotNull()), lambda x: x["status"])))
+    resolved = whole.withColumn("statuses", statuses).withColumn("s", resolve_status(own, F.col("statuses"), F.col("as_enacted").isNotNull()))
     lent = F.when(F.col("s.status") != own, F.when(F.col("s.status") == "failed", F.col("as_failed")).otherwise(F.col("as_enacted")))
-    peers = F.coalesce(*[F.when(F.col("s.status") == s, F.col(f"stated_{s}")) for s in STATUSES])
+    peers = F.when(F.col("s.status").isin(*STATUSES), F.filter("stated", lambda x: x["status"] == F.col("s.status")))
     source = lambda field: F.when(F.col("giver").isNotNull(), F.col("giver")[field]).otherwise(F.col("p")[field])
     placed = resolved.withColumns({"giver": lent, "peers": peers}).withColumns({"own_enacted": source("enacted_date"), "own_effective": source("effective_date"), "dates_doc": source("source_doc_id")})
 
@@ -124,37 +151,36 @@ def merge_groups(members: DataFrame, group: list[str], states: DataFrame | None
     """One row a group: group, candidate_id of the primary, the merged fields, basis and conflicts, n_members.
 
     basis lists what came from another document and from which. states is (source_doc_id, date), the dates a
-    document writes as ordinary statements. Of a group only its key, the document and the date go to them, and the key comes
-    back: members that are dealt to parts by the first column of their group are not moved.
+    document writes as ordinary statements. A group is summed up once; its row goes to the document and the date it asks for, one that
+    asks for none to any place.
     """
+    return _with_second(_fields(_summed(members, group), group), group, states, parts)
+
+
+def _fields(summed: DataFrame, group: list[str]) -> DataFrame:
+    """The merged fields of groups summed up, but for what documents state too: second is the text to add if dates_doc states any_offer."""
     none = F.array().cast("array<string>")
-    summed = _summed(members, group)
-    if states is not None:
-        asked = _offers(_whole(summed, group)).filter("offer IS NULL AND any_offer IS NOT NULL").select(*group, F.col("dates_doc").alias("source_doc_id"), F.col("any_offer").alias("date"))
-        found = asked.join(states.select("source_doc_id", "date"), ["source_doc_id", "date"], "left_semi").select(*group, F.lit("stated").alias("kind"))
-        summed = summed.unionByName(dealt(found, group[0], parts), allowMissingColumns=True)
-    offers = _offers(_whole(summed, group))
-    second = F.when(F.col("offer").isNull() & F.col("stated_too"), F.col("any_offer"))
-    given = offers.withColumn("second", second).withColumn("effective", F.coalesce("own_effective", "offer", "second"))
+    given = _offers(summed).withColumn("effective", F.coalesce("own_effective", "offer"))
 
     changed = lambda field: ~F.col("giver")[field].eqNullSafe(F.col("p")[field])
     covered = F.when(states_no_coverage(F.col("p.requires"), F.col("p.exempt_if")) & F.col("covering").isNotNull(), F.col("covering"))
     said = [
         F.when(F.col("giver").isNotNull(), F.format_string("legal_status %s from %s", "s.status", "giver.source_doc_id")),
         F.when(F.col("offer").isNotNull(), F.concat(F.lit("effective_date "), "offer", F.lit(" from "), _docs(F.col("close_lenders")))),
-        F.when(F.col("second").isNotNull(), F.concat(F.lit("effective_date "), "second", F.lit(" from "), _docs(F.col("lenders")), F.lit(", a date "), "dates_doc", F.lit(" also states"))),
         F.when(changed("enacted_date") & F.col("enacted").isNotNull() & F.col("giver").isNotNull(), F.format_string("enacted_date %s from %s", "enacted", "giver.source_doc_id")),
         F.when(changed("effective_date") & F.col("own_effective").isNotNull() & F.col("giver").isNotNull(), F.format_string("effective_date %s from %s", "effective", "giver.source_doc_id")),
         F.when(F.col("covering_other").isNotNull(), F.concat(F.lit("coverage from "), "covering_other.source_doc_id")),
     ]
-    based = given.withColumn("covering_other", covered).withColumn("basis", F.array_compact(F.array(*said)))
+    asks = F.col("offer").isNull() & F.col("any_offer").isNotNull()
+    second = F.when(asks, F.concat(F.lit("effective_date "), "any_offer", F.lit(" from "), _docs(F.col("lenders")), F.lit(", a date "), "dates_doc", F.lit(" also states")))
+    based = given.withColumn("covering_other", covered).withColumns({"before": F.array_compact(F.array(*said[:2])), "after": F.array_compact(F.array(*said[2:])), "second": second})
 
-    stated = _dates(F.col("peers"), "effective_date")
+    offered = _dates(F.col("peers"), "effective_date")
     days = lambda a, b: F.coalesce(F.abs(F.datediff(date_floor(a), date_floor(b))) < CLOSE_DAYS, F.lit(False))
-    close = let(stated, lambda every: F.filter(every, lambda a: F.exists(every, lambda b: (a != b) & days(a, b))))
+    close = let(offered, lambda every: F.filter(every, lambda a: F.exists(every, lambda b: (a != b) & days(a, b))))
     docs_of = lambda v: _docs(F.filter("peers", lambda x: x["effective_date"] == v))
     quoted = lambda v, docs: F.concat(F.lit('"'), v, F.lit('" ('), docs, F.lit(")"))
-    status_docs = lambda s: F.array_join(F.transform(F.filter("status_docs", lambda x: x["status"] == s), lambda x: x["doc"]), ", ")
+    status_docs = lambda s: _docs(F.filter("stated", lambda x: x["status"] == s))
     noted = based.withColumn("close", F.when(F.size(close) >= 2, close))
     more = F.array_compact(
         F.array(
@@ -166,7 +192,6 @@ def merge_groups(members: DataFrame, group: list[str], states: DataFrame | None
     first = F.when(F.col("p.verified"), F.nullif(F.trim("p.key_value"), F.lit("")))
     others = F.filter(F.coalesce("values", none), lambda v: first.isNull() | (F.lower(v) != F.lower(first)))
     values = F.slice(F.concat(F.array_compact(F.array(first)), others), 1, MOST_VALUES)
-    basis = F.when(F.size("basis") > 0, F.concat(F.lit("["), F.array_join("basis", "; "), F.lit("]")))
     return noted.select(
         *group,
         "p.candidate_id",
@@ -178,14 +203,41 @@ def merge_groups(members: DataFrame, group: list[str], states: DataFrame | None
         F.coalesce("covering_other.requires", "p.requires").alias("requires"),
         F.coalesce("covering_other.exempt_if", "p.exempt_if").alias("exempt_if"),
         F.coalesce(F.nullif(F.array_join(values, "; "), F.lit("")), "p.key_value").alias("key_value"),
-        F.when(basis.isNull(), F.col("p.status_basis")).otherwise(F.concat_ws(" ", F.nullif("p.status_basis", F.lit("")), basis)).alias("status_basis"),
-        "basis",
+        F.col("p.status_basis").alias("status_basis"),
         (F.col("flagged") | F.col("s.conflict") | F.col("close").isNotNull()).alias("conflict_flag"),
         F.nullif(F.array_join(notes, "; "), F.lit("")).alias("conflict_note"),
         "n_members",
+        "before",
+        "after",
+        "second",
+        F.when(asks, F.col("dates_doc")).otherwise(F.col(group[0]).cast("string")).alias("dates_doc"),
+        F.when(asks, F.col("any_offer")).alias("any_offer"),
     )
 
 
+def _with_second(fields: DataFrame, group: list[str], states: DataFrame | None, parts: int | None) -> DataFrame:
+    none = F.array().cast("array<string>")
+    fields = fields.withColumn("_too", F.lit(False)) if states is None else _stated_too(fields, states, parts)
+    basis = F.concat("before", F.when(F.col("_too"), F.array("second")).otherwise(none), "after")
+    joined = F.when(F.size("basis") > 0, F.concat(F.lit("["), F.array_join("basis", "; "), F.lit("]")))
+    whole = fields.withColumn("basis", basis).withColumns({
+        "effective_date": F.coalesce("effective_date", F.when(F.col("_too"), F.col("any_offer"))),
+        "status_basis": F.when(joined.isNull(), F.col("status_basis")).otherwise(F.concat_ws(" ", F.nullif("status_basis", F.lit("")), joined)),
+    })
+    return whole.select(
+        *group, "candidate_id", "team_rule_id", "source_doc_id", "legal_status", "enacted_date", "effective_date", "requires", "exempt_if", "key_value", "status_basis", "basis", "conflict_flag", "conflict_note", "n_members",
+    )
+
+
+def _stated_too(fields: DataFrame, states: DataFrame, parts: int | None) -> DataFrame:
+    """fields with _too, whether dates_doc writes the day any_offer. Rows without a day ask nothing; their dates_doc spreads them."""
+    known = states.select("source_doc_id", "date")
+    if parts:
+        fields, known = fields.repartition(parts, "dates_doc", "any_offer"), known.repartition(parts, "source_doc_id", "date")
+    known = known.distinct().select(F.col("source_doc_id").alias("dates_doc"), F.col("date").alias("any_offer"), F.lit(True).alias("_too"))
+    return fields.join(known, ["dates_doc", "any_offer"], "left").withColumn("_too", F.coalesce("_too", F.lit(False)))
+
+
 def supported_by(members: DataFrame, merged: DataFrame, group: list[str]) -> DataFrame:
     """members but each group's primary, in which the merged rule also finds support."""
     primaries = merged.select(*group, F.col("candidate_id").alias("_primary"))
@@ -203,6 +255,14 @@ def payload_keys(candidates: DataFrame, version: str, told: list[str]) -> DataFr
     return per.select("cell", F.sha2(F.concat_ws("|", F.lit(version), "n", "_0", "_1"), 256).alias("key"), "n")
 
 
+def _answers(candidates: DataFrame, cached: DataFrame, version: str, told: list[str], parts: int | None) -> tuple[DataFrame, DataFrame]:
+    """(cell, key) of the cells that ask, those of two candidates or more, and (cell, group_no, member_id, primary_id) kept for them, dealt to parts by cell."""
+    asked = payload_keys(candidates, version, told).filter("n > 1").select("cell", "key")
+    # without a cell no answer counts; said here, so that all that use the answers share their shuffle
+    kept = cached.join(asked.filter("cell IS NOT NULL"), "key").select("cell", F.col("group_no").cast("string").alias("group_no"), "member_id", "primary_id")
+    return asked, dealt(kept, "cell", parts)
+
+
 def group_cells(candidates: DataFrame, cached: DataFrame, version: str, told: list[str], problem, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(cell, group_no, member_id, primary_id) of every candidate, and (cell, error) of cells that fell back to one group each.
 
@@ -210,10 +270,7 @@ def group_cells(candidates: DataFrame, cached: DataFrame, version: str, told: li
     problem (``consolidate.grouping_problem``) finds none; a cell of one candidate needs no answer. Answers are dealt to parts by
     cell once; candidates that are dealt so are not moved.
     """
-    keys = payload_keys(candidates, version, told)
-    asked = keys.filter("n > 1").select("cell", "key")
-    # without a cell no answer counts; said here, so that all that use the answers share their shuffle
-    answers = dealt(cached.join(asked.filter("cell IS NOT NULL"), "key").select("cell", F.col("group_no").cast("string").alias("group_no"), "member_id", "primary_id"), "cell", parts)
+    asked, answers = _answers(candidates, cached, version, told, parts)
     fine = problem(answers, candidates.select("cell", "candidate_id")).filter("problem IS NULL").select("cell")
     own = [F.col("candidate_id").alias(c) for c in ("group_no", "member_id", "primary_id")]
     both = answers.withColumn("kept", F.lit(True)).unionByName(candidates.select("cell", *own, F.lit(False).alias("kept")))
@@ -225,15 +282,67 @@ def group_cells(candidates: DataFrame, cached: DataFrame, version: str, told: li
 def consolidate(candidates: DataFrame, groups: DataFrame, states: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """The merged rules of all cells. Groups of a cell whose primaries name the same rule are one; the first group's pick stays.
 
-    Groups come to the candidates as rows of their cell, so what is dealt to parts by cell is not moved.
+    Groups come to the candidates as rows of their cell, so what is dealt to parts by cell is not moved. A candidate that no group
+    holds is left out.
     """
-    rank = primary_rank(F.col("verified"), F.col("official"), F.col("candidate_id") == F.col("primary_id"), F.col("candidate_id"))
-    told = groups.select("cell", F.col("member_id").alias("candidate_id"), F.struct("group_no", "primary_id").alias("g"))
+    placed = _answered(candidates, groups).filter("g IS NOT NULL").select("*", "g.*")
+    return merge_groups(_picked(_with_teams(placed)), ["cell", "bucket"], states, parts)
+
+
+def consolidate_cached(
+    candidates: DataFrame, cached: DataFrame, version: str, told: list[str], states: DataFrame | None = None, parts: int | None = None, whole: Callable[[DataFrame], DataFrame] = lambda rows: rows, few: int = FEW_MEMBERS,
+) -> DataFrame:
+    """The merged rules of all cells grouped as group_cells does with ``consolidate.grouping_problem``, judged in the pass that groups.
+
+    whole adds to candidates the columns that only keys and merging need, so that rows are narrow while they are grouped. Cells of
+    more than few candidates go the way of merge_groups, which lists no members; all others have short lists.
+    """
+    group = ["cell", "bucket"]
+    _, answers = _answers(whole(candidates), cached, version, told, parts)
+    short = _picked(_judged(_answered(candidates, answers).filter(F.col("in_cell") <= few)))
+    order = W.partitionBy(*group).orderBy(*[~F.col("verified"), ~(F.col("verified") & F.col("official")), ~F.col("picked"), "candidate_id"])
+    # few cells, if any; written out, so that with none of them the long way is seen to be empty
+    large = candidates.groupBy("cell").count().filter(F.col("count") > few).select("cell").repartition(1)
+    long = _picked(_judged(_answered(candidates.join(large, "cell", "left_semi"), answers.join(large, "cell", "left_semi"))))
+    fields = _fields(_listed(whole(short.withColumn("rank_no", F.row_number().over(order))), group), group)
+    return _with_second(fields.unionByName(_fields(_summed(whole(long), group), group)), group, states, parts)
+
+
+def _answered(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """Candidates with a cell and an id, with the answer g to each, own_team (of the rows of its id), in_cell (how many) and fine: whether
+    the answers name all ids of the cell once and no others."""
+    told = answers.select("cell", F.col("member_id").alias("candidate_id"), F.struct("group_no", "primary_id").alias("g"))
     both = candidates.drop("picked").unionByName(told, allowMissingColumns=True)
-    is_candidate = F.col("g").isNull()
-    named = both.withColumn("of", F.max("g").over(W.partitionBy("cell", "candidate_id"))).filter(is_candidate & F.col("of").isNotNull() & F.col("cell").isNotNull() & F.col("candidate_id").isNotNull())
-    placed = named.drop("g").select("*", "of.*").drop("of")
-    of_group, of_rule = W.partitionBy("cell", "group_no"), W.partitionBy("cell", "bucket")
-    teams = placed.withColumns({"bucket": F.min_by("team_rule_id", rank).over(of_group), "pick": F.min("primary_id").over(of_group)})
-    members = teams.withColumn("picked", F.col("candidate_id") == F.min_by("pick", "group_no").over(of_rule)).drop("pick", "group_no", "primary_id")
-    return merge_groups(members, ["cell", "bucket"], states, parts)
+    is_told, null = F.col("g").isNotNull(), F.col("candidate_id").isNull()
+    of_id, of_cell = W.partitionBy("cell", "candidate_id"), W.partitionBy("cell")
+    rank = F.when(~is_told, primary_rank(F.col("verified"), F.col("official"), F.lit(True), F.col("candidate_id")))
+    counted = both.withColumns({"times": F.count("g").over(of_id), "known": F.bool_or(~is_told).over(of_id), "of": F.max("g").over(of_id), "own_team": F.min_by("team_rule_id", rank).over(of_id)})
+    wrong = null | (F.col("times") != 1) | ~F.col("known")
+    judged = counted.withColumns({"fine": ~F.bool_or(wrong).over(of_cell), "in_cell": F.count_if(~is_told).over(of_cell)}).filter(~is_told & ~null & F.col("cell").isNotNull())
+    return judged.withColumn("g", F.col("of")).drop("of", "times", "known")
+
+
+def _with_teams(placed: DataFrame) -> DataFrame:
+    """placed (group_no and primary_id given) with its group's bucket, the rule its primary names, its pick, and whether the primary is inside."""
+    own, of_group = F.col("candidate_id"), W.partitionBy("cell", "group_no")
+    rank = primary_rank(F.col("verified"), F.col("official"), own == F.col("primary_id"), own)
+    return placed.withColumns({"bucket": F.min_by("team_rule_id", rank).over(of_group), "pick": F.min("primary_id").over(of_group), "inside": F.bool_or(own == F.col("primary_id")).over(of_group)})
+
+
+def _judged(answered: DataFrame) -> DataFrame:
+    """Candidates in the groups of their cell's answers, or each its own if these are not fine.
+
+    Answers that name every candidate once and no other are as many as the candidates, so what is left to judge, whether each
+    group has its primary, is asked of the candidates.
+    """
+    own = F.col("candidate_id")
+    either = lambda field, other: F.when(F.col("fine"), F.col(field)).otherwise(other)
+    teams = _with_teams(answered.withColumns({"group_no": either("g.group_no", own), "primary_id": either("g.primary_id", own)}))
+    outside = F.coalesce(F.bool_or(~F.col("inside")).over(W.partitionBy("cell")), F.lit(False))
+    return teams.withColumn("fine", F.col("fine") & ~outside).withColumns({"bucket": either("bucket", F.col("own_team")), "pick": either("pick", own), "group_no": either("group_no", own)})
+
+
+def _picked(teams: DataFrame) -> DataFrame:
+    """Members of buckets; picked is the pick of a bucket's first group."""
+    first = F.min_by("pick", "group_no").over(W.partitionBy("cell", "bucket"))
+    return teams.withColumn("picked", F.col("candidate_id") == first).drop("pick", "group_no", "primary_id", "inside", "fine", "own_team", "g", "in_cell")

@@ -28,26 +28,31 @@ def parts_of(spark, sf_dir):
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_line_keys(spark, sf_dir).count() // PART_ROWS))
 
 
-def candidates(spark, sf_dir):
+def _lines(spark, sf_dir):
+    """Lines dealt by cell with what groups them.
+
+    They are dealt while rows are four numbers, so that what sums up, windows or joins cells moves no wider rows; by number, as rows
+    get wide in the same task and small partitions must not be put together.
+    """
+    k, n, p, s = (F.col(c) for c in "knps")
+    lines = dealt(_line_keys(spark, sf_dir).withColumn("cell", F.concat(F.lit("O"), k.cast("string"))), "cell", parts_of(spark, sf_dir)).distinct()
+    return lines.select(*"knps", "cell", F.concat_ws("#", k, n, p, s).alias("candidate_id"), F.concat(F.lit("T"), (p % 3).cast("string")).alias("team_rule_id"), (n % 3 != 0).alias("verified"), (s % 2 == 0).alias("official"))
+
+
+def _whole(lines):
+    """Lines with what candidates say."""
     k, n, p, s = (F.col(c) for c in "knps")
     day = F.date_add(F.lit("2000-01-01").cast("date"), ((k % 5000) + F.when(n == 4, 40).otherwise(0)).cast("int"))
     later = F.date_add(F.lit("2000-01-01").cast("date"), ((k % 5000) + 180 + F.when(s % 5 == 4, (p % 3) * 200).otherwise(0)).cast("int"))
-    told = lambda d, form: F.date_format(d, form)
+    # a date's text is its day; its month and year are the text's beginning
+    told = lambda d, chars: F.substring(d.cast("string"), 1, chars)
     status = F.when(p % 11 == 0, "failed").when(s % 3 == 0, "pending").otherwise("enacted")
     caveat, units = F.struct(F.lit("caveat").alias("fact"), F.lit("seasonal").alias("text")), F.struct(F.lit("units").alias("fact"), F.concat(F.lit("units over "), (p % 9).cast("string")).alias("text"))
-    # dealt by cell while rows are four numbers, so that what sums up, windows or joins cells moves no wider rows; by number, as rows
-    # get wide in the same task and small partitions must not be put together
-    lines = dealt(_line_keys(spark, sf_dir).withColumn("cell", F.concat(F.lit("O"), k.cast("string"))), "cell", parts_of(spark, sf_dir)).distinct()
     return lines.select(
-        "cell",
-        F.concat_ws("#", k, n, p, s).alias("candidate_id"),
-        F.concat(F.lit("T"), (p % 3).cast("string")).alias("team_rule_id"),
-        (n % 3 != 0).alias("verified"),
-        (s % 2 == 0).alias("official"),
-        (n == 2).alias("picked"),
+        *[c for c in lines.columns if c not in "knps"],
         status.alias("legal_status"),
-        F.when(status != "pending", F.when(p % 4 == 1, told(day, "yyyy")).when(p % 4 == 2, told(day, "yyyy-MM")).when(p % 4 == 3, told(day, "yyyy-MM-dd"))).alias("enacted_date"),
-        F.when(s % 5 == 3, told(later, "yyyy-MM")).when(s % 5 > 1, told(later, "yyyy-MM-dd")).alias("effective_date"),
+        F.when(status != "pending", F.when(p % 4 == 1, told(day, 4)).when(p % 4 == 2, told(day, 7)).when(p % 4 == 3, told(day, 10))).alias("enacted_date"),
+        F.when(s % 5 == 3, told(later, 7)).when(s % 5 > 1, told(later, 10)).alias("effective_date"),
         F.when(p % 5 == 1, " Alpha ").when(p % 5 == 2, "alpha").when(p % 5 == 3, F.concat(F.lit("Beta"), (p % 3).cast("string"))).when(p % 5 == 4, "").alias("key_value"),
         F.when(p % 2 == 0, F.array(caveat)).otherwise(F.array(caveat, units)).alias("requires"),
         F.when(p % 6 == 0, F.array(F.array(caveat))).otherwise(F.array().cast(f"array<array<{CONDITION}>>")).alias("exempt_if"),
@@ -58,10 +63,14 @@ def candidates(spark, sf_dir):
     )
 
 
+def candidates(spark, sf_dir):
+    return _whole(_lines(spark, sf_dir).withColumn("picked", F.col("n") == 2))
+
+
 def states(spark, sf_dir):
     """Documents of first lines also write the day that their order's rule takes effect."""
     day = F.date_add(F.lit("2000-01-01").cast("date"), ((F.col("k") % 5000) + 180).cast("int"))
-    few = _line_keys(spark, sf_dir).filter("n <= 2").select("s", (F.col("k") % 5000).alias("k")).distinct()
+    few = _line_keys(spark, sf_dir).filter("n <= 2").select("s", (F.col("k") % 5000).alias("k"))
     return few.select(F.concat(F.lit("D"), F.col("s").cast("string")).alias("source_doc_id"), F.date_format(day, "yyyy-MM-dd").alias("date"))
 
 
@@ -72,7 +81,9 @@ def cached_groupings(spark, sf_dir):
     number = F.substring("cell", 2, 20).cast("long")
     parts = rows.withColumn("number", number).withColumn("group_no", (F.element_at(F.split("candidate_id", "#"), 3).cast("long") % 2).cast("string"))
     told = parts.filter("number % 3 <> 0").select("cell", "number", "candidate_id", "group_no")
-    told = told.withColumns({"primary_id": F.min("candidate_id").over(W.partitionBy("cell", "group_no")), "last": F.max("candidate_id").over(W.partitionBy("cell"))})
+    of_group = W.partitionBy("cell", "group_no")
+    told = told.withColumns({"primary_id": F.min("candidate_id").over(of_group), "last": F.max("candidate_id").over(of_group)})
+    told = told.withColumn("last", F.max("last").over(W.partitionBy("cell")))  # of the group's last, so that one sort serves both
     whole = told.join(keys, "cell").filter("number % 5 <> 0 OR candidate_id <> last")
     return whole.select(F.when(F.col("number") % 7 == 0, F.concat("key", F.lit("-"))).otherwise(F.col("key")).alias("key"), "group_no", F.col("candidate_id").alias("member_id"), "primary_id")
 
@@ -108,9 +119,8 @@ def grouping_failures(spark, sf_dir):
 def consolidated_rules(spark, sf_dir):
     """Cells grouped, groups of one rule put together, and every bucket merged."""
     # null cells have no rule; said here, so that all that use the candidates share their shuffle
-    rows, parts = candidates(spark, sf_dir).drop("picked").filter("cell IS NOT NULL"), parts_of(spark, sf_dir)
-    groups, _ = merge.group_cells(rows, cached_groupings(spark, sf_dir), VERSION, TOLD, co.grouping_problem, parts)
-    return _shown(merge.consolidate(rows, groups, states(spark, sf_dir), parts), "cell", "bucket")
+    lines = _lines(spark, sf_dir).filter("cell IS NOT NULL")
+    return _shown(merge.consolidate_cached(lines, cached_groupings(spark, sf_dir), VERSION, TOLD, states(spark, sf_dir), parts_of(spark, sf_dir), _whole), "cell", "bucket")
 
 
 QUERIES = {f.__name__: f for f in (merged_rules, rule_support, grouped_cells, grouping_failures, consolidated_rules)}

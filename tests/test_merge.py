@@ -114,3 +114,36 @@ def test_support_is_all_but_the_primary(spark):
     members = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), (None, "3"), ("c", None)], "cell string, candidate_id string")
     primaries = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "4")], "cell string, candidate_id string")
     assert sorted(map(str, (tuple(r) for r in merge.supported_by(members, primaries, ["cell"]).collect()))) == ["('a', '2')", "('c', None)", "(None, '3')"]
+
+
+def test_groups_are_summed_up_once_also_for_stated_dates(spark):
+    """Groups were summed up twice, once to know what documents should state and once with the answer."""
+    rows = spark.createDataFrame([row("c", 1, enacted="2020", picked=True), row("c", 2, enacted="2024", effective="2024-07-01"), row("d", 3)], COLUMNS)
+    states = spark.createDataFrame([("d1", "2024-07-01"), ("d1", "2024-07-01"), (None, "2024-07-01"), ("d", None)], "source_doc_id string, date string")
+    found = merge.merge_groups(rows, ["cell"], states)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ObjectHashAggregate(") <= 2
+    assert sorted((r.cell, r.effective_date, r.n_members) for r in found.collect()) == [("c", "2024-07-01", 2), ("d", None, 1)]  # a date stated twice is one
+
+
+def test_cells_judged_while_they_are_grouped_are_those_of_group_cells(spark):
+    """Short cells list what is said, large ones are summed up; both equal the way over group_cells."""
+    cells = {"two": 2, "ok": 6, "out": 4, "strange": 3, "gone": 3, "wrong": 4, "null": 2, "big": 90, "bigger": 70}
+    says = lambda c, n: dict(status=("enacted", "pending", "failed")[(n + len(c)) % 7 % 3], enacted=(None, "2024", "2024-05")[n % 3], effective=(None, "2025-01-01", "2025-03", "2029")[n % 4], verified=n % 5 != 0, official=n % 2 == 0, value=("Ten", " ten", "b", "", None, "c", "d")[n % 7], requires=("u",) * (n % 3 == 0), doc=f"d{n % 6}", note=("x", None, "y", "")[n % 4])
+    made = [row(c, n, **says(c, n)) for c, most in cells.items() for n in range(most)]
+    made = [(*r[:2], f"T{i % 2}", *r[3:]) for i, r in enumerate(made)] + [(None, "x#1", *row("x", 1)[2:]), ("null", None, *row("x", 1)[2:])]
+    made += [row("lent", 1, enacted="2020", doc="d1"), row("lent", 2, enacted="2024", effective="2029", doc="d2")]
+    rows = spark.createDataFrame([*made, made[2]], COLUMNS).drop("picked")  # a row of cell ok twice
+    told = ["legal_status"]
+    keys = {r.cell: r.key for r in merge.payload_keys(rows, "v", told).collect()}
+    answers = [(keys[c], f"g{n % 2}", f"{c}#{n}", f"{c}#{n % 2}") for c, most in cells.items() for n in range(most) if c not in ("wrong", "gone")]
+    answers = [a for a in answers if a[2] != "out#3"] + [(keys["strange"], "g0", "strange#9", "strange#0"), (keys["gone"], None, "gone#0", "gone#0")]
+    answers += [(keys["wrong"], f"g{n % 2}", f"wrong#{n}", "wrong#0") for n in range(4)] + [(keys["two"], "g1", "two#0", "two#1")]
+    cached = spark.createDataFrame(answers, "key string, group_no string, member_id string, primary_id string")
+    states = spark.createDataFrame([(f"d{n}", d) for n in range(6) for d in ("2025-01-01", "2029")], "source_doc_id string, date string")
+    plain = lambda df: sorted(map(str, df.collect()))
+    want = plain(merge.consolidate(rows, merge.group_cells(rows, cached, "v", told, co.grouping_problem)[0], states))
+    assert len(want) > len(cells) and any("also states" in r for r in want) and any("differs" in r for r in want)
+    for few in (64, 2, 1000):
+        assert plain(merge.consolidate_cached(rows, cached, "v", told, states, 4, few=few)) == want
+    empty = spark.createDataFrame([], COLUMNS).drop("picked")
+    assert merge.consolidate_cached(empty, cached, "v", told, states).count() == 0
