@@ -90,13 +90,15 @@ def _summed(members: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _listed(members: DataFrame, group: list[str]) -> DataFrame:
-    """What _summed gives, for groups of FEW_MEMBERS at most: the primary's row (rank_no 1) with lists of what all of them say.
+    """What _summed gives, for groups of FEW_MEMBERS at most: the primary's row with lists of what all of them say.
 
+    number is a member's place among the group's by all that primary_rank has but picked.
     As rows lie sorted by group, nothing is moved or sorted again. Each member's row holds the lists on the way, so groups must be few.
     """
     value, note, of = F.nullif(F.trim("key_value"), F.lit("")), F.nullif("conflict_note", F.lit("")), W.partitionBy(*group)
     dates = ["candidate_id", "enacted_date", "effective_date", "source_doc_id"]
     said = F.struct(*dates, F.col("legal_status").alias("status"), value.alias("value"))
+    rank = primary_rank(F.col("verified"), F.col("official"), F.col("picked"), F.col("number"))
     covers = F.col("verified") & ~states_no_coverage(F.col("requires"), F.col("exempt_if"))
     every = members.withColumns({
         "stated": F.collect_list(F.when(F.col("verified"), said)).over(of),
@@ -104,7 +106,8 @@ def _listed(members: DataFrame, group: list[str]) -> DataFrame:
         "covering": F.min(F.when(covers, F.struct("candidate_id", "source_doc_id", "requires", "exempt_if"))).over(of),
         "flagged": F.bool_or("conflict_flag").over(of),
         "n_members": F.count(F.lit(1)).over(of),
-    }).filter("rank_no = 1")
+        "least": F.min(rank).over(of),
+    }).filter(rank.eqNullSafe(F.col("least")))
     least = lambda test: F.array_min(F.transform(F.filter("stated", test), lambda x: F.struct(*[x[d].alias(d) for d in dates])))
     dated = lambda x: x["enacted_date"].isNotNull() | x["effective_date"].isNotNull()
     by_id = F.array_sort(F.transform(F.filter("stated", lambda x: x["value"].isNotNull()), lambda x: F.struct(x["candidate_id"].alias("id"), x["value"].alias("said"))))
@@ -136,12 +139,14 @@ def _offers(whole: DataFrame) -> DataFrame:
     source = lambda field: F.when(F.col("giver").isNotNull(), F.col("giver")[field]).otherwise(F.col("p")[field])
     placed = resolved.withColumns({"giver": lent, "peers": peers}).withColumns({"own_enacted": source("enacted_date"), "own_effective": source("effective_date"), "dates_doc": source("source_doc_id")})
 
+    # a verified primary that alone is verified neither sharpens nor lends to itself
+    placed = placed.withColumn("peered", F.size("stated") > F.when(F.col("p.verified"), 1).otherwise(0))
     longer = lambda v: F.startswith(v, F.col("own_enacted")) & (v != F.col("own_enacted"))
-    sharper = F.get(F.filter(_dates(F.col("peers"), "enacted_date"), longer), F.lit(0))
+    sharper = F.when(F.col("peered"), F.get(F.filter(_dates(F.col("peers"), "enacted_date"), longer), F.lit(0)))
     dated = placed.withColumn("enacted", F.coalesce(sharper, F.col("own_enacted")))
     same = lambda x: x["enacted_date"].isNull() | F.startswith(x["enacted_date"], F.col("enacted")) | F.startswith(F.col("enacted"), x["enacted_date"])
     lenders = F.filter("peers", lambda x: x["effective_date"].isNotNull())
-    dated = dated.withColumn("lenders", F.when(F.col("own_effective").isNull(), lenders)).withColumn("close_lenders", F.when(F.col("enacted").isNotNull(), F.filter("lenders", same)))
+    dated = dated.withColumn("lenders", F.when(F.col("peered") & F.col("own_effective").isNull(), lenders)).withColumn("close_lenders", F.when(F.col("enacted").isNotNull(), F.filter("lenders", same)))
     offers = dated.withColumns({"offer": _dates(F.col("close_lenders"), "effective_date"), "any_offer": _dates(F.col("lenders"), "effective_date")})
     single = lambda name: F.when(F.size(name) == 1, F.get(F.col(name), F.lit(0)))
     return offers.withColumns({"offer": single("offer"), "any_offer": single("any_offer")})
@@ -177,7 +182,7 @@ def _fields(summed: DataFrame, group: list[str]) -> DataFrame:
 
     offered = _dates(F.col("peers"), "effective_date")
     days = lambda a, b: F.coalesce(F.abs(F.datediff(date_floor(a), date_floor(b))) < CLOSE_DAYS, F.lit(False))
-    close = let(offered, lambda every: F.filter(every, lambda a: F.exists(every, lambda b: (a != b) & days(a, b))))
+    close = F.when(F.col("peered"), let(offered, lambda every: F.filter(every, lambda a: F.exists(every, lambda b: (a != b) & days(a, b)))))
     docs_of = lambda v: _docs(F.filter("peers", lambda x: x["effective_date"] == v))
     quoted = lambda v, docs: F.concat(F.lit('"'), v, F.lit('" ('), docs, F.lit(")"))
     status_docs = lambda s: _docs(F.filter("stated", lambda x: x["status"] == s))
@@ -299,12 +304,13 @@ def consolidate_cached(
     """
     group = ["cell", "bucket"]
     _, answers = _answers(whole(candidates), cached, version, told, parts)
-    short = _picked(_judged(_answered(candidates, answers).filter(F.col("in_cell") <= few)))
-    order = W.partitionBy(*group).orderBy(*[~F.col("verified"), ~(F.col("verified") & F.col("official")), ~F.col("picked"), "candidate_id"])
+    # numbered before the pick is known, so that one sort serves all that is asked of a bucket
+    order = W.partitionBy(*group).orderBy(~F.col("verified"), ~(F.col("verified") & F.col("official")), "candidate_id")
+    short = _picked(_judged(_answered(candidates, answers).filter(F.col("in_cell") <= few)).withColumn("number", F.row_number().over(order)))
     # few cells, if any; written out, so that with none of them the long way is seen to be empty
     large = candidates.groupBy("cell").count().filter(F.col("count") > few).select("cell").repartition(1)
     long = _picked(_judged(_answered(candidates.join(large, "cell", "left_semi"), answers.join(large, "cell", "left_semi"))))
-    fields = _fields(_listed(whole(short.withColumn("rank_no", F.row_number().over(order))), group), group)
+    fields = _fields(_listed(whole(short), group), group)
     return _with_second(fields.unionByName(_fields(_summed(whole(long), group), group)), group, states, parts)
 
 
