@@ -2,8 +2,9 @@
 
 members has, beside the columns of its group, candidate_id, team_rule_id, verified, official (from the supplied corpus), picked
 (the proposed primary), legal_status, enacted_date, effective_date, key_value, requires, exempt_if, source_doc_id,
-conflict_flag, conflict_note and status_basis. A group is summed up where its rows are: no list of members is ever
-made, only distinct statuses, dates with their documents, notes and values. What the others support is a table of its own.
+conflict_flag, conflict_note and status_basis. A group is summed up where its rows are: only distinct statements (status and dates with
+their document), notes and values are listed, and in cells of FEW_MEMBERS at most what each member says. What the others support is a
+table of its own.
 
 The order decides. Status comes first: a verified failed or dated enacted document beats pending ones, and enacted
 against failed stays with the primary as a conflict. Only verified documents of the resolved status, the peers, may sharpen
